@@ -237,14 +237,14 @@ def prepare(rules: DataFrame, binary: bool) -> DataFrame:
         (F.col("direction") == "<>").alias("both_ways"),
     )
     proto = F.upper("protocol")
-    return rules.filter("enabled").select(
-        F.explode(
-            F.when(proto == "ANY", F.array(*[F.lit(p) for p in PROTOCOLS])).otherwise(F.array(proto))
-        ).alias("__proto"),
+    protocols = F.when(proto == "ANY", F.array(*[F.lit(p) for p in PROTOCOLS])).otherwise(F.array(proto))
+    ready = rules.filter("enabled").select(
+        rule.alias("rule"),
+        protocols.alias("__protos"),
         F.col("dst_port").try_cast("int").alias("__port"),
         (F.col("direction") == "<>").alias("__two"),
-        rule.alias("rule"),
     )
+    return ready.withColumn("__proto", F.explode("__protos")).drop("__protos")
 
 
 def _within(value: Column, spans: Column, negated: Column) -> Column:
