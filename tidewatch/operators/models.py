@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -76,14 +77,21 @@ def scored_metrics(df: DataFrame) -> DataFrame:
 
 
 def grid_search(
-    train: DataFrame, valid: DataFrame, features: Sequence[str], trees: int = 100, grid=GRID
+    train: DataFrame, valid: DataFrame, features: Sequence[str], trees: int = 100, grid=GRID, parallel: int = 4
 ) -> DataFrame:
-    """Fit every candidate, score it on the validation rows, mark the winner."""
-    rows = []
-    for i, (depth, leaf, scheme) in enumerate(grid):
+    """Fit every candidate, score it on the validation rows, mark the winner.
+
+    Candidates are independent Spark jobs, a few are submitted side by side.
+    """
+
+    def fit(item):
+        i, (depth, leaf, scheme) = item
         model = train_forest(train, features, trees, leaf, depth, scheme)
         m = scored_metrics(forest_probabilities(model, valid, features)).first()
-        rows.append((i, depth, leaf, scheme, m["macro_f1"], m["fpr_overall"]))
+        return i, depth, leaf, scheme, m["macro_f1"], m["fpr_overall"]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(pool.map(fit, enumerate(grid)))
     spark = train.sparkSession
     table = spark.createDataFrame(
         rows, "candidate int, depth int, leaf int, weights string, macro_f1 double, fpr double"
