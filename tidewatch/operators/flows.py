@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,8 +176,8 @@ def _gaps(prefix: str, mine: Column) -> list[Column]:
     ]
 
 
-def flow_features(sessions: DataFrame) -> DataFrame:
-    """One row per flow: identity, start, end and the 41 features.
+def flow_features(sessions: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per flow: identity, start, end, the 41 features and ``extra`` aggregates.
 
     A single aggregation of plain sums, counts, extremes and moments, all of which
     combine map-side, so a flow of any size costs its reducer a few partial rows.
@@ -207,7 +209,9 @@ def flow_features(sessions: DataFrame) -> DataFrame:
         total(bwd, "header_length").alias("bwd_header_length"),
         F.min("length").cast("double").alias("min_packet_length"),
         F.max("length").cast("double").alias("max_packet_length"),
+        *extra,
     )
+    added = agg.columns[-len(extra) :] if extra else []
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     dur = F.col("flow_duration")
     pkts = F.col("total_fwd_packets") + F.col("total_bwd_packets")
@@ -237,12 +241,14 @@ def flow_features(sessions: DataFrame) -> DataFrame:
     return out.withColumns(safe).select(
         "flow_id", "flow_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
         "start_us", "end_us", "first_packet_id", "pkt_count", "byte_count", "flag_union",
-        *FEATURES,
+        *FEATURES, *added,
     )
 
 
-def flows(packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US) -> DataFrame:
-    return flow_features(sessionize(packets, idle_us, chunk_us))
+def flows(
+    packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US, extra: Sequence[Column] = ()
+) -> DataFrame:
+    return flow_features(sessionize(packets, idle_us, chunk_us), extra)
 
 
 def feature_vector(df: DataFrame, name: str = "features") -> DataFrame:
