@@ -173,7 +173,8 @@ def _anchored(keyed: DataFrame, t: str, row_id: str, factor: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
     )
     order = ["k", "c", "t"]
-    lists = times.select("k", "c", "t", "w").sortWithinPartitions(*order).mapInPandas(
+    # all columns go in, so that this and the replay below share one exchange
+    lists = times.sortWithinPartitions(*order).mapInPandas(
         _step_functions(factor), "k string, c long, upto long, leave long"
     )
     entries = (

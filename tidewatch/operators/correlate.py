@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import anchored, ordered, skew
+from tidewatch.session import cut_lineage
 
 DEDUP_US = 60_000_000
 GROUP_US = 600_000_000
@@ -84,7 +85,13 @@ def chains(grouped: DataFrame, row_id: str = "event_id") -> DataFrame:
 def correlate(
     events: DataFrame, dedup_us: int = DEDUP_US, group_us: int = GROUP_US, row_id: str = "event_id"
 ) -> DataFrame:
-    return chains(group(deduplicate(events, dedup_us, row_id), group_us, row_id), row_id)
+    """Deduplicate, group, and mark chains.
+
+    Each step reads its input more than once and keeps only part of it, so the smaller
+    tables in between are written out once instead of being computed again.
+    """
+    emitted = cut_lineage(deduplicate(events, dedup_us, row_id), "emitted")
+    return chains(cut_lineage(group(emitted, group_us, row_id), "grouped"), row_id)
 
 
 def group_summary(grouped: DataFrame) -> DataFrame:

@@ -154,101 +154,182 @@ def sessionize(
     )
 
 
-def _stats(prefix: str, mine: Column) -> list[Column]:
-    length = F.when(mine, F.col("length"))
-    return [
-        F.coalesce(F.max(length), F.lit(0)).cast("double").alias(f"{prefix}_packet_length_max"),
-        F.coalesce(F.min(length), F.lit(0)).cast("double").alias(f"{prefix}_packet_length_min"),
-        F.coalesce(F.avg(length), F.lit(0.0)).alias(f"{prefix}_packet_length_mean"),
-        F.coalesce(F.stddev_pop(length), F.lit(0.0)).alias(f"{prefix}_packet_length_std"),
-    ]
+# Partial statistics of a value: rows, sum, mean, sum of squared distances from the mean,
+# least, greatest. Pieces of one flow merge from these without going back to packets.
 
 
-def _gaps(prefix: str, mine: Column) -> list[Column]:
-    gap = F.when(mine, F.col("iat_us"))
-    sec = lambda c: F.coalesce(c / 1e6, F.lit(0.0))
+def _piece(name: str, value: Column) -> list[Column]:
+    n = F.count(value)
     return [
-        sec(F.sum(gap)).alias(f"{prefix}_iat_total"),
-        sec(F.avg(gap)).alias(f"{prefix}_iat_mean"),
-        sec(F.stddev_pop(gap)).alias(f"{prefix}_iat_std"),
-        sec(F.max(gap)).alias(f"{prefix}_iat_max"),
-        sec(F.min(gap)).alias(f"{prefix}_iat_min"),
+        n.alias(f"{name}_n"),
+        F.coalesce(F.sum(value), F.lit(0)).alias(f"{name}_sum"),
+        (n * F.coalesce(F.var_pop(value), F.lit(0.0))).alias(f"{name}_m2"),
+        F.min(value).alias(f"{name}_min"),
+        F.max(value).alias(f"{name}_max"),
     ]
 
 
-def flow_features(sessions: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
-    """One row per flow: identity, start, end, the 41 features and ``extra`` aggregates.
+def _merge(name: str, link: str | None = None) -> list[Column]:
+    """Merge pieces; ``link`` is one more value per piece (the gap to the piece before)."""
+    n, total = F.col(f"{name}_n"), F.col(f"{name}_sum")
+    square = F.when(n > 0, F.col(f"{name}_m2") + total.cast("double") * total / n).otherwise(0.0)
+    lo, hi, rows, both = F.min(f"{name}_min"), F.max(f"{name}_max"), F.sum(n), F.sum(total)
+    squares = F.sum(square)
+    if link:
+        x = F.col(link)
+        rows, both = rows + F.count(x), both + F.coalesce(F.sum(x), F.lit(0))
+        squares = squares + F.coalesce(F.sum(x.cast("double") * x), F.lit(0.0))
+        lo, hi = F.least(lo, F.min(x)), F.greatest(hi, F.max(x))
+    m2 = F.when(rows > 1, F.greatest(squares - both.cast("double") * both / rows, F.lit(0.0))).otherwise(0.0)
+    return [rows.alias(f"{name}_n"), both.alias(f"{name}_sum"), m2.alias(f"{name}_m2"), lo.alias(f"{name}_min"), hi.alias(f"{name}_max")]
+
 
-    A single aggregation of plain sums, counts, extremes and moments, all of which
-    combine map-side, so a flow of any size costs its reducer a few partial rows.
+SIDES = ("fwd", "bwd")
+FLAGS = ("fin", "syn", "rst", "psh", "ack", "urg")
+
+
+def flow_pieces(
+    packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US, least: Sequence[str] = ()
+) -> DataFrame:
+    """Aggregates per (key, time slice, flow inside the slice).
+
+    One shuffle by (key, slice); the aggregation runs in the same partitions. ``seq`` 0
+    may continue a flow of an earlier slice, higher ones start inside the slice.
     """
-    fwd, bwd = F.col("is_forward"), ~F.col("is_forward")
-    count = lambda m: F.count_if(m).cast("double")
-    total = lambda m, c: F.coalesce(F.sum(F.when(m, F.col(c))), F.lit(0)).cast("double")
-    side = lambda a, b: F.when(F.col("is_forward"), F.col(a)).otherwise(F.col(b))
-    agg = sessions.groupBy("flow_key", "flow_start").agg(
-        F.min(side("src_ip", "dst_ip")).alias("src_ip"),
-        F.min(side("dst_ip", "src_ip")).alias("dst_ip"),
-        F.min(side("src_port", "dst_port")).alias("src_port"),
-        F.min(side("dst_port", "src_port")).alias("dst_port"),
-        F.min("protocol").alias("protocol"),
-        F.max("t_us").alias("end_us"),
-        F.count(F.lit(1)).alias("pkt_count"),
-        F.sum("length").alias("byte_count"),
-        F.bit_or("flag_bits").alias("flag_union"),
-        count(fwd).alias("total_fwd_packets"),
-        count(bwd).alias("total_bwd_packets"),
-        total(fwd, "length").alias("total_length_fwd_packets"),
-        total(bwd, "length").alias("total_length_bwd_packets"),
-        *_stats("fwd", fwd),
-        *_stats("bwd", bwd),
-        *_gaps("fwd", fwd),
-        *_gaps("bwd", bwd),
-        *[count(F.col(f"flag_{f}")).alias(f"{f}_flag_count") for f in ("fin", "syn", "rst", "psh", "ack", "urg")],
-        total(fwd, "header_length").alias("fwd_header_length"),
-        total(bwd, "header_length").alias("bwd_header_length"),
-        F.min("length").cast("double").alias("min_packet_length"),
-        F.max("length").cast("double").alias("max_packet_length"),
-        *extra,
+    p = packets if "flow_key" in packets.columns else with_flow_key(packets)
+    p = p.withColumn("chunk", ordered.time_chunk("t_us", chunk_us)).withColumn(
+        "ends", (F.col("protocol") == "TCP") & (F.col("flag_fin") | F.col("flag_rst"))
     )
-    added = agg.columns[-len(extra) :] if extra else []
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    dur = F.col("flow_duration")
-    pkts = F.col("total_fwd_packets") + F.col("total_bwd_packets")
-    size = F.col("total_length_fwd_packets") + F.col("total_length_bwd_packets")
-    out = (
-        agg.withColumn("start_us", F.col("flow_start.t_us"))
-        .withColumn("first_packet_id", F.col("flow_start.packet_id"))
-        .withColumn("flow_duration", (F.col("end_us") - F.col("start_us")) / 1e6)
-        .withColumns(
-            {
-                "flow_id": F.concat_ws("@", "flow_key", "first_packet_id"),
-                "flow_bytes_per_sec": ratio(size, dur),
-                "flow_packets_per_sec": ratio(pkts, dur),
-                "down_up_ratio": ratio(
-                    F.col("total_length_bwd_packets"), F.col("total_length_fwd_packets")
-                ),
-                "average_packet_size": ratio(size, pkts),
-                "avg_fwd_segment_size": F.col("fwd_packet_length_mean"),
-                "avg_bwd_segment_size": F.col("bwd_packet_length_mean"),
-                "fwd_packets_per_sec": ratio(F.col("total_fwd_packets"), dur),
-                "bwd_packets_per_sec": ratio(F.col("total_bwd_packets"), dur),
-            }
-        )
+    keep = ["flow_key", "chunk", "t_us", "packet_id", "is_forward", "length", "header_length", "flag_bits", "ends"]
+    p = p.select(*keep, *[f"flag_{f}" for f in FLAGS], *least).repartition("flow_key", "chunk")
+    w = ordered.within(["flow_key"], "chunk", ["t_us", "packet_id"])
+    so_far, up_to = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("t_us") - F.lag("t_us").over(w)
+    cut = F.coalesce((gap >= idle_us) | F.lag("ends").over(w), F.lit(False))
+    p = p.withColumn("cut", cut).withColumn("first", cut | (F.row_number().over(w) == 1))
+    p = p.withColumn("seq", F.sum(F.col("cut").cast("long")).over(so_far))
+    fwd = F.col("is_forward")
+    here = F.struct("t_us", "seq")
+    before = F.when(fwd, F.last(F.when(fwd, here), True).over(up_to)).otherwise(
+        F.last(F.when(~fwd, here), True).over(up_to)
     )
-    # a flow with an unusable value keeps its row with zeros instead of failing
-    safe = {c: F.when(F.isnan(c) | F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c)) for c in FEATURES}
-    return out.withColumns(safe).select(
-        "flow_id", "flow_key", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
-        "start_us", "end_us", "first_packet_id", "pkt_count", "byte_count", "flag_union",
-        *FEATURES, *added,
+    p = p.withColumn("before", before).withColumn(
+        "iat", F.when(F.col("before.seq") == F.col("seq"), F.col("t_us") - F.col("before.t_us"))
+    )
+    aggs = [
+        F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"),
+        F.max(F.when(F.col("first"), F.col("packet_id"))).alias("first_packet_id"),
+        F.max("ends").alias("ends"), F.sum("length").alias("byte_count"), F.bit_or("flag_bits").alias("flag_union"),
+        *[F.count_if(f"flag_{f}").alias(f"{f}_flag_count") for f in FLAGS],
+        *[F.min(c).alias(c) for c in least],
+    ]
+    for side, mine in zip(SIDES, (fwd, ~fwd)):
+        aggs += _piece(f"{side}_len", F.when(mine, F.col("length")))
+        aggs += _piece(f"{side}_iat", F.when(mine, F.col("iat")))
+        aggs += [
+            F.coalesce(F.sum(F.when(mine, F.col("header_length"))), F.lit(0)).alias(f"{side}_header"),
+            F.min(F.when(mine, F.col("t_us"))).alias(f"{side}_first"),
+            F.max(F.when(mine, F.col("t_us"))).alias(f"{side}_last"),
+        ]
+    return p.groupBy("flow_key", "chunk", "seq").agg(*aggs)
+
+
+def _merged(edges: DataFrame, idle_us: int, least: Sequence[str]) -> DataFrame:
+    """Join the pieces at slice borders. There are at most two per (key, slice), so
+    the per-key order here is over slices, not packets."""
+    w = Window.partitionBy("flow_key").orderBy("chunk", "seq")
+    opens = (
+        F.lag("end_us").over(w).isNull() | (F.col("seq") > 0) | F.lag("ends").over(w)
+        | (F.col("start_us") - F.lag("end_us").over(w) >= idle_us)
     )
+    e = edges.withColumn("opens", opens).withColumn(
+        "flow_no", F.sum(F.col("opens").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    inner = Window.partitionBy("flow_key", "flow_no").orderBy("chunk", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    for side in SIDES:
+        e = e.withColumn(f"{side}_link", F.col(f"{side}_first") - F.max(f"{side}_last").over(inner))
+    aggs = [
+        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
+        F.max(F.when(F.col("opens"), F.col("first_packet_id"))).alias("first_packet_id"),
+        F.sum("byte_count").alias("byte_count"), F.bit_or("flag_union").alias("flag_union"),
+        *[F.sum(f"{f}_flag_count").alias(f"{f}_flag_count") for f in FLAGS],
+        *[F.min(c).alias(c) for c in least],
+    ]
+    for side in SIDES:
+        aggs += _merge(f"{side}_len") + _merge(f"{side}_iat", f"{side}_link")
+        aggs.append(F.sum(f"{side}_header").alias(f"{side}_header"))
+    return e.groupBy("flow_key", "flow_no").agg(*aggs).drop("flow_no")
+
+
+def _vector_columns() -> dict[str, Column]:
+    """The 41 features from merged statistics."""
+    zero = F.lit(0.0)
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(zero)
+    c = F.col
+    dur = (c("end_us") - c("start_us")) / 1e6
+    out = {"flow_duration": dur}
+    for side in SIDES:
+        n, total = c(f"{side}_len_n").cast("double"), c(f"{side}_len_sum").cast("double")
+        gaps = c(f"{side}_iat_n").cast("double")
+        out |= {
+            f"total_{side}_packets": n,
+            f"total_length_{side}_packets": total,
+            f"{side}_packet_length_max": F.coalesce(c(f"{side}_len_max").cast("double"), zero),
+            f"{side}_packet_length_min": F.coalesce(c(f"{side}_len_min").cast("double"), zero),
+            f"{side}_packet_length_mean": ratio(total, n),
+            f"{side}_packet_length_std": F.sqrt(ratio(c(f"{side}_len_m2"), n)),
+            f"{side}_iat_total": c(f"{side}_iat_sum") / 1e6,
+            f"{side}_iat_mean": ratio(c(f"{side}_iat_sum"), gaps) / 1e6,
+            f"{side}_iat_std": F.sqrt(ratio(c(f"{side}_iat_m2"), gaps)) / 1e6,
+            f"{side}_iat_max": F.coalesce(c(f"{side}_iat_max") / 1e6, zero),
+            f"{side}_iat_min": F.coalesce(c(f"{side}_iat_min") / 1e6, zero),
+            f"avg_{side}_segment_size": ratio(total, n),
+            f"{side}_header_length": c(f"{side}_header").cast("double"),
+            f"{side}_packets_per_sec": ratio(n, dur),
+        }
+    pkts = (c("fwd_len_n") + c("bwd_len_n")).cast("double")
+    out |= {f"{f}_flag_count": c(f"{f}_flag_count").cast("double") for f in FLAGS}
+    out |= {
+        "flow_bytes_per_sec": ratio(c("byte_count"), dur),
+        "flow_packets_per_sec": ratio(pkts, dur),
+        "down_up_ratio": ratio(c("bwd_len_sum").cast("double"), c("fwd_len_sum")),
+        "average_packet_size": ratio(c("byte_count"), pkts),
+        "min_packet_length": F.least("fwd_len_min", "bwd_len_min").cast("double"),
+        "max_packet_length": F.greatest("fwd_len_max", "bwd_len_max").cast("double"),
+    }
+    # a flow with an unusable value keeps its row with zeros instead of failing
+    return {f: F.coalesce(F.nanvl(out[f], zero), zero) for f in FEATURES}
 
 
 def flows(
-    packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US, extra: Sequence[Column] = ()
+    packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US, least: Sequence[str] = ()
 ) -> DataFrame:
-    return flow_features(sessionize(packets, idle_us, chunk_us), extra)
+    """One row per flow: identity, start, end, the 41 features, and the least value of
+    each column in ``least``.
+
+    Packets are shuffled once, by (key, time slice). Flows that begin and end inside a
+    slice are finished there; only pieces at slice borders are merged per key.
+    """
+    pieces = flow_pieces(packets, idle_us, chunk_us, least)
+    slot = Window.partitionBy("flow_key", "chunk").orderBy("seq")
+    pieces = pieces.withColumn("edge", (F.col("seq") == 0) | F.lead("seq").over(slot).isNull())
+    edges = _merged(pieces.filter("edge"), idle_us, least)
+    whole = pieces.filter("NOT edge").select(*edges.columns).unionByName(edges)
+    end = lambda i, g: F.regexp_extract(F.regexp_extract("flow_key", r"^(.*:[^:]*)-(.*:[^:]*)-([^-]*)$", i), r"^(.*):([^:]*)$", g)
+    return whole.select(
+        F.concat_ws("@", "flow_key", "first_packet_id").alias("flow_id"),
+        "flow_key",
+        end(1, 1).alias("src_ip"),
+        end(2, 1).alias("dst_ip"),
+        end(1, 2).try_cast("int").alias("src_port"),
+        end(2, 2).try_cast("int").alias("dst_port"),
+        F.regexp_extract("flow_key", r"-([^-]*)$", 1).alias("protocol"),
+        "start_us", "end_us", "first_packet_id",
+        (F.col("fwd_len_n") + F.col("bwd_len_n")).alias("pkt_count"),
+        "byte_count", "flag_union",
+        *[v.alias(k) for k, v in _vector_columns().items()],
+        *least,
+    )
 
 
 def feature_vector(df: DataFrame, name: str = "features") -> DataFrame:

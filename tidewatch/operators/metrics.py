@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,7 +143,7 @@ def _sweep(binned: DataFrame, keys: Sequence[str], grid: Sequence[float]) -> Dat
     has one line per key and threshold, whatever the number of rows.
     """
     ts = F.array(*[F.lit(t) for t in grid])
-    reach = F.size(F.filter(ts, lambda t: t <= F.col("p")))
+    reach = reduce(add, [(F.col("p") >= t).cast("int") for t in grid])
     n = binned.groupBy(*keys, reach.alias("reach")).agg(
         F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import network
 from tidewatch.operators import anchored, ordered, skew
+from tidewatch.session import cut_lineage
 
 RULE_SLICE = 2_000
 PROTOCOLS = ["TCP", "UDP", "ICMP", "ICMPV6", "OTHER"]
@@ -412,7 +413,8 @@ def rate_alerts(
         .withColumn("chunk", ordered.time_chunk("t", chunk_us))
         .drop("src_ip", "dst_ip", "threshold_track")
     )
-    placed = ordered.positions(m, keys, "chunk", ["t", "id"])
+    # matches are far fewer than packets and are read five times below
+    placed = cut_lineage(ordered.positions(cut_lineage(m, "matches"), keys, "chunk", ["t", "id"]), "places")
     times = placed.groupBy(*keys, "t", "threshold_type", "need", "span").agg(
         F.max("pos").alias("last"), F.min("id").alias("id")
     )

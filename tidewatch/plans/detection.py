@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts, correlate, ensemble, flows, rules
+from tidewatch.session import cut_lineage
 
 
 def signed_flows(
@@ -20,7 +21,7 @@ def signed_flows(
     hit = rules.with_hits(flows.with_flags(packets), rule_table)
     first = F.try_element_at("hits", F.lit(1))["rule_order"]
     marked = hit.withColumn("rule_order", first).drop("hits", "payload")
-    out = flows.flows(marked, idle_us, chunk_us, [F.min("rule_order").alias("rule_order")])
+    out = flows.flows(marked, idle_us, chunk_us, ["rule_order"])
     return rules.describe_match(out, rule_table)
 
 
@@ -46,4 +47,5 @@ def detect(
         F.col("first_packet_id").alias("event_id"), "flow_id", F.col("start_us").alias("t_us"), "src_ip", "dst_ip",
         "src_port", "dst_port", "protocol", "attack_type", "severity", F.col("score").alias("confidence"), "detected_by",
     )
-    return alerts.build_alerts(correlate.correlate(events, dedup_us, group_us))
+    # everything below reads the gated events more than once
+    return alerts.build_alerts(correlate.correlate(cut_lineage(events, "gated"), dedup_us, group_us))
