@@ -188,9 +188,9 @@ def parse_notes(description: Column) -> Column:
     pattern = r"^([0-9TZ:.\-]+)\s+(.*)$"
 
     def one(x):
-        ts = F.to_timestamp_ntz(F.regexp_replace(F.regexp_extract(x, pattern, 1), "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+        ts = F.regexp_replace(F.regexp_extract(x, pattern, 1), "Z$", "").try_cast("timestamp_ntz")
         stamped = x.rlike(pattern)
-        good = F.regexp_extract(x, pattern, 1).rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ?$")
+        good = F.regexp_extract(x, pattern, 1).rlike(r"^\d{4}-\d\d-\d\d(T\d\d:\d\d(:\d\d(\.\d+)?)?)?Z?$")
         return F.struct(
             F.when(stamped & good, ts).alias("ts"),
             F.when(stamped, F.regexp_extract(x, pattern, 2)).otherwise(x).alias("text"),

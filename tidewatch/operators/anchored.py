@@ -60,11 +60,12 @@ def _layout(pdf: pd.DataFrame, factor: int):
     gid = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(t))
-    rel = t - c.astype(np.int64) * (w * factor)
-    stride = int((w * (factor + 2)).max()) + 2
+    span = np.maximum(w, 1) * factor
+    rel = t - c.astype(np.int64) * span
+    stride = int((span + 2 * w).max()) + 2
     axis = rel + gid * stride
     nxt = np.searchsorted(axis, axis + w, side="right")
-    return t, w, new, gid, starts, ends, rel, stride, axis, nxt
+    return t, w, new, gid, starts, ends, rel, span, stride, axis, nxt
 
 
 def _step_functions(factor: int):
@@ -72,7 +73,7 @@ def _step_functions(factor: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_groups(batches):
-            t, w, new, gid, starts, ends, rel, _, _, nxt = _layout(pdf, factor)
+            t, w, new, gid, starts, ends, rel, _, _, _, nxt = _layout(pdf, factor)
             here = np.arange(len(t))
             hop = np.where(nxt < ends[gid], nxt, here)
             for _ in range(rounds):
@@ -122,11 +123,10 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _replay(factor: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_groups(batches):
-            t, w, _, gid, starts, ends, rel, stride, axis, nxt = _layout(pdf, factor)
+            t, w, _, gid, starts, ends, _, span, stride, axis, nxt = _layout(pdf, factor)
             covered = pdf["covered"].to_numpy(np.int64)
-            c0 = pdf["c"].to_numpy(np.int64)[starts] * w[starts] * factor
-            span = w[starts] * factor
-            edge = np.clip(covered[starts], c0 - 1, c0 + span) - c0
+            c0 = pdf["c"].to_numpy(np.int64)[starts] * span[starts]
+            edge = np.clip(covered[starts], c0 - 1, c0 + span[starts]) - c0
             cur = np.searchsorted(axis, edge + np.arange(len(starts)) * stride, side="right")
             cur = cur[cur < ends]
             mark = np.zeros(len(t), bool)
@@ -162,7 +162,7 @@ def _keyed(df, keys, t, width_us, factor):
     w = F.lit(width_us) if isinstance(width_us, int) else width_us
     df = df.withColumn("k", F.concat_ws("\u001f", *[F.col(c).cast("string") for c in keys]))
     df = df.withColumn("w", w.cast("long"))
-    return df.withColumn("c", F.floor(F.col(t) / (F.col("w") * F.lit(factor))).cast("long"))
+    return df.withColumn("c", F.floor(F.col(t) / (F.greatest("w", F.lit(1)) * F.lit(factor))).cast("long"))
 
 
 def _anchored(keyed: DataFrame, t: str, row_id: str, factor: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import ordered
 from tidewatch.operators.prep import CLASSES
+from tidewatch.session import cut_lineage
 
 # Threshold grids.
 COARSE = [0.05 + 0.02 * i for i in range(45)]
@@ -264,9 +265,13 @@ def macro_auc(points: DataFrame, classes: int) -> DataFrame:
     and a row takes the curve point at or before it and the one after it. Slices of
     the axis keep the order local, borders come from per-slice summaries.
     """
+    # each table below is read several times and is smaller than what it is made from
+    points = cut_lineage(points.select("class", "fpr", "tpr"), "curves")
     origin = points.select("class").distinct().select("class", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     curve = points.select("class", "fpr", "tpr").unionByName(origin)
-    step = curve.groupBy("class", "fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
+    step = cut_lineage(
+        curve.groupBy("class", "fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi")), "steps"
+    )
     axis = step.select("fpr").distinct()
     names = step.select("class").distinct()
     grid = axis.crossJoin(F.broadcast(names)).select("class", "fpr")
@@ -288,7 +293,7 @@ def macro_auc(points: DataFrame, classes: int) -> DataFrame:
     value = F.when(F.col("b").isNull() | (F.col("fpr") == F.col("a.fpr")), F.col("a.t")).otherwise(
         F.col("a.t") + (F.col("b.t") - F.col("a.t")) * (F.col("fpr") - F.col("a.fpr")) / (F.col("b.fpr") - F.col("a.fpr"))
     )
-    mean = z.groupBy("fpr", "cut").agg((F.sum(value) / F.lit(classes)).alias("t"))
+    mean = cut_lineage(z.groupBy("fpr", "cut").agg((F.sum(value) / F.lit(classes)).alias("t")), "mean")
     back = ordered.previous(mean, [], "cut", ["fpr"], ["fpr", "t"])
     return back.filter("prev_fpr IS NOT NULL").agg(
         F.sum((F.col("fpr") - F.col("prev_fpr")) * (F.col("t") + F.col("prev_t")) / 2).alias("macro_auc")

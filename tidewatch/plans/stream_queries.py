@@ -14,6 +14,7 @@ from tidewatch.plans.catalog import r, register, rounded
 from tidewatch.streaming import streams
 
 A = ad.cte("alerts")
+NOW = "0 seconds"  # the given tables are replayed in time order
 
 
 @register("stream_packets", f"WITH {ad.cte('packets')} SELECT packet_id, src_ip, dst_ip, length FROM packets")
@@ -33,7 +34,7 @@ SHOWN = [f for f in flows.FEATURES if not f.endswith("_std")]
 )
 def stream_flows(spark, sf):
     s = streams.replay_slices(ad.load(spark, sf, "packets"))
-    out = streams.drained(streams.flow_stream(s, fq.IDLE), "flows")
+    out = streams.drained(streams.flow_stream(s, fq.IDLE, NOW), "flows")
     return rounded(out.select("flow_id", "start_us", "end_us", "pkt_count", *SHOWN))
 
 
@@ -43,7 +44,7 @@ def stream_flows(spark, sf):
 )
 def dedup(spark, sf):
     s = streams.replay_slices(vq.gated(spark, sf).select("event_id", "t_us", "src_ip", "dst_ip", "attack_type"))
-    out = streams.drained(streams.duplicate_stream(s, vq.DEDUP), "dedup")
+    out = streams.drained(streams.duplicate_stream(s, vq.DEDUP, NOW), "dedup")
     return out.filter("kind = 'alert'").select("event_id", "src_ip", "dst_ip", "attack_type", "t_us")
 
 
@@ -54,7 +55,7 @@ SELECT event_id, {r("list_sum(l)", "total")}, len(l) = 10 AS window_complete FRO
 )
 def recent_vectors(spark, sf):
     s = ad.load(spark, sf, "scores").select("event_id", "t_us", "src_ip", F.array("rf_conf", "if_conf").alias("vector"))
-    out = streams.drained(streams.recent_stream(streams.replay_slices(s), 10, 40 * 86_400_000), "recent")
+    out = streams.drained(streams.recent_stream(streams.replay_slices(s), 10, 40 * 86_400_000, NOW), "recent")
     total = F.aggregate("recent", F.lit(0.0), lambda a, v: a + v[0])
     return rounded(out.select("event_id", total.alias("total"), "window_complete"))
 
@@ -65,7 +66,7 @@ def recent_vectors(spark, sf):
 )
 def workflow(spark, sf):
     s = streams.replay_slices(ad.load(spark, sf, "actions"))
-    return streams.drained(streams.workflow_stream(s), "workflow")
+    return streams.drained(streams.workflow_stream(s, NOW), "workflow")
 
 
 @register(
@@ -75,7 +76,7 @@ SELECT * FROM c WHERE window_us + 3600000000 <= (SELECT max(t_us) FROM alerts)""
 )
 def live_counters(spark, sf):
     s = streams.replay_slices(ad.load(spark, sf, "alerts").select("t_us", "severity"))
-    return streams.drained(streams.live_counters(s), "counters")
+    return streams.drained(streams.live_counters(s, delay=NOW), "counters")
 
 
 @register("stream_insert", f"WITH {A} SELECT alert_id, t_us, severity FROM alerts")

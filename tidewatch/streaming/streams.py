@@ -10,6 +10,9 @@ from tidewatch.session import ROCKSDB, scratch_path
 from tidewatch.sources import tables
 from tidewatch.streaming import processors as pr
 
+# how late a row may be; later ones are dropped by the stateful operators
+DELAY = "10 seconds"
+
 
 def open_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
     """An append table as a stream; the source rate replaces bounded queues that drop."""
@@ -21,7 +24,7 @@ def read_after(table: DataFrame, last_id: int, n: int, column: str = "event_id")
     return table.filter(F.col(column) > last_id).orderBy(column).limit(n)
 
 
-def timed(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def timed(df: DataFrame, delay: str = DELAY) -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", delay)
 
 
@@ -30,26 +33,28 @@ def _stateful(df: DataFrame, keys: list[str], processor, schema: str) -> DataFra
     return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
-def flow_stream(packets: DataFrame, idle_us: int = flow_ops.IDLE_US, delay: str = "0 seconds") -> DataFrame:
+def flow_stream(packets: DataFrame, idle_us: int = flow_ops.IDLE_US, delay: str = DELAY) -> DataFrame:
     p = flow_ops.with_flow_key(flow_ops.with_flags(packets))
     return _stateful(timed(p, delay), ["flow_key"], pr.Flows(idle_us), pr.Flows.schema)
 
 
-def duplicate_stream(events: DataFrame, width_us: int = 60_000_000, delay: str = "0 seconds") -> DataFrame:
+def duplicate_stream(events: DataFrame, width_us: int = 60_000_000, delay: str = DELAY) -> DataFrame:
     keys = ["src_ip", "dst_ip", "attack_type"]
     return _stateful(timed(events, delay), keys, pr.DuplicateWindows(width_us), pr.DuplicateWindows.schema)
 
 
-def recent_stream(flows: DataFrame, size: int = 10, keep_ms: int = 86_400_000) -> DataFrame:
+def recent_stream(
+    flows: DataFrame, size: int = 10, keep_ms: int = 86_400_000, delay: str = DELAY
+) -> DataFrame:
     """Expects src_ip, event_id, t_us, vector."""
-    return _stateful(timed(flows), ["src_ip"], pr.RecentVectors(size, keep_ms), pr.RecentVectors.schema)
+    return _stateful(timed(flows, delay), ["src_ip"], pr.RecentVectors(size, keep_ms), pr.RecentVectors.schema)
 
 
-def workflow_stream(actions: DataFrame) -> DataFrame:
-    return _stateful(timed(actions), ["alert_id"], pr.Workflow(), pr.Workflow.schema)
+def workflow_stream(actions: DataFrame, delay: str = DELAY) -> DataFrame:
+    return _stateful(timed(actions, delay), ["alert_id"], pr.Workflow(), pr.Workflow.schema)
 
 
-def live_counters(alerts: DataFrame, window: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
+def live_counters(alerts: DataFrame, window: str = "1 hour", delay: str = DELAY) -> DataFrame:
     """Alerts per window and severity."""
     w = F.window("ts", window)
     return timed(alerts, delay).groupBy(w, "severity").agg(F.count(F.lit(1)).alias("n")).select(
