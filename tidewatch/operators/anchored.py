@@ -160,7 +160,7 @@ def anchored_times(
 
 def _keyed(df, keys, t, width_us, factor):
     w = F.lit(width_us) if isinstance(width_us, int) else width_us
-    df = df.withColumn("k", F.concat_ws("\u001f", *[F.col(c).cast("string") for c in keys]))
+    df = df.withColumn("k", F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in keys]))
     df = df.withColumn("w", w.cast("long"))
     return df.withColumn("c", F.floor(F.col(t) / (F.greatest("w", F.lit(1)) * F.lit(factor))).cast("long"))
 

@@ -73,7 +73,11 @@ def with_flags(packets: DataFrame) -> DataFrame:
 
 
 def with_flow_key(packets: DataFrame) -> DataFrame:
-    """Canonical 5-tuple: the side with the smaller (address text, port) first."""
+    """Canonical 5-tuple: the side with the smaller (address text, port) first.
+
+    Packets without addresses cannot belong to a flow and are left out.
+    """
+    packets = packets.filter("src_ip IS NOT NULL AND dst_ip IS NOT NULL")
     src = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
     dst = F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
     a = network.endpoint(F.col("src_ip"), F.col("src_port"))

@@ -342,7 +342,7 @@ def conflicting_active(models: DataFrame) -> DataFrame:
 
 
 def latency_stats(df: DataFrame, value: str) -> DataFrame:
-    p = ordered.exact_percentiles(df, [], value, [0.5, 0.95, 0.99], F.floor(F.col(value)).cast("long"))
+    p = ordered.exact_percentiles(df, [], value, [0.5, 0.95, 0.99])
     m = df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("n"))
     return p.crossJoin(m)
 
@@ -353,7 +353,7 @@ def recent(df: DataFrame, order: str, n: int = 1000) -> DataFrame:
 
 def latency_cdf(df: DataFrame, value: str) -> DataFrame:
     """Cumulative share at each distinct value."""
-    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("cut", F.floor(F.col(value)).cast("long"))
+    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("cut", ordered.value_chunk(F.col(value)))
     cum = ordered.running_sum(hist, [], "cut", [value], {"cum": F.col("n")})
     total = hist.agg(F.sum("n").alias("t"))
     return cum.crossJoin(F.broadcast(total)).select(value, (F.col("cum") / F.col("t")).alias("share"))

@@ -205,11 +205,9 @@ def anomaly_scores(df: DataFrame, model: DataFrame, features: Sequence[str], nam
 
 def contamination_offsets(train_scores: DataFrame, contaminations: Sequence[float]) -> DataFrame:
     """Offset per contamination: that quantile of the training scores, exactly."""
-    chunk = F.floor(F.col("sample_score") * 1024).cast("long")
-    marks = {f"q{i}": c for i, c in enumerate(contaminations)}
     parts = []
-    for c in marks.values():
-        q = ordered.exact_percentiles(train_scores, [], "sample_score", [c], chunk)
+    for c in contaminations:
+        q = ordered.exact_percentiles(train_scores, [], "sample_score", [c])
         parts.append(q.select(F.lit(float(c)).alias("contamination"), F.col(q.columns[0]).alias("offset")))
     return prep.concat_files(parts)
 

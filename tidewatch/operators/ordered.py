@@ -34,6 +34,13 @@ def time_chunk(t_us: str | Column, width_us: int) -> Column:
     return F.floor(t / F.lit(width_us)).cast("long")
 
 
+def value_chunk(value: Column) -> Column:
+    """Order-preserving slices of a number on a log scale: at most some 10^5 of them
+    for any range of values, 256 per doubling."""
+    steps = F.floor(F.log2(F.abs(value.cast("double")) + 1.0) * 256)
+    return (F.signum(value.cast("double")) * steps).cast("long")
+
+
 def hash_chunk(column: str) -> Column:
     """4096 even slices that keep the order of the md5 text of a column."""
     return F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 3), 16, 10).cast("long")
@@ -145,7 +152,7 @@ def trailing_rows(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], chunk: Column
+    df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], chunk: Column | None = None
 ) -> DataFrame:
     """Linear-interpolated percentiles from a histogram of distinct values.
 
@@ -155,6 +162,7 @@ def exact_percentiles(
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n")
     )
+    chunk = value_chunk(F.col(value)) if chunk is None else chunk
     hist = running_sum(hist.withColumn("__c", chunk), keys, "__c", [value], {"cum": F.col("n")})
     totals = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total")

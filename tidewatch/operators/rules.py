@@ -362,7 +362,7 @@ def describe_match(rows: DataFrame, rules: DataFrame) -> DataFrame:
         F.format_string("Signature match: %s [%s] — %s", "name", "rule_id", kind).alias("sig_description"),
     )
     matched = F.col("rule_order").isNotNull()
-    return rows.join(names, "rule_order", "left").withColumns(
+    return skew.lookup_join(rows, names, ["rule_order"], "left").withColumns(
         {
             "matched": matched,
             "sig_type": F.coalesce("sig_type", F.lit("BENIGN")),
@@ -406,9 +406,9 @@ def rate_alerts(
         (F.col("threshold_seconds") * F.lit(1_000_000).cast("long")).alias("span"),
     )
     keys = ["rule_id", "tracked"]
+    seen = matches.select("rule_id", F.col(t).alias("t"), F.col(row_id).alias("id"), "src_ip", "dst_ip")
     m = (
-        matches.select("rule_id", F.col(t).alias("t"), F.col(row_id).alias("id"), "src_ip", "dst_ip")
-        .join(spec, "rule_id")
+        skew.lookup_join(seen, spec, ["rule_id"])
         .withColumn("tracked", F.when(F.col("threshold_track") == "by_dst", F.col("dst_ip")).otherwise(F.col("src_ip")))
         .withColumn("chunk", ordered.time_chunk("t", chunk_us))
         .drop("src_ip", "dst_ip", "threshold_track")

@@ -24,7 +24,15 @@ def salted_join(
     tasks. Used where the small side grows with the data; AQE still turns it into
     a broadcast when its measured size allows.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    plain = [c for c, t in big.dtypes if "<" not in t and t != "binary"]
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in plain]), F.lit(salts)).cast("int")
     left = big.withColumn("__salt", salt)
     right = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Broadcast the small side if it is measured small, else a salted join."""
+    if at_most(small):
+        return big.join(F.broadcast(small), list(keys), how)
+    return salted_join(big, small, keys, how)
