@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import network
 from tidewatch.operators import ordered
+from tidewatch.session import cut_lineage
 
 IDLE_US = 60_000_000
 CHUNK_US = 300_000_000
@@ -306,15 +307,20 @@ def _vector_columns() -> dict[str, Column]:
 
 
 def flows(
-    packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US, least: Sequence[str] = ()
+    packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US, least: Sequence[str] = (),
+    write_pieces: bool = False,
 ) -> DataFrame:
     """One row per flow: identity, start, end, the 41 features, and the least value of
     each column in ``least``.
 
     Packets are shuffled once, by (key, time slice). Flows that begin and end inside a
-    slice are finished there; only pieces at slice borders are merged per key.
+    slice are finished there; only pieces at slice borders are merged per key. Both
+    branches read the pieces; with ``write_pieces`` these are stored first, so that large
+    inputs are sorted once.
     """
     pieces = flow_pieces(packets, idle_us, chunk_us, least)
+    if write_pieces:
+        pieces = cut_lineage(pieces, "pieces")
     slot = Window.partitionBy("flow_key", "chunk").orderBy("seq")
     pieces = pieces.withColumn("edge", (F.col("seq") == 0) | F.lead("seq").over(slot).isNull())
     edges = _merged(pieces.filter("edge"), idle_us, least)

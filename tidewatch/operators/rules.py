@@ -302,17 +302,18 @@ def with_hits(packets: DataFrame, rules: DataFrame, headers: bool = False) -> Da
             "__dst", network.ip_number(F.col("dst_ip"))
         )
     p = p.withColumn("hits", F.array().cast("array<struct<rule_order:bigint,rule_id:string>>"))
-    if skew.at_most(rules, RULE_SLICE):
-        slices = [rules]
+    # prepared once: the slices and the two lookups below all read this small table
+    ready = cut_lineage(prepare(rules, binary), "rules")
+    if skew.at_most(ready, RULE_SLICE):
+        slices = [ready]
     else:
-        top = rules.agg(F.max("rule_order")).first()[0]
+        top = ready.agg(F.max("rule.rule_order")).first()[0]
         slices = [
-            rules.filter(F.col("rule_order").between(lo, lo + RULE_SLICE - 1))
+            ready.filter(F.col("rule.rule_order").between(lo, lo + RULE_SLICE - 1))
             for lo in range(0, top + 1, RULE_SLICE)
         ]
     has_icmp = "icmp_type" in packets.columns
-    for part in slices:
-        ready = prepare(part, binary)
+    for ready in slices:
         direct = F.col("__port").isNotNull() & (~F.col("__two") if headers else F.lit(True))
         by_port = ready.filter(direct).groupBy(
             F.col("__proto").alias("__up"), F.col("__port").alias("dst_port")

@@ -21,7 +21,7 @@ def signed_flows(
     hit = rules.with_hits(flows.with_flags(packets), rule_table)
     first = F.try_element_at("hits", F.lit(1))["rule_order"]
     marked = hit.withColumn("rule_order", first).drop("hits", "payload")
-    out = flows.flows(marked, idle_us, chunk_us, ["rule_order"])
+    out = flows.flows(marked, idle_us, chunk_us, ["rule_order"], write_pieces=True)
     return rules.describe_match(out, rule_table)
 
 

@@ -94,7 +94,14 @@ def drained(df: DataFrame, name: str, start=to_table) -> DataFrame:
     """Run a stream over what is there now and return the table it wrote."""
     spark = df.sparkSession
     out, mark = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    start(df, out, mark).awaitTermination()
+    # state partitions are fixed for the life of a stream: no more than there are cores
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = max(8, spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), cores)))
+    try:
+        start(df, out, mark).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(df.schema).parquet(out)
 
 
