@@ -90,8 +90,8 @@ def reference(data, idle):
     return out
 
 
-@pytest.mark.parametrize("chunk_us", [50_000, 3_000_000, 10**12])
-def test_hot_key_over_many_slices(spark, chunk_us):
+@pytest.mark.parametrize(("chunk_us", "hot_rows"), [(50_000, 0), (3_000_000, 0), (10**12, 0), (50_000, 300), (50_000, 10**6)])
+def test_hot_key_over_many_slices(spark, chunk_us, hot_rows):
     """Half the packets on one 5-tuple, slices much shorter than its flows."""
     rng = np.random.default_rng(5)
     data = []
@@ -104,7 +104,7 @@ def test_hot_key_over_many_slices(spark, chunk_us):
         data.append(packet(i, float(rng.integers(0, 60_000)), a, b, int(rng.integers(60, 1500)), bits))
     idle = 400_000
     want = reference(data, idle)
-    got = flows.flows(build(spark, data), idle, chunk_us).collect()
+    got = flows.flows(build(spark, data), idle, chunk_us, hot_rows=hot_rows).collect()
     assert sum(r["pkt_count"] for r in got) == len(data)
     assert {r["flow_id"] for r in got} == set(want)
     for r in got:

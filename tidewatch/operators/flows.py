@@ -13,6 +13,7 @@ from tidewatch.session import cut_lineage
 
 IDLE_US = 60_000_000
 CHUNK_US = 300_000_000
+HOT_ROWS = 1_000_000
 
 # Feature names in vector order.
 FEATURES = [
@@ -194,17 +195,19 @@ FLAGS = ("fin", "syn", "rst", "psh", "ack", "urg")
 
 
 def flow_pieces(
-    packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US, least: Sequence[str] = ()
+    packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US, least: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Aggregates per (key, time slice, flow inside the slice).
 
     One shuffle by (key, slice); the aggregation runs in the same partitions. ``seq`` 0
-    may continue a flow of an earlier slice, higher ones start inside the slice.
+    may continue a flow of an earlier slice, higher ones start inside the slice. Only
+    keys with more than ``hot_rows`` packets are sliced (0 slices all without counting).
     """
     p = packets if "flow_key" in packets.columns else with_flow_key(packets)
-    p = p.withColumn("chunk", ordered.time_chunk("t_us", chunk_us)).withColumn(
-        "ends", (F.col("protocol") == "TCP") & (F.col("flag_fin") | F.col("flag_rst"))
-    )
+    chunk = ordered.time_chunk("t_us", chunk_us)
+    p = ordered.slice_hot_keys(p, ["flow_key"], chunk, hot_rows) if hot_rows else p.withColumn("chunk", chunk)
+    p = p.withColumn("ends", (F.col("protocol") == "TCP") & (F.col("flag_fin") | F.col("flag_rst")))
     keep = ["flow_key", "chunk", "t_us", "packet_id", "is_forward", "length", "header_length", "flag_bits", "ends"]
     p = p.select(*keep, *[f"flag_{f}" for f in FLAGS], *least).repartition("flow_key", "chunk")
     w = ordered.within(["flow_key"], "chunk", ["t_us", "packet_id"])
@@ -308,7 +311,7 @@ def _vector_columns() -> dict[str, Column]:
 
 def flows(
     packets: DataFrame, idle_us: int = IDLE_US, chunk_us: int = CHUNK_US, least: Sequence[str] = (),
-    write_pieces: bool = False,
+    hot_rows: int = HOT_ROWS, write_pieces: bool = False,
 ) -> DataFrame:
     """One row per flow: identity, start, end, the 41 features, and the least value of
     each column in ``least``.
@@ -318,22 +321,25 @@ def flows(
     branches read the pieces; with ``write_pieces`` these are stored first, so that large
     inputs are sorted once.
     """
-    pieces = flow_pieces(packets, idle_us, chunk_us, least)
-    if write_pieces:
-        pieces = cut_lineage(pieces, "pieces")
+    pieces = flow_pieces(packets, idle_us, chunk_us, least, hot_rows)
+    # marked before they are stored: here they still lie by (key, slice)
     slot = Window.partitionBy("flow_key", "chunk").orderBy("seq")
     pieces = pieces.withColumn("edge", (F.col("seq") == 0) | F.lead("seq").over(slot).isNull())
+    if write_pieces:
+        pieces = cut_lineage(pieces, "pieces")
     edges = _merged(pieces.filter("edge"), idle_us, least)
     whole = pieces.filter("NOT edge").select(*edges.columns).unionByName(edges)
-    end = lambda i, g: F.regexp_extract(F.regexp_extract("flow_key", r"^(.*:[^:]*)-(.*:[^:]*)-([^-]*)$", i), r"^(.*):([^:]*)$", g)
+    part = F.split("flow_key", "-")
+    port = lambda i: F.substring_index(part[i], ":", -1)
+    address = lambda i: F.left(part[i], F.length(part[i]) - F.length(port(i)) - 1)
     return whole.select(
         F.concat_ws("@", "flow_key", "first_packet_id").alias("flow_id"),
         "flow_key",
-        end(1, 1).alias("src_ip"),
-        end(2, 1).alias("dst_ip"),
-        end(1, 2).try_cast("int").alias("src_port"),
-        end(2, 2).try_cast("int").alias("dst_port"),
-        F.regexp_extract("flow_key", r"-([^-]*)$", 1).alias("protocol"),
+        address(0).alias("src_ip"),
+        address(1).alias("dst_ip"),
+        port(0).try_cast("int").alias("src_port"),
+        port(1).try_cast("int").alias("dst_port"),
+        part[2].alias("protocol"),
         "start_us", "end_us", "first_packet_id",
         (F.col("fwd_len_n") + F.col("bwd_len_n")).alias("pkt_count"),
         "byte_count", "flag_union",

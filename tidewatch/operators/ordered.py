@@ -15,6 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import skew
+from tidewatch.session import cut_lineage
+
 
 def before(keys: Sequence[str], chunk: str):
     """All chunks of the key before the current one."""
@@ -34,6 +37,26 @@ def time_chunk(t_us: str | Column, width_us: int) -> Column:
     return F.floor(t / F.lit(width_us)).cast("long")
 
 
+def slice_hot_keys(
+    df: DataFrame, keys: Sequence[str], chunk: Column, hot_rows: int, name: str = "chunk"
+) -> DataFrame:
+    """Slice only keys with more than ``hot_rows`` rows; the rest stay in slice 0.
+
+    Keys are counted first (map-side combined). There are at most rows / hot_rows hot
+    ones; they are stored, measured and broadcast. If even that list is long, every
+    key is sliced.
+    """
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    hot = cut_lineage(n.select(*keys, F.lit(True).alias("__hot")), "hot")
+    if not skew.at_most(hot):
+        return df.withColumn(name, chunk)
+    return (
+        df.join(F.broadcast(hot), list(keys), "left")
+        .withColumn(name, F.when(F.col("__hot"), chunk).otherwise(F.lit(0).cast("long")))
+        .drop("__hot")
+    )
+
+
 def value_chunk(value: Column) -> Column:
     """Order-preserving slices of a number on a log scale: at most some 10^5 of them
     for any range of values, 256 per doubling."""
