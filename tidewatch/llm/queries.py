@@ -3,6 +3,8 @@
 from tidewatch.llm import (  # noqa: F401
     op1_quality,
     op2_sentencepiece,
+    op4_tokenfiles,
+    op5_warc,
     op7_mixing,
     op8_language,
 )
