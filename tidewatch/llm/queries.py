@@ -6,6 +6,7 @@ from tidewatch.llm import (  # noqa: F401
     op3_substrings,
     op4_tokenfiles,
     op5_warc,
+    op6_minhash,
     op7_mixing,
     op8_language,
 )
