@@ -112,13 +112,12 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
         own = doc[mine][own]
         coordinate = (mix(h + U64(3)) % U64(k)).astype(np.int64)
         place = own * k + coordinate
-        order = np.lexsort((h, at, place))
-        place, h = place[order], h[order]
-        first = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.empty(0, dtype=bool)
-        found = np.bincount(place[first] // k, minlength=n)
+        nearest = np.full(n * k, -1)
+        by_rank = np.argsort(-at)
+        nearest[place[by_rank]] = by_rank  # the last one written to a place stays
+        found = (nearest.reshape(n, k) >= 0).sum(axis=1)
         full = todo & (found == k)
-        take = first & full[place // k] if len(place) else first
-        out.reshape(-1)[place[take]] = h[take]
+        out[full] = h[nearest.reshape(n, k)[full]]
         todo &= ~full
         reach = reach * 2
     return out
