@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.session import cut_lineage
 
+U64 = np.uint64
+#: Keys that are compared at once.
+GROUP_KEYS = 500_000
+
 Pairs = Callable[[DataFrame], DataFrame]
 
 
@@ -38,8 +44,75 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return cut_lineage(e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v")).distinct(), f"{name}-labels")
 
 
+def shared_members(rows: DataFrame, keys_per_row: int, name: str) -> DataFrame:
+    """(key, id) of the keys that two ids or more hold; `rows` has id (distinct) and keys (array of 64-bit numbers).
+
+    Keys travel packed, by hash range. A task sends a key once per batch, for its least id, and
+    settles the others itself, so a key that a third of all rows hold meets in small numbers.
+    """
+    groups = U64(max(16, 1 << (rows.count() * keys_per_row // GROUP_KEYS).bit_length()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+            id_ = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((id_, key))
+            key, id_ = key[order], id_[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=bool)
+            yield packed(np.array([-1]), [held_twice(key, id_)])
+            key, id_ = key[new], id_[new]
+            group = (key % groups).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0])) if len(order) else np.empty(0, dtype=np.int64)
+            if len(cut):
+                yield packed(group[order][cut], [(key[g], id_[g]) for g in np.split(order, cut[1:])])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+
+        def out(key: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_)], ["key", "id"])
+
+        def settled() -> pa.RecordBatch:
+            key, id_ = map(np.concatenate, zip(*held))
+            order = np.lexsort((id_, key))
+            return out(*held_twice(key[order], id_[order]))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = np.frombuffer(row["keys"], dtype=U64), np.frombuffer(row["ids"], dtype=np.int64)
+                if row["bucket"] < 0:
+                    yield out(*part)
+                    continue
+                if row["bucket"] != current and held:
+                    yield settled()
+                    held = []
+                current = row["bucket"]
+                held.append(part)
+        if held:
+            yield settled()
+
+    sent = rows.select("id", "keys").mapInArrow(send, "bucket long, keys binary, ids binary")
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, id long")
+    return cut_lineage(met.distinct(), f"{name}-members")
+
+
+def packed(bucket: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    parts = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*rows)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), *parts], ["bucket", "keys", "ids"])
+
+
+def held_twice(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted entries, those whose key another entry has too."""
+    same = key[1:] == key[:-1]
+    twice = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.empty(0, dtype=bool)
+    return key[twice], id_[twice]
+
+
 def linked(members: DataFrame, verify: Pairs, across: Pairs, name: str) -> DataFrame:
-    """(id, label) of all ids that are linked; `members` has key and id.
+    """(id, label) of all ids that are linked; `members` has key and id, keys
+    of one id left out or not.
 
     Two ids are linked if they share a key and `verify` keeps their pair (a, b); connected ids get
     one label, the least of them. In each bucket the least id is compared with the others, and what

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.linking import linked
+from tidewatch.llm.linking import linked, shared_members
 from tidewatch.llm.registry import register
 from tidewatch.llm.textblocks import U64, Block, blocks, mix, ragged, span_hashes
 from tidewatch.session import cut_lineage
@@ -208,7 +208,7 @@ def near_duplicates(
     # Texts with the same words are one; the least id stands for them. Rows with one id stand together.
     same = cut_lineage(sketched.groupBy("words1", "words2").agg(F.min("id").alias("rep")), "minhash-same")
     held = sketched.join(same, (F.col("id") == F.col("rep")) & (sketched.words1 == same.words1) & (sketched.words2 == same.words2))
-    members = held.select("id", F.explode("bands").alias("key")).select("key", "id")
+    members = shared_members(cut_lineage(held.select("id", F.col("bands").alias("keys")), "minhash-bands"), n_bands, "minhash")
 
     def lists_of(ids: DataFrame, step: str) -> DataFrame:
         ids = cut_lineage(ids.distinct(), f"minhash-ids-{step}")

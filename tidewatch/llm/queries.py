@@ -9,5 +9,6 @@ from tidewatch.llm import (  # noqa: F401
     op6_minhash,
     op7_mixing,
     op8_language,
+    op9_lines,
 )
 from tidewatch.llm.registry import ORACLES, QUERIES  # noqa: F401

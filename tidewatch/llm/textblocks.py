@@ -8,7 +8,7 @@ the arrays stay small whatever the batch size; a longer document is a block of i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -79,6 +79,7 @@ class Block:
     first: int
     data: np.ndarray
     offsets: np.ndarray
+    space: np.ndarray = field(default_factory=lambda: SPACE)  # bytes between words
 
     @property
     def rows(self) -> int:
@@ -86,7 +87,7 @@ class Block:
 
     @cached_property
     def _spans(self) -> tuple[np.ndarray, np.ndarray]:
-        inside = ~SPACE[self.data]
+        inside = ~self.space[self.data]
         begins, closes = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         closes[:-1] &= ~inside[1:]
