@@ -97,7 +97,7 @@ def mix(
     share: float = 1.0, weights: tuple = WEIGHTS, most: int = MOST_COPIES,
 ) -> DataFrame:
     """The documents' own columns with size, source_size, target and taken (words, repeats counted)."""
-    kept = [f"`{c}`" for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken", "copies"}]
     marked = docs.select(
         *kept, words_in(F.col(f"`{text_col}`").cast("string")).alias("size"),
         place_of(F.col(f"`{id_col}`")).alias("_place"), F.col(f"`{source_col}`").alias("_source"),
@@ -109,7 +109,7 @@ def mix(
     bounds = bounds.select(F.col("source").alias("_of"), F.col("below").alias("_below"), F.col("full").alias("_full"), "source_size", "target")
     copies = F.col("_full") + F.when(F.col("_place") < F.col("_below"), 1).otherwise(0)
     return marked.join(bounds, F.col("_source").eqNullSafe(F.col("_of"))).select(
-        *kept, "size", "source_size", "target", (F.col("size") * copies).alias("taken")
+        *kept, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
     )
 
 
