@@ -7,7 +7,7 @@ again, so a lost executor costs a stage at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import op2_sentencepiece, op6_minhash, op7_mixing, op8_language, op9_lines
@@ -17,33 +17,40 @@ from tidewatch.session import cut_lineage
 LEAST_SCORE = 0.25
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row as one value, so that no column's name can clash with a stage's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those near no language, go."""
     known = op8_language.profiles(docs.where(~op8_language.held_out(F.col("doc_id"))))
-    marked = op8_language.predict(docs, known, [F.col(f"`{c}`") for c in docs.columns])
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    marked = op8_language.predict(docs, known, [whole(docs)])
+    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document of which no line is left goes as well."""
-    rest = op9_lines.without_double_lines(docs)
+    rest = op9_lines.without_double_lines(docs.select("doc_id", "text", whole(docs)))
     left = rest.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    size = F.when(F.col("n_removed") == 0, F.col("row")["n_chars"]).otherwise(F.length("text"))
+    own = {"text": F.col("text"), "n_chars": size.cast(docs.schema["n_chars"].dataType)}
+    return left.select(*(own.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least id. Documents without an id stay."""
     classes = op6_minhash.near_duplicates(docs)
     least = cut_lineage(classes.where("doc_id = class_id").select("doc_id").distinct(), "pipeline-least")
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(least, "doc_id", "left_semi").withColumn("_row", row).where("_row = 1")
-    return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text")))
+    kept = docs.select("doc_id", whole(docs)).join(least, "doc_id", "left_semi").withColumn("place", place).where("place = 1")
+    return kept.select("row.*").union(docs.where("doc_id IS NULL"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's target asks for."""
-    mixed = op7_mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    mixed = op7_mixing.mix(docs.select("doc_id", "text", "source", whole(docs))).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

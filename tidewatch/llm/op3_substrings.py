@@ -11,8 +11,8 @@ minimiser is never below the number that hold the window.
    Beyond the bound the filter lets more through, and the exact pass does more work.
 2. A second pass keeps the windows whose minimiser is estimated to be repeated. Consecutive
    windows with one minimiser travel together, by minimiser, and are compared exactly (128 bits):
-   a window that a smaller document holds is removed. A task sends a window once, for its least
-   document: its other holders in that batch are known to repeat it. So a window that a third of
+   a window that a smaller document holds is removed. A task sends a window for its least
+   document only: its other holders in that batch are known to repeat it. So a window that a third of
    all documents hold reaches its group once per batch.
 3. The removed runs, a few numbers per document, meet their text again by document.
 
@@ -148,15 +148,15 @@ def segments(doc: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], new])) if len(doc) else np.empty(0, dtype=np.int64)
 
 
-def held_before(least: np.ndarray, window: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries (minimiser, window, document): whether a smaller document is there too; whether it is the first entry of the least."""
+def held_before(least: np.ndarray, window: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of entries (minimiser, window, document): whether a smaller document is there too."""
     order = np.lexsort((doc, window, least))
     m, w, d = least[order], window[order], doc[order]
     new = np.concatenate([[True], (m[1:] != m[:-1]) | (w[1:] != w[:-1])]) if len(m) else np.empty(0, dtype=bool)
     start = np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
-    later, first = np.empty(len(m), dtype=bool), np.empty(len(m), dtype=bool)
-    later[order], first[order] = d > d[start], new
-    return later, first
+    later = np.empty(len(m), dtype=bool)
+    later[order] = d > d[start]
+    return later
 
 
 def runs(mark: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,12 +200,16 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
             if not parts:
                 continue
             least, window, doc, text, at = map(np.concatenate, zip(*parts))
-            later, first = held_before(least, window, doc)
+            later = held_before(least, window, doc)
             # What a smaller document of this batch holds is settled here.
             own = mix(doc.view(U64)) ^ text.view(U64)
             entry, count = runs(later, own, at)
             yield packed(np.array([-1]), [(np.zeros(len(entry), dtype=U64), doc[entry], text[entry], at[entry], count, np.empty(0, dtype=U64))])
-            send = ~later & first
+            send = np.flatnonzero(~later)
+            # Repeated rows give equal entries.
+            send = send[np.lexsort((at[send], own[send]))]
+            again = (own[send][1:] == own[send][:-1]) & (at[send][1:] == at[send][:-1])
+            send = send[np.concatenate([[True], ~again])] if len(send) else send
             least, window, doc, text, at, own = (x[send] for x in (least, window, doc, text, at, own))
             begin = segments(own, at, least)
             count = np.diff(np.append(begin, len(at)))
@@ -259,7 +263,7 @@ def settled(held: list[list[np.ndarray]]) -> pa.RecordBatch:
     least, doc, text, first, count, window = (np.concatenate(x) for x in zip(*held))
     piece = np.repeat(np.arange(len(count)), count)
     at = ragged(first.astype(np.int64), count.astype(np.int64))
-    later, _ = held_before(least[piece], window, doc[piece])
+    later = held_before(least[piece], window, doc[piece])
     entry, n = runs(later, piece, at)
     own = piece[entry]
     return spans(doc[own], text[own], at[entry], n)

@@ -96,20 +96,20 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     share: float = 1.0, weights: tuple = WEIGHTS, most: int = MOST_COPIES,
 ) -> DataFrame:
-    """The documents' own columns with size, source_size, target and taken (words, repeats counted)."""
-    kept = [f"`{c}`" for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken", "copies"}]
+    """The documents' own columns with size, source_size, target, taken (words the mix takes, repeats counted) and copies."""
+    own = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken", "copies"}]
     marked = docs.select(
-        *kept, words_in(F.col(f"`{text_col}`").cast("string")).alias("size"),
-        place_of(F.col(f"`{id_col}`")).alias("_place"), F.col(f"`{source_col}`").alias("_source"),
+        F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), words_in(F.col(f"`{text_col}`").cast("string")).alias("size"),
+        place_of(F.col(f"`{id_col}`")).alias("place"), F.col(f"`{source_col}`").alias("source"),
     )
-    sized = cut_lineage(marked.select(F.col("_source").alias("source"), F.col("_place").alias("place"), "size"), "mix-sizes")
+    sized = cut_lineage(marked.select("source", "place", "size"), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     bounds = thresholds(sized, cut_lineage(targets(sizes, share, weights, most), "mix-targets"))
     # One row per source, read from a written table: Spark broadcasts it if its size allows, else splits skewed sources.
-    bounds = bounds.select(F.col("source").alias("_of"), F.col("below").alias("_below"), F.col("full").alias("_full"), "source_size", "target")
-    copies = F.col("_full") + F.when(F.col("_place") < F.col("_below"), 1).otherwise(0)
-    return marked.join(bounds, F.col("_source").eqNullSafe(F.col("_of"))).select(
-        *kept, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
+    bounds = bounds.select(F.col("source").alias("of"), "below", "full", "source_size", "target")
+    copies = F.col("full") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
+    return marked.join(bounds, F.col("source").eqNullSafe(F.col("of"))).select(
+        *(F.col("row")[c].alias(c) for c in own), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
     )
 
 

@@ -173,24 +173,22 @@ def predict(docs: DataFrame, known: DataFrame, columns: list[Column], text_col:
     """`columns` of every document with lang_pred and score. `known`: what `profiles` gives, `size` rows a language."""
     rows = [tuple(r) for r in known.select("lang", "gram", "place").collect()]
     ranker = Ranker(rows, size)
-    given = docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("_text"))
-    names = given.columns[:-1]
+    given = docs.select(F.struct(*columns).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array([*ranker.langs, "und"], dtype=object)
         for batch in batches:
-            row = 0
-            for texts in text_blocks(batch.column("_text")):
+            at = 0
+            for texts in text_blocks(batch.column("text")):
                 best, score = ranker.rank(texts)
-                part = batch.slice(row, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(langs[best], pa.string()), pa.array(score, pa.float64())],
-                    [*names, "lang_pred", "score"],
+                    [batch.column("row").slice(at, len(texts)), pa.array(langs[best], pa.string()), pa.array(score, pa.float64())],
+                    ["row", "lang_pred", "score"],
                 )
-                row += len(texts)
+                at += len(texts)
 
-    schema = given.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return given.mapInArrow(run, schema)
+    schema = given.select("row").schema.add("lang_pred", "string").add("score", "double")
+    return given.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
 
 
 def held_out(key: Column) -> Column:

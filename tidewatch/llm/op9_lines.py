@@ -173,17 +173,16 @@ def without_double_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(LAST)))
     text = F.col(f"`{text_col}`").cast("string")
     lines = docs.select(key.alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"), text.alias("text"))
-    gone = cut_lineage(removed_lines(lines, similarity), "lines-gone").groupBy("doc", "text_hash").agg(F.collect_list("number").alias("_gone"))
-    own = [c for c in docs.columns if c.lower() not in {"n_lines", "n_removed", "_gone"}]
-    given = docs.select(*(F.col(f"`{c}`") for c in own), key.alias("_doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_hash"))
-    joined = given.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left")
-    out = joined.select(*(F.col(f"`{c}`") for c in own if c != text_col), text.alias("_text"), "_gone")
-    kind = docs.schema[text_col].dataType.simpleString()
+    gone = cut_lineage(removed_lines(lines, similarity), "lines-gone").groupBy("doc", "text_hash").agg(F.collect_list("number").alias("gone"))
+    own = [c for c in docs.columns if c.lower() not in {"n_lines", "n_removed"}]
+    row = F.struct(*(F.col(f"`{c}`") for c in own if c != text_col), F.lit(0).alias("_"))
+    given = docs.select(row.alias("row"), text.alias("text"), key.alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("hash"))
+    joined = given.join(gone, (F.col("id") == F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left").select("row", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, gone in zip(batch.column("_text").to_pylist(), batch.column("_gone").to_pylist()):
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
                 parts = [] if text is None else text.split("\n")
                 out = set(gone or ())
                 counts.append(len(parts))
@@ -191,12 +190,12 @@ def without_double_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 texts.append(text if not out else "\n".join(x for k, x in enumerate(parts) if k not in out))
             kinds = (pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], *(pa.array(x, t) for x, t in zip((texts, counts, removed), kinds))],
-                [*batch.schema.names[:-2], text_col, "n_lines", "n_removed"],
+                [batch.column("row"), *(pa.array(x, t) for x, t in zip((texts, counts, removed), kinds))], ["row", "text", "n_lines", "n_removed"]
             )
 
-    schema = out.drop("_text", "_gone").schema.add(text_col, kind).add("n_lines", "long").add("n_removed", "long")
-    return out.mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in own), "n_lines", "n_removed")
+    schema = joined.select("row", "text").schema.add("n_lines", "long").add("n_removed", "long")
+    columns = (F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own)
+    return joined.mapInArrow(run, schema).select(*columns, "n_lines", "n_removed")
 
 
 @register("op9_lines")

@@ -25,7 +25,7 @@ NEWLINE = 0x0A
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit (splitmix64's finaliser)."""
-    x = np.asarray(x, dtype=U64)
+    x = np.atleast_1d(np.asarray(x, dtype=U64))
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
     return x ^ (x >> U64(31))
