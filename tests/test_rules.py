@@ -56,14 +56,65 @@ def test_matching(spark, table):
     assert len(first) == 10 and first[1] == (True, 1.0) and first[2] == (False, 0.0)
 
 
-def test_many_rules_are_sliced(spark, monkeypatch):
-    lines = [(i, f'alert tcp any any -> any {80 + i % 2} (msg:"m{i}"; content:"w{i};"; sid:{i};)') for i in range(30)]
+def test_many_rules_with_sparse_and_missing_orders(spark):
+    protos = ["tcp", "any", "sctp"]
+    lines = [
+        (None if i % 7 == 0 else i * 1_000_003, f'alert {protos[i % 3]} any any -> any {"any" if i % 5 else 80 + i % 2} (msg:"m{i}"; content:"w{i % 50};"; sid:{i};)')
+        for i in range(3000)
+    ]
+    t = rules.parse_rules(spark.createDataFrame(lines, "rule_order long, raw string"))
+    data = [pkt(1, payload=b"w3; w4; w17;"), pkt(2, "SCTP", 81, payload=b"w8;"), pkt(3, "GRE", None, payload=b"w1;"), pkt(4, None, 80, payload=b"w1;")]
+    got = {}
+    for r in rules.with_hits(spark.createDataFrame(data, PACKETS), t).collect():
+        got[r["packet_id"]] = [h["rule_id"] for h in r["hits"]]
+    want = {}
+    for i, _, _, _, _, port, proto, _, payload, _ in data:
+        hits = [
+            k for k in range(3000)
+            if protos[k % 3] in ("any", (proto or "").lower()) and (k % 5 or port == 80 + k % 2) and f"w{k % 50};".encode() in payload
+        ]
+        want[i] = [str(k) for k in sorted(hits, key=lambda k: (k % 7 == 0, k if k % 7 else str(k)))]
+    assert got == want and all(want.values())
+    first = {r["packet_id"]: r["rule_id"] for r in rules.first_match(spark.createDataFrame(data, PACKETS), t).collect()}
+    assert first == {i: h[0] for i, h in want.items()}
+
+
+def test_grammar(spark):
+    lines = [
+        'alert tcp any any -> any any(msg:"no blank"; sid:1;)',
+        '\talert  udp any any  <> any any ( msg : "a; b (c)" ; content:"x;y"; PCRE:"/a;b/is"; sid : 2 ; rev:7 )  ',
+        "alert tcp any any => any any (sid:3;)",
+        "alert tcp any any -> any (sid:4;)",
+        'alert tcp any any -> any any (msg:"open"; sid:5;',
+        'alert tcp any any -> any any (msg:"t"; threshold:type limit,track by_dst , count 3,seconds 9; sid:6;)',
+        'alert tcp any any -> any any (msg:"t"; threshold:type limit, count 3; sid:7;)',
+        'alert tcp any any -> any any (msg:""; sid:8;)',
+        'alert tcp any any -> any any (msg:"x"; sid:no9;)',
+        'alert tcp any any -> any any (msg:"a) b"; sid:10;)',
+        "alert tcp any any -> any any",
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "rule_order long, raw string")
+    got = {r["rule_id"]: r for r in rules.parse_rules(df).collect()}
+    assert set(got) == {"1", "2", "5", "6", "7", "8", "no9", "10"}
+    assert (got["2"]["name"], got["2"]["content_patterns"], got["2"]["pcre"], got["2"]["rev"], got["2"]["direction"]) == ("a; b (c)", ["x;y"], ["/a;b/is"], 7, "<>")
+    assert [got["6"][f"threshold_{k}"] for k in ("type", "track", "count", "seconds")] == ["limit", "by_dst", 3, 9]
+    assert got["7"]["threshold_type"] is None and got["1"]["name"] == "no blank"
+    assert {r["rule_id"] for r in rules.rule_records(df).collect()} == {"1", "2", "6", "7"}
+
+
+def test_lists_with_mixed_negation_and_pattern_modifiers(spark):
+    ports = ["[80,!443]", "![80,443]", "!80", "[!80,!81]", "[1:100,!80]", "![80,!81]"]
+    lines = [(i, f'alert tcp any any -> any {p} (msg:"m"; sid:{i};)') for i, p in enumerate(ports)]
+    t = rules.parse_rules(spark.createDataFrame(lines, "rule_order long, raw string"))
+    df = spark.createDataFrame([pkt(p, port=p) for p in (79, 80, 81, 443)], PACKETS)
+    got = {}
+    for r in rules.all_matches(df, t, headers=True).collect():
+        got.setdefault(ports[int(r["rule_id"])], set()).add(r["packet_id"])
+    assert got == {"[80,!443]": {80}, "![80,443]": {79, 81}, "!80": {79, 81, 443}, "[!80,!81]": {79, 443}, "[1:100,!80]": {79, 81}, "![80,!81]": {79, 81, 443}}
+    lines = [(0, 'alert tcp any any -> any any (msg:"s"; pcre:"/^a.b$/sm"; sid:1;)'), (1, 'alert tcp any any -> any any (msg:"i"; pcre:"/A.B/i"; sid:2;)'), (2, 'alert tcp any any -> any any (msg:"p"; pcre:"/a.b/"; sid:3;)')]
     t = rules.parse_rules(spark.createDataFrame(lines, "rule_order long, raw string"))
-    df = spark.createDataFrame([pkt(1, payload=b"w3; w4; w17; w28;"), pkt(2, port=81, payload=b"w3; w4; w17;")], PACKETS)
-    whole = sorted((r["packet_id"], r["rule_id"]) for r in rules.all_matches(df, t).collect())
-    monkeypatch.setattr(rules, "RULE_SLICE", 7)
-    cut = sorted((r["packet_id"], r["rule_id"]) for r in rules.all_matches(df, t).collect())
-    assert whole == cut == [(1, "28"), (1, "4"), (2, "17"), (2, "3")]
+    df = spark.createDataFrame([pkt(1, payload=b"x\na\nb\ny"), pkt(2, payload=b"xa-bx")], PACKETS)
+    assert sorted((r["packet_id"], r["rule_id"]) for r in rules.all_matches(df, t).collect()) == [(1, "1"), (2, "2"), (2, "3")]
 
 
 def test_rate_on_a_flooding_source(spark, table):

@@ -43,15 +43,12 @@ def slice_hot_keys(
     """Slice only keys with more than ``hot_rows`` rows; the rest stay in slice 0.
 
     Keys are counted first (map-side combined). There are at most rows / hot_rows hot
-    ones; they are stored, measured and broadcast. If even that list is long, every
-    key is sliced.
+    ones; they are stored, and Spark broadcasts them if their bytes allow.
     """
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
     hot = cut_lineage(n.select(*keys, F.lit(True).alias("__hot")), "hot")
-    if not skew.at_most(hot):
-        return df.withColumn(name, chunk)
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
+        df.join(hot, list(keys), "left")
         .withColumn(name, F.when(F.col("__hot"), chunk).otherwise(F.lit(0).cast("long")))
         .drop("__hot")
     )

@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import network
 from tidewatch.operators import anchored, ordered, skew
 from tidewatch.session import cut_lineage
 
-RULE_SLICE = 2_000
-PROTOCOLS = ["TCP", "UDP", "ICMP", "ICMPV6", "OTHER"]
-
-# Rule grammar.
-HEADER = r"^\s*(\w+)\s+(\w+)\s+(\S+)\s+(\S+)\s+(->|<>)\s+(\S+)\s+(\S+)\s*\("
-RECORD = (
-    r"^\s*(\w+)\s+(\w+)\s+(\S+)\s+(\S+)\s+(->|<>)\s+(\S+)\s+(\S+)\s+"
-    r"\(([^)]+(?:\([^)]*\)[^)]*)*)\)\s*$"
-)
-OPTION_BORDER = r';(?=(?:[^"]*"[^"]*")*[^"]*$)'
-THRESHOLD = r"type\s+(\w+)\s*,\s*track\s+(by_\w+)\s*,\s*count\s+(\d+)\s*,\s*seconds\s+(\d+)"
+#: The fields before a rule's options, in order. Their names, and the two directions, are the syntax.
+FIELDS = ("action", "protocol", "src_ip", "src_port", "direction", "dst_ip", "dst_port")
+DIRECTIONS = ("->", "<>")
+WORD = r"^\w+$"
+#: An option runs to the next semicolon outside quotes.
+OPTION = r'((?:[^";]++|"[^"]*+")++)'
+LAST_ORDER = (1 << 63) - 1
 
 # Class type and priority to severity.
 CLASSTYPE_SEVERITY = {
@@ -94,17 +90,50 @@ def attack_class(category: Column) -> Column:
 # --- parsing ---------------------------------------------------------------
 
 
+def _head(raw: Column) -> Column:
+    """What stands before the options, cut at white space."""
+    return F.filter(F.split(F.substring_index(raw, "(", 1), r"\s+"), lambda x: x != "")
+
+
+def _well_formed(raw: Column) -> Column:
+    head = _head(raw)
+    field = {name: F.try_element_at(head, F.lit(k + 1)) for k, name in enumerate(FIELDS)}
+    words = field["action"].rlike(WORD) & field["protocol"].rlike(WORD)
+    return raw.contains("(") & (F.size(head) == len(FIELDS)) & words & field["direction"].isin(*DIRECTIONS)
+
+
+def _body(raw: Column) -> Column:
+    """From the first bracket on."""
+    return F.substring(raw, F.instr(raw, "(") + 1, F.length(raw))
+
+
 def _options(body: Column) -> Column:
-    """Option text to an array of (key, value)."""
-    tokens = F.transform(F.split(body, OPTION_BORDER), lambda x: F.trim(x))
-    tokens = F.filter(tokens, lambda x: x.rlike(r"^\w+(\s*:\s*.+)?$"))
-    return F.transform(
-        tokens,
-        lambda x: F.struct(
-            F.lower(F.regexp_extract(x, r"^(\w+)", 1)).alias("key"),
-            F.regexp_replace(F.trim(F.regexp_extract(x, r"^\w+\s*:\s*(.+)$", 1)), r'^"+|"+$', "").alias("value"),
-        ),
-    )
+    """Option text to an array of (key, value); an option without a colon has an empty value."""
+    def option(x):
+        colon = F.instr(x, ":")
+        value = F.trim(F.substring(x, colon + 1, F.length(x)))
+        key = F.when(colon > 0, F.substring(x, F.lit(1), colon - 1)).otherwise(x)
+        return F.struct(
+            F.lower(F.trim(key)).alias("key"),
+            F.when(colon > 0, F.btrim(value, F.lit('"'))).otherwise("").alias("value"),
+            ((colon == 0) | (value != "")).alias("whole"),
+        )
+
+    found = F.transform(F.regexp_extract_all(body, F.lit(OPTION), F.lit(1)), option)
+    return F.filter(found, lambda o: o["whole"] & o["key"].rlike(WORD))
+
+
+def _threshold(text: Column) -> Column:
+    """`type T, track by_X, count N, seconds S` to a map, or NULL unless all four are there."""
+    pairs = F.transform(F.split(text, ","), lambda x: F.split(F.trim(x), r"\s+"))
+    pairs = F.filter(pairs, lambda x: F.size(x) == 2)
+
+    def of(name):
+        return F.try_element_at(F.transform(F.filter(pairs, lambda x: x[0] == name), lambda x: x[1]), F.lit(1))
+
+    kind, track, count, seconds = (of(n) for n in ("type", "track", "count", "seconds"))
+    whole = kind.isNotNull() & track.startswith("by_") & count.rlike(r"^\d+$") & seconds.rlike(r"^\d+$")
+    return F.when(whole, F.struct(kind.alias("type"), track.alias("track"), count.alias("count"), seconds.alias("seconds")))
 
 
 def _values(key: str) -> Column:
@@ -126,10 +155,10 @@ def parse_rules(lines: DataFrame, category: str | None = None) -> DataFrame:
     ``category`` names a column with the attack category of the file.
     """
     text = F.trim("raw")
-    kept = lines.filter((text != "") & ~text.startswith("#") & text.rlike(HEADER))
-    head = lambda i: F.regexp_extract("raw", HEADER, i)
-    body = F.regexp_replace(F.regexp_extract("raw", r"^[^(]*\((.*)$", 1), r"[)\s]+$", "")
-    thr = lambda i: F.regexp_extract(F.coalesce(_value("threshold"), F.lit("")), THRESHOLD, i)
+    kept = lines.filter((text != "") & ~text.startswith("#") & _well_formed(F.col("raw")))
+    head = lambda i: _head(F.col("raw"))[i - 1]
+    body = F.rtrim(_body(F.col("raw")), F.lit(") \t\r\n"))
+    thr = lambda name: _threshold(_value("threshold"))[name]
     out = kept.withColumn("opts", _options(body)).filter(F.coalesce(_value("sid"), F.lit("")) != "")
     out = out.select(
         *[c for c in lines.columns if c != "raw"],
@@ -147,10 +176,10 @@ def parse_rules(lines: DataFrame, category: str | None = None) -> DataFrame:
         F.exists("opts", lambda o: o["key"] == "nocase").alias("nocase"),
         _value("flags").alias("flags"),
         _int(F.coalesce(_value("itype"), F.lit(""))).alias("itype"),
-        F.nullif(thr(1), F.lit("")).alias("threshold_type"),
-        F.nullif(thr(2), F.lit("")).alias("threshold_track"),
-        _int(thr(3)).alias("threshold_count"),
-        _int(thr(4)).alias("threshold_seconds"),
+        thr("type").alias("threshold_type"),
+        thr("track").alias("threshold_track"),
+        _int(thr("count")).alias("threshold_count"),
+        _int(thr("seconds")).alias("threshold_seconds"),
         _value("classtype").alias("classtype"),
         F.coalesce(_int(F.coalesce(_value("priority"), F.lit(""))), F.lit(3)).alias("priority"),
         F.coalesce(_int(F.coalesce(_value("rev"), F.lit(""))), F.lit(1)).alias("rev"),
@@ -163,11 +192,22 @@ def parse_rules(lines: DataFrame, category: str | None = None) -> DataFrame:
 
 
 def rule_records(lines: DataFrame, category: str | None = None) -> DataFrame:
-    """The stricter record form: whole-line grammar, msg and numeric sid required."""
-    good = lines.filter(F.trim("raw").rlike(RECORD))
+    """The stricter record form: the line ends with the options' closing bracket, brackets
+    inside them close one opened since the last closing one, msg and a numeric sid are there."""
+    text = F.rtrim(F.col("raw"), F.lit(" \t\r\n"))
+    inner = F.substring(_body(text), F.lit(1), F.length(_body(text)) - 1)
+    pieces = F.split(inner, r"\)")
+    closed = F.forall(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: x.contains("("))
+    good = lines.filter(text.endswith(")") & (inner != "") & closed)
     return parse_rules(good, category).filter((F.col("name") != "") & F.col("rule_id").rlike(r"^\d+"))
 
 
+def numbered(rules: DataFrame) -> DataFrame:
+    """Rules with ``rule_order`` 0, 1, 2 ... in their order; rules without an order come last."""
+    place = F.row_number().over(Window.orderBy(F.col("rule_order").asc_nulls_last(), "rule_id"))
+    return rules.withColumn("rule_order", (place - 1).cast("long"))
+
+
 # --- matching --------------------------------------------------------------
 
 
@@ -179,29 +219,32 @@ def _flag_mask(flags: Column) -> Column:
     )
 
 
-def _spans(port: Column) -> Column:
-    """``80``, ``80,443``, ``[1:1024]``, ``1024:`` to an array of (lo, hi); any -> NULL."""
-    items = F.split(F.regexp_replace(port, r"[\[\]!]", ""), ",")
-    edge = lambda x, i, d: F.coalesce(
-        F.nullif(F.try_element_at(F.split(x, ":"), F.lit(i)), F.lit("")).try_cast("int"), F.lit(d)
-    )
-    spans = F.transform(
-        items,
-        lambda x: F.when(
-            x.contains(":"), F.struct(edge(x, 1, 0).alias("lo"), edge(x, 2, 65535).alias("hi"))
-        ).otherwise(F.struct(edge(x, 1, -1).alias("lo"), edge(x, 1, -1).alias("hi"))),
-    )
-    return F.when(F.lower(port) != "any", spans)
+def _items(text: Column, bounds) -> Column:
+    """`x`, `!x`, `[x,!y]`, `![x,y]` to the list's own negation and an array of (lo, hi, no); any -> NULL."""
+    items = F.split(F.regexp_replace(text, r"^!?\[|\]$", ""), ",")
+
+    def item(x):
+        x = F.trim(x)
+        lo, hi = bounds(F.ltrim(x, F.lit("!")))
+        return F.struct(lo.alias("lo"), hi.alias("hi"), x.startswith("!").alias("no"))
+
+    return F.when(F.lower(text) != "any", F.struct(text.startswith("![").alias("negated"), F.transform(items, item).alias("items")))
 
 
-def _nets(ip: Column) -> Column:
-    items = F.split(F.regexp_replace(ip, r"[\[\]!]", ""), ",")
+def _port_bounds(x: Column) -> tuple[Column, Column]:
+    """``80``, ``1:1024``, ``1024:``, ``:80``."""
+    edge = lambda i, d: F.coalesce(
+        F.nullif(F.try_element_at(F.split(x, ":"), F.lit(i)), F.lit("")).try_cast("int"), F.lit(d)
+    )
+    return F.when(x.contains(":"), edge(1, 0)).otherwise(edge(1, -1)), F.when(x.contains(":"), edge(2, 65535)).otherwise(edge(1, -1))
 
-    def bounds(x):
-        lo, hi = network.cidr_bounds(x)
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
 
-    return F.when(F.lower(ip) != "any", F.transform(items, bounds))
+def _pattern(p: Column) -> Column:
+    """``/text/modifiers`` to a pattern with the modifiers i, s, m and x in front."""
+    tail = F.substring_index(p, "/", -1)
+    flags = F.regexp_replace(tail, "[^ismx]", "")
+    text = F.when(p.startswith("/"), F.substring(p, F.lit(2), F.length(p) - F.length(tail) - 2)).otherwise(p)
+    return F.concat(F.when(p.startswith("/") & (flags != ""), F.concat(F.lit("(?"), flags, F.lit(")"))).otherwise(""), text)
 
 
 def prepare(rules: DataFrame, binary: bool) -> DataFrame:
@@ -209,13 +252,7 @@ def prepare(rules: DataFrame, binary: bool) -> DataFrame:
     pats = F.transform("content_patterns", lambda p: F.when(F.col("nocase"), F.lower(p)).otherwise(p))
     if binary:
         pats = F.transform(pats, lambda p: p.cast("binary"))
-    pcre = F.transform(
-        "pcre",
-        lambda p: F.concat(
-            F.when(F.regexp_extract(p, r"/([a-zA-Z]*)$", 1).contains("i"), "(?i)").otherwise(""),
-            F.regexp_replace(F.regexp_replace(p, "^/", ""), "/[a-zA-Z]*$", ""),
-        ),
-    )
+    pcre = F.transform("pcre", _pattern)
     rule = F.struct(
         F.col("rule_order").cast("long").alias("rule_order"),
         F.col("rule_id"),
@@ -227,39 +264,35 @@ def prepare(rules: DataFrame, binary: bool) -> DataFrame:
         pats.alias("patterns"),
         pcre.alias("pcre"),
         F.col("itype"),
-        _nets(F.col("src_ip")).alias("src_nets"),
-        F.col("src_ip").startswith("!").alias("src_not"),
-        _nets(F.col("dst_ip")).alias("dst_nets"),
-        F.col("dst_ip").startswith("!").alias("dst_not"),
-        _spans(F.col("src_port")).alias("src_spans"),
-        F.col("src_port").startswith("!").alias("src_port_not"),
-        _spans(F.col("dst_port")).alias("dst_spans"),
-        F.col("dst_port").startswith("!").alias("dst_port_not"),
+        _items(F.col("src_ip"), network.cidr_bounds).alias("src_nets"),
+        _items(F.col("dst_ip"), network.cidr_bounds).alias("dst_nets"),
+        _items(F.col("src_port"), _port_bounds).alias("src_spans"),
+        _items(F.col("dst_port"), _port_bounds).alias("dst_spans"),
         (F.col("direction") == "<>").alias("both_ways"),
     )
-    proto = F.upper("protocol")
-    protocols = F.when(proto == "ANY", F.array(*[F.lit(p) for p in PROTOCOLS])).otherwise(F.array(proto))
-    ready = rules.filter("enabled").select(
+    return rules.filter("enabled").select(
         rule.alias("rule"),
-        protocols.alias("__protos"),
+        F.upper("protocol").alias("__proto"),
         F.col("dst_port").try_cast("int").alias("__port"),
         (F.col("direction") == "<>").alias("__two"),
     )
-    return ready.withColumn("__proto", F.explode("__protos")).drop("__protos")
 
 
-def _within(value: Column, spans: Column, negated: Column) -> Column:
-    hit = F.coalesce(F.exists(spans, lambda s: value.between(s["lo"], s["hi"])), F.lit(False))
-    return spans.isNull() | (hit != negated)
+def _within(value: Column, spans: Column) -> Column:
+    """Any of the plain items (if there are some) and none of the negated ones; then the list's own negation."""
+    hit = lambda s: F.coalesce(value.between(s["lo"], s["hi"]), F.lit(False))
+    plain = F.filter(spans["items"], lambda s: ~s["no"])
+    inside = ((F.size(plain) == 0) | F.exists(plain, hit)) & ~F.exists(spans["items"], lambda s: s["no"] & hit(s))
+    return spans.isNull() | (F.coalesce(inside, F.lit(False)) != spans["negated"])
 
 
 def _header_ok(r: Column) -> Column:
     def one_way(si, sp, di, dp):
         return (
-            _within(F.col(si), r["src_nets"], r["src_not"])
-            & _within(F.col(di), r["dst_nets"], r["dst_not"])
-            & _within(F.col(sp), r["src_spans"], r["src_port_not"])
-            & _within(F.col(dp), r["dst_spans"], r["dst_port_not"])
+            _within(F.col(si), r["src_nets"])
+            & _within(F.col(di), r["dst_nets"])
+            & _within(F.col(sp), r["src_spans"])
+            & _within(F.col(dp), r["dst_spans"])
         )
 
     return one_way("__src", "src_port", "__dst", "dst_port") | (
@@ -285,55 +318,48 @@ def _matches(r: Column, has_icmp: bool, headers: bool) -> Column:
 
 
 def with_hits(packets: DataFrame, rules: DataFrame, headers: bool = False) -> DataFrame:
-    """Add ``hits``: (rule_order, rule_id) of every enabled rule a packet satisfies.
-
-    Rules are grouped by (protocol, port) and by protocol and reach the packets as
-    two broadcast equi-joins, so packets are neither shuffled nor multiplied. The
-    rule table is measured first; above RULE_SLICE rules it is applied slice by
-    slice, each slice again a bounded broadcast. ``headers`` also enforces source
-    and destination addresses, ports and direction.
+    """Add ``hits``: (rule_order, rule_id) of every enabled rule a packet satisfies, in order;
+    rules without an order come last.
+
+    Rules are grouped by (protocol, port) and by protocol and reach the packets as two
+    equi-joins, whatever their number. A rule for any protocol is in the group of every
+    protocol that rules name and in that of all others. Spark broadcasts the groups if
+    their bytes allow, so packets are neither shuffled nor multiplied; beyond that it
+    joins by protocol and splits the packets of a common one. ``headers`` also enforces
+    source and destination addresses, ports and direction.
     """
     binary = dict(packets.dtypes).get("payload") == "binary"
+    # prepared once: the protocols' names and the two lookups below all read this small table
+    ready = cut_lineage(prepare(rules, binary), "rules")
+    names = sorted(r[0] for r in ready.select("__proto").distinct().collect() if r[0] != "ANY")
     lower = F.lower(F.col("payload").cast("string"))
+    up = F.upper("protocol")
     p = packets.withColumn("__lower", lower.cast("binary") if binary else lower)
-    p = p.withColumn("__up", F.upper("protocol"))
+    p = p.withColumn("__up", F.when(up.isin(names), up).otherwise("*") if names else F.lit("*"))
     if headers:
         p = p.withColumn("__src", network.ip_number(F.col("src_ip"))).withColumn(
             "__dst", network.ip_number(F.col("dst_ip"))
         )
-    p = p.withColumn("hits", F.array().cast("array<struct<rule_order:bigint,rule_id:string>>"))
-    # prepared once: the slices and the two lookups below all read this small table
-    ready = cut_lineage(prepare(rules, binary), "rules")
-    if skew.at_most(ready, RULE_SLICE):
-        slices = [ready]
-    else:
-        top = ready.agg(F.max("rule.rule_order")).first()[0]
-        slices = [
-            ready.filter(F.col("rule.rule_order").between(lo, lo + RULE_SLICE - 1))
-            for lo in range(0, top + 1, RULE_SLICE)
-        ]
+    groups = F.when(F.col("__proto") == "ANY", F.array(*map(F.lit, [*names, "*"]))).otherwise(F.array("__proto"))
+    ready = ready.withColumn("__up", F.explode(groups))
+    direct = F.col("__port").isNotNull() & (~F.col("__two") if headers else F.lit(True))
+    by_port = ready.filter(direct).groupBy("__up", F.col("__port").alias("dst_port")).agg(F.collect_list("rule").alias("__a"))
+    by_proto = ready.filter(~direct).groupBy("__up").agg(F.collect_list("rule").alias("__b"))
+    p = p.join(by_port, ["__up", "dst_port"], "left").join(by_proto, ["__up"], "left")
     has_icmp = "icmp_type" in packets.columns
-    for ready in slices:
-        direct = F.col("__port").isNotNull() & (~F.col("__two") if headers else F.lit(True))
-        by_port = ready.filter(direct).groupBy(
-            F.col("__proto").alias("__up"), F.col("__port").alias("dst_port")
-        ).agg(F.collect_list("rule").alias("__a"))
-        by_proto = ready.filter(~direct).groupBy(F.col("__proto").alias("__up")).agg(
-            F.collect_list("rule").alias("__b")
-        )
-        p = p.join(F.broadcast(by_port), ["__up", "dst_port"], "left").join(
-            F.broadcast(by_proto), ["__up"], "left"
+    found = [
+        F.transform(
+            F.filter(F.col(c), lambda r: _matches(r, has_icmp, headers)),
+            lambda r: F.struct(
+                F.coalesce(r["rule_order"], F.lit(LAST_ORDER)).alias("place"), r["rule_order"].alias("rule_order"), r["rule_id"].alias("rule_id")
+            ),
         )
-        found = [
-            F.transform(
-                F.filter(F.col(c), lambda r: _matches(r, has_icmp, headers)),
-                lambda r: F.struct(r["rule_order"].alias("rule_order"), r["rule_id"].alias("rule_id")),
-            )
-            for c in ("__a", "__b")
-        ]
-        empty = F.array().cast("array<struct<rule_order:bigint,rule_id:string>>")
-        p = p.withColumn("hits", F.concat("hits", *[F.coalesce(f, empty) for f in found])).drop("__a", "__b")
-    return p.select(*packets.columns, F.array_sort("hits").alias("hits"))
+        for c in ("__a", "__b")
+    ]
+    empty = F.array().cast("array<struct<place:bigint,rule_order:bigint,rule_id:string>>")
+    hits = F.array_sort(F.concat(*[F.coalesce(f, empty) for f in found]))
+    in_order = F.transform(hits, lambda h: F.struct(h["rule_order"].alias("rule_order"), h["rule_id"].alias("rule_id")))
+    return p.select(*packets.columns, in_order.alias("hits"))
 
 
 def all_matches(packets: DataFrame, rules: DataFrame, headers: bool = False) -> DataFrame:
@@ -346,6 +372,7 @@ def all_matches(packets: DataFrame, rules: DataFrame, headers: bool = False) ->
 
 def first_match(rows: DataFrame, rules: DataFrame, headers: bool = False) -> DataFrame:
     """The first matching rule of every row in rule order; rows without one stay."""
+    rules = numbered(rules)
     hit = with_hits(rows, rules, headers).withColumn(
         "rule_order", F.try_element_at("hits", F.lit(1))["rule_order"]
     )
@@ -363,7 +390,7 @@ def describe_match(rows: DataFrame, rules: DataFrame) -> DataFrame:
         F.format_string("Signature match: %s [%s] — %s", "name", "rule_id", kind).alias("sig_description"),
     )
     matched = F.col("rule_order").isNotNull()
-    return skew.lookup_join(rows, names, ["rule_order"], "left").withColumns(
+    return rows.join(names, "rule_order", "left").withColumns(
         {
             "matched": matched,
             "sig_type": F.coalesce("sig_type", F.lit("BENIGN")),
@@ -409,7 +436,7 @@ def rate_alerts(
     keys = ["rule_id", "tracked"]
     seen = matches.select("rule_id", F.col(t).alias("t"), F.col(row_id).alias("id"), "src_ip", "dst_ip")
     m = (
-        skew.lookup_join(seen, spec, ["rule_id"])
+        seen.join(spec, "rule_id")
         .withColumn("tracked", F.when(F.col("threshold_track") == "by_dst", F.col("dst_ip")).otherwise(F.col("src_ip")))
         .withColumn("chunk", ordered.time_chunk("t", chunk_us))
         .drop("src_ip", "dst_ip", "threshold_track")

@@ -1,4 +1,4 @@
-"""Joins whose hot side is salted and whose small side is measured."""
+"""Joins whose hot side is salted."""
 
 from __future__ import annotations
 
@@ -7,14 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
-
-def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if the table has at most ``rows`` rows; reads no more than rows + 1."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def salted_join(
     big: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16
 ) -> DataFrame:
@@ -29,10 +21,3 @@ def salted_join(
     left = big.withColumn("__salt", salt)
     right = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
-
-
-def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Broadcast the small side if it is measured small, else a salted join."""
-    if at_most(small):
-        return big.join(F.broadcast(small), list(keys), how)
-    return salted_join(big, small, keys, how)

@@ -18,6 +18,7 @@ def signed_flows(
     order in the same aggregation that computes its features, so matching adds no
     shuffle.
     """
+    rule_table = rules.numbered(rule_table)
     hit = rules.with_hits(flows.with_flags(packets), rule_table)
     first = F.try_element_at("hits", F.lit(1))["rule_order"]
     marked = hit.withColumn("rule_order", first).drop("hits", "payload")

@@ -151,8 +151,10 @@ PART_RULE = (
     "concat('alert tcp any any -> 10.0.0.0/8 ', CAST(p_size AS STRING), ' (msg:\"', p_name, ' (x)\"; content:\"', p_brand, "
     "'\"; content:\"; ', p_type, '\"; ', CASE WHEN p_partkey % 2 = 0 THEN 'nocase; ' ELSE '' END, "
     "CASE WHEN p_partkey % 3 = 0 THEN concat('threshold: type both, track by_src, count ', CAST(p_size AS STRING), "
-    "', seconds 60; ') ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('sid:', CAST(p_partkey AS STRING), '; ') END, "
-    "'flags:', CASE WHEN p_partkey % 4 = 0 THEN '0' ELSE 'SA' END, '; priority:', CAST(p_size % 6 AS STRING), ';)')"
+    "', seconds 60; ') ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('sid:', CASE WHEN p_partkey % 17 = 0 THEN 'A' ELSE '' END, "
+    "CAST(p_partkey AS STRING), '; ') END, "
+    "'flags:', CASE WHEN p_partkey % 4 = 0 THEN '0' ELSE 'SA' END, '; priority:', CAST(p_size % 6 AS STRING), "
+    "';', CASE WHEN p_partkey % 7 = 0 THEN '' ELSE ')' END)"
 )
 
 
@@ -164,7 +166,7 @@ def part_rule_lines(spark, sf):
     return part.select(F.col("p_partkey").alias("rule_order"), raw.alias("raw"))
 
 
-PARSED_SQL = """parsed AS (SELECT p_partkey AS rule_order, p_partkey::VARCHAR AS rule_id, p_name || ' (x)' AS name, 'alert' AS action, 'tcp' AS protocol,
+PARSED_SQL = """parsed AS (SELECT p_partkey AS rule_order, CASE WHEN p_partkey % 17 = 0 THEN 'A' ELSE '' END || p_partkey AS rule_id, p_name || ' (x)' AS name, 'alert' AS action, 'tcp' AS protocol,
  '10.0.0.0/8' AS dst_ip, p_size::VARCHAR AS dst_port, p_brand || '|; ' || p_type AS patterns, p_partkey % 2 = 0 AS nocase,
  CASE WHEN p_partkey % 4 = 0 THEN '0' ELSE 'SA' END AS flags, CASE WHEN p_partkey % 3 = 0 THEN 'both' END AS threshold_type,
  CASE WHEN p_partkey % 3 = 0 THEN 'by_src' END AS threshold_track, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS threshold_count,
@@ -188,11 +190,37 @@ def parse_rules(spark, sf):
     return _parsed(rules.parse_rules(part_rule_lines(spark, sf)))
 
 
-@register("sig_rule_records", f"WITH {PARSED_SQL} SELECT {PARSED_COLS} FROM parsed")
+@register("sig_rule_records", f"WITH {PARSED_SQL} SELECT {PARSED_COLS} FROM parsed WHERE rule_order % 17 <> 0 AND rule_order % 7 <> 0")
 def rule_records(spark, sf):
     return _parsed(rules.rule_records(part_rule_lines(spark, sf)))
 
 
+PROTOS, PORTS = ["tcp", "udp", "any", "icmp", "sctp"], [22, 80, 443, 3306]
+
+
+@register(
+    "sig_match_part_rules",
+    f"""WITH {ad.cte("packets")}, p AS (SELECT * REPLACE (CASE WHEN packet_id % 17 = 0 THEN 'SCTP' ELSE protocol END AS protocol) FROM packets),
+r AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey * 1000003 END AS rule_order, p_partkey, {PROTOS}[p_partkey % 5 + 1] AS proto,
+ {PORTS}[p_partkey % 4 + 1] AS port, ': ' || p_partkey % 97 || '}}' AS word FROM part)
+SELECT packet_id, rule_order, p_partkey::VARCHAR AS rule_id FROM p JOIN r ON (proto = 'any' OR upper(proto) = protocol) AND dst_port = port AND contains(payload, word)
+UNION ALL SELECT packet_id, rule_order, (1000000 + p_partkey)::VARCHAR FROM p JOIN r ON (proto = 'any' OR upper(proto) = protocol) AND contains(payload, word) AND flag_bits = 2 AND protocol = 'TCP'""",
+)
+def match_part_rules(spark, sf):
+    """Two rules per part, with sparse and missing orders, over six protocols."""
+    key = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    head = F.concat(F.lit("alert "), pick(PROTOS), F.lit(" any any -> any "))
+    content = F.concat(F.lit('content:": '), (key % 97).cast("string"), F.lit('}"; sid:'))
+    first = F.concat(head, pick(PORTS).cast("string"), F.lit(' (msg:"a"; '), content, key.cast("string"), F.lit(";)"))
+    second = F.concat(head, F.lit('any (msg:"b"; flags:S; '), content, (key + 1_000_000).cast("string"), F.lit(";)"))
+    lines = ad.table(spark, sf, "part").select(
+        F.when(key % 10 != 0, key * 1_000_003).alias("rule_order"), F.explode(F.array(first, second)).alias("raw")
+    )
+    seen = packets(spark, sf).withColumn("protocol", F.when(F.col("packet_id") % 17 == 0, "SCTP").otherwise(F.col("protocol")))
+    return rules.all_matches(seen, rules.parse_rules(lines)).select("packet_id", "rule_order", "rule_id")
+
+
 _TYPES = [*rules.CLASSTYPE_SEVERITY, "unlisted"]
 
 
