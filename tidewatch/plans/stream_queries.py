@@ -14,38 +14,34 @@ from tidewatch.plans.catalog import r, register, rounded
 from tidewatch.streaming import streams
 
 A = ad.cte("alerts")
-NOW = "0 seconds"  # the given tables are replayed in time order
 
 
 @register("stream_packets", f"WITH {ad.cte('packets')} SELECT packet_id, src_ip, dst_ip, length FROM packets")
 def packets(spark, sf):
-    s = streams.replay_slices(ad.load(spark, sf, "packets"))
+    s, _ = streams.replay(ad.load(spark, sf, "packets"), end=False)
     return streams.drained(s.select("packet_id", "src_ip", "dst_ip", "length"), "packets")
 
 
-CLOSED = f"""f AS (SELECT *, lead(start_us) OVER (PARTITION BY flow_key ORDER BY start_us, first_packet_id) AS nxt FROM flows),
-closed AS (SELECT * FROM f WHERE nxt IS NOT NULL OR fin_flag_count + rst_flag_count > 0 OR end_us + {fq.IDLE}::BIGINT < (SELECT max(t_us) FROM packets))"""
-SHOWN = [f for f in flows.FEATURES if not f.endswith("_std")]
-
-
 @register(
     "stream_flows",
-    f"WITH {fq.FLOWS_SQL}, {CLOSED} SELECT flow_id, start_us, end_us, pkt_count, {', '.join(r(f) for f in SHOWN)} FROM closed",
+    f"WITH {fq.FLOWS_SQL} SELECT flow_id, start_us, end_us, pkt_count, {', '.join(r(f) for f in flows.FEATURES)} FROM flows",
 )
 def stream_flows(spark, sf):
-    s = streams.replay_slices(ad.load(spark, sf, "packets"))
-    out = streams.drained(streams.flow_stream(s, fq.IDLE, NOW), "flows")
-    return rounded(out.select("flow_id", "start_us", "end_us", "pkt_count", *SHOWN))
+    s, delay = streams.replay(ad.load(spark, sf, "packets"))
+    out = streams.drained(streams.flow_stream(s, fq.IDLE, delay), "flows")
+    return rounded(out.select("flow_id", "start_us", "end_us", "pkt_count", *flows.FEATURES))
 
 
 @register(
     "stream_dedup",
-    f"WITH RECURSIVE {vq.EMITTED_SQL} SELECT event_id, src_ip, dst_ip, attack_type, t_us FROM emitted",
+    f"WITH RECURSIVE {vq.EMITTED_SQL} SELECT event_id, src_ip, dst_ip, attack_type, t_us, dup_count FROM emitted",
 )
 def dedup(spark, sf):
-    s = streams.replay_slices(vq.gated(spark, sf).select("event_id", "t_us", "src_ip", "dst_ip", "attack_type"))
-    out = streams.drained(streams.duplicate_stream(s, vq.DEDUP, NOW), "dedup")
-    return out.filter("kind = 'alert'").select("event_id", "src_ip", "dst_ip", "attack_type", "t_us")
+    """Every window opens with an alert and ends with the number of events it held back."""
+    s, delay = streams.replay(vq.gated(spark, sf).select("event_id", "t_us", "src_ip", "dst_ip", "attack_type"))
+    out = streams.drained(streams.duplicate_stream(s, vq.DEDUP, delay), "dedup")
+    opened = out.filter("kind = 'alert'").select("event_id")
+    return out.filter("kind = 'closed'").join(opened, "event_id").select("event_id", "src_ip", "dst_ip", "attack_type", "t_us", "dup_count")
 
 
 @register(
@@ -55,7 +51,8 @@ SELECT event_id, {r("list_sum(l)", "total")}, len(l) = 10 AS window_complete FRO
 )
 def recent_vectors(spark, sf):
     s = ad.load(spark, sf, "scores").select("event_id", "t_us", "src_ip", F.array("rf_conf", "if_conf").alias("vector"))
-    out = streams.drained(streams.recent_stream(streams.replay_slices(s), 10, 40 * 86_400_000, NOW), "recent")
+    s, delay = streams.replay(s)
+    out = streams.drained(streams.recent_stream(s, 10, 40 * 86_400_000, delay), "recent")
     total = F.aggregate("recent", F.lit(0.0), lambda a, v: a + v[0])
     return rounded(out.select("event_id", total.alias("total"), "window_complete"))
 
@@ -65,31 +62,31 @@ def recent_vectors(spark, sf):
     f"WITH RECURSIVE {APPLIED_SQL} SELECT action_id, alert_id, previous_status, accepted, new_status FROM applied",
 )
 def workflow(spark, sf):
-    s = streams.replay_slices(ad.load(spark, sf, "actions"))
-    return streams.drained(streams.workflow_stream(s, NOW), "workflow")
+    s, delay = streams.replay(ad.load(spark, sf, "actions"))
+    return streams.drained(streams.workflow_stream(s, delay), "workflow")
 
 
 @register(
     "stream_live_counters",
     f"""WITH {A}, c AS (SELECT t_us // 3600000000 * 3600000000 AS window_us, severity, count(*) AS n FROM alerts GROUP BY ALL)
-SELECT * FROM c WHERE window_us + 3600000000 <= (SELECT max(t_us) FROM alerts)""",
+SELECT * FROM c""",
 )
 def live_counters(spark, sf):
-    s = streams.replay_slices(ad.load(spark, sf, "alerts").select("t_us", "severity"))
-    return streams.drained(streams.live_counters(s, delay=NOW), "counters")
+    s, delay = streams.replay(ad.load(spark, sf, "alerts").select("t_us", "severity", "alert_id"))
+    return streams.drained(streams.live_counters(s, delay=delay), "counters")
 
 
 @register("stream_insert", f"WITH {A} SELECT alert_id, t_us, severity FROM alerts")
 def insert(spark, sf):
     """The same alerts arrive three times; each is stored once."""
     a = ad.load(spark, sf, "alerts").select("alert_id", "t_us", "severity")
-    s = streams.replay_slices(a.unionByName(a), 2)
-    return streams.drained(s, "insert", streams.insert_stream)
+    s, _ = streams.replay(a.unionByName(a), 2, end=False)
+    return streams.drained(s, "insert", streams.insert_stream).select("alert_id", "t_us", "severity")
 
 
 @register("stream_alert_events", f"WITH {A} SELECT alert_id, severity, status FROM alerts")
 def alert_events(spark, sf):
-    s = streams.replay_slices(ad.load(spark, sf, "alerts"), 2)
+    s, _ = streams.replay(ad.load(spark, sf, "alerts"), 2, end=False)
     out = streams.drained(alert_ops.new_alert_events(s), "events")
     j = F.from_json("payload", "severity string, status string")
     return out.select("alert_id", j.alias("j")).select("alert_id", "j.*")
@@ -98,3 +95,9 @@ def alert_events(spark, sf):
 @register("stream_read_after", f"WITH {A} SELECT event_id, alert_id FROM alerts WHERE event_id > 500 ORDER BY event_id LIMIT 200")
 def read_after(spark, sf):
     return streams.read_after(ad.load(spark, sf, "alerts"), 500, 200).select("event_id", "alert_id")
+
+
+@register("stream_after", f"WITH {A} SELECT event_id, alert_id FROM alerts WHERE event_id > 500")
+def after(spark, sf):
+    s, _ = streams.replay(ad.load(spark, sf, "alerts").select("event_id", "alert_id", "t_us"), end=False)
+    return streams.drained(streams.stream_after(s, 500).select("event_id", "alert_id"), "after")

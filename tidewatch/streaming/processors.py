@@ -1,8 +1,10 @@
 """Keyed state for streams: duplicate windows, flows, recent vectors, alert workflow.
 
-State is a few numbers per key whatever has passed through it. Rows of one
-micro-batch are put in event-time order first; event-time timers drop state once the
-watermark proves that no row can touch it any more.
+Rows wait in state until the watermark has passed them and are then taken in event-time
+order, so it does not matter in which micro-batch a row comes as long as it is not later
+than the watermark's delay. What is kept besides is a few numbers per key; event-time
+timers drop it once no row can touch it any more. A row without an id only moves the
+watermark on (a heartbeat, or the end of the input).
 """
 
 from __future__ import annotations
@@ -17,113 +19,168 @@ from tidewatch.operators.alerts import RESOLUTION_TYPES, STATES, TRANSITIONS
 from tidewatch.operators.flows import FEATURES
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-class DuplicateWindows(StatefulProcessor):
-    """Anchored windows per key: ``alert`` rows when a window opens, one ``closed`` row
+class InOrder(StatefulProcessor):
+    """Gives ``advance`` the rows of a key in event-time order, each once, when the watermark has passed them."""
+
+    #: columns that are kept of a waiting row; ``t_us`` and then the row's id first
+    row: str
+    schema: str
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.begin(handle)
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def advance(self, key, rows: pd.DataFrame, now_us: int) -> list[tuple]:
+        """Take rows in order; then do what is due by ``now_us``. Rows of the result."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues):
+        names = _names(self.row)
+        last = None
+        for pdf in rows:
+            pdf = pdf.loc[pdf[names[1]].notna(), names]
+            if len(pdf):
+                plain = pdf.astype(object).itertuples(index=False, name=None)
+                self.waiting.appendList([tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in plain])
+                last = max(last or 0, int(pdf["t_us"].max()))
+        if last is not None:
+            self.handle.registerTimer(last // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        names = _names(self.row)
+        ready, later = [], []
+        if self.waiting.exists():
+            for r in self.waiting.get():
+                (ready if r[0] <= now else later).append(tuple(r))
+            if ready:
+                self.waiting.put(later) if later else self.waiting.clear()
+        pdf = pd.DataFrame(ready, columns=names).sort_values(names[:2], ignore_index=True)
+        out = self.advance(key, pdf, now)
+        if out:
+            yield pd.DataFrame(out, columns=_names(self.schema))
+
+    def due(self, at_us: int) -> None:
+        """Call ``advance`` again when the watermark passes a time."""
+        self.handle.registerTimer(at_us // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+class DuplicateWindows(InOrder):
+    """Anchored windows per key: an ``alert`` row when a window opens, one ``closed`` row
     with the number of suppressed events when it ends."""
 
+    row = "t_us long, event_id long"
     schema = "event_id long, src_ip string, dst_ip string, attack_type string, t_us long, kind string, dup_count long"
 
     def __init__(self, width_us: int):
         self.width = width_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def begin(self, handle):
         self.open = handle.getValueState("open", "anchor long, event_id long, seen long")
 
-    def _closed(self, key, state):
-        anchor, event, seen = state
-        return (event, *key, anchor, "closed", seen - 1)
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows, ["t_us", "event_id"])
-        t, ids = pdf["t_us"].to_numpy(), pdf["event_id"].to_numpy()
+    def advance(self, key, rows, now_us):
+        t, ids = rows["t_us"].to_numpy(np.int64), rows["event_id"].to_numpy(np.int64)
         state = self.open.get() if self.open.exists() else None
         out, i = [], 0
+
+        def closed():
+            return (state[1], *key, state[0], "closed", state[2] - 1)
+
         while i < len(t):
             if state is None or t[i] > state[0] + self.width:
                 if state is not None:
-                    out.append(self._closed(key, state))
-                    self.handle.deleteTimer(state[0] // 1000 + self.width // 1000 + 1)
+                    out.append(closed())
                 state = (int(t[i]), int(ids[i]), 0)
                 out.append((state[1], *key, state[0], "alert", 0))
-                self.handle.registerTimer(state[0] // 1000 + self.width // 1000 + 1)
+                self.due(state[0] + self.width)
             end = int(np.searchsorted(t, state[0] + self.width, side="right"))
             state = (state[0], state[1], state[2] + end - i)
             i = end
-        self.open.update(state)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.schema.split(", ")])
+        if state is not None and now_us >= state[0] + self.width:
+            out.append(closed())
+            state = None
+        self.open.update(state) if state is not None else self.open.clear()
+        return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.open.exists():
-            state = self.open.get()
-            self.open.clear()
-            yield pd.DataFrame([self._closed(key, state)], columns=[c.split()[0] for c in self.schema.split(", ")])
 
-    def close(self) -> None:
-        pass
+# Running statistics of a number of values: how many, their mean, the squared distances from
+# it, least and greatest. Two of them merge without loss of digits.
+Stats = tuple[float, float, float, float, float]
+NOTHING: Stats = (0.0, 0.0, 0.0, np.inf, -np.inf)
+
+
+def stats(x: np.ndarray) -> Stats:
+    if not len(x):
+        return NOTHING
+    x = x.astype(float)
+    mean = float(x.mean())
+    return (float(len(x)), mean, float(((x - mean) ** 2).sum()), float(x.min()), float(x.max()))
+
 
+def joined(a: Stats, b: Stats) -> Stats:
+    n = a[0] + b[0]
+    if n == 0:
+        return NOTHING
+    apart = b[1] - a[1]
+    return (n, a[1] + apart * b[0] / n, a[2] + b[2] + apart * apart * a[0] * b[0] / n, min(a[3], b[3]), max(a[4], b[4]))
 
-# Running totals of one flow. Per direction: packets, bytes, squared bytes, least and
-# greatest length, header bytes, first and last time, gaps, squared gaps, least and
-# greatest gap. Two totals merge, so a flow may be fed in any number of pieces.
-_SIDE = 11
-_EMPTY = [0.0, 0.0, 0.0, np.inf, -np.inf, 0.0, np.nan, np.nan, 0.0, np.inf, -np.inf]
 
+def _spread(s: Stats) -> float:
+    return float(np.sqrt(s[2] / s[0])) if s[0] > 1 else 0.0
 
+
+# One direction of a flow: length statistics, gap statistics, bytes, header bytes, first and last time.
 def _side(length: np.ndarray, header: np.ndarray, t: np.ndarray) -> list[float]:
     if not len(t):
-        return list(_EMPTY)
-    gaps = np.diff(t).astype(float)
-    return [
-        float(len(t)), float(length.sum()), float((length.astype(float) ** 2).sum()), float(length.min()),
-        float(length.max()), float(header.sum()), float(t[0]), float(t[-1]), float((gaps**2).sum()),
-        float(gaps.min()) if len(gaps) else np.inf, float(gaps.max()) if len(gaps) else -np.inf,
-    ]
+        return [*NOTHING, *NOTHING, 0.0, 0.0, np.nan, np.nan]
+    return [*stats(length), *stats(np.diff(t)), float(length.sum()), float(header.sum()), float(t[0]), float(t[-1])]
 
 
 def _join_sides(a: list[float], b: list[float]) -> list[float]:
+    """Two successive pieces of one direction; the gap between them counts too."""
     if a[0] == 0:
         return b
     if b[0] == 0:
         return a
-    gap = b[6] - a[7]
-    return [
-        a[0] + b[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4]), a[5] + b[5], a[6], b[7],
-        a[8] + b[8] + gap * gap, min(a[9], b[9], gap), max(a[10], b[10], gap),
-    ]
-
-
-def _std(n: float, total: float, squares: float) -> float:
-    return float(np.sqrt(max(squares / n - (total / n) ** 2, 0.0))) if n > 1 else 0.0
+    gaps = joined(joined(tuple(a[5:10]), stats(np.array([b[12] - a[13]]))), tuple(b[5:10]))
+    return [*joined(tuple(a[:5]), tuple(b[:5])), *gaps, a[10] + b[10], a[11] + b[11], a[12], b[13]]
 
 
 def _features(fwd: list[float], bwd: list[float], flags: list[float], start: float, end: float) -> list[float]:
     out = dict.fromkeys(FEATURES, 0.0)
     dur = (end - start) / 1e6
-    pkts, size = fwd[0] + bwd[0], fwd[1] + bwd[1]
+    pkts, size = fwd[0] + bwd[0], fwd[10] + bwd[10]
     out["flow_duration"] = dur
     for p, s in (("fwd", fwd), ("bwd", bwd)):
-        n = s[0]
-        out[f"total_{p}_packets"], out[f"total_length_{p}_packets"] = n, s[1]
-        out[f"{p}_header_length"] = s[5]
+        n, gaps = s[0], tuple(s[5:10])
+        out[f"total_{p}_packets"], out[f"total_length_{p}_packets"] = n, s[10]
+        out[f"{p}_header_length"] = s[11]
         if n:
             out[f"{p}_packet_length_max"], out[f"{p}_packet_length_min"] = s[4], s[3]
-            out[f"{p}_packet_length_mean"] = out[f"avg_{p}_segment_size"] = s[1] / n
-            out[f"{p}_packet_length_std"] = _std(n, s[1], s[2])
+            out[f"{p}_packet_length_mean"] = out[f"avg_{p}_segment_size"] = s[10] / n
+            out[f"{p}_packet_length_std"] = _spread(tuple(s[:5]))
         if n > 1:
-            span = s[7] - s[6]
+            span = s[13] - s[12]
             out[f"{p}_iat_total"], out[f"{p}_iat_mean"] = span / 1e6, span / (n - 1) / 1e6
-            out[f"{p}_iat_std"] = _std(n - 1, span, s[8]) / 1e6
-            out[f"{p}_iat_max"], out[f"{p}_iat_min"] = s[10] / 1e6, s[9] / 1e6
+            out[f"{p}_iat_std"] = _spread(gaps) / 1e6
+            out[f"{p}_iat_max"], out[f"{p}_iat_min"] = gaps[4] / 1e6, gaps[3] / 1e6
         if dur > 0:
             out[f"{p}_packets_per_sec"] = n / dur
     if dur > 0:
         out["flow_bytes_per_sec"], out["flow_packets_per_sec"] = size / dur, pkts / dur
-    out["down_up_ratio"] = bwd[1] / fwd[1] if fwd[1] > 0 else 0.0
+    out["down_up_ratio"] = bwd[10] / fwd[10] if fwd[10] > 0 else 0.0
     out["average_packet_size"] = size / pkts if pkts else 0.0
     out["min_packet_length"], out["max_packet_length"] = min(fwd[3], bwd[3]), max(fwd[4], bwd[4])
     for name, v in zip(("fin", "syn", "rst", "psh", "ack", "urg"), flags):
@@ -131,47 +188,41 @@ def _features(fwd: list[float], bwd: list[float], flags: list[float], start: flo
     return [out[f] for f in FEATURES]
 
 
-class Flows(StatefulProcessor):
+class Flows(InOrder):
     """Packets of one 5-tuple to finished flows with their features."""
 
-    columns = ["flow_id", "flow_key", "start_us", "end_us", "pkt_count", *FEATURES]
+    flags = ["flag_fin", "flag_syn", "flag_rst", "flag_psh", "flag_ack", "flag_urg"]
+    row = "t_us long, packet_id long, is_forward boolean, length long, header_length long, protocol string, " + ", ".join(f"{f} boolean" for f in flags)
     schema = "flow_id string, flow_key string, start_us long, end_us long, pkt_count long, " + ", ".join(
         f"{f} double" for f in FEATURES
     )
-    flags = ["flag_fin", "flag_syn", "flag_rst", "flag_psh", "flag_ack", "flag_urg"]
 
     def __init__(self, idle_us: int):
         self.idle = idle_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def begin(self, handle):
         self.flow = handle.getValueState("flow", "start long, first long, last long, fwd array<double>, bwd array<double>, flags array<double>")
 
     def _emit(self, key, s):
         start, first, last, fwd, bwd, flags = s
         n = int(fwd[0] + bwd[0])
-        return [f"{key[0]}@{first}", key[0], start, last, n, *_features(fwd, bwd, flags, start, last)]
-
-    def _timer(self, s) -> int:
-        return (s[2] + self.idle) // 1000 + 1
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows, ["t_us", "packet_id"])
-        t, ids = pdf["t_us"].to_numpy(np.int64), pdf["packet_id"].to_numpy(np.int64)
-        fwd = pdf["is_forward"].to_numpy(bool)
-        length, header = pdf["length"].to_numpy(), pdf["header_length"].to_numpy()
-        marks = pdf[self.flags].to_numpy(float)
-        ends = ((marks[:, 0] + marks[:, 2]) > 0) & (pdf["protocol"].to_numpy() == "TCP")
+        return (f"{key[0]}@{first}", key[0], start, last, n, *_features(fwd, bwd, flags, start, last))
+
+    def advance(self, key, rows, now_us):
+        t, ids = rows["t_us"].to_numpy(np.int64), rows["packet_id"].to_numpy(np.int64)
+        fwd = rows["is_forward"].to_numpy(bool)
+        length, header = rows["length"].to_numpy(np.int64), rows["header_length"].to_numpy(np.int64)
+        marks = rows[self.flags].to_numpy(bool).astype(float)
+        ends = ((marks[:, 0] + marks[:, 2]) > 0) & (rows["protocol"].to_numpy() == "TCP")
         cut = np.zeros(len(t), bool)
         cut[1:] = ends[:-1] | (np.diff(t) >= self.idle)
         state = self.flow.get() if self.flow.exists() else None
-        if state is not None:
-            self.handle.deleteTimer(self._timer(state))
         out = []
-        if state is not None and t[0] - state[2] >= self.idle:
+        if state is not None and len(t) and t[0] - state[2] >= self.idle:
             out.append(self._emit(key, state))
             state = None
-        for a, b in zip(np.flatnonzero(np.r_[True, cut[1:]]), np.r_[np.flatnonzero(cut), len(t)]):
+        begins = np.flatnonzero(np.r_[True, cut[1:]]) if len(t) else []
+        for a, b in zip(begins, np.r_[np.flatnonzero(cut), len(t)]):
             s, f = slice(a, b), fwd[a:b]
             piece = (
                 int(t[a]), int(ids[a]), int(t[b - 1]),
@@ -187,78 +238,67 @@ class Flows(StatefulProcessor):
             if ends[b - 1] or b < len(t):
                 out.append(self._emit(key, state))
                 state = None
+        if state is not None and now_us - state[2] >= self.idle:
+            out.append(self._emit(key, state))
+            state = None
         if state is None:
             self.flow.clear()
         else:
             self.flow.update(state)
-            self.handle.registerTimer(self._timer(state))
-        yield pd.DataFrame(out, columns=self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.flow.exists():
-            state = self.flow.get()
-            self.flow.clear()
-            yield pd.DataFrame([self._emit(key, state)], columns=self.columns)
-
-    def close(self) -> None:
-        pass
+            self.due(state[2] + self.idle)
+        return out
 
 
-class RecentVectors(StatefulProcessor):
+class RecentVectors(InOrder):
     """The last ``size`` vectors of a source at each flow."""
 
+    row = "t_us long, event_id long, vector array<double>"
     schema = "event_id long, recent array<array<double>>, window_complete boolean"
 
     def __init__(self, size: int = 10, keep_ms: int = 86_400_000):
-        self.size, self.keep = size, keep_ms
+        self.size, self.keep = size, keep_ms * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def begin(self, handle):
         self.last = handle.getValueState("last", "vectors array<array<double>>, until long")
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows, ["t_us", "event_id"])
-        held, until = ([list(v) for v in self.last.get()[0]], self.last.get()[1]) if self.last.exists() else ([], None)
-        every = held + [list(v) for v in pdf["vector"]]
+    def advance(self, key, rows, now_us):
+        held, until = ([list(v) for v in self.last.get()[0]], self.last.get()[1]) if self.last.exists() else ([], 0)
+        every = held + [list(v) for v in rows["vector"]]
         base = len(held)
-        recent = [every[max(0, base + i + 1 - self.size) : base + i + 1] for i in range(len(pdf))]
-        if until is not None:
-            self.handle.deleteTimer(until)
-        until = int(pdf["t_us"].iloc[-1]) // 1000 + self.keep
-        self.handle.registerTimer(until)
-        self.last.update((every[-(self.size - 1) :], until))
-        yield pd.DataFrame(
-            {"event_id": pdf["event_id"], "recent": recent, "window_complete": [len(r) >= self.size for r in recent]}
-        )
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
-        yield pd.DataFrame({"event_id": [], "recent": [], "window_complete": []})
-
-    def close(self) -> None:
-        pass
+        recent = [every[max(0, base + i + 1 - self.size) : base + i + 1] for i in range(len(rows))]
+        if len(rows):
+            until = int(rows["t_us"].iloc[-1]) + self.keep
+            self.due(until)
+        if now_us >= until:
+            self.last.clear()
+        else:
+            self.last.update((every[len(every) - self.size + 1 :] if len(every) >= self.size else every, until))
+        return [(int(i), r, len(r) >= self.size) for i, r in zip(rows["event_id"], recent)]
 
 
-class Workflow(StatefulProcessor):
-    """Alert status under a stream of analyst actions."""
+class Workflow(InOrder):
+    """Alert status under a stream of analyst actions; an alert without actions for ``keep_ms`` is forgotten."""
 
+    row = "t_us long, action_id long, action string, note string, resolution_type string"
     schema = "action_id long, alert_id string, previous_status string, accepted boolean, new_status string"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "status string")
+    def __init__(self, keep_ms: int = 365 * 86_400_000):
+        self.keep = keep_ms * 1000
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows, ["t_us", "action_id"])
-        now = self.status.get()[0] if self.status.exists() else STATES[0]
+    def begin(self, handle):
+        self.status = handle.getValueState("status", "status string, until long")
+
+    def advance(self, key, rows, now_us):
+        now, until = self.status.get() if self.status.exists() else (STATES[0], 0)
         out = []
-        for i, action, note, kind in zip(pdf["action_id"], pdf["action"], pdf["note"], pdf["resolution_type"]):
+        for i, action, note, kind in zip(rows["action_id"], rows["action"], rows["note"], rows["resolution_type"]):
             sources, target, _ = TRANSITIONS.get(action, ([], None, None))
             legal = action != "resolve" or (kind in RESOLUTION_TYPES and bool((note or "").strip()))
             ok = legal and now in sources
-            out.append((i, key[0], now, ok, target if ok else now))
+            out.append((int(i), key[0], now, ok, target if ok else now))
             now = out[-1][-1]
-        self.status.update((now,))
-        yield pd.DataFrame(out, columns=["action_id", "alert_id", "previous_status", "accepted", "new_status"])
-
-    def close(self) -> None:
-        pass
+        if len(rows):
+            until = int(rows["t_us"].iloc[-1]) + self.keep
+            self.due(until)
+        self.status.update((now, until)) if now_us < until else self.status.clear()
+        return out

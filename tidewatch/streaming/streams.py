@@ -10,7 +10,8 @@ from tidewatch.session import ROCKSDB, scratch_path
 from tidewatch.sources import tables
 from tidewatch.streaming import processors as pr
 
-# how late a row may be; later ones are dropped by the stateful operators
+# how late a row may be; later ones are dropped and counted in the query's progress
+# (stateOperators.numRowsDroppedByWatermark)
 DELAY = "10 seconds"
 
 
@@ -20,10 +21,15 @@ def open_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 
 def read_after(table: DataFrame, last_id: int, n: int, column: str = "event_id") -> DataFrame:
-    """The next at most ``n`` entries after an id, in id order."""
+    """The next at most ``n`` entries after an id, in id order (one page; ``n`` is the feature)."""
     return table.filter(F.col(column) > last_id).orderBy(column).limit(n)
 
 
+def stream_after(stream: DataFrame, last_id: int, column: str = "event_id") -> DataFrame:
+    """Everything after an id, as it comes; the stream's checkpoint keeps the place across restarts."""
+    return stream.filter(F.col(column) > last_id)
+
+
 def timed(df: DataFrame, delay: str = DELAY) -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros("t_us")).withWatermark("ts", delay)
 
@@ -34,6 +40,9 @@ def _stateful(df: DataFrame, keys: list[str], processor, schema: str) -> DataFra
 
 
 def flow_stream(packets: DataFrame, idle_us: int = flow_ops.IDLE_US, delay: str = DELAY) -> DataFrame:
+    # a row without an id moves the watermark on and must not be left out for want of addresses
+    no_id = F.col("packet_id").isNull()
+    packets = packets.withColumns({c: F.when(no_id, "-").otherwise(F.col(c)) for c in ("src_ip", "dst_ip")})
     p = flow_ops.with_flow_key(flow_ops.with_flags(packets))
     return _stateful(timed(p, delay), ["flow_key"], pr.Flows(idle_us), pr.Flows.schema)
 
@@ -71,18 +80,22 @@ def to_table(df: DataFrame, path: str, checkpoint: str):
 
 
 def insert_stream(alerts: DataFrame, path: str, checkpoint: str, key: str = "alert_id"):
-    """Append alerts that are not stored yet; a replayed batch inserts nothing."""
-    schema = alerts.schema
+    """Append alerts that are not stored yet; a replayed batch inserts nothing.
+
+    The table is kept by month (``t_us``), and a batch only reads the months it touches.
+    """
+    schema = tables.with_month(alerts, "t_us").schema
+    alerts.sparkSession.createDataFrame([], schema).write.mode("append").partitionBy("year", "month").parquet(path)
 
     def insert(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.schema(schema).parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = spark.createDataFrame([], schema)
-        tables.new_rows(batch, stored, key).write.mode("append").parquet(path)
+        rows = tables.with_month(batch, "t_us")
+        months = [tuple(r) for r in rows.select("year", "month").distinct().collect()]
+        if not months:
+            return
+        at = F.col("year") * 12 + F.col("month")
+        stored = spark.read.schema(schema).parquet(path).filter(at.isin([y * 12 + m for y, m in months]))
+        tables.new_rows(rows, stored, key).write.mode("append").partitionBy("year", "month").parquet(path)
 
     return (
         alerts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(insert)
@@ -94,25 +107,28 @@ def drained(df: DataFrame, name: str, start=to_table) -> DataFrame:
     """Run a stream over what is there now and return the table it wrote."""
     spark = df.sparkSession
     out, mark = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    # state partitions are fixed for the life of a stream: no more than there are cores
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    cores = max(8, spark.sparkContext.defaultParallelism)
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), cores)))
-    try:
-        start(df, out, mark).awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    start(df, out, mark).awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
-def replay_slices(df: DataFrame, slices: int = 4) -> DataFrame:
-    """Store a table as files in event-time order and open it as a stream, one file
-    set per micro-batch."""
+def replay(df: DataFrame, slices: int = 4, files: int = 4, end: bool = True) -> tuple[DataFrame, str]:
+    """Store a table as files in about event-time order and open it as a stream.
+
+    Each slice of time is dealt to several files, and a row may come up to one slice late, so
+    rows come out of order within and across micro-batches. Returns the stream and the delay
+    that its watermark needs. ``end`` adds a last row of nulls, but for a time a year later:
+    the end of the input, which lets everything that is open be finished.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "slices")
     lo, hi = df.agg(F.min("t_us"), F.max("t_us")).first()
     width = (hi - lo) // slices + 1
-    for i in range(slices):
-        part = df.filter((F.col("t_us") >= lo + i * width) & (F.col("t_us") < lo + (i + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return open_stream(spark, path, df.schema, 1)
+    plain = [c for c, t in df.dtypes if "<" not in t]
+    late = F.pmod(F.xxhash64(*plain), F.lit(width))
+    numbered = df.withColumn("__slice", F.floor((F.col("t_us") - lo + late) / width))
+    for i in range(slices + 1):
+        numbered.filter(F.col("__slice") == i).drop("__slice").repartition(files).write.mode("append").parquet(path)
+    if end:
+        last = [(F.lit(hi + 2 * width + 366 * 86_400_000_000) if c == "t_us" else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes]
+        spark.range(1).select(*last).write.mode("append").parquet(path)
+    return open_stream(spark, path, df.schema, files), f"{2 * width // 1000 + 1} milliseconds"
