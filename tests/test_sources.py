@@ -48,8 +48,11 @@ def test_capture_files(spark, tmp_path):
     (tmp_path / "b.pcap").write_bytes(capture(">", b"\xa1\xb2\xc3\xd4") + b"\0" * 7)
     (tmp_path / "c.pcap").write_bytes(b"not a capture")
     frames = captures.read_captures(spark, str(tmp_path))
-    assert frames.count() == 2 * len(FRAMES)
-    assert tuple(captures.capture_counts(frames).first()) == (18, 14, 4)
+    # the cut record of b and all of c count as malformed
+    assert frames.filter("frame IS NOT NULL").count() == 2 * len(FRAMES) and frames.count() == 2 * len(FRAMES) + 2
+    assert tuple(captures.capture_counts(frames).first()) == (20, 14, 6)
+    ids = [r["packet_id"] for r in captures.with_packet_id(captures.decode_frames(frames)).orderBy("path", "seq").collect()]
+    assert ids == sorted(set(ids)) and len(ids) == 14
     got = {r["seq"]: r for r in captures.decode_frames(frames.filter(F.col("path").endswith("a.pcap"))).collect()}
     assert sorted(got) == [0, 1, 2, 3, 4, 7, 8]
     r = got[0]
@@ -73,6 +76,13 @@ def test_labelled_csv(spark, tmp_path):
     )
 
 
+def test_unequal_headers_in_one_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x0,x1,Label\n1,2,BENIGN\n")
+    (tmp_path / "b.csv").write_text('Label,"x1 ", X0\nBot,5,4\n')
+    got = tables.read_labelled_csv(spark, [str(tmp_path)], ["x0", "x1", "x2"]).collect()
+    assert sorted(tuple(r) for r in got) == [("a.csv", 1.0, 2.0, 0.0, "BENIGN"), ("b.csv", 4.0, 5.0, 0.0, "Bot")]
+
+
 def test_stream_over_many_triggers_equals_batch(spark):
     """Duplicate windows over micro-batches whose rows come out of order."""
     rows = [(i, 10**15 + i * 20_000_000, "a", "b", "DoS" if i % 3 else "PortScan") for i in range(60)]

@@ -184,7 +184,7 @@ def live_feed(alerts: DataFrame, size: int = 80) -> DataFrame:
 def parse_notes(description: Column) -> Column:
     """``[Note] <iso time> <text>`` lines to an array of (ts, text)."""
     lines = F.filter(F.split(description, r"\r\n|\n|\r"), lambda x: x.startswith("[Note]"))
-    bodies = F.filter(F.transform(lines, lambda x: F.trim(F.substring(x, 7, 100000000))), lambda x: x != "")
+    bodies = F.filter(F.transform(lines, lambda x: F.trim(F.substring(x, F.lit(7), F.length(x)))), lambda x: x != "")
     pattern = r"^([0-9TZ:.\-]+)\s+(.*)$"
 
     def one(x):

@@ -33,6 +33,22 @@ def combine(
     return out.withColumns({**zero, **no, **benign})
 
 
+def attached(
+    signed: DataFrame, rf: tuple[Column, Column, Column], lstm: tuple[Column, Column, Column],
+    iforest: tuple[Column, Column], window_complete: Column,
+) -> DataFrame:
+    """The columns of ``combine`` for models whose results stand on the flow row: no join.
+
+    ``rf`` and ``lstm`` are (predicted class, confidence, is attack), ``iforest`` is (is
+    anomaly, confidence); a NULL is neutral. ``signed`` has the signature result.
+    """
+    zero, no, benign = F.lit(0.0), F.lit(False), F.lit("BENIGN")
+    out = {"sig_matched": F.col("matched"), "sig_conf": F.col("sig_confidence"), "window_complete": F.coalesce(window_complete, no)}
+    for name, (kind, conf, attack) in (("rf", rf), ("lstm", lstm)):
+        out |= {f"{name}_type": F.coalesce(kind, benign), f"{name}_conf": F.coalesce(conf, zero), f"{name}_attack": F.coalesce(attack, no)}
+    return signed.withColumns(out | {"is_anomaly": F.coalesce(iforest[0], no), "if_conf": F.coalesce(iforest[1], zero)})
+
+
 def score(sig: Column, rf: Column, lstm: Column, iforest: Column, weights: dict = WEIGHTS) -> Column:
     if abs(sum(weights.values()) - 1.0) >= 1e-9:
         raise ValueError("ensemble weights must sum to 1")

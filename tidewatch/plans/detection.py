@@ -27,22 +27,17 @@ def signed_flows(
 
 
 def detect(
-    signed: DataFrame, rf: Column, lstm: Column, iforest: Column, window_complete: Column,
-    dedup_us: int = correlate.DEDUP_US, group_us: int = correlate.GROUP_US, threshold: float = ensemble.ALERT_AT,
+    signed: DataFrame, rf: tuple[Column, Column, Column], lstm: tuple[Column, Column, Column], iforest: tuple[Column, Column],
+    window_complete: Column, dedup_us: int = correlate.DEDUP_US, group_us: int = correlate.GROUP_US,
+    threshold: float = ensemble.ALERT_AT,
 ) -> DataFrame:
-    """Flows with a signature result and three model scores to correlated alerts.
+    """Flows with a signature result and three model results to correlated alerts.
 
-    The models come as column expressions (a model's output or a ``pandas_udf``);
-    a scorer that is attached to the flow row needs no join by flow.
+    Models come as column expressions (a model's output or a ``pandas_udf``) on the flow row:
+    (predicted class, confidence, is attack), for the anomaly model (is anomaly, confidence).
+    Results that stand in tables of their own go through ``ensemble.combine`` first.
     """
-    both = signed.withColumns(
-        {
-            "sig_matched": F.col("matched"), "sig_conf": F.col("sig_confidence"),
-            "rf_conf": rf, "rf_attack": rf > 0, "rf_type": F.when(rf > 0, "Botnet").otherwise("BENIGN"),
-            "lstm_conf": lstm, "lstm_attack": lstm > 0, "lstm_type": F.when(lstm > 0, "Infiltration").otherwise("BENIGN"),
-            "if_conf": iforest, "is_anomaly": iforest > 0.5, "window_complete": window_complete,
-        }
-    )
+    both = ensemble.attached(signed, rf, lstm, iforest, window_complete)
     gated = ensemble.verdicts(both, threshold=threshold).filter("alert")
     events = gated.select(
         F.col("first_packet_id").alias("event_id"), "flow_id", F.col("start_us").alias("t_us"), "src_ip", "dst_ip",

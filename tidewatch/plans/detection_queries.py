@@ -11,6 +11,9 @@ from tidewatch.plans import verdict_queries as vq
 from tidewatch.plans.catalog import register
 from tidewatch.plans.rule_queries import HITS_SQL, RULE_DIM, rule_table
 
+CLASSES = ["BENIGN", "Botnet", "DoS", "PortScan", "BruteForce"]
+#: the class each stand-in model predicts, as SQL for both engines
+RF_CLASS, LSTM_CLASS = (f"CASE (first_packet_id // {n}) % 5 {' '.join(f'WHEN {i} THEN {c!r}' for i, c in enumerate(CLASSES))} END" for n in (3, 7))
 CONF = "CAST(first_packet_id * {0} % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE)"
 
 SIGNED_SQL = f"""{fq.FLOWS_SQL}, hits AS {HITS_SQL.split("hits AS ", 1)[1]}, {RULE_DIM},
@@ -21,7 +24,8 @@ GATED_SQL = f"""{SIGNED_SQL}, raw AS (SELECT *, CASE WHEN rule_order IS NULL THE
  CASE WHEN first_packet_id % 3 <> 0 THEN {CONF.format(104729)} ELSE 0 END AS lstm, {CONF.format(1299709)} AS ifo FROM signed),
 sc AS (SELECT *, round(sig * 0.40e0 + rf * 0.35e0 + lstm * 0.15e0 + ifo * 0.10e0, 6) AS score FROM raw),
 gated AS (SELECT first_packet_id AS event_id, flow_id, start_us AS t_us, src_ip, dst_ip, score,
- CASE WHEN sig = 1 THEN sig_type WHEN rf > 0 THEN 'Botnet' WHEN lstm > 0 THEN 'Infiltration' WHEN ifo > 0.5 THEN 'ANOMALY' ELSE 'BENIGN' END AS attack_type,
+ CASE WHEN sig = 1 THEN sig_type WHEN {RF_CLASS} <> 'BENIGN' THEN {RF_CLASS} WHEN {LSTM_CLASS} <> 'BENIGN' AND lstm > 0 THEN {LSTM_CLASS}
+  WHEN ifo > 0.5 THEN 'ANOMALY' ELSE 'BENIGN' END AS attack_type,
  {vq.SEV.format("score")} AS severity FROM sc WHERE score >= 0.5e0)"""
 MARKED = f"{GATED_SQL}, {vq.anchor_sql('gated', ['src_ip', 'dst_ip', 'attack_type'], vq.DEDUP, 'mk')}"
 EMITTED = f"""{MARKED}, emitted AS (SELECT m.* EXCLUDE (anchor, opens), n - 1 AS dup_count FROM mk m
@@ -48,9 +52,13 @@ SELECT md5(flow_id || '|' || CASE attack_type WHEN 'BENIGN' THEN 'ANOMALY' ELSE
 )
 def detect_alerts(spark, sf):
     score = lambda p: F.expr(CONF.format(p))
+    kind = lambda sql: F.expr(sql.replace("//", "div"))
     out = detection.detect(
-        signed(spark, sf), score(7919), score(104729), score(1299709), F.expr("first_packet_id % 3 <> 0"),
-        vq.DEDUP, vq.SHORT_GROUP,
+        signed(spark, sf),
+        (kind(RF_CLASS), score(7919), kind(RF_CLASS) != "BENIGN"),
+        (kind(LSTM_CLASS), score(104729), kind(LSTM_CLASS) != "BENIGN"),
+        (score(1299709) > 0.5, score(1299709)),
+        F.expr("first_packet_id % 3 <> 0"), vq.DEDUP, vq.SHORT_GROUP,
     )
     return out.select(
         "alert_id", "flow_id", "attack_type", "severity", "confidence", "group_id", "is_new_group", "attack_chain",

@@ -158,12 +158,12 @@ PART_RULE = (
 )
 
 
+PART_LINE = f"CASE WHEN p_partkey % 11 = 0 THEN '# note' WHEN p_partkey % 13 = 0 THEN 'not a rule' ELSE {PART_RULE} END"
+
+
 def part_rule_lines(spark, sf):
     part = ad.table(spark, sf, "part")
-    raw = F.expr(
-        f"CASE WHEN p_partkey % 11 = 0 THEN '# note' WHEN p_partkey % 13 = 0 THEN 'not a rule' ELSE {PART_RULE} END"
-    )
-    return part.select(F.col("p_partkey").alias("rule_order"), raw.alias("raw"))
+    return part.select(F.col("p_partkey").alias("rule_order"), F.expr(PART_LINE).alias("raw"))
 
 
 PARSED_SQL = """parsed AS (SELECT p_partkey AS rule_order, CASE WHEN p_partkey % 17 = 0 THEN 'A' ELSE '' END || p_partkey AS rule_id, p_name || ' (x)' AS name, 'alert' AS action, 'tcp' AS protocol,

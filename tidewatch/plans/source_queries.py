@@ -10,7 +10,7 @@ from tidewatch.plans import report_queries as rq
 from tidewatch.plans import reports as rp
 from tidewatch.plans.catalog import r, register, rounded
 from tidewatch.plans.ml_queries import PC, confusion
-from tidewatch.plans.rule_queries import part_rule_lines
+from tidewatch.plans.rule_queries import PART_LINE, part_rule_lines
 from tidewatch.session import scratch_path
 from tidewatch.sources import captures, tables
 
@@ -99,13 +99,12 @@ def capture_counts(spark, sf):
  sum(CASE WHEN file IN ('day0', 'day1') THEN 0 ELSE coalesce(x1, 0) END) AS s1 FROM labelled GROUP BY raw_label""",
 )
 def labelled_csv(spark, sf):
-    """Two header spellings written as CSV, scanned as one table."""
+    """Three headers, two of them in one folder, written as CSV and scanned as one table."""
     base = scratch_path(spark, "csv")
     d = ad.load(spark, sf, "labelled")
     keep = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    d.filter("file IN ('day0', 'day1')").selectExpr("x0 AS ` X0`", "x2 AS `X2 `", "raw_label AS ` Label`").write.options(
-        **keep
-    ).csv(f"{base}/a")
+    d.filter("file = 'day0'").selectExpr("x0 AS ` X0`", "x2 AS `X2 `", "raw_label AS ` Label`").write.options(**keep).csv(f"{base}/a")
+    d.filter("file = 'day1'").selectExpr("raw_label AS Label", "x2", "x0").write.mode("append").options(**keep).csv(f"{base}/a")
     d.filter("file NOT IN ('day0', 'day1')").selectExpr("x0", "x1", "x2", "raw_label AS Label").write.options(**keep).csv(
         f"{base}/b"
     )
@@ -121,20 +120,18 @@ def labelled_csv(spark, sf):
 
 @register(
     "src_rule_lines",
-    """SELECT (row_number() OVER (ORDER BY f, p_partkey) - 1) AS rule_order, f AS file, (row_number() OVER (PARTITION BY f ORDER BY p_partkey) - 1)::INT AS line,
- p_partkey, CASE f WHEN 'port_scan.rules' THEN 'Port Scan' ELSE 'Dos' END AS category FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'dos.rules' ELSE 'port_scan.rules' END AS f FROM part)""",
+    f"""WITH l AS (SELECT 'dos_' || lpad((p_partkey // 50)::VARCHAR, 6, '0') || '.rules' AS file, p_partkey, {PART_LINE} AS raw FROM part)
+SELECT (row_number() OVER (ORDER BY file, p_partkey) - 1) AS rule_order, file, (row_number() OVER (PARTITION BY file ORDER BY p_partkey) - 1)::INT AS line,
+ raw, 'Dos ' || substr(file, 5, 6) AS category FROM l""",
 )
 def rule_lines(spark, sf):
-    """Rule files as (file, text), numbered over all files in file and line order."""
-    part = ad.table(spark, sf, "part").select(
-        "p_partkey", F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'dos.rules' ELSE 'port_scan.rules' END").alias("file")
+    """Rule files of fifty lines as (file, text), numbered over all files in file and line order."""
+    file = F.format_string("dos_%06d.rules", F.expr("p_partkey div 50"))
+    part = ad.table(spark, sf, "part").select(file.alias("file"), F.struct("p_partkey", F.expr(PART_LINE).alias("raw")).alias("x"))
+    text = part.groupBy("file").agg(F.sort_array(F.collect_list("x")).alias("l")).select(
+        "file", F.array_join(F.transform("l", lambda x: x["raw"]), "\n").alias("content")
     )
-    # the given table has a bounded number of parts, one rule per part; a rule file is one text
-    text = part.groupBy("file").agg(F.sort_array(F.collect_list("p_partkey")).alias("l")).select(
-        "file", F.array_join(F.transform("l", lambda x: x.cast("string")), "\n").alias("content")
-    )
-    n = tables.number_rule_lines(text)
-    return n.select("rule_order", "file", "line", F.col("raw").cast("long").alias("p_partkey"), "category")
+    return tables.number_rule_lines(text).select("rule_order", "file", "line", "raw", "category")
 
 
 @register(

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Classic capture magic numbers -> (byte order, fractions per second).
@@ -19,23 +19,35 @@ MAGIC = {
 FRAME_SCHEMA = "path string, seq long, t_us long, frame binary"
 
 
-def _records(content: bytes) -> Iterator[tuple[int, bytes]]:
+def _records(content: bytes) -> Iterator[tuple[int | None, bytes | None]]:
+    """(time, frame) of each record; (None, None) for an unknown format or a record that is cut off."""
     order = MAGIC.get(content[:4])
     if order is None:
+        yield None, None
         return
     end, parts = order
     at = 24
-    while at + 16 <= len(content):
+    while at < len(content):
+        if at + 16 > len(content):
+            yield None, None
+            return
         sec, frac, size, _ = struct.unpack_from(end + "IIII", content, at)
         at += 16
         if at + size > len(content):
+            yield None, None
             return
         yield sec * 1_000_000 + frac * 1_000_000 // parts, content[at : at + size]
         at += size
 
 
 def split_captures(files: DataFrame, batch: int = 5000) -> DataFrame:
-    """(path, content) rows to one row per record, a file at a time, in batches."""
+    """(path, content) rows to one row per record, a file at a time, in batches.
+
+    What can't be read of a file is a row without time and frame, which counts as malformed.
+    """
+
+    def rows(held: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(held, columns=["path", "seq", "t_us", "frame"]).astype({"t_us": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -44,10 +56,10 @@ def split_captures(files: DataFrame, batch: int = 5000) -> DataFrame:
                 for seq, (t, frame) in enumerate(_records(bytes(content))):
                     held.append((path, seq, t, frame))
                     if len(held) == batch:
-                        yield pd.DataFrame(held, columns=["path", "seq", "t_us", "frame"])
+                        yield rows(held)
                         held = []
                 if held:
-                    yield pd.DataFrame(held, columns=["path", "seq", "t_us", "frame"])
+                    yield rows(held)
 
     return files.select("path", "content").mapInPandas(run, FRAME_SCHEMA)
 
@@ -58,6 +70,13 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return split_captures(files)
 
 
+def with_packet_id(packets: DataFrame) -> DataFrame:
+    """``packet_id`` from (path, seq), different for records of different files, in path and record order."""
+    number = F.row_number().over(Window.orderBy("path"))  # one row per file
+    files = packets.select("path").distinct().withColumn("__file", number - 1)
+    return packets.join(files, "path").withColumn("packet_id", F.col("__file") * (1 << 40) + F.col("seq")).drop("__file")
+
+
 def _num(frame: Column, at: Column | int, size: int) -> Column:
     """Unsigned number at a 0-based byte offset."""
     pos = (F.lit(at) if isinstance(at, int) else at) + 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,14 +21,15 @@ RANGE_US = {"24h": 86_400_000_000, "7d": 7 * 86_400_000_000, "30d": 30 * 86_400_
 def read_labelled_csv(
     spark: SparkSession, paths: Sequence[str], features: Sequence[str], label: str = "Label"
 ) -> DataFrame:
-    """Labelled-flow CSV files whose headers differ in case, blanks and columns.
+    """Labelled-flow CSV files whose headers differ in case, blanks and columns, also within a folder.
 
-    Only headers are looked at up front; files with the same header are scanned
+    One scan finds each file's first line; files with the same header are scanned
     together. A missing feature becomes 0.0, ``file`` keeps the file name.
     """
-    by_header: dict[tuple, list[str]] = {}
-    for p in paths:
-        by_header.setdefault(tuple(spark.read.option("header", True).csv(p).columns), []).append(p)
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    numbered = lines.filter("start = 0").withColumn("place", F.monotonically_increasing_id())
+    heads = numbered.groupBy("path").agg(F.min_by("value", "place").alias("header")).groupBy("header").agg(F.collect_list("path").alias("paths"))
+    by_header = {tuple(next(csv.reader([r["header"]]))): sorted(r["paths"]) for r in heads.collect()}  # one row per header
     parts = []
     for header, files in by_header.items():
         found = {h.strip().lower(): h for h in reversed(header)}
