@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import op4_tokenfiles as m
 from tidewatch.llm.sharedfiles import opened
 
-PARTS = ["a", "é", "Σ", "ς", " ", "\t", "́", " ", "\x1c", "\x85", "<|endoftext|>", "the", "'s", "12", "!?", "\n", "日本", "İ", "ǅ", "\x00"]
+PARTS = ["a", "é", "Σ", "ς", " ", "\t", "́", " ", "\x1c", "\x01", " \x01 ", "\x85", "<|endoftext|>", "the", "'s", "'", "s", "Don't", "12", "!?", "<|", "<|ENDOFTEXT|>", "I\u0307", "A\u0301", "K", "x'lly", "_", "\x1f", "\n", "日本", "İ", "ǅ", "\x00"]
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 31, 32])
@@ -23,7 +23,7 @@ def test_pack(bits):
 
 def test_encoder_is_the_library():
     rng = random.Random(2)
-    texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 30))) for _ in range(5000)] + [None, "", "x" * 3000]
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 30))) for _ in range(20000)] + [None, "", "x" * 3000]
     coder = m.WordEncoder(m.vocabulary_path())
     ids, counts = coder.encode(texts, 2)
     want = [e.ids + [2] for e in coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]

@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.registry import register
 from tidewatch.llm.sharedfiles import each_alone, opened, written
-from tidewatch.llm.textblocks import ragged
+from tidewatch.llm.textblocks import SPACE, ragged
 from tidewatch.session import cut_lineage, scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -44,16 +46,29 @@ BLOCK_IDS = 1024
 #: Ids that a reader unpacks at a time, unless one document has more.
 READ_IDS = 1 << 20
 #: Characters of text that are encoded at a time; distinct words that a task keeps with their ids.
-BLOCK_CHARS, MAX_WORDS = 2_000_000, 300_000
+BLOCK_CHARS, MAX_WORDS = 2_000_000, 500_000
+#: Words that the library encodes as one text, and what stands between them.
+TOGETHER, MARK = 256, "\x01"
+
+#: Kinds of bytes: 0 beyond ASCII, 1 white space, then letters, digits and all others.
+LETTER, DIGIT, OTHER = 2, 3, 4
+KIND = np.zeros(256, dtype=np.uint8)
+KIND[:0x80] = [1 if SPACE[b] else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else OTHER for b in range(0x80)]
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """The low `bits` bits of each id, one after another, padded to whole bytes."""
+    if bits % 8 == 0:
+        return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes()
     spread = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(spread[:, :bits].reshape(-1), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
+    if bits % 8 == 0:
+        whole = np.zeros((count, 4), dtype=np.uint8)
+        whole[:, : bits // 8] = np.frombuffer(data, dtype=np.uint8, count=count * bits // 8).reshape(count, bits // 8)
+        return whole.reshape(-1).view("<u4")
     spread = np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
     wide = np.zeros((count, 32), dtype=np.uint8)
     wide[:, :bits] = spread
@@ -63,8 +78,8 @@ def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
 class WordEncoder:
     """The tokenizers library, with each distinct word's ids kept.
 
-    The vocabulary drops white space before it splits, and nothing in it spans white space, so
-    a text's ids are those of its words.
+    The vocabulary drops white space before it splits, and nothing in it spans white space or
+    the borders that `words` cuts at, so a text's ids are those of its words.
     """
 
     def __init__(self, path: str):
@@ -73,45 +88,76 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
-        self.word_no: dict[bytes, int] = {}
+        self.word_no: dict[bytes, int] = defaultdict(count(0).__next__)
         self.flat = np.empty(0, dtype=np.uint32)
         self.at = np.empty(0, dtype=np.int64)
         self.length = np.empty(0, dtype=np.int64)
 
+    def library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids, flat, and how many each has.
+
+        Many words go to the library as one text, with MARK between them, whose id tells them apart.
+        """
+        if self.mark is not None and not any(MARK in w for w in words):
+            runs = [f" {MARK} ".join(words[k : k + TOGETHER]) + f" {MARK}" for k in range(0, len(words), TOGETHER)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.batch(runs, add_special_tokens=False)])
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(words):
+                return ids[ids != self.mark], np.diff(marks, prepend=-1) - 1
+        each = [e.ids for e in self.batch(words, add_special_tokens=False)]
+        length = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        return np.fromiter(chain.from_iterable(each), dtype=np.uint32, count=int(length.sum())), length
+
+    def words(self, texts: list[str | None]) -> list[list[bytes]]:
+        """Parts of each text that the vocabulary never joins, so that few distinct ones remain.
+
+        Besides white space these end where an ASCII letter, digit or other sign meets one of
+        another kind, and after each digit; an apostrophe keeps the letters after it. ASCII letters
+        are lower case unless a character follows that might compose with them. Texts that may
+        name a special token are cut at white space only.
+        """
+        raw = [text.encode() if text else b"" for text in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        kind = KIND[data]
+        left, right = kind[:-1], kind[1:]
+        cut = (left > 1) & (right > 1) & ((left != right) | (left == DIGIT)) & ~((data[:-1] == ord("'")) & (right == LETTER))
+        lower = data.copy()
+        lower[:-1] = np.where((data[:-1] - ord("A") < 26) & (data[1:] < 0x80), data[:-1] | 0x20, data[:-1])
+        at = np.flatnonzero(cut) + 1
+        spaced, moved = np.insert(lower, at, 0x20).tobytes(), (offsets + np.searchsorted(at, offsets)).tolist()
+        return [x.split() if b"<|" in x else spaced[a:b].split() for x, a, b in zip(raw, moved, moved[1:])]
+
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, each with the end id; and how many each has."""
         if len(self.word_no) > MAX_WORDS:
             self._forget()
-        known, new, numbers = self.word_no, [], []
+        before, numbers = len(self.word_no), []
         sizes = np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            words = text.encode().split() if text else []  # bytes split at U+0020 and U+0009 to U+000D only
-            for w in words:
-                if w not in known:
-                    known[w] = len(known)
-                    new.append(w.decode())
-            numbers.extend(map(known.__getitem__, words))
+        for k, words in enumerate(self.words(texts)):
+            numbers.extend(map(self.word_no.__getitem__, words))
             sizes[k] = len(words)
+        new = [w.decode() for w in islice(self.word_no, before, None)]
         if new:
-            ids = [e.ids for e in self.batch(new, add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(length.sum()))
+            flat, length = self.library(new)
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
             self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
         numbers = np.array(numbers, dtype=np.int64)
         length = self.length[numbers]
         ids = self.flat[ragged(self.at[numbers], length)]
         run, edge = np.concatenate([[0], np.cumsum(length)]), np.concatenate([[0], np.cumsum(sizes)])
-        count = run[edge[1:]] - run[edge[:-1]] + 1
-        out = np.empty(int(count.sum()), dtype=np.uint32)
-        ends = np.cumsum(count) - 1
+        counts = run[edge[1:]] - run[edge[:-1]] + 1
+        out = np.empty(int(counts.sum()), dtype=np.uint32)
+        ends = np.cumsum(counts) - 1
         body = np.ones(len(out), dtype=bool)
         body[ends] = False
         out[body], out[ends] = ids, end_id
-        return out, count
+        return out, counts
 
 
 @lru_cache(maxsize=2)
@@ -147,10 +193,10 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col:
             out.write(struct.pack(HEAD, MAGIC, bits, BLOCK_IDS))
             while batch is not None:
                 for group in text_groups(batch):
-                    ids, count = coder.encode(group.column("text").to_pylist(), end_id)
+                    ids, size = coder.encode(group.column("text").to_pylist(), end_id)
                     keys.append(pc.fill_null(group.column("id"), 0).to_numpy(zero_copy_only=False).astype("<i8"))
                     nulls.append(pc.is_null(group.column("id")).to_numpy(zero_copy_only=False).astype(np.uint8))
-                    counts.append(count)
+                    counts.append(size)
                     ids = np.concatenate([rest, ids])
                     whole = len(ids) // BLOCK_IDS * BLOCK_IDS
                     offsets.append(at + np.arange(whole // BLOCK_IDS) * (BLOCK_IDS * bits // 8))
