@@ -183,13 +183,17 @@ def flow_counters(spark, sf):
     return rounded(flows.capture_counters(packets(spark, sf), flow_table(spark, sf)))
 
 
+UNKNOWN_LENGTH = "CASE WHEN packet_id % 2 = 0 THEN NULL ELSE length END"
+FROM_LENGTH = [f"{s}_packet_length_{k}" for s in ("fwd", "bwd") for k in ("max", "min", "mean", "std")] + ["min_packet_length", "max_packet_length", "flow_bytes_per_sec"]
+
+
 @register(
     "flow_zero_on_error",
-    f"""WITH {ad.cte("packets")} SELECT packet_id, {r('CASE WHEN packet_id % 5 = 0 THEN 0 ELSE length / (packet_id % 5) END', 'value')} FROM packets""",
+    "WITH "
+    + FLOWS_SQL.replace("AS tcp_flags FROM packets)", f"AS tcp_flags FROM (SELECT * REPLACE ({UNKNOWN_LENGTH} AS length) FROM packets))")
+    + f" SELECT flow_id, {', '.join(r(f'coalesce({f}, 0)', f) for f in FROM_LENGTH)} FROM flows",
 )
 def flow_zero_on_error(spark, sf):
-    """A feature that cannot be computed becomes 0.0, the row stays."""
-    v = F.try_divide(F.col("length").cast("double"), (F.col("packet_id") % 5).cast("double"))
-    return rounded(
-        ad.load(spark, sf, "packets").select("packet_id", F.coalesce(v, F.lit(0.0)).alias("value"))
-    )
+    """A feature that cannot be computed, here for want of lengths, becomes 0.0; the flow stays."""
+    got = flows.flows(packets(spark, sf).withColumn("length", F.expr(UNKNOWN_LENGTH)), IDLE, CHUNK)
+    return rounded(got.select("flow_id", *FROM_LENGTH))
