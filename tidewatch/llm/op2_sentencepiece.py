@@ -17,9 +17,12 @@ give one result row each. Columns other than the id and the text are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +127,7 @@ class PieceCodec:
         self._forget()
 
     def _forget(self) -> None:
-        self.word_no: dict[str, int] = {}
+        self.word_no: dict[str, int] = defaultdict(itertools.count(0).__next__)
         self.flat = np.empty(0, dtype=np.int32)
         self.at = np.empty(0, dtype=np.int64)
         self.length = np.empty(0, dtype=np.int64)
@@ -218,17 +221,13 @@ class PieceCodec:
         """Ids of all texts, flat, and how many each text has; with begin and end ids."""
         if len(self.word_no) > MAX_WORDS:
             self._forget()
-        known, new = self.word_no, []
-        numbers, sizes = [], np.zeros(len(texts), dtype=np.int64)
+        before, numbers, sizes = len(self.word_no), [], np.zeros(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):
             if text:
                 words = self.words(text)
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                        new.append(w)
-                numbers.extend(map(known.__getitem__, words))
+                numbers.extend(map(self.word_no.__getitem__, words))
                 sizes[k] = len(words)
+        new = list(islice(self.word_no, before, None))
         if new:
             flat, length = self.merge(new)
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
