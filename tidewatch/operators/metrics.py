@@ -225,7 +225,7 @@ def roc_points(scored: DataFrame, keys: Sequence[str] = ("class",)) -> DataFrame
     ).withColumn("slice", F.floor(-F.col("p") * SLICES).cast("long"))
     cum = ordered.running_sum(hist, keys, "slice", [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
     sizes = hist.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    joined = cum.join(F.broadcast(sizes), keys) if keys else cum.crossJoin(F.broadcast(sizes))
+    joined = cum.join(sizes, keys) if keys else cum.crossJoin(F.broadcast(sizes))
     return joined.select(
         *keys, "slice", F.col("p").alias("threshold"), "pos", "neg", "tp", "fp",
         _over(F.col("tp"), F.col("all_pos")).alias("tpr"), _over(F.col("fp"), F.col("all_neg")).alias("fpr"),

@@ -40,7 +40,7 @@ def weighted(train: DataFrame, scheme: str = "balanced", label: str = "label") -
         w = F.coalesce(F.try_element_at(literal_map(SEARCH_WEIGHTS), F.col(label)), F.lit(1.0))
         return train.withColumn("weight", w)
     w = prep.class_weights(train, label).select(label, F.col("balanced").alias("weight"))
-    return train.join(F.broadcast(w), label)
+    return train.join(w, label)
 
 
 def train_forest(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import ordered, skew
@@ -62,10 +62,10 @@ def concat_files(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, label: str = "label", out: str = "label_index") -> DataFrame:
-    """0-based index in alphabetical order; the class set travels as one row."""
-    names = df.agg(F.array_sort(F.collect_set(label)).alias("__classes"))
-    joined = df.crossJoin(F.broadcast(names))
-    return joined.withColumn(out, (F.array_position("__classes", F.col(label)) - 1).cast("int")).drop("__classes")
+    """0-based index in alphabetical order. The classes are a table of one row each, which Spark broadcasts if its size allows."""
+    names = df.select(label).where(F.col(label).isNotNull()).distinct()
+    numbered = names.withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
+    return df.join(numbered, label, "left").select(*df.columns, out)
 
 
 def decode_label(index: Column, classes: Sequence[str] = CLASSES) -> Column:
@@ -89,7 +89,7 @@ def stratified_split(
     )
     sizes = df.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * F.lit(fraction)).alias("__take"))
     return (
-        placed.join(F.broadcast(sizes), label)
+        placed.join(sizes, label)
         .withColumn(out, F.col("__pos") < F.col("__take"))
         .select(*df.columns, out)
     )
