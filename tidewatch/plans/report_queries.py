@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tidewatch.plans import adapters as ad
 from tidewatch.plans import reports as rp
 from tidewatch.plans.catalog import r, register, rounded
+from tidewatch.session import scratch_path
+from tidewatch.sources import tables
 
 START, END = rp.period(datetime(2024, 1, 31), start_date="2024-01-05", end_date="2024-01-24")
 NOW = rp.micros(datetime(2024, 1, 31))
@@ -168,7 +170,10 @@ def locked_accounts(spark, sf):
 
 @register("rpt_expired", f"WITH {W} SELECT count(*) AS n FROM audit WHERE t_us < {NOW} - 20 * 86400000000")
 def expired(spark, sf):
-    return rp.expired(audit(spark, sf), NOW, 20).agg(F.count(F.lit(1)).alias("n"))
+    """Over the audit log kept by month."""
+    path = scratch_path(spark, "audit")
+    tables.write_monthly(audit(spark, sf), path, "t_us")
+    return rp.expired(spark.read.parquet(path), NOW, 20).agg(F.count(F.lit(1)).alias("n"))
 
 
 _JOBS = [

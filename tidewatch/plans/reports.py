@@ -37,8 +37,20 @@ def period(
     return micros(start), micros(end)
 
 
+def _months(df: DataFrame, first_us: int | None, last_us: int | None) -> DataFrame:
+    """Of a table kept by month, only the months that a time span touches."""
+    if not {"year", "month"} <= set(df.columns):
+        return df
+    at = F.col("year") * 12 + F.col("month")
+    for us, keep in ((first_us, at.__ge__), (last_us, at.__le__)):
+        if us is not None:
+            day = datetime(1970, 1, 1) + timedelta(microseconds=us)
+            df = df.filter(keep(day.year * 12 + day.month))
+    return df
+
+
 def in_period(df: DataFrame, start_us: int, end_us: int, t: str = "t_us") -> DataFrame:
-    return df.filter(F.col(t).between(start_us, end_us))
+    return _months(df, start_us, end_us).filter(F.col(t).between(start_us, end_us))
 
 
 def _r(c: Column, digits: int) -> Column:
@@ -287,7 +299,9 @@ def locked_accounts(audit: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def expired(df: DataFrame, now_us: int, days: int = RETENTION_DAYS, t: str = "t_us") -> DataFrame:
-    return df.filter(F.col(t) < now_us - days * 86_400_000_000)
+    """Rows older than the retention; of a table kept by month, the later months are not read."""
+    before = now_us - days * 86_400_000_000
+    return _months(df, None, before).filter(F.col(t) < before)
 
 
 def job_list(jobs: DataFrame) -> DataFrame:
