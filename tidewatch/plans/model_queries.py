@@ -25,6 +25,11 @@ def labelled_flows(spark, sf):
     return cut_lineage(s, "flows")
 
 
+def validation(train):
+    """Training rows, a fifth of each class marked for validation."""
+    return prep.stratified_split(train.withColumn("k", F.concat(F.lit("v"), "flow_id")), "k", out="is_valid")
+
+
 @register("ml_random_forest")
 def random_forest(spark, sf):
     s = labelled_flows(spark, sf)
@@ -38,7 +43,7 @@ def random_forest(spark, sf):
 def random_forest_tuned(spark, sf):
     """Fit, calibrate thresholds on validation rows, score the test rows."""
     s = labelled_flows(spark, sf)
-    v = prep.stratified_split(s.filter("NOT is_test").withColumn("k", F.concat(F.lit("v"), "flow_id")), "k", out="is_valid")
+    v = validation(s.filter("NOT is_test"))
     model = models.train_forest(v.filter("NOT is_valid"), FEATURES, trees=20, depth=10, scheme="custom")
     valid = models.forest_probabilities(model, v.filter("is_valid"), FEATURES)
     best = {r["class"]: r["threshold"] for r in metrics.best_thresholds(valid, F.col("probabilities")).collect()}
@@ -50,26 +55,29 @@ def random_forest_tuned(spark, sf):
 
 @register("ml_grid_search")
 def grid_search(spark, sf):
-    """The twelve candidates on a fifth of the training rows, winner marked."""
-    s = labelled_flows(spark, sf)
-    train = s.filter("NOT is_test")
+    """The twelve candidates on a fifth of the training rows, the winner by the validation rows marked."""
+    v = cut_lineage(validation(labelled_flows(spark, sf).filter("NOT is_test")), "validation")
+    train = v.filter("NOT is_valid").drop("k", "is_valid")
     sub = prep.stratified_split(train.withColumn("k", F.concat(F.lit("s"), "flow_id")), "k", out="chosen")
-    return models.grid_search(sub.filter("chosen").drop("chosen", "k"), s.filter("is_test"), FEATURES, trees=5)
+    return models.grid_search(sub.filter("chosen").drop("chosen", "k"), v.filter("is_valid"), FEATURES, trees=5)
 
 
 def _anomaly(spark, sf):
+    """Scores of all flows by a forest grown on benign training rows; validation rows are apart."""
     s = labelled_flows(spark, sf)
-    benign = s.filter("NOT is_test AND label = 'BENIGN'")
+    held = validation(s.filter("NOT is_test")).filter("is_valid").select("flow_id", F.lit(True).alias("is_valid"))
+    s = cut_lineage(s.join(held, "flow_id", "left").na.fill(False, ["is_valid"]), "marked")
+    benign = s.filter("NOT is_test AND NOT is_valid AND label = 'BENIGN'")
     forest = models.train_anomaly_forest(benign, FEATURES, "flow_id")
     forest = cut_lineage(forest, "trees")
     scored = models.anomaly_scores(s, forest, FEATURES)
-    return cut_lineage(scored.select("flow_id", "label", "is_test", "sample_score"), "scores")
+    return cut_lineage(scored.select("flow_id", "label", "is_test", "is_valid", "sample_score"), "scores")
 
 
 @register("ml_anomaly_forest")
 def anomaly_forest(spark, sf):
     scored = _anomaly(spark, sf)
-    offset = models.contamination_offsets(scored.filter("NOT is_test AND label = 'BENIGN'"), [0.01])
+    offset = models.contamination_offsets(scored.filter("NOT is_test AND NOT is_valid AND label = 'BENIGN'"), [0.01])
     raw = models.decision(scored.filter("is_test"), offset)
     flag, conf = metrics.anomaly_gate(F.col("raw_score"), 0.0)
     return raw.select("flow_id", "label", "raw_score", flag.alias("is_anomaly"), conf.alias("confidence"))
@@ -79,9 +87,9 @@ def anomaly_forest(spark, sf):
 def anomaly_tuning(spark, sf):
     scored = _anomaly(spark, sf)
     offsets = models.contamination_offsets(
-        scored.filter("NOT is_test AND label = 'BENIGN'"), [0.005, 0.008, 0.01, 0.015, 0.02]
+        scored.filter("NOT is_test AND NOT is_valid AND label = 'BENIGN'"), [0.005, 0.008, 0.01, 0.015, 0.02]
     )
-    valid = scored.filter("is_test").select(
+    valid = scored.filter("is_valid").select(
         F.col("sample_score").alias("raw"), (F.col("label") != "BENIGN").alias("is_attack")
     )
     return metrics.contamination_sweep(valid, offsets)
