@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Each of TREES trees gives a vector a string of BITS bits, the sides of random hyperplanes it lies
-on. A tree is its vectors in the order of their strings, held in blocks: one for each prefix of a
+on. A tree is its vectors in the order of their strings, in blocks: one for each prefix of a
 few bits, so that a block has about BLOCK_ROWS vectors. A prefix with many more is dealt to
 several blocks by a hash of the id, and its queries go to all of them.
 
@@ -57,31 +57,33 @@ def strings(vectors: np.ndarray, normals: np.ndarray) -> np.ndarray:
 
 
 def hashed(vectors: DataFrame, id_col: str, vector_col: str, trees: int) -> DataFrame:
-    """(id, dim, vector, strings) of the vectors that take part; vectors as doubles in a binary."""
-    own = F.col(f"`{vector_col}`").cast("array<double>")
+    """(id, dim, vector, strings) of the vectors that take part; vectors as numbers of 32 or 64 bits in a binary, as given."""
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    own = F.col(f"`{vector_col}`") if single else F.col(f"`{vector_col}`").cast("array<double>")
     usable = own.isNotNull() & F.col(f"`{id_col}`").isNotNull()
     usable &= F.coalesce(F.forall(own, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(own, lambda x: x != 0)
     given = vectors.where(usable).select(F.col(f"`{id_col}`").cast("long").alias("id"), own.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            dims = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims).tolist():
-                if dim not in normals:
-                    normals[dim] = planes(dim, trees)
-                part = batch.filter(pa.array(dims == dim))
-                flat = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                # Scaled, so that lengths near the limits of a double do no harm.
-                bits = strings(flat / np.abs(flat).max(axis=1)[:, None], normals[dim]).view(np.int64)
-                offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * trees)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"), pa.array([dim] * len(part), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary()),
-                        pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1))),
-                    ],
-                    ["id", "dim", "vector", "strings"],
-                )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                dims = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+                for dim in np.unique(dims).tolist():
+                    if dim not in normals:
+                        normals[dim] = planes(dim, trees)
+                    part = batch.filter(pa.array(dims == dim))
+                    flat = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    bits = strings(scaled(flat), normals[dim]).view(np.int64)
+                    offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * trees)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("id"), pa.array([dim] * len(part), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary()),
+                            pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1))),
+                        ],
+                        ["id", "dim", "vector", "strings"],
+                    )
 
     return given.mapInArrow(run, "id long, dim int, vector binary, strings array<long>")
 
@@ -90,50 +92,26 @@ def leaf_of(bits: Column, depth: int) -> Column:
     return F.shiftrightunsigned(bits, BITS - depth) if depth else F.lit(0).cast("long")
 
 
-def index_blocks(rows: DataFrame, parts: DataFrame, depth: int) -> DataFrame:
-    """One row per block: ids, strings and vectors in the order of the strings."""
-    each = rows.select("id", "dim", "vector", F.posexplode("strings").alias("tree", "bits")).withColumn("leaf", leaf_of(F.col("bits"), depth))
-    dealt = each.join(parts, ["dim", "tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    # Unsigned order of the strings within a block.
-    order = [*HOME, F.col("bits").bitwiseXOR(F.lit(-(1 << 63))), "id"]
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, held = None, []
+def placed(rows: DataFrame, parts: DataFrame, depth: int, trees: int) -> DataFrame:
+    """Every vector once per tree, at its place: HOME names its block, bits its string."""
+    each = rows.select("id", "dim", "vector", F.posexplode(F.slice("strings", 1, trees)).alias("tree", "bits"))
+    dealt = each.withColumn("leaf", leaf_of(F.col("bits"), depth)).join(parts, ["dim", "tree", "leaf"], "left")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    return dealt.withColumn("part", part).select(*HOME, "id", "bits", "vector")
 
-        def block() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            columns = [t.column(c).to_numpy().astype(np.int64).tobytes() for c in ("id", "bits")] + [b"".join(t.column("vector").to_pylist())]
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array([x], k) for x, k in zip(home, (pa.int32(), pa.int32(), pa.int64(), pa.int32()))), *(pa.array([x], pa.binary()) for x in columns)],
-                [*HOME, "ids", "bits", "vectors"],
-            )
-
-        for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in HOME]
-            new = np.any([k[1:] != k[:-1] for k in keys], axis=0) if batch.num_rows else np.empty(0, dtype=bool)
-            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                at = tuple(int(k[a]) for k in keys)
-                if at != home and held:
-                    yield block()
-                    held = []
-                home = at
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield block()
 
-    given = dealt.select(*HOME, "id", "bits", "vector").repartition(*HOME).sortWithinPartitions(*order)
-    return given.mapInArrow(build, "dim int, tree int, leaf long, part int, ids binary, bits binary, vectors binary")
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """As doubles, the largest component 1, so that lengths near the limits of a number do no harm."""
+    vectors = vectors.astype(np.float64)
+    return vectors / np.abs(vectors).max(axis=1)[:, None]
 
 
 class Block:
-    def __init__(self, row: dict):
-        self.ids = np.frombuffer(row["ids"], dtype=np.int64)
-        self.bits = np.frombuffer(row["bits"], dtype=U64)
-        self.vectors = np.frombuffer(row["vectors"]).reshape(len(self.ids), row["dim"])
-        self.unit = unit(self.vectors)
+    """Vectors in the order of their strings."""
+
+    def __init__(self, ids: np.ndarray, bits: np.ndarray, vectors: np.ndarray):
+        self.ids, self.bits, self.vectors = ids, bits, vectors
+        self.unit = unit(vectors)
 
     def range(self, bits: int, depth: int) -> tuple[int, int]:
         """The vectors that share at least `depth` bits with a string."""
@@ -155,59 +133,78 @@ class Block:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    scaled = vectors / np.abs(vectors).max(axis=1)[:, None]
-    return scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
+    v = scaled(vectors)
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Cosines in double precision, the same for equal vectors wherever they stand."""
-    v, q = vectors / np.abs(vectors).max(axis=1)[:, None], query / np.abs(query).max()
+    v, q = scaled(vectors), scaled(query[None])[0]
     return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
 FOUND = "query_id long, vec_id long, score double"
 
 
-def visits(blocks: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
-    """The best `nearest` of each block that a query visits. `queries` has HOME, id, vector, bits and depth (null: by descent)."""
-    kinds = {"ids": "binary", "vectors": "binary", "id": "long", "vector": "binary", "string": "long", "depth": "int"}
-    left = blocks.select(*HOME, F.lit(0).alias("kind"), "ids", F.col("bits").alias("block_bits"), "vectors", *(F.lit(None).cast(kinds[c]).alias(c) for c in ("id", "vector", "string", "depth")))
-    nothing = [F.lit(None).cast("binary").alias(c) for c in ("ids", "block_bits", "vectors")]
-    right = queries.select(*HOME, F.lit(1).alias("kind"), *nothing, "id", "vector", F.col("bits").alias("string"), F.col("depth").cast("int").alias("depth"))
-    both = left.union(right).repartition(*HOME).sortWithinPartitions(*HOME, "kind")
+def visits(vectors: DataFrame, queries: DataFrame, nearest: int, kind: str) -> DataFrame:
+    """The best `nearest` of each block that a query visits.
+
+    `vectors` is what `placed` gives; `queries` has depth too (null: by descent). `kind` is the
+    numbers' type. A task holds one block at a time; its queries stream past it.
+    """
+    columns = [*HOME, "id", "bits", "vector"]
+    left = vectors.select(*columns, F.lit(None).cast("int").alias("depth"), F.lit(0).alias("asks"))
+    right = queries.select(*columns, F.col("depth").cast("int").alias("depth"), F.lit(1).alias("asks"))
+    # Within a block by the strings as unsigned numbers; its queries come last.
+    order = [*HOME, "asks", F.col("bits").bitwiseXOR(F.lit(-(1 << 63)))]
+    both = left.union(right).repartition(*HOME).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, block = None, None
+        home, held, block = None, [], None
         for batch in batches:
-            out_q, out_v, out_s = [], [], []
-            for row in batch.to_pylist():
-                at = tuple(row[c] for c in HOME)
-                if row["kind"] == 0:
-                    home, block = at, Block(row | {"bits": row["block_bits"]})
+            homes = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*HOME, "asks")], axis=1)
+            cuts = [0, *(np.flatnonzero((homes[1:] != homes[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
                     continue
-                if at != home:  # no vector has this prefix
+                here, asks = tuple(homes[a, :4].tolist()), bool(homes[a, 4])
+                ids = batch.column("id").slice(a, b - a).to_numpy(zero_copy_only=False)
+                bits = batch.column("bits").slice(a, b - a).to_numpy(zero_copy_only=False).view(U64)
+                data = np.frombuffer(b"".join(batch.column("vector").slice(a, b - a).to_pylist()), dtype=kind).reshape(b - a, here[0])
+                if here != home:
+                    home, held, block = here, [], None
+                if not asks:
+                    held.append((ids, bits, data))
                     continue
-                query, string = np.frombuffer(row["vector"]), row["string"] & ((1 << BITS) - 1)
-                depth = block.descend(string, MATCHES) if row["depth"] is None else row["depth"]
-                a, b = block.range(string, depth)
-                rough = block.unit[a:b] @ unit(query[None])[0]
-                rough[block.ids[a:b] == row["id"]] = -np.inf
-                if len(rough) > nearest:  # some more than the best, told apart exactly below
-                    chosen = np.flatnonzero(rough >= np.partition(rough, -nearest)[-nearest] - 1e-9)
-                else:
-                    chosen = np.arange(len(rough))
-                chosen = chosen[rough[chosen] > -np.inf] + a
-                score = cosines(block.vectors[chosen], query)
-                best = np.lexsort((block.ids[chosen], -score))[:nearest]
-                out_q += [row["id"]] * len(best)
-                out_v.append(block.ids[chosen[best]])
-                out_s.append(score[best])
-            if out_q:
-                yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], ["query_id", "vec_id", "score"])
+                if block is None and held:
+                    block, held = Block(*map(np.concatenate, zip(*held))), []
+                if block is not None:  # else no vector has this prefix
+                    yield answers(block, ids, bits, data, batch.column("depth").slice(a, b - a).to_pylist(), nearest)
 
     return both.mapInArrow(run, FOUND)
 
 
+def answers(block: Block, ids: np.ndarray, bits: np.ndarray, queries: np.ndarray, depths: list[int | None], nearest: int) -> pa.RecordBatch:
+    """The best of one block for some queries."""
+    own, found, scores = [], [], []
+    for k, direction in enumerate(unit(queries)):
+        string = int(bits[k])
+        a, b = block.range(string, block.descend(string, MATCHES) if depths[k] is None else depths[k])
+        rough = block.unit[a:b] @ direction
+        rough[block.ids[a:b] == ids[k]] = -np.inf
+        if len(rough) > nearest:  # some more than the best, told apart exactly below
+            chosen = np.flatnonzero(rough >= np.partition(rough, -nearest)[-nearest] - 1e-9)
+        else:
+            chosen = np.arange(len(rough))
+        chosen = chosen[rough[chosen] > -np.inf] + a
+        score = cosines(block.vectors[chosen], queries[k]) if len(chosen) else np.empty(0)
+        best = np.lexsort((block.ids[chosen], -score))[:nearest]
+        own.append(np.full(len(best), ids[k]))
+        found.append(block.ids[chosen[best]])
+        scores.append(score[best])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (own, found, scores)], ["query_id", "vec_id", "score"])
+
+
 def best_of(found: DataFrame, nearest: int) -> DataFrame:
     """(query_id, best): the nearest found, best first, each once."""
     each = F.struct((-F.col("score")).alias("far"), "vec_id")
@@ -224,8 +221,8 @@ def search(
     leaves = rows.select("dim", F.posexplode("strings").alias("tree", "bits")).select("dim", "tree", leaf_of(F.col("bits"), depth).alias("leaf"))
     parts = leaves.groupBy("dim", "tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).cast("int").alias("parts"))
     parts = cut_lineage(parts.where("parts > 1"), "forest-parts")
-    blocks = cut_lineage(index_blocks(rows, parts, depth), "forest-blocks")
     asked = cut_lineage(rows.where(is_query), "forest-queries")
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
 
     def sent(queries: DataFrame) -> DataFrame:
         """Queries (dim, tree, leaf, ...) to all parts of their leaf."""
@@ -233,7 +230,7 @@ def search(
 
     each = asked.select("id", "dim", "vector", F.posexplode("strings").alias("tree", "bits"))
     probes = each.where(F.col("tree") < PROBES).withColumn("leaf", leaf_of(F.col("bits"), depth)).withColumn("depth", F.lit(None).cast("int"))
-    first = best_of(visits(blocks.where(F.col("tree") < PROBES), sent(probes), nearest), nearest)
+    first = cut_lineage(best_of(visits(placed(rows, parts, depth, PROBES), sent(probes), nearest, kind), nearest), "forest-first")
     # Agreement in a bit of what is as near as the last of the best; fewer than asked for: everything is searched.
     agree = 1 - F.acos(F.least(F.lit(1.0), -F.element_at("best", nearest)["far"])) / np.pi
     deep = F.floor(F.log(F.lit(1 - miss ** (1 / trees))) / F.log(agree))
@@ -244,7 +241,8 @@ def search(
     leaf, wide = f"shiftrightunsigned(bits, {BITS - depth})" if depth else "0L", f"greatest(0, {depth} - depth)"
     base, step = F.expr(f"shiftright({leaf}, {wide})"), F.expr(f"shiftleft(1L, {wide})")
     climbing = climbing.withColumn("leaf", F.explode(F.sequence(base * step, base * step + step - 1)))
-    found = best_of(visits(blocks, sent(climbing), nearest).union(first.select("query_id", F.inline("best")).selectExpr("query_id", "vec_id", "-far AS score")), nearest)
+    climbed = visits(placed(rows, parts, depth, trees), sent(climbing), nearest, kind)
+    found = best_of(climbed.union(first.select("query_id", F.inline("best")).selectExpr("query_id", "vec_id", "-far AS score")), nearest)
     ranked = found.select("query_id", F.posexplode("best").alias("rank", "b"))
     return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))
 
