@@ -51,6 +51,23 @@ def test_shared_members(spark, monkeypatch):
     assert len(got) == len(set(got))
 
 
+def test_near_members(spark, monkeypatch):
+    """Every pair within the distance that shares a key stays together under it, whatever is dropped, also with common keys."""
+    rng = random.Random(5)
+    for small in (3, 64):
+        monkeypatch.setattr(linking, "SMALL", small)
+        rows = [(i, rng.getrandbits(8) - (1 << 63) * rng.randint(0, 1), [rng.randrange(60) for _ in range(2)] + [-7] * (i % 3 == 0)) for i in range(400)]
+        df = spark.createDataFrame(rows, "id long, sketch long, keys array<long>").repartition(4)
+        got = {(r.key, r.id) for r in linking.shared_members(df, 3, "t", distance=1).collect()}
+        near = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count() <= 1
+        for i, x, keys in rows:
+            for j, y, others in rows[:i]:
+                for k in set(keys) & set(others) if near(x, y) else ():
+                    assert (k, i) in got and (k, j) in got
+        if small == 64:
+            assert len(got) < sum(len(set(k)) for _, _, k in rows)
+
+
 def test_linked_is_all_pairs(spark):
     """Near each other means at most 2 apart; leaders alone would miss links between other groups."""
     rng = random.Random(3)

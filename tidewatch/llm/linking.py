@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 from tidewatch.session import cut_lineage
 
 U64 = np.uint64
-#: Keys that are compared at once.
-GROUP_KEYS = 500_000
+#: Keys that are compared at once; rows of a batch, or of a key, that count as few.
+GROUP_KEYS, SMALL = 500_000, 64
+#: Links, keys and labels are a few numbers a row; so many of them are written by one task.
+TASK_ROWS, LEAST_TASKS = 200_000, 8
 
 Pairs = Callable[[DataFrame], DataFrame]
 
 
+def written(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """Write a table of short rows, of which there are about `rows`, by as many tasks as that takes."""
+    return cut_lineage(df.coalesce(max(LEAST_TASKS, rows // TASK_ROWS)), name)
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, label) of every id in `edges` (a, b): label is the least id it is connected with.
 
@@ -25,9 +32,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     of the largest group. The minima are written before they are joined, so that Spark can split
     the rows of an id with many links.
     """
-    e = cut_lineage(
-        edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges"
-    )
+    rows = edges.count()
+    e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = written(e, rows, f"{name}-edges")
     state = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -35,20 +42,25 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             break
         state = now
         both = e.union(e.select("v", "u"))
-        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
-        large = cut_lineage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
-        below = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-below")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(least, rows, f"{name}-least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, rows, f"{name}-large")
+        below = written(large.groupBy("u").agg(F.min("v").alias("m")), rows, f"{name}-below")
         small = large.join(below, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(small.union(below.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
+        e = written(small.union(below.select("u", F.col("m").alias("v"))).distinct(), rows, f"{name}-edges")
     # Now every id points at the least one of its group.
-    return cut_lineage(e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v")).distinct(), f"{name}-labels")
+    return written(e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v")).distinct(), rows, f"{name}-labels")
 
 
-def shared_members(rows: DataFrame, keys_per_row: int, name: str) -> DataFrame:
+def shared_members(rows: DataFrame, keys_per_row: int, name: str, distance: int | None = None) -> DataFrame:
     """(key, id) of the keys that two ids or more hold; `rows` has id (distinct) and keys (array of 64-bit numbers).
 
-    Keys travel packed, by hash range. A task sends a key once per batch, for its least id, and
-    settles the others itself, so a key that a third of all rows hold meets in small numbers.
+    Keys travel packed, by hash range, and meet in groups of bounded size: a key that more than
+    SMALL rows of a batch hold is sent once, for the least of them, and its other holders are
+    settled in their own task, so a key that a third of all rows hold meets in small numbers.
+    With `distance`, `rows` has a 64-bit sketch too, and of the up to SMALL ids that meet under a
+    key those stay that differ in at most so many bits from another; larger groups stay whole.
     """
     groups = U64(max(16, 1 << (rows.count() * keys_per_row // GROUP_KEYS).bit_length()))
 
@@ -56,17 +68,23 @@ def shared_members(rows: DataFrame, keys_per_row: int, name: str) -> DataFrame:
         for batch in batches:
             lists = batch.column("keys")
             key = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
-            id_ = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
-            order = np.lexsort((id_, key))
-            key, id_ = key[order], id_[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=bool)
-            yield packed(np.array([-1]), [held_twice(key, id_)])
-            key, id_ = key[new], id_[new]
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.argsort(key)
+            key, row = key[order], row[order]
+            id_ = batch.column("id").to_numpy(zero_copy_only=False)[row]
+            sketch = batch.column("sketch").to_numpy(zero_copy_only=False)[row] if distance is not None else id_
+            first, size = runs_of(key)
+            common = np.repeat(size > SMALL, size)
+            yield packed(np.array([-1]), [(key[common], id_[common], sketch[common], common[common])])
+            lead = np.zeros(len(key), dtype=bool)
+            lead[first] = True
+            sent = lead | ~common
+            key, id_, sketch, common = key[sent], id_[sent], sketch[sent], common[sent]
             group = (key % groups).astype(np.int64)
             order = np.argsort(group, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0])) if len(order) else np.empty(0, dtype=np.int64)
+            cut, _ = runs_of(group[order])
             if len(cut):
-                yield packed(group[order][cut], [(key[g], id_[g]) for g in np.split(order, cut[1:])])
+                yield packed(group[order][cut], [(key[g], id_[g], sketch[g], common[g]) for g in np.split(order, cut[1:])])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
@@ -75,15 +93,28 @@ def shared_members(rows: DataFrame, keys_per_row: int, name: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_)], ["key", "id"])
 
         def settled() -> pa.RecordBatch:
-            key, id_ = map(np.concatenate, zip(*held))
-            order = np.lexsort((id_, key))
-            return out(*held_twice(key[order], id_[order]))
+            key, id_, sketch, common = map(np.concatenate, zip(*held))
+            order = np.argsort(key)
+            key, id_, sketch, common = key[order], id_[order], sketch[order].view(U64), common[order]
+            first, size = runs_of(key)
+            if distance is None:
+                stay = np.repeat(size > 1, size)
+            else:
+                stay = np.repeat((size > SMALL) | (len(key) > 0 and np.logical_or.reduceat(common, first)), size)
+                left = np.repeat(first + size, size) - np.arange(len(key))
+                for step in range(1, SMALL):
+                    at = np.flatnonzero(left > step)
+                    if not len(at):
+                        break
+                    near = at[np.bitwise_count(sketch[at] ^ sketch[at + step]) <= distance]
+                    stay[near] = stay[near + step] = True
+            return out(key[stay], id_[stay])
 
         for batch in batches:
             for row in batch.to_pylist():
-                part = np.frombuffer(row["keys"], dtype=U64), np.frombuffer(row["ids"], dtype=np.int64)
+                part = tuple(np.frombuffer(row[c], dtype=t) for c, t in PACKED)
                 if row["bucket"] < 0:
-                    yield out(*part)
+                    yield out(*part[:2])
                     continue
                 if row["bucket"] != current and held:
                     yield settled()
@@ -93,21 +124,23 @@ def shared_members(rows: DataFrame, keys_per_row: int, name: str) -> DataFrame:
         if held:
             yield settled()
 
-    sent = rows.select("id", "keys").mapInArrow(send, "bucket long, keys binary, ids binary")
+    sent = rows.mapInArrow(send, "bucket long, " + ", ".join(f"{c} binary" for c, _ in PACKED))
     met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, id long")
     return cut_lineage(met.distinct(), f"{name}-members")
 
 
-def packed(bucket: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    parts = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*rows)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), *parts], ["bucket", "keys", "ids"])
+PACKED = (("keys", U64), ("ids", np.int64), ("sketches", np.int64), ("common", np.bool_))
+
+
+def packed(bucket: np.ndarray, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    parts = [pa.array([x.astype(t).tobytes() for x in column], pa.binary()) for column, (_, t) in zip(zip(*rows), PACKED)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), *parts], ["bucket", *(c for c, _ in PACKED)])
 
 
-def held_twice(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted entries, those whose key another entry has too."""
-    same = key[1:] == key[:-1]
-    twice = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.empty(0, dtype=bool)
-    return key[twice], id_[twice]
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and lengths of the runs of equal numbers."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, dtype=np.int64)
+    return first, np.diff(np.append(first, len(x)))
 
 
 def linked(members: DataFrame, verify: Pairs, across: Pairs, name: str) -> DataFrame:
@@ -121,19 +154,21 @@ def linked(members: DataFrame, verify: Pairs, across: Pairs, name: str) -> DataF
     id, label) into pairs of different labels and must give all that `verify` would keep.
     """
     shared = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    shared = cut_lineage(shared.select("key", "leader"), f"{name}-shared")
-    inside = cut_lineage(members.join(shared, "key").distinct(), f"{name}-inside")
+    rows = members.count()
+    shared = written(shared.select("key", "leader"), rows, f"{name}-shared")
+    inside = written(members.join(shared, "key").distinct(), rows, f"{name}-inside")
 
     def links(pairs: DataFrame, step: str) -> DataFrame:
-        pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs-{step}")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut_lineage(pairs, f"{name}-pairs-{step}")
         return cut_lineage(verify(pairs).select("a", "b"), f"{name}-links-{step}")
 
     found = links(inside.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")), "led")
     labels = components(found, f"{name}-led")
     now = inside.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    now = cut_lineage(now, f"{name}-labelled")
+    now = written(now, rows, f"{name}-labelled")
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    mixed = cut_lineage(now.join(cut_lineage(mixed, f"{name}-mixed"), "key"), f"{name}-open")
+    mixed = written(now.join(written(mixed, rows, f"{name}-mixed"), "key"), rows, f"{name}-open")
     found = links(across(mixed), "across")
     if found.isEmpty():
         return labels
