@@ -18,7 +18,7 @@ def normal(line):
 def simhash(line):
     batch = pa.RecordBatch.from_arrays([pa.array([line])], ["text"])
     (block,) = m.normal_blocks(batch)
-    return int(m.simhash(block.word_hashes(lane=1), np.array([0]), np.array([len(block.starts)]))[0])
+    return int(m.simhash(block.word_hashes(), np.array([0]), np.array([len(block.starts)]))[0])
 
 
 def distance(a, b):
@@ -90,3 +90,13 @@ def test_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "x y z\nq"), (1, "x y z\nq"), (2, "X, y z")], "doc_id long, text string")
     assert sorted(tuple(r) for r in m.without_double_lines(docs).collect()) == [(1, "x y z\nq", 2, 0), (1, "x y z\nq", 2, 0), (2, "", 1, 1)]
     assert m.without_double_lines(docs.where(F.lit(False))).collect() == []
+
+
+def test_edit_distance():
+    rng = random.Random(3)
+    for _ in range(2000):
+        a = "".join(rng.choices("abcé日", k=rng.randint(0, 12)))
+        b = "".join(rng.choices("abcé日", k=rng.randint(0, 12))) if rng.random() < 0.5 else a[: rng.randint(0, 9)] + "x" + a[rng.randint(0, 9) :]
+        assert m.edit_distance(a, b) == distance(a, b)
+    long = "".join(rng.choices("abcdef ", k=30000))
+    assert m.edit_distance(long, long[:100] + "zz" + long[101:20000] + long[20003:]) == 5

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.registry import register
-from tidewatch.llm.textblocks import U64, Block, blocks, mix, ragged
+from tidewatch.llm.textblocks import U64, Block, blocks, mix, ragged, slices
 from tidewatch.session import cut_lineage
 
 WINDOW = 50
@@ -280,7 +280,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = d.join(s, on, "left").select("d.id", "d.text", F.col("s.spans.first").alias("first"), F.col("s.spans.count").alias("count"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = {"n_words": [], "n_removed": [], "kept": []}
             for k in range(batch.num_rows):
                 words = batch.column("text")[k].as_py().encode().split()

@@ -31,7 +31,7 @@ from tidewatch.llm.textblocks import ragged
 
 LENGTHS = (1, 2, 3)
 PROFILE = 400
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 200_000
 #: Distinct n-grams a training task holds before it sends them on.
 HELD = 500_000
 BLANK = 0x20

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.linking import linked, shared_members
 from tidewatch.llm.registry import register
-from tidewatch.llm.textblocks import SPACE, U64, Block, batches_of, mix, span_hashes
+from tidewatch.llm.textblocks import SPACE, U64, Block, batches_of, mix, slices, span_hashes
 from tidewatch.session import cut_lineage
 
 DISTANCE = 3
@@ -44,9 +44,12 @@ DIGIT[ord("0") : ord("9") + 1] = ord("0")
 
 def normal_blocks(batch: pa.RecordBatch) -> Iterator[Block]:
     """The texts in lower case, digits as 0; words end at blanks and punctuation."""
-    lowered = pa.RecordBatch.from_arrays([pc.utf8_lower(pc.fill_null(batch.column("text"), "").cast(pa.large_string()))], ["text"])
-    for first, _, data, offsets in batches_of(lowered, "text"):
-        yield Block(first, DIGIT[data], offsets, BLANK)
+    base = 0
+    for part in slices(batch):
+        lowered = pa.RecordBatch.from_arrays([pc.utf8_lower(pc.fill_null(part.column("text"), "").cast(pa.large_string()))], ["text"])
+        for first, _, data, offsets in batches_of(lowered, "text"):
+            yield Block(base + first, DIGIT[data], offsets, BLANK)
+        base += part.num_rows
 
 
 def worded_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +64,7 @@ def worded_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def simhash(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Each bit is the majority of that bit over a line's words (ties: 0). Lines don't overlap and leave no word out."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
+    bits = np.unpackbits(mix(words + U64(1)).view(np.uint8).reshape(-1, 8), axis=1)
     ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     return np.packbits(2 * ones > (end - first)[:, None], axis=1).reshape(-1).view(U64)
 
@@ -74,8 +77,49 @@ def line_keys(hashes: np.ndarray, distance: int = DISTANCE, blocks: int = BLOCKS
     return np.stack([mix((hashes & U64(m)) ^ mix(U64(k + 1))) for k, m in enumerate(chosen)], axis=1)
 
 
+def common_start(a: str, b: str) -> int:
+    """Length of the longest common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance: a column of the table at a time, its steps up and down as bits of two integers."""
+    same = common_start(a, b)
+    a, b = a[same:], b[same:]
+    same = common_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, list[int]] = {}
+    for k, c in enumerate(a):
+        places.setdefault(c, []).append(k)
+    where = {}
+    for c, at in places.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for k in at:
+            bits[k >> 3] |= 1 << (k & 7)
+        where[c] = int.from_bytes(bits, "little")
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        match = where.get(c, 0)
+        diagonal = (((match & up) + up) ^ up) | match | down
+        right, left = down | (full & ~(diagonal | up)), up & diagonal
+        distance += bool(right & last) - bool(left & last)
+        right = ((right << 1) | 1) & full
+        up, down = ((left << 1) & full) | (full & ~(diagonal | right)), right & diagonal
+    return distance
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, number, line, simhash) of every line with a word."""
+    """(doc, text_hash, number, line, simhash, size) of every line with a word; size is the normal form's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,18 +130,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
                     continue
                 words = block.word_hashes()
                 line = span_hashes(words, first, end)
-                near = simhash(block.word_hashes(lane=1), first, end)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[block.first + doc], hashes[block.first + doc], number, line.view(np.int64), near.view(np.int64))],
-                    ["doc", "text_hash", "number", "line", "simhash"],
-                )
+                near = simhash(words, first, end)
+                points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
+                letters = np.concatenate([[0], np.cumsum(points[block.ends] - points[block.starts])])
+                size = letters[end] - letters[first] + (end - first) - 1
+                columns = (ids[block.first + doc], hashes[block.first + doc], number, line.view(np.int64), near.view(np.int64), size)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc", "text_hash", "number", "line", "simhash", "size"])
 
-    return docs.mapInArrow(run, "doc long, text_hash long, number long, line long, simhash long")
+    return docs.mapInArrow(run, "doc long, text_hash long, number long, line long, simhash long, size long")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, step: str) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, normal) of the lines in `wanted`. A bitmap of fixed size keeps most other lines inside their task."""
-    wanted = cut_lineage(wanted.distinct(), f"lines-wanted-{step}")
+    wanted = cut_lineage(wanted.distinct(), "lines-wanted")
     cells = wanted.select(F.col("line").bitwiseAND(F.lit(FILTER_CELLS - 1)).alias("cell")).distinct()
     bitmap = np.zeros(FILTER_CELLS, dtype=bool)
     for row in cells.toLocalIterator():  # FILTER_CELLS of them at most
@@ -113,50 +158,60 @@ def texts_of(docs: DataFrame, wanted: DataFrame, step: str) -> DataFrame:
                 _, once = np.unique(line, return_index=True)
                 once = once[known[line[once] & (FILTER_CELLS - 1)]]
                 text = block.data.tobytes()
-                spans = list(zip(block.starts.tolist(), block.ends.tolist()))
-                normal = [b" ".join(text[a:b] for a, b in spans[first[k] : end[k]]).decode() for k in once.tolist()]
+                words = lambda k: zip(block.starts[first[k] : end[k]].tolist(), block.ends[first[k] : end[k]].tolist())
+                normal = [b" ".join(text[a:b] for a, b in words(k)).decode() for k in once.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(line[once]), pa.array(normal, pa.string())], ["line", "normal"])
 
     found = docs.select("text").mapInArrow(run, "line long, normal string")
-    return cut_lineage(found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("normal").alias("normal")), f"lines-texts-{step}")
+    return cut_lineage(found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("normal").alias("normal")), "lines-texts")
 
 
 def removed_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(doc, text_hash, number) of every line that is not its group's first; `docs` has doc, text and text_hash."""
     lines = cut_lineage(lines_of(docs), "lines-all")
-    once = lines.groupBy("line").agg(F.min(F.struct("doc", "text_hash", "number")).alias("first"), F.min("simhash").alias("simhash"), F.count(F.lit(1)).alias("times"))
+    once = lines.groupBy("line").agg(F.min(F.struct("doc", "text_hash", "number")).alias("first"), F.min("simhash").alias("simhash"), F.min("size").alias("size"), F.count(F.lit(1)).alias("times"))
     once = cut_lineage(once, "lines-distinct")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = line_keys(batch.column("simhash").to_numpy(zero_copy_only=False).view(U64), distance, blocks).view(np.int64)
             offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("line"), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], ["id", "keys"])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("line"), batch.column("simhash"), lists], ["id", "sketch", "keys"])
 
     n_keys = len(list(combinations(range(blocks), blocks - distance)))
     rows = once.select("line", "simhash")
-    members = shared_members(rows.mapInArrow(keyed, "id long, keys array<long>"), n_keys, "lines")
-    # Most keys are shared by chance; the nearness of hashes is told before any text is fetched.
-    hashes = rows.withColumnRenamed("line", "id")
+    # Most keys are shared by chance; nearness is told by the hashes before any text is fetched.
+    members = shared_members(rows.mapInArrow(keyed, "id long, sketch long, keys array<long>"), n_keys, "lines", distance)
+    hashes = once.select(F.col("line").alias("id"), "simhash", "size")
+    texts = texts_of(docs, members.select(F.col("id").alias("line")))
 
     def near(x: str, y: str):
-        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+        """Near hashes, and lengths that the edit similarity allows."""
+        longer = F.greatest(f"{x}.size", f"{y}.size")
+        alike = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= F.floor((1 - similarity) * longer + 1e-9)
+        return alike & (F.bit_count(F.col(f"{x}.simhash").bitwiseXOR(F.col(f"{y}.simhash"))) <= distance)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [
+                edit_distance(p, q) <= int((1 - similarity) * max(len(p), len(q)) + 1e-9)
+                for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())
+            ]
+            yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(hashes.select(F.col("id").alias("a"), F.col("simhash").alias("x")), "a")
-        both = both.join(hashes.select(F.col("id").alias("b"), F.col("simhash").alias("y")), "b").where(near("x", "y"))
+        x, y = hashes.alias("x"), hashes.alias("y")
+        both = pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & near("x", "y"))
         both = cut_lineage(both.select("a", "b"), "lines-near")
-        texts = texts_of(docs, both.select(F.col("a").alias("line")).union(both.select("b")), "pairs")
         both = both.join(texts.select(F.col("line").alias("a"), F.col("normal").alias("p")), "a")
-        both = both.join(texts.select(F.col("line").alias("b"), F.col("normal").alias("q")), "b")
-        most = f"CAST(floor({1 - similarity} * greatest(length(p), length(q)) + 1e-9) AS INT)"
-        return both.where(F.expr(f"levenshtein(p, q, {most}) BETWEEN 0 AND {most}"))
+        return both.join(texts.select(F.col("line").alias("b"), F.col("normal").alias("q")), "b").mapInArrow(alike, "a long, b long")
 
     def across(open_: DataFrame) -> DataFrame:
         known = cut_lineage(open_.join(hashes, "id"), "lines-open-hashes")
         x, y = known.alias("x"), known.alias("y")
         same = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))
-        return x.join(y, same & near("x.simhash", "y.simhash")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        return x.join(y, same & near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
     labels = linked(members, verify, across, "lines")
     grouped = once.join(labels.withColumnRenamed("id", "line"), "line", "left").select("line", "first", "times", F.coalesce("label", "line").alias("label"))
@@ -180,7 +235,7 @@ def without_double_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     joined = given.join(gone, (F.col("id") == F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left").select("row", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, counts, removed = [], [], []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
                 parts = [] if text is None else text.split("\n")

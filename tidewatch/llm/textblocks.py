@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Rows of a batch that are copied or turned into Python values at a time.
+SLICE_ROWS = 512
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -44,7 +46,7 @@ def powers(base: int, n: int) -> np.ndarray:
         run = np.full(max(n, 1024), base, dtype=U64)
         run[0] = 1
         known = np.cumprod(run, dtype=U64)
-        if n <= 4 * BLOCK_BYTES:
+        if n <= 8 * BLOCK_BYTES:
             _powers[base] = known
     return known[:n]
 
@@ -60,16 +62,17 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: i
 
 def batches_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of each block of whole texts."""
-    texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-    row = 0
-    while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1)
-        end = min(end, n)
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end
+    for base in range(0, batch.num_rows, SLICE_ROWS):
+        texts = pc.fill_null(batch.column(column).slice(base, SLICE_ROWS), "").cast(pa.large_string())
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        row = 0
+        while row < n:
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1)
+            end = min(end, n)
+            yield base + row, base + end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            row = end
 
 
 @dataclass
@@ -158,6 +161,14 @@ class Block:
 def blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[Block]:
     for first, _, data, offsets in batches_of(batch, column):
         yield Block(first, data, offsets)
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows, so that what is made of them stays small."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+    pa.default_memory_pool().release_unused()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
