@@ -34,9 +34,9 @@ from tidewatch.llm.textblocks import ragged
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct words that a task keeps with their ids before it starts anew.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 #: Characters of text that are encoded at a time.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 400_000
 
 MARK = "▁"
 #: Symbols that are no piece: SHIFT + code point. Symbols fit in 21 bits.
@@ -284,6 +284,7 @@ def text_blocks(texts: pa.Array, chars: int = BLOCK_CHARS) -> Iterator[list[str]
         end = max(row + 1, int(np.searchsorted(size, done + chars, side="right")))
         yield texts[row:end].to_pylist()
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 def piece_codes(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
