@@ -14,6 +14,8 @@ from tidewatch.session import cut_lineage
 U64 = np.uint64
 #: Keys that are compared at once; rows of a batch, or of a key, that count as few.
 GROUP_KEYS, SMALL = 500_000, 64
+#: Rows of a key of which all pairs are told apart by sketches of numbers.
+WHOLE = 4096
 #: Links, keys and labels are a few numbers a row; so many of them are written by one task.
 TASK_ROWS, LEAST_TASKS = 200_000, 8
 
@@ -53,7 +55,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return written(e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v")).distinct(), rows, f"{name}-labels")
 
 
-def shared_members(rows: DataFrame, keys_per_row: int, name: str, distance: int | None = None) -> DataFrame:
+def shared_members(
+    rows: DataFrame, keys_per_row: int, name: str, distance: int | None = None, alike: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
+) -> DataFrame:
     """(key, id) of the keys that two ids or more hold; `rows` has id (distinct) and keys (array of 64-bit numbers).
 
     Keys travel packed, by hash range, and meet in groups of bounded size: a key that more than
@@ -61,7 +65,12 @@ def shared_members(rows: DataFrame, keys_per_row: int, name: str, distance: int
     settled in their own task, so a key that a third of all rows hold meets in small numbers.
     With `distance`, `rows` has a 64-bit sketch too, and of the up to SMALL ids that meet under a
     key those stay that differ in at most so many bits from another; larger groups stay whole.
+
+    With `alike`, `rows` has two such sketches, sketch and more. Of the up to WHOLE ids that meet,
+    sorted by the first sketch, `alike` tells of two arrays of sketches (in that order) which pairs
+    are alike, and whether later ones can be; ids that are like another stay.
     """
+    sketches = ["sketch", "more"] if alike else ["sketch"] if distance is not None else ["id"]
     groups = U64(max(16, 1 << (rows.count() * keys_per_row // GROUP_KEYS).bit_length()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +81,7 @@ def shared_members(rows: DataFrame, keys_per_row: int, name: str, distance: int
             order = np.argsort(key)
             key, row = key[order], row[order]
             id_ = batch.column("id").to_numpy(zero_copy_only=False)[row]
-            sketch = batch.column("sketch").to_numpy(zero_copy_only=False)[row] if distance is not None else id_
+            sketch = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in sketches], axis=1)[row]
             first, size = runs_of(key)
             common = np.repeat(size > SMALL, size)
             yield packed(np.array([-1]), [(key[common], id_[common], sketch[common], common[common])])
@@ -94,10 +103,20 @@ def shared_members(rows: DataFrame, keys_per_row: int, name: str, distance: int
 
         def settled() -> pa.RecordBatch:
             key, id_, sketch, common = map(np.concatenate, zip(*held))
-            order = np.argsort(key)
-            key, id_, sketch, common = key[order], id_[order], sketch[order].view(U64), common[order]
+            sketch = sketch.view(U64).reshape(-1, len(sketches))
+            order = np.lexsort((sketch[:, 0], key)) if alike else np.argsort(key)
+            key, id_, sketch, common = key[order], id_[order], sketch[order], common[order]
             first, size = runs_of(key)
-            if distance is None:
+            if alike:
+                stay = np.repeat((size > WHOLE) | (len(key) > 0 and np.logical_or.reduceat(common, first)), size)
+                left = np.repeat(first + size, size) - np.arange(len(key))
+                at, step = np.flatnonzero((left > 1) & ~stay), 1
+                while len(at):
+                    near, later = alike(sketch[at], sketch[at + step])
+                    stay[at[near]] = stay[at[near] + step] = True
+                    step += 1
+                    at = at[later & (left[at] > step)]
+            elif distance is None:
                 stay = np.repeat(size > 1, size)
             else:
                 stay = np.repeat((size > SMALL) | (len(key) > 0 and np.logical_or.reduceat(common, first)), size)
@@ -106,7 +125,7 @@ def shared_members(rows: DataFrame, keys_per_row: int, name: str, distance: int
                     at = np.flatnonzero(left > step)
                     if not len(at):
                         break
-                    near = at[np.bitwise_count(sketch[at] ^ sketch[at + step]) <= distance]
+                    near = at[np.bitwise_count(sketch[at, 0] ^ sketch[at + step, 0]) <= distance]
                     stay[near] = stay[near + step] = True
             return out(key[stay], id_[stay])
 

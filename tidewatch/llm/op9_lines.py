@@ -1,11 +1,14 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line dedup: MinHash of normalised lines, edit similarity, connected groups.
 
 A line's normal form is its words in lower case, digits as 0, ASCII punctuation taken for blanks.
-Equal normal forms are one line. Each distinct line gets a 64-bit SimHash of its words; lines
-whose hashes differ in at most DISTANCE bits agree in BLOCKS - DISTANCE of BLOCKS blocks, so
-every choice of that many blocks is a key to meet by. Pairs that meet, are that near and reach
-the edit similarity are linked, and each connected group keeps its first occurrence, by document
-id and line number.
+Equal normal forms are one line. Two lines are linked if their edit similarity reaches the limit,
+and each connected group keeps its first occurrence, by document id and line number.
+
+Each distinct line has MINIMA min-hashes of its runs of GRAM bytes; three of them make a key to meet
+by, MINIMA keys in all. Of the pairs that meet, those with allowed lengths and AGREE equal min-hashes
+are compared by edit distance. Lines of less than SHORT letters meet by themselves and by what is
+left without one letter, so none of their links is lost. The shares of longer ones that are found
+are in tests/llm/test_lines_recall.py: of pairs with a changed word practically all.
 
 Lines without a word are kept. Null texts have no lines and stay null. Ids order documents, a
 null id is larger than any other; rows equal in id and text are one occurrence. An empty table
@@ -16,25 +19,32 @@ two of N distinct lines are taken for one with probability N * N / 2 ** 65.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.linking import linked, shared_members
 from tidewatch.llm.registry import register
-from tidewatch.llm.textblocks import SPACE, U64, Block, batches_of, mix, slices, span_hashes
+from tidewatch.llm.textblocks import SPACE, U64, Block, batches_of, mix, ragged, slices, span_hashes
 from tidewatch.session import cut_lineage
 
+#: Of simhash and line_keys, which no query uses; tests/llm/test_lines.py compares lines by them.
 DISTANCE = 3
 BLOCKS = 6
 EDIT_SIMILARITY = 0.9
 #: Cells of the filter that picks the lines whose text is compared: a bound on what tasks get.
 FILTER_CELLS = 1 << 22
 LAST = np.iinfo(np.int64).max
+#: Min-hashes of a line, bytes of a run, and how many of the COMPARED ones that a sketch holds must agree.
+MINIMA, GRAM, COMPARED, AGREE = 32, 5, 30, 9
+FACTORS = (mix(np.arange(1, MINIMA + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+#: Lines of less letters differ by one edit at most; shorter ones than LEAST have no edit to spare.
+SHORT, LEAST = 20, 9
 
 BLANK = SPACE.copy()
 BLANK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
@@ -77,6 +87,70 @@ def line_keys(hashes: np.ndarray, distance: int = DISTANCE, blocks: int = BLOCKS
     return np.stack([mix((hashes & U64(m)) ^ mix(U64(k + 1))) for k, m in enumerate(chosen)], axis=1)
 
 
+def minima(block: Block, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Low 16 bits of the min-hashes of each line, and the normal forms: bytes, begins, ends. Lines leave no word out."""
+    length = block.ends - block.starts
+    place = np.cumsum(length + 1) - length - 1
+    text = np.full(int((length + 1).sum()), ord(" "), dtype=np.uint8)
+    text[ragged(place, length)] = block.data[ragged(block.starts, length)]
+    start, stop = place[first], place[end - 1] + length[end - 1]
+    run = np.zeros(len(text), dtype=U64)
+    for k in range(GRAM):
+        run[: len(text) - k] = (run[: len(text) - k] << U64(8)) | text[k:]
+    run = (mix(run + U64(1)) >> U64(32)).astype(np.uint32)
+    over = np.arange(len(text)) + GRAM > np.repeat(stop, np.diff(np.append(start, len(text))))
+    out = np.empty((len(start), MINIMA), dtype=np.uint16)
+    for k, factor in enumerate(FACTORS):
+        h = run * factor
+        h[over] = 0xFFFFFFFF
+        out[:, k] = np.minimum.reduceat(h, start) & np.uint32(0xFFFF)
+    return out, text, start, stop
+
+
+def minima_keys(low: np.ndarray) -> np.ndarray:
+    """A key of each min-hash with the next and the next but two; two keys have one min-hash in common at most."""
+    x = low.astype(U64)
+    three = (x << U64(32)) | (np.roll(x, -1, axis=1) << U64(16)) | np.roll(x, -3, axis=1)
+    return mix(three ^ mix(np.arange(1, MINIMA + 1, dtype=U64)))
+
+
+def short_keys(form: bytes) -> np.ndarray:
+    """Keys of a short line and of what is left of it without one letter: lines one edit apart share one."""
+    text = form.decode()
+    forms = {text} | {text[:k] + text[k + 1 :] for k in range(len(text))}
+    return np.frombuffer(b"".join(blake2b(x.encode(), digest_size=8).digest() for x in sorted(forms)), dtype=U64)
+
+
+def sketches(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of a line: sixteenths of an octave of its size with 14 min-hashes, and 16 more, four bits each."""
+    octave = np.minimum(np.floor(16 * np.log2(np.maximum(size, 1))), 255).astype(U64)
+    four = low.astype(U64) & U64(15)
+    shift = U64(4) * np.arange(16, dtype=U64)
+    return (octave << U64(56)) | (four[:, :14] << shift[:14]).sum(axis=1, dtype=U64), (four[:, 14:COMPARED] << shift).sum(axis=1, dtype=U64)
+
+
+#: The largest step of sizes that the edit similarity allows is rounded up; octaves of short lines are below this one.
+SHORT_OCTAVE = int(16 * np.log2(SHORT))
+FOURTHS = 0x1111111111111111
+
+
+def sketch_test(similarity: float):
+    """(alike, later) of two arrays of sketches: enough equal min-hashes and sizes near enough; for the latter alone."""
+    reach = int(np.ceil(-16 * np.log2(similarity)))
+
+    def equal(x: np.ndarray, ones: int) -> np.ndarray:
+        x = x | (x >> U64(1))
+        return np.bitwise_count(~(x | (x >> U64(2))) & U64(ones))
+
+    def test(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        octave = b[:, 0] >> U64(56)
+        later = octave - (a[:, 0] >> U64(56)) <= reach
+        same = equal(a[:, 0] ^ b[:, 0], FOURTHS >> 8) + equal(a[:, 1] ^ b[:, 1], FOURTHS)
+        return later & ((same >= AGREE) | (octave < SHORT_OCTAVE)), later
+
+    return test
+
+
 def common_start(a: str, b: str) -> int:
     """Length of the longest common prefix, by halving."""
     low, high = 0, min(len(a), len(b))
@@ -89,8 +163,8 @@ def common_start(a: str, b: str) -> int:
     return low
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance: a column of the table at a time, its steps up and down as bits of two integers."""
+def edit_distance(a: str, b: str, limit: int | None = None) -> int:
+    """Levenshtein distance, or some number above `limit` if it is; a column of the table at a time, its steps up and down as bits of two integers."""
     same = common_start(a, b)
     a, b = a[same:], b[same:]
     same = common_start(a[::-1], b[::-1])
@@ -108,18 +182,20 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = int.from_bytes(bits, "little")
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
         match = where.get(c, 0)
         diagonal = (((match & up) + up) ^ up) | match | down
-        right, left = down | (full & ~(diagonal | up)), up & diagonal
-        distance += bool(right & last) - bool(left & last)
+        right, lower = down | (full & ~(diagonal | up)), up & diagonal
+        distance += bool(right & last) - bool(lower & last)
+        if limit is not None and distance - left > limit:
+            return distance - left
         right = ((right << 1) | 1) & full
-        up, down = ((left << 1) & full) | (full & ~(diagonal | right)), right & diagonal
+        up, down = ((lower << 1) & full) | (full & ~(diagonal | right)), right & diagonal
     return distance
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, number, line, simhash, size) of every line with a word; size is the normal form's length."""
+    """(doc, text_hash, number, line, minima, size) of every line with a word; size is the normal form's length, which short lines have after their min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,14 +206,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
                     continue
                 words = block.word_hashes()
                 line = span_hashes(words, first, end)
-                near = simhash(words, first, end)
+                low, text, start, stop = minima(block, first, end)
                 points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
                 letters = np.concatenate([[0], np.cumsum(points[block.ends] - points[block.starts])])
                 size = letters[end] - letters[first] + (end - first) - 1
-                columns = (ids[block.first + doc], hashes[block.first + doc], number, line.view(np.int64), near.view(np.int64), size)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc", "text_hash", "number", "line", "simhash", "size"])
+                near = [low[k].tobytes() + (text[start[k] : stop[k]].tobytes() if size[k] < SHORT else b"") for k in range(len(size))]
+                columns = (ids[block.first + doc], hashes[block.first + doc], number, line.view(np.int64), pa.array(near, pa.binary()), size)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc", "text_hash", "number", "line", "minima", "size"])
 
-    return docs.mapInArrow(run, "doc long, text_hash long, number long, line long, simhash long, size long")
+    return docs.mapInArrow(run, "doc long, text_hash long, number long, line long, minima binary, size long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -166,36 +243,55 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut_lineage(found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("normal").alias("normal")), "lines-texts")
 
 
-def removed_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def removed_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY) -> DataFrame:
     """(doc, text_hash, number) of every line that is not its group's first; `docs` has doc, text and text_hash."""
     lines = cut_lineage(lines_of(docs), "lines-all")
-    once = lines.groupBy("line").agg(F.min(F.struct("doc", "text_hash", "number")).alias("first"), F.min("simhash").alias("simhash"), F.min("size").alias("size"), F.count(F.lit(1)).alias("times"))
+    once = lines.groupBy("line").agg(F.min(F.struct("doc", "text_hash", "number")).alias("first"), F.min("minima").alias("minima"), F.min("size").alias("size"), F.count(F.lit(1)).alias("times"))
     once = cut_lineage(once, "lines-distinct")
 
+    def low_of(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        near = batch.column("minima").to_pylist()
+        low = np.frombuffer(b"".join(x[: 2 * MINIMA] for x in near), dtype=np.uint16).reshape(-1, MINIMA)
+        return near, low, batch.column("size").to_numpy(zero_copy_only=False)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = line_keys(batch.column("simhash").to_numpy(zero_copy_only=False).view(U64), distance, blocks).view(np.int64)
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
-            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("line"), batch.column("simhash"), lists], ["id", "sketch", "keys"])
-
-    n_keys = len(list(combinations(range(blocks), blocks - distance)))
-    rows = once.select("line", "simhash")
-    # Most keys are shared by chance; nearness is told by the hashes before any text is fetched.
-    members = shared_members(rows.mapInArrow(keyed, "id long, sketch long, keys array<long>"), n_keys, "lines", distance)
-    hashes = once.select(F.col("line").alias("id"), "simhash", "size")
+            near, low, size = low_of(batch)
+            keys = [k if n >= SHORT - 2 else k[:0] for k, n in zip(minima_keys(low), size.tolist())]
+            for at in np.flatnonzero((size >= LEAST) & (size < SHORT)).tolist():
+                keys[at] = np.concatenate([keys[at], short_keys(near[at][2 * MINIMA :])])
+            offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.empty(0, dtype=U64)]).view(np.int64)))
+            sketch = [pa.array(x.view(np.int64)) for x in sketches(low, size)]
+            yield pa.RecordBatch.from_arrays([batch.column("line"), *sketch, lists], ["id", "sketch", "more", "keys"])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, low, size = low_of(batch)
+            sketch = [pa.array(x.view(np.int64)) for x in sketches(low, size)]
+            yield pa.RecordBatch.from_arrays([batch.column("line"), *sketch, batch.column("size")], ["id", "sketch", "more", "size"])
+
+    rows = once.select("line", "minima", "size")
+    # Most keys are shared by chance; nearness is told by the sketches before any text is fetched.
+    members = shared_members(rows.mapInArrow(keyed, "id long, sketch long, more long, keys array<long>"), MINIMA, "lines", alike=sketch_test(similarity))
+    hashes = cut_lineage(rows.mapInArrow(sketched, "id long, sketch long, more long, size long"), "lines-sketches")
     texts = texts_of(docs, members.select(F.col("id").alias("line")))
 
-    def near(x: str, y: str):
-        """Near hashes, and lengths that the edit similarity allows."""
+    def equal(x: str, y: str, name: str, ones: int) -> Column:
+        bits = F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}"))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        return F.bit_count(F.bitwise_not(bits.bitwiseOR(F.shiftrightunsigned(bits, 2))).bitwiseAND(F.lit(ones)))
+
+    def near(x: str, y: str) -> Column:
+        """Enough equal min-hashes, unless short, and lengths that the edit similarity allows."""
         longer = F.greatest(f"{x}.size", f"{y}.size")
-        alike = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= F.floor((1 - similarity) * longer + 1e-9)
-        return alike & (F.bit_count(F.col(f"{x}.simhash").bitwiseXOR(F.col(f"{y}.simhash"))) <= distance)
+        fits = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= F.floor((1 - similarity) * longer + 1e-9)
+        return fits & ((longer < SHORT) | (equal(x, y, "sketch", FOURTHS >> 8) + equal(x, y, "more", FOURTHS) >= AGREE))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [
-                edit_distance(p, q) <= int((1 - similarity) * max(len(p), len(q)) + 1e-9)
+                edit_distance(p, q, most := int((1 - similarity) * max(len(p), len(q)) + 1e-9)) <= most
                 for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())
             ]
             yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
