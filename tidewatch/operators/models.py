@@ -99,6 +99,12 @@ def grid_search(
     return metrics.grid_choice(table)
 
 
+def refit_winner(candidates: DataFrame, train: DataFrame, features: Sequence[str], trees: int = 200) -> PipelineModel:
+    """The chosen candidate of ``grid_search``, trained on all of ``train``."""
+    best = candidates.filter("chosen").first()
+    return train_forest(train, features, trees, best["leaf"], best["depth"], best["weights"])
+
+
 # --- anomaly forest --------------------------------------------------------
 
 TREES, SAMPLE = 100, 256

@@ -33,18 +33,25 @@ def validation(train):
 @register("ml_random_forest")
 def random_forest(spark, sf):
     s = labelled_flows(spark, sf)
-    model = models.train_forest(s.filter("NOT is_test"), FEATURES, trees=20, depth=10)
+    model = models.train_forest(s.filter("NOT is_test"), FEATURES)
     out = models.forest_probabilities(model, s.filter("is_test"), FEATURES)
     name, conf = metrics.predict_argmax(F.col("probabilities"))
     return out.select("flow_id", "label", name.alias("pred"), conf.alias("confidence"))
 
 
+def searched(v):
+    """The twelve candidates on a fifth of the training rows, the winner by the validation rows marked."""
+    train = v.filter("NOT is_valid").drop("k", "is_valid")
+    sub = prep.stratified_split(train.withColumn("k", F.concat(F.lit("s"), "flow_id")), "k", out="chosen")
+    return models.grid_search(sub.filter("chosen").drop("chosen", "k"), v.filter("is_valid"), FEATURES)
+
+
 @register("ml_random_forest_tuned")
 def random_forest_tuned(spark, sf):
-    """Fit, calibrate thresholds on validation rows, score the test rows."""
+    """Search, refit the winner on all training rows, calibrate thresholds on the validation rows among them, score the test rows."""
     s = labelled_flows(spark, sf)
-    v = validation(s.filter("NOT is_test"))
-    model = models.train_forest(v.filter("NOT is_valid"), FEATURES, trees=20, depth=10, scheme="custom")
+    v = cut_lineage(validation(s.filter("NOT is_test")), "validation")
+    model = models.refit_winner(searched(v), v, FEATURES)
     valid = models.forest_probabilities(model, v.filter("is_valid"), FEATURES)
     best = {r["class"]: r["threshold"] for r in metrics.best_thresholds(valid, F.col("probabilities")).collect()}
     test = models.forest_probabilities(model, s.filter("is_test"), FEATURES)
@@ -55,11 +62,8 @@ def random_forest_tuned(spark, sf):
 
 @register("ml_grid_search")
 def grid_search(spark, sf):
-    """The twelve candidates on a fifth of the training rows, the winner by the validation rows marked."""
-    v = cut_lineage(validation(labelled_flows(spark, sf).filter("NOT is_test")), "validation")
-    train = v.filter("NOT is_valid").drop("k", "is_valid")
-    sub = prep.stratified_split(train.withColumn("k", F.concat(F.lit("s"), "flow_id")), "k", out="chosen")
-    return models.grid_search(sub.filter("chosen").drop("chosen", "k"), v.filter("is_valid"), FEATURES, trees=5)
+    """The candidates of the search; ml_random_forest_tuned refits the winner."""
+    return searched(cut_lineage(validation(labelled_flows(spark, sf).filter("NOT is_test")), "validation"))
 
 
 def _anomaly(spark, sf):
@@ -102,7 +106,7 @@ def sequence_classifier(spark, sf):
     train = prep.sequences(s.filter("NOT is_test"), "label", "chunk", ["start_us", "flow_id"], vec)
     test = prep.sequences(s.filter("is_test"), "label", "chunk", ["start_us", "flow_id"], vec, stride=10)
     train = cut_lineage(train, "sequences")
-    model = models.train_sequence_classifier(train, prep.WINDOW * len(FEATURES), rounds=30)
+    model = models.train_sequence_classifier(train, prep.WINDOW * len(FEATURES))
     out = models.sequence_probabilities(model, test)
     name, conf = metrics.predict_argmax(F.col("probabilities"))
     return out.select("label", "start", name.alias("pred"), conf.alias("confidence"))
