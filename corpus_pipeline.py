@@ -30,9 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document of which no line is left goes as well."""
+    """Repeated lines go; a document of which no line is left but blank ones goes as well."""
     rest = op9_lines.without_double_lines(docs.select("doc_id", "text", whole(docs)))
-    left = rest.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    left = rest.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     size = F.when(F.col("n_removed") == 0, F.col("row")["n_chars"]).otherwise(F.length("text"))
     own = {"text": F.col("text"), "n_chars": size.cast(docs.schema["n_chars"].dataType)}
     return left.select(*(own.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
