@@ -3,6 +3,7 @@
 from tidewatch.llm import (  # noqa: F401
     op1_quality,
     op10_forest,
+    op11_resampling,
     op2_sentencepiece,
     op3_substrings,
     op4_tokenfiles,
