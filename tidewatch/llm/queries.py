@@ -4,6 +4,7 @@ from tidewatch.llm import (  # noqa: F401
     op1_quality,
     op10_forest,
     op11_resampling,
+    op12_centroids,
     op2_sentencepiece,
     op3_substrings,
     op4_tokenfiles,
