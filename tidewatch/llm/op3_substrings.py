@@ -23,7 +23,7 @@ rows. Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,15 +91,20 @@ class Repeated:
         return out
 
 
-def sketch(docs: DataFrame, cells: int, width: int) -> Repeated:
-    """Count-min sketch of all documents' minimisers, merged from the tasks' sketches."""
+def cell_count(size: int, per_byte: float) -> int:
+    """Cells of a sketch row for texts of `size` bytes."""
+    return min(CELL_LIMIT, max(CELL_LEAST, 1 << int(size * per_byte).bit_length()))
+
+
+def sketch(docs: DataFrame, cells: int, keys: Callable[[Block], np.ndarray]) -> Repeated:
+    """Count-min sketch of the keys of all blocks of `docs`, merged from the tasks' sketches."""
     shards = cells // SHARD_CELLS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.empty(0, dtype=U64)]
             for block in blocks(batch):
-                found.append(per_document(block, *minimisers(block, block.word_hashes(), width)))
+                found.append(keys(block))
             least = np.concatenate(found)
             for row in range(ROWS):
                 cell, times = np.unique(cells_of(least, row, cells), return_counts=True)
@@ -177,9 +182,9 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     `docs` has id, text and text_hash.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = min(CELL_LIMIT, max(CELL_LEAST, 1 << int(size * CELLS_PER_BYTE).bit_length()))
+    cells = cell_count(size, CELLS_PER_BYTE)
     buckets = U64(max(16, 1 << (size // BUCKET_BYTES).bit_length()))
-    repeated = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells, width))
+    repeated = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells, lambda block: per_document(block, *minimisers(block, block.word_hashes(), width))))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = repeated.value

@@ -5,6 +5,7 @@ from tidewatch.llm import (  # noqa: F401
     op10_forest,
     op11_resampling,
     op12_centroids,
+    op13_suffixes,
     op2_sentencepiece,
     op3_substrings,
     op4_tokenfiles,
