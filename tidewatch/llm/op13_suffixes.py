@@ -12,13 +12,14 @@ are the segments that are sorted.
 
 *Sorting.* In a segment, the anchor that follows place s is that of the window at s + 1. So a suffix
 is a chain of symbols, each the LOOK bytes from an anchor on, which settle where the next anchor
-lies; the order of chains is the order of the bytes. Symbols get ranks, and then, as in the DC3
+lies; the order of chains is the order of the bytes. Windows that a block of texts repeats are settled there, and
+only the first of them is sorted: copies and texts that repeat a word are cut down first. Symbols get ranks, and then, as in the DC3
 algorithm: chains are numbered from their end, triples of symbols are sorted at the
 places that are 1 or 2 modulo 3, and get names; unless the names tell apart all that differs within
-WIDTH bytes, the names are the symbols of the next level, a third as deep and two thirds as many;
-the places that are 0 modulo 3 are merged in with the help of the ranks behind them: against
-places 2 by (symbol, next rank), against places 1 by (symbol, symbol, next rank), counting how
-many of the other kind come before. Each sort goes over distinct keys with their numbers, ranged
+WIDTH bytes, they refine the symbols of the next level, a third as deep, in which only suffixes that
+are still alike are sorted; the places that are 0 modulo 3 are merged in with the help of the ranks behind
+them: against places 2 by (symbol, next rank), against places 1 by (symbol, symbol, next rank),
+counting how many of the other kind come before. Each sort goes over distinct keys with their numbers, ranged
 over tasks; no key's rows meet in one task.
 
 *Comparing.* In the order of ranks, neighbours with equal CORE bytes make a class. Anchors that
@@ -36,7 +37,7 @@ the text are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +50,7 @@ from pyspark.sql import types as T
 from tidewatch.llm.op3_substrings import Repeated, cell_count, sketch
 from tidewatch.llm.registry import register
 from tidewatch.llm.textblocks import BASES, BYTE_CODES, U64, Block, batches_of, mix, ragged, slices, span_hashes
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, discard
 
 WIDTH = 400
 #: Sketch cells for each byte of text.
@@ -128,29 +129,49 @@ def core_keys(shape: Shape):
     return keys
 
 
-MARKED = """row long, base long, n_bytes long, sha256 string, text binary,
+MARKED = """row long, base long, n_bytes long, sha256 string, text binary, known array<long>, many array<long>,
     at array<int>, follow array<int>, low array<int>, high array<int>, core array<long>"""
+ANCHORS = ("at", "follow", "low", "high", "core")
+
+
+def seen_before(block: Block, p: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window: whether an earlier one of the block is equal, and whether any is."""
+    first, second = (span_hashes(BYTE_CODES[lane][block.data], p, p + width, lane) for lane in (0, 1))
+    order = np.lexsort((second, first))
+    same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+    later, some = np.zeros(len(p), dtype=bool), np.zeros(len(p), dtype=bool)
+    later[order[1:]] = same
+    some[order[:-1]] = same
+    return later, some | later
 
 
-def marked_block(block: Block, known: Repeated, shape: Shape) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each document with segments: its anchors' places, followers (-1: none), least and greatest distance of a window before (-1: none), cores."""
+def marked_block(block: Block, known: Repeated, shape: Shape) -> tuple[dict[int, tuple[np.ndarray, ...]], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """What is to be sorted and what is settled, by document.
+
+    To be sorted: the anchors' places, followers (-1: none), least and greatest distance of a window before (-1: none)
+    and cores. Settled: (place, count) of runs of windows that are repeated within the block; only the first
+    of equal windows is sorted, so copies and texts that repeat a word are cut down to what differs.
+    """
     p = windows(block, shape)
     if not len(p):
-        return {}
+        return {}, {}
     anchor = anchor_of(block.data, shape)
     own = anchor[p]
     begin = firsts(own)
-    core = cores(block.data, own[begin], shape)
-    repeated = known(core)
-    size = np.diff(np.append(begin, len(own)))
-    p = p[np.repeat(repeated, size)]
+    repeated = known(cores(block.data, own[begin], shape))
+    p = p[np.repeat(repeated, np.diff(np.append(begin, len(own))))]
     if not len(p):
-        return {}
-    anchors, core = own[begin][repeated], core[repeated]
-    group = firsts(anchor[p])
-    high, low = anchors - p[group], anchors - p[np.append(group[1:], len(p)) - 1]
+        return {}, {}
+    doc = np.searchsorted(block.offsets, p, side="right") - 1
+    later, some = seen_before(block, p, shape.width)
+    settled = by_document(doc[some], p[some] - block.offsets[doc[some]])
+    p, doc = p[~later], doc[~later]
+    own = anchor[p]
+    begin = firsts(own)
+    anchors = own[begin]
+    core = cores(block.data, anchors, shape)
+    high, low = anchors - p[begin], anchors - p[np.append(begin[1:], len(p)) - 1]
     # Windows that touch make a segment; documents are apart, as no window crosses their border.
-    doc = np.searchsorted(block.offsets, p, side="right")
     cut = np.concatenate([[True], (p[1:] > p[:-1] + shape.width) | (doc[1:] != doc[:-1])])
     start, stop = p[cut], p[np.append(np.flatnonzero(cut)[1:], len(p)) - 1] + shape.width
     inside = ragged(start, stop - start - shape.look + 2)
@@ -168,7 +189,15 @@ def marked_block(block: Block, known: Repeated, shape: Shape) -> dict[int, tuple
     for d in np.flatnonzero(np.diff(border)).tolist():
         a, b = border[d], border[d + 1]
         out[d] = (element[a:b] - block.offsets[d], np.where(follow[a:b] < 0, -1, follow[a:b] - a), lows[a:b], highs[a:b], hashes[a:b])
-    return out
+    return out, settled
+
+
+def by_document(doc: np.ndarray, place: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(begin, length) of the runs of places that go up by one, of each document."""
+    begin = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1])])) if len(doc) else np.empty(0, dtype=np.int64)
+    length = np.diff(np.append(begin, len(doc)))
+    owner, cut = np.unique(doc[begin], return_index=True)
+    return {d: x for d, *x in zip(owner.tolist(), np.split(place[begin], cut[1:]), np.split(length, cut[1:]))}
 
 
 def marked(docs: DataFrame, shape: Shape, texts: bool) -> DataFrame:
@@ -187,15 +216,17 @@ def marked(docs: DataFrame, shape: Shape, texts: bool) -> DataFrame:
         for batch in batches:
             for first, end, data, offsets in batches_of(batch, "text"):
                 block = Block(first, data, offsets)
-                found = marked_block(block, known.value, shape)
+                found, settled = marked_block(block, known.value, shape)
                 n = end - first
-                rows = {k: [] for k in ("base", "sha256", "text", *ANCHORS)}
+                rows = {k: [] for k in ("base", "sha256", "text", "known", "many", *ANCHORS)}
                 for d in range(n):
                     text = data[offsets[d] : offsets[d + 1]].tobytes()
                     parts = found.get(d)
                     rows["base"].append(base)
                     rows["sha256"].append(hashlib.sha256(text).hexdigest())
-                    rows["text"].append(text if texts or parts else None)
+                    rows["text"].append(text if texts or parts or d in settled else None)
+                    for name, values in zip(("known", "many"), settled.get(d) or [None, None]):
+                        rows[name].append(values)
                     for name, values in zip(ANCHORS, parts or [None] * len(ANCHORS)):
                         rows[name].append(values)
                     base += len(parts[0]) if parts else 0
@@ -203,9 +234,9 @@ def marked(docs: DataFrame, shape: Shape, texts: bool) -> DataFrame:
                     [
                         batch.column("id").slice(first, n), pa.array(np.arange(row, row + n)), pa.array(rows["base"], pa.int64()), pa.array(np.diff(offsets)),
                         pa.array(rows["sha256"], pa.string()), pa.array(rows["text"], pa.binary()),
-                        *(pa.array(rows[k], pa.list_(pa.int64() if k == "core" else pa.int32())) for k in ANCHORS),
+                        *(pa.array(rows[k], pa.list_(pa.int32() if k in ANCHORS[:4] else pa.int64())) for k in ("known", "many", *ANCHORS)),
                     ],
-                    [schema.names[0], "row", "base", "n_bytes", "sha256", "text", *ANCHORS],
+                    [schema.names[0], "row", "base", "n_bytes", "sha256", "text", "known", "many", *ANCHORS],
                 )
                 row += n
 
@@ -213,9 +244,6 @@ def marked(docs: DataFrame, shape: Shape, texts: bool) -> DataFrame:
     return cut_lineage(docs.select("id", "text").mapInArrow(run, f"id {kind}, {MARKED}"), "suffixes-marked")
 
 
-ANCHORS = ("at", "follow", "low", "high", "core")
-
-
 def jumps(follow: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(steps to the chain's end; for each level the anchors 3 ** level and twice as many steps on), -1: none."""
     n = len(follow)
@@ -282,10 +310,10 @@ def binaries(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(content)]).cast(pa.binary())
 
 
-def ranked(rows: DataFrame, keys: list[str], counts: dict[str, Column], name: str, keep: dict[str, Column] | None = None) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], counts: dict[str, Column], kept: Callable[[DataFrame, str], DataFrame], name: str, keep: dict[str, Column] | None = None) -> DataFrame:
     """The distinct keys (or `keep` made of them) with each count's sum at the key, and `before_<count>`: at all lesser keys.
 
-    Keys are put in order by range; equal ones are counted before they move.
+    Keys are put in order by range; equal ones are counted before they move. `kept` writes a table.
     """
     keep = keep or {k: F.col(k) for k in keys}
     distinct = rows.groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in counts.items()))
@@ -304,7 +332,7 @@ def ranked(rows: DataFrame, keys: list[str], counts: dict[str, Column], name: st
                 total[n] = int(upto[-1]) if len(upto) else total[n]
             yield pa.RecordBatch.from_arrays([*batch.columns, *inside, pa.array([part] * batch.num_rows, pa.int64())], out)
 
-    placed = cut_lineage(ordered.mapInArrow(run, schema), name)
+    placed = kept(ordered.mapInArrow(run, schema), name)
     sums = placed.groupBy("part").agg(*(F.sum(n).alias(n) for n in counts))  # one row for each task
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offset = sums.select("part", *(F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(f"offset_{n}") for n in counts))
@@ -312,40 +340,66 @@ def ranked(rows: DataFrame, keys: list[str], counts: dict[str, Column], name: st
     return placed.join(offset, "part").select(*keep, *counts, *before)
 
 
-def suffix_ranks(chains: DataFrame, syms: DataFrame, level: int, shape: Shape) -> DataFrame:
-    """(id, rank): 1 + how many of the suffixes in `syms` (id, sym) are less, right for all that differ within a window's bytes.
+def suffix_ranks(chains: DataFrame, syms: DataFrame, level: int, shape: Shape, open_: DataFrame | None = None) -> DataFrame:
+    """(id, rank) of the open suffixes (id; None: all): 1 + how many open ones are less, right for all that differ within a window's bytes.
 
-    `chains` has the columns of `symbols` for these suffixes and more.
+    `chains` has the columns of `symbols`, `syms` (id, sym) the symbols of all places of this level: what
+    lies behind an open suffix may have been settled by an earlier level. A symbol is a rank, 1 + how many
+    places have a lesser one, so that finer ones fit in between.
     """
+    trash: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        trash.append(cut_lineage(df, f"suffixes-{name}-{level}"))
+        return trash[-1]
+
     step = lambda name: F.col(f"{name}{level}")
     to = lambda name: F.when(step(name) > 0, F.col("id") + step(name)).otherwise(-1 - F.col("id")).alias(name)
     kind = (F.floor(F.col("steps") / 3**level) % 3).cast("int").alias("kind")
-    e = syms.join(chains.select("id", kind, to("one"), to("two"), F.col(f"reach{level + 1}").alias("reach")), "id")
+    e = syms if open_ is None else syms.join(open_, "id", "left_semi")
+    e = e.join(chains.select("id", kind, to("one"), to("two"), F.col(f"reach{level + 1}").alias("reach")), "id")
     for there, s in (("one", "s1"), ("two", "s2")):
         e = e.join(syms.select(F.col("id").alias(there), F.col("sym").alias(s)), there, "left")
-    e = cut_lineage(e.select("id", "kind", "one", "two", "reach", "sym", F.coalesce("s1", F.lit(0)).alias("s1"), F.coalesce("s2", F.lit(0)).alias("s2")), f"suffixes-level-{level}")
+    e = kept(e.select("id", "kind", "one", "two", "reach", "sym", F.coalesce("s1", F.lit(0)).alias("s1"), F.coalesce("s2", F.lit(0)).alias("s2")), "open")
 
     triple = ["sym", "s1", "s2"]
     sampled = e.where("kind > 0")
-    names = ranked(sampled, triple, {"n": F.lit(1)}, f"suffixes-names-{level}")
-    named = sampled.select("id", "reach", *triple).join(names, triple).select("id", (F.col("before_n") + 1).alias("sym"), "n", "reach")
-    named = cut_lineage(named, f"suffixes-named-{level}")
+    # A chain that ends behind the triple comes first.
+    sampled = sampled.select("id", "reach", *triple, (F.col("reach") > 0).cast("int").alias("goes"))
+    names = ranked(sampled, [*triple, "goes"], {"n": F.lit(1)}, kept, "names")
+    named = kept(sampled.join(names, [*triple, "goes"]).select("id", "sym", (F.col("before_n") + 1).alias("name"), "n", "reach"), "named")
+    # A name that one suffix has, or that reaches over a window, settles its order; rows of one name are alike in this.
     alike = named.where((F.col("n") > 1) & (F.col("reach") > 0) & (F.col("reach") < shape.width))
-    up = named.select("id", F.col("sym").alias("rank"))
+    up = named.select("id", F.col("name").alias("rank"))
     if level + 1 < shape.levels and not alike.isEmpty():
-        up = suffix_ranks(chains, named.select("id", "sym"), level + 1, shape)
-
+        # The next symbols: settled places keep theirs, the others' names come in between.
+        least = named.groupBy("sym").agg(F.min("name").alias("least"))
+        finer = named.join(least, "sym").select("id", (F.col("sym") + F.col("name") - F.col("least")).alias("finer"))
+        after = syms.join(chains.select("id", kind).where("kind > 0"), "id").join(finer, "id", "left")
+        inner = suffix_ranks(chains, kept(after.select("id", F.coalesce("finer", "sym").alias("sym")), "symbols"), level + 1, shape, alike.select("id"))
+        trash.append(inner)
+        inside = alike.select("id", "name").join(inner, "id")
+        first = inside.groupBy("name").agg(F.min("rank").alias("first"))
+        more = inside.join(first, "name").select("id", (F.col("rank") - F.col("first")).alias("more"))
+        up = kept(up.join(more, "id", "left").select("id", (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank")), "up")
+
+    # Ranks of settled places are not known here; their symbols tell them apart from open ones.
     for there, r in (("one", "r1"), ("two", "r2"), ("id", "rank")):
         e = e.join(up.select(F.col("id").alias(there), F.col("rank").alias(r)), there, "left")
-    e = cut_lineage(e.select("id", "kind", "sym", "s1", F.coalesce("r1", F.lit(0)).alias("r1"), F.coalesce("r2", F.lit(0)).alias("r2"), "rank"), f"suffixes-ranked-{level}")
+    behind = (F.coalesce(r, F.lit(0)).alias(r) for r in ("r1", "r2"))
+    merged = kept(e.select("id", "kind", *triple, *behind, "rank"), "merged")
+    near, far = ["sym", "s1", "r1"], ["sym", "s1", "s2", "r2"]
     count = lambda k: F.when(F.col("kind") == k, 1).otherwise(0)
-    with_two = ranked(e.where("kind != 1"), ["sym", "r1"], {"zero": count(0), "two": count(2)}, f"suffixes-two-{level}")
-    with_one = ranked(e.where("kind != 2"), ["sym", "s1", "r2"], {"zero": count(0), "one": count(1)}, f"suffixes-one-{level}")
-    near, far = with_two.selectExpr("sym", "r1", "before_zero AS a0", "before_two AS a2"), with_one.selectExpr("sym", "s1", "r2", "before_zero AS b0", "before_one AS b1")
-    zeros = e.where("kind = 0").join(near, ["sym", "r1"]).join(far, ["sym", "s1", "r2"]).selectExpr("id", "1 + a0 + a2 + b1 AS rank")
-    ones = e.where("kind = 1").join(far, ["sym", "s1", "r2"]).selectExpr("id", "rank + b0 AS rank")
-    twos = e.where("kind = 2").join(near, ["sym", "r1"]).selectExpr("id", "rank + a0 AS rank")
-    return cut_lineage(zeros.union(ones).union(twos), f"suffixes-ranks-{level}")
+    with_two = ranked(merged.where("kind != 1"), near, {"zero": count(0), "two": count(2)}, kept, "two")
+    with_one = ranked(merged.where("kind != 2"), far, {"zero": count(0), "one": count(1)}, kept, "one")
+    with_two = with_two.select(*near, F.col("before_zero").alias("a0"), F.col("before_two").alias("a2"))
+    with_one = with_one.select(*far, F.col("before_zero").alias("b0"), F.col("before_one").alias("b1"))
+    zeros = merged.where("kind = 0").join(with_two, near).join(with_one, far).selectExpr("id", "1 + a0 + a2 + b1 AS rank")
+    ones = merged.where("kind = 1").join(with_one, far).selectExpr("id", "rank + b0 AS rank")
+    twos = merged.where("kind = 2").join(with_two, near).selectExpr("id", "rank + a0 AS rank")
+    out = cut_lineage(zeros.union(ones).union(twos), f"suffixes-ranks-{level}")
+    discard(*trash)
+    return out
 
 
 MEMBER = "id long, row long, at int, low int, high int, core long, digest binary"
@@ -460,22 +514,26 @@ def spans(found: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, shape: Shape) -> DataFrame | None:
-    """(row, first, count) of all runs of repeated windows in `rows` (what `marked` gives), or None if no row has an anchor."""
+    """(row, first, count) of all runs of repeated windows that `rows` (what `marked` gives) has not settled, or None if no row has an anchor."""
     held = rows.where("at IS NOT NULL")
     anchors = cut_lineage(symbols(held.select("base", "text", "at", "follow"), shape), "suffixes-anchors")
     if anchors.isEmpty():
         return None
     digest = F.unhex(F.md5("symbol"))
-    names = ranked(anchors, ["symbol"], {"n": F.lit(1)}, "suffixes-symbols", {"digest": digest})
-    syms = anchors.select("id", digest.alias("digest")).join(names.selectExpr("digest", "before_n + 1 AS sym"), "digest")
-    ranks = suffix_ranks(anchors.drop("symbol"), cut_lineage(syms.select("id", "sym"), "suffixes-start"), 0, shape)
-
-    first = {c: F.first(c).alias(c) for c in ("low", "high", "core", "left", "rest")}
-    context = members(held.select("row", "base", "text", "at", "low", "high", "core"), shape, True)
-    distinct = context.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *first.values()).join(ranks, "id")
+    names = ranked(anchors, ["symbol"], {"n": F.lit(1)}, cut_lineage, "suffixes-alphabet", {"digest": digest})
+    start = anchors.select("id", digest.alias("digest")).join(names.selectExpr("digest", "before_n + 1 AS sym"), "digest").select("id", "sym")
+    start = cut_lineage(start, "suffixes-start")
+    ranks = suffix_ranks(anchors.drop("symbol"), start, 0, shape)
+    discard(anchors, start)
+
+    first = (F.first(c).alias(c) for c in ("low", "high", "core", "left", "rest"))
+    parts = held.select("row", "base", "text", "at", "low", "high", "core")
+    distinct = members(parts, shape, True).groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *first).join(ranks, "id")
     marks = cut_lineage(repeated_windows(distinct.drop("id"), shape), "suffixes-marks")
-    each = members(held.select("row", "base", "text", "at", "low", "high", "core"), shape, False).select("row", "at", "digest")
-    return cut_lineage(spans(each.join(marks, "digest").select("row", "at", "marks"), shape.span), "suffixes-spans")
+    each = members(parts, shape, False).select("row", "at", "digest")
+    found = cut_lineage(spans(each.join(marks, "digest").select("row", "at", "marks"), shape.span), "suffixes-spans")
+    discard(ranks, marks)
+    return found
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, texts: bool = True) -> DataFrame:
@@ -492,12 +550,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in (part for whole in batches for part in slices(whole)):
             n_removed, n_spans, digests, kept = [], [], batch.column("sha256").to_pylist(), []
             for k in range(batch.num_rows):
-                firsts_, text = batch.column("first")[k].as_py(), batch.column("text")[k].as_py()
+                first, count = ([x for c in cs for x in batch.column(c)[k].as_py() or ()] for cs in (("known", "first"), ("many", "count")))
+                text = batch.column("text")[k].as_py()
                 removed = runs = 0
-                if firsts_:
+                if first:
                     gone = np.zeros(len(text) + 1, dtype=np.int64)
-                    np.add.at(gone, firsts_, 1)
-                    np.add.at(gone, np.array(firsts_) + np.array(batch.column("count")[k].as_py()) + width - 1, -1)
+                    np.add.at(gone, first, 1)
+                    np.add.at(gone, np.array(first) + np.array(count) + width - 1, -1)
                     out = np.cumsum(gone[:-1]) > 0
                     removed, runs = int(out.sum()), int(out[0]) + int((out[1:] & ~out[:-1]).sum())
                     text = np.frombuffer(text, dtype=np.uint8)[~out].tobytes()
@@ -509,12 +568,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if texts else [])], names)
 
     none = F.lit(None).cast("array<long>")
-    plain = rows.where("at IS NULL").select("id", "n_bytes", "sha256", "text", none.alias("first"), none.alias("count"))
+    own = ["id", "n_bytes", "sha256", "text", "known", "many"]
     if found is None:
-        return plain.mapInArrow(cut, schema)
+        return rows.select(*own, none.alias("first"), none.alias("count")).mapInArrow(cut, schema)
+    plain = rows.where("at IS NULL").select(*own, none.alias("first"), none.alias("count"))
     per_row = found.groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
-    open_ = rows.where("at IS NOT NULL").select("id", "row", "n_bytes", "sha256", "text").join(per_row, "row", "left")
-    open_ = open_.select("id", "n_bytes", "sha256", "text", F.col("runs.first").alias("first"), F.col("runs.count").alias("count"))
+    open_ = rows.where("at IS NOT NULL").select("row", *own).join(per_row, "row", "left")
+    open_ = open_.select(*own, F.col("runs.first").alias("first"), F.col("runs.count").alias("count"))
     return plain.union(open_).mapInArrow(cut, schema)
 
 
