@@ -418,6 +418,14 @@ def rule_totals(hits: DataFrame) -> DataFrame:
 # --- rate thresholds -------------------------------------------------------
 
 
+def thresholds(rules: DataFrame) -> DataFrame:
+    """Kind, tracked side, count and span (microseconds) of the rules that have a rate threshold."""
+    return rules.filter("threshold_type IS NOT NULL").select(
+        "rule_id", "threshold_type", "threshold_track", F.col("threshold_count").cast("long").alias("need"),
+        (F.col("threshold_seconds") * F.lit(1_000_000).cast("long")).alias("span"),
+    )
+
+
 def rate_alerts(
     matches: DataFrame, rules: DataFrame, t: str = "t_us", row_id: str = "packet_id", chunk_us: int = 300_000_000
 ) -> DataFrame:
@@ -429,10 +437,7 @@ def rate_alerts(
     chunked positions, the look-back is an equi-join on the place, so a flooding
     address is spread over many tasks.
     """
-    spec = rules.filter("threshold_type IS NOT NULL").select(
-        "rule_id", "threshold_type", "threshold_track", F.col("threshold_count").alias("need"),
-        (F.col("threshold_seconds") * F.lit(1_000_000).cast("long")).alias("span"),
-    )
+    spec = thresholds(rules)
     keys = ["rule_id", "tracked"]
     seen = matches.select("rule_id", F.col(t).alias("t"), F.col(row_id).alias("id"), "src_ip", "dst_ip")
     m = (

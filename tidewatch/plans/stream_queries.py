@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts as alert_ops
-from tidewatch.operators import flows
+from tidewatch.operators import correlate, flows, rules
 from tidewatch.plans import adapters as ad
 from tidewatch.plans import flow_queries as fq
+from tidewatch.plans import rule_queries as rq
 from tidewatch.plans import verdict_queries as vq
 from tidewatch.plans.alert_queries import APPLIED_SQL
-from tidewatch.plans.catalog import r, register, rounded
+from tidewatch.plans.catalog import ORACLES, r, register, rounded
 from tidewatch.streaming import streams
 
 A = ad.cte("alerts")
@@ -44,6 +45,65 @@ def dedup(spark, sf):
     return out.filter("kind = 'closed'").join(opened, "event_id").select("event_id", "src_ip", "dst_ip", "attack_type", "t_us", "dup_count")
 
 
+def chained(spark, sf, group_us):
+    """What the three correlation operators give one behind the other, on events out of order."""
+    s, delay = streams.replay(vq.gated(spark, sf).select("event_id", "t_us", "src_ip", "dst_ip", "attack_type", "severity"))
+    return streams.drained(streams.chain_stream(s, vq.DEDUP, group_us, delay), "chains")
+
+
+def group_id():
+    return F.md5(F.concat_ws("|", "src_ip", F.col("group_start_us").cast("string"))).alias("group_id")
+
+
+@register("stream_groups", f"WITH RECURSIVE {vq.grouped_sql(vq.SHORT_GROUP)} SELECT event_id, src_ip, attack_type, group_id, group_start_us, is_new_group FROM grouped")
+def stream_groups(spark, sf):
+    s, delay = streams.replay(vq.gated(spark, sf).select("event_id", "t_us", "src_ip", "dst_ip", "attack_type", "severity"))
+    out = streams.drained(streams.group_stream(s, vq.DEDUP, vq.SHORT_GROUP, delay), "groups")
+    return out.filter("kind = 'alert'").select("event_id", "src_ip", "attack_type", group_id(), "group_start_us", "is_new_group")
+
+
+@register("stream_chains", vq.chain_sql(vq.GROUP))
+def stream_chains(spark, sf):
+    """Each alert when it came, with the number of duplicates that its window held back when it closed."""
+    out = chained(spark, sf, vq.GROUP)
+    closed = out.filter("kind = 'closed'").select("event_id", "dup_count")
+    return out.filter("kind = 'alert'").drop("dup_count").join(closed, "event_id").select(
+        "event_id", group_id(), "is_new_group", "dup_count", F.array_join("chain_attack_types", ",").alias("types"),
+        "attack_chain", correlate.rank_severity(F.col("composite_rank")).alias("composite_severity"),
+    )
+
+
+@register("stream_correlation_counters", ORACLES["cor_counters"])
+def stream_correlation_counters(spark, sf):
+    return streams.correlation_counters(chained(spark, sf, vq.SHORT_GROUP), vq.AT)
+
+
+HELD = "event_id % 7 = 3"
+
+
+@register(
+    "stream_late_rows",
+    f"""WITH RECURSIVE {vq.GATED_SQL}, early AS (SELECT * FROM gated WHERE NOT ({HELD})), {vq.anchor_sql("early", vq.correlate.DEDUP_KEY, vq.DEDUP, "marked")}
+SELECT 'late' AS part, event_id, t_us, 1 AS n FROM gated WHERE {HELD}
+UNION ALL SELECT 'window', min(event_id) FILTER (opens), anchor, count(*) FROM marked GROUP BY src_ip, dst_ip, attack_type, anchor""",
+)
+def stream_late_rows(spark, sf):
+    """Events that come after the watermark go to a side table; windows and late rows add up to the input."""
+    events = vq.gated(spark, sf).select("event_id", "t_us", "src_ip", "dst_ip", "attack_type")
+    s, delay = streams.replay(events.filter(f"NOT ({HELD})"), held=events.filter(HELD))
+    on_time, late = streams.split_late(streams.drained(streams.duplicate_stream(s, vq.DEDUP, delay, late=True), "late"))
+    windows = on_time.filter("kind = 'closed'").select(F.lit("window").alias("part"), "event_id", "t_us", (F.col("dup_count") + 1).alias("n"))
+    return late.select(F.lit("late").alias("part"), F.col("id").alias("event_id"), "t_us", F.lit(1).cast("long").alias("n")).union(windows)
+
+
+@register("stream_rate_threshold", ORACLES["sig_rate_threshold"])
+def stream_rate_threshold(spark, sf):
+    t = rq.rule_table(spark)
+    matches = rules.all_matches(rq.packets(spark, sf), t).select("rule_id", "t_us", "packet_id", "src_ip", "dst_ip")
+    s, delay = streams.replay(matches)
+    return streams.drained(streams.rate_stream(s, t, delay), "rates")
+
+
 @register(
     "stream_recent_vectors",
     f"""WITH {ad.cte("scores")}, w AS (SELECT event_id, list(rf_conf) OVER (PARTITION BY src_ip ORDER BY t_us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l FROM scores)

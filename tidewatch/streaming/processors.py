@@ -1,10 +1,14 @@
-"""Keyed state for streams: duplicate windows, flows, recent vectors, alert workflow.
+"""Keyed state for streams: duplicate windows, groups, chains, rate thresholds, flows, recent vectors, alert workflow.
 
 Rows wait in state until the watermark has passed them and are then taken in event-time
 order, so it does not matter in which micro-batch a row comes as long as it is not later
 than the watermark's delay. What is kept besides is a few numbers per key; event-time
 timers drop it once no row can touch it any more. A row without an id only moves the
 watermark on (a heartbeat, or the end of the input).
+
+Processors can stand in a chain: each hands on its rows in the micro-batch in which the watermark
+passes them, with ``ts``, the watermark of that batch, as their event time; the next one orders
+them by ``t_us`` again. The first of a chain can give late rows out instead of having them dropped.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.alerts import RESOLUTION_TYPES, STATES, TRANSITIONS
+from tidewatch.operators.correlate import SEVERITY_RANK
 from tidewatch.operators.flows import FEATURES
 
 
@@ -23,12 +28,23 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+#: columns of a late row: its time and id
+LATE = "late_t_us long, late_id long"
+
+
+def _widened(pdf: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    out = pdf.reindex(columns=columns).astype(object)
+    return out.where(out.notna(), None)
+
+
 class InOrder(StatefulProcessor):
     """Gives ``advance`` the rows of a key in event-time order, each once, when the watermark has passed them."""
 
     #: columns that are kept of a waiting row; ``t_us`` and then the row's id first
     row: str
     schema: str
+    #: whether rows behind the watermark come out at once, with nothing but LATE set; for the first of a chain only
+    gives_late = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -44,19 +60,28 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         names = _names(self.row)
-        last = None
+        least, late = None, []
         for pdf in rows:
             pdf = pdf.loc[pdf[names[1]].notna(), names]
+            if self.gives_late:
+                behind = pdf["t_us"].to_numpy(np.int64) // 1000 < timerValues.getCurrentWatermarkInMs()
+                late.append(pdf.loc[behind, names[:2]])
+                pdf = pdf.loc[~behind]
             if len(pdf):
                 plain = pdf.astype(object).itertuples(index=False, name=None)
                 self.waiting.appendList([tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in plain])
-                last = max(last or 0, int(pdf["t_us"].max()))
-        if last is not None:
-            self.handle.registerTimer(last // 1000 + 1)
-        return iter(())
+                first = int(pdf["t_us"].min())
+                least = first if least is None else min(least, first)
+        if least is not None:
+            self.due(least)
+        if any(map(len, late)):
+            out = pd.concat(late, ignore_index=True).set_axis(_names(LATE), axis=1)
+            yield _widened(out, [*_names(self.schema), *_names(LATE)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
+        # rows of the milliseconds whose timers have run out, so that each comes with the first watermark beyond it
+        self.watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+        now = self.watermark_us - 1001
         names = _names(self.row)
         ready, later = [], []
         if self.waiting.exists():
@@ -64,10 +89,13 @@ class InOrder(StatefulProcessor):
                 (ready if r[0] <= now else later).append(tuple(r))
             if ready:
                 self.waiting.put(later) if later else self.waiting.clear()
+            if later:
+                self.due(min(r[0] for r in later))
         pdf = pd.DataFrame(ready, columns=names).sort_values(names[:2], ignore_index=True)
         out = self.advance(key, pdf, now)
         if out:
-            yield pd.DataFrame(out, columns=_names(self.schema))
+            out = pd.DataFrame(out, columns=_names(self.schema))
+            yield _widened(out, [*out.columns, *_names(LATE)]) if self.gives_late else out
 
     def due(self, at_us: int) -> None:
         """Call ``advance`` again when the watermark passes a time."""
@@ -115,6 +143,140 @@ class DuplicateWindows(InOrder):
         return out
 
 
+def _moment(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
+
+
+class EmittedAlerts(DuplicateWindows):
+    """Duplicate windows for the operators behind them: alerts with their severity; a ``closed`` row has the time at which its window ends."""
+
+    row = "t_us long, event_id long, severity string"
+    schema = "event_id long, src_ip string, dst_ip string, attack_type string, t_us long, kind string, dup_count long, severity string, ts timestamp"
+
+    def advance(self, key, rows, now_us):
+        severity = dict(zip(rows["event_id"], rows["severity"]))
+        out = []
+        for event_id, *key_, t, kind, dup_count in super().advance(key, rows, now_us):
+            end = kind == "closed"
+            out.append((event_id, *key_, t + self.width if end else t, kind, dup_count, None if end else severity[event_id], _moment(self.watermark_us)))
+        return out
+
+
+class CorrelationGroups(InOrder):
+    """Anchored windows per source over emitted alerts: each alert with the start of its group, and one
+    ``group_closed`` row when a group ends. ``closed`` rows of the step before pass through."""
+
+    row = "t_us long, event_id long, dst_ip string, attack_type string, kind string, dup_count long, severity string"
+    schema = (
+        "src_ip string, event_id long, dst_ip string, attack_type string, t_us long, kind string, dup_count long, severity string, "
+        "group_start_us long, is_new_group boolean, ts timestamp"
+    )
+
+    def __init__(self, width_us: int):
+        self.width = width_us
+
+    def begin(self, handle):
+        self.open = handle.getValueState("open", "anchor long, event_id long")
+
+    def advance(self, key, rows, now_us):
+        state = self.open.get() if self.open.exists() else None
+        out, ts = [], _moment(self.watermark_us)
+
+        def ended():
+            return (key[0], state[1], None, None, state[0] + self.width, "group_closed", 0, None, state[0], False, ts)
+
+        for t, event_id, dst, attack, kind, dups, severity in rows.itertuples(index=False, name=None):
+            if kind != "alert":
+                out.append((key[0], event_id, dst, attack, t, kind, dups, severity, -1, False, ts))
+                continue
+            new = state is None or t > state[0] + self.width
+            if new:
+                if state is not None:
+                    out.append(ended())
+                state = (int(t), int(event_id))
+                self.due(state[0] + self.width)
+            out.append((key[0], event_id, dst, attack, t, kind, dups, severity, state[0], new, ts))
+        if state is not None and now_us >= state[0] + self.width:
+            out.append(ended())
+            state = None
+        self.open.update(state) if state is not None else self.open.clear()
+        return out
+
+
+class AttackChains(InOrder):
+    """Attack types and top severity so far in a group, at each of its alerts; the group's end gives them once more and drops the state."""
+
+    row = "t_us long, event_id long, attack_type string, kind string, dup_count long, severity string, is_new_group boolean"
+    schema = (
+        "src_ip string, group_start_us long, event_id long, t_us long, kind string, dup_count long, is_new_group boolean, "
+        "chain_attack_types array<string>, composite_rank int, attack_chain boolean"
+    )
+    ORDER = ("alert", "closed", "group_closed")  # at one time
+
+    def begin(self, handle):
+        self.seen = handle.getValueState("seen", "types array<string>, top int")
+
+    def advance(self, key, rows, now_us):
+        types, top = (set(self.seen.get()[0]), self.seen.get()[1]) if self.seen.exists() else (set(), 0)
+        out, ended = [], False
+        rows = rows.assign(place=[self.ORDER.index(k) for k in rows["kind"]]).sort_values(["t_us", "place", "event_id"])
+        for t, event_id, attack, kind, dups, severity, new, _ in rows.itertuples(index=False, name=None):
+            if kind == "alert":
+                types.add(attack)
+                top = max(top, SEVERITY_RANK.get(severity, 1))
+            ended |= kind == "group_closed"
+            have = sorted(types) if kind != "closed" else []
+            out.append((*key, event_id, t, kind, dups, new, have, top if have else None, len(have) >= 2))
+        if types and not ended:
+            self.seen.update((sorted(types), top))
+        else:
+            self.seen.clear()
+        return out
+
+
+class RateThresholds(InOrder):
+    """Matches of one rule and tracked address to rate alerts.
+
+    The state is the times of the last matches, as many as the rule counts, and where the rule alerts once
+    (``both``) or the first few times (``limit``) per span the start of the current span with its number of alerts.
+    """
+
+    row = "t_us long, packet_id long, threshold_type string, need long, span long"
+    schema = "rule_id string, tracked string, threshold_type string, t_us long, packet_id long"
+
+    def begin(self, handle):
+        self.past = handle.getValueState("past", "times array<long>, anchor long, given long, until long")
+
+    def advance(self, key, rows, now_us):
+        times, anchor, given, until = self.past.get() if self.past.exists() else ([], None, 0, 0)
+        times, out = list(times), []
+        if len(rows):
+            kind, need, span = rows["threshold_type"].iloc[0], int(rows["need"].iloc[0]), int(rows["span"].iloc[0])
+            t, ids = rows["t_us"].to_numpy(np.int64), rows["packet_id"].to_numpy(np.int64)
+            if kind == "limit":
+                for at, i in zip(t.tolist(), ids.tolist()):
+                    if anchor is None or at > anchor + span:
+                        anchor, given = at, 0
+                    if given < need:
+                        given += 1
+                        out.append((*key, kind, at, i))
+            else:
+                every = np.concatenate([np.array(times, dtype=np.int64), t])
+                first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                last = np.r_[first[1:], len(t)] - 1 + len(times)  # rows of one time count together
+                back = last - need + 1
+                reached = (back >= 0) & (every[np.maximum(back, 0)] >= every[last] - span)
+                for at, i in zip(t[first[reached]].tolist(), ids[first[reached]].tolist()):
+                    if kind == "threshold" or anchor is None or at > anchor + span:
+                        anchor = at
+                        out.append((*key, kind, at, i))
+                times = every[max(0, len(every) - need) :].tolist()
+            until = int(t[-1]) + span
+            self.due(until)
+        self.past.update((times, anchor, given, until)) if now_us <= until else self.past.clear()
+        return out
+
+
 # Running statistics of a number of values: how many, their mean, the squared distances from
 # it, least and greatest. Two of them merge without loss of digits.
 Stats = tuple[float, float, float, float, float]
