@@ -84,9 +84,9 @@ def greedy(times, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "factor"), [(60, 1), (60, 4), (500, 64), (3, 2), (10**7, 64), (0, 3)])
-def test_anchored_windows(table, data, width, factor):
-    out = anchored.anchored_windows(table, ["k"], "t", width, "id", factor)
+@pytest.mark.parametrize(("width", "slice_rows"), [(60, 300), (500, 700), (3, 5000), (10**7, 400), (0, 900), (5000, 250)])
+def test_anchored_windows(table, data, width, slice_rows):
+    out = anchored.anchored_windows(table, ["k"], "t", width, "id", slice_rows)
     want = {}
     for v in by_key(data).values():
         want |= greedy(v, width)
@@ -97,7 +97,7 @@ def test_anchored_periodic(spark):
     """Even spacing: chains from different starts never meet."""
     data = [("a", 7 * i, i) for i in range(3000)] + [("b", 10 * i + i % 3, 3000 + i) for i in range(3000)]
     df = spark.createDataFrame(data, "k string, t long, id long")
-    out = anchored.anchored_windows(df, ["k"], "t", 100, "id", 3)
+    out = anchored.anchored_windows(df, ["k"], "t", 100, "id", 500)
     want = {}
     for v in by_key(data).values():
         want |= greedy(v, 100)
@@ -108,7 +108,7 @@ def test_anchored_width_per_key(spark):
     data = [(f"k{i % 3}", i * 5, i) for i in range(900)]
     df = spark.createDataFrame(data, "k string, t long, id long")
     w = F.when(F.col("k") == "k0", 10).when(F.col("k") == "k1", 100).otherwise(1000)
-    out = anchored.anchored_windows(df, ["k"], "t", w, "id", 4)
+    out = anchored.anchored_windows(df, ["k"], "t", w, "id", 200)
     want = {}
     for k, v in by_key(data).items():
         want |= greedy(v, {"k0": 10, "k1": 100, "k2": 1000}[k])
@@ -120,7 +120,7 @@ def test_anchored_small_batches(spark, table, data):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        out = anchored.anchored_windows(table, ["k"], "t", 400, "id", 16)
+        out = anchored.anchored_windows(table, ["k"], "t", 400, "id", 1000)
         want = {}
         for v in by_key(data).values():
             want |= greedy(v, 400)
@@ -129,6 +129,51 @@ def test_anchored_small_batches(spark, table, data):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_one_key_is_cut_by_rows(spark):
+    """A flooding key: its windows are far longer than a slice, and no slice holds more than a set number of rows."""
+    df = spark.range(6000).selectExpr("'hot' AS k", "id * 3 + id % 2 AS t", "id")
+    placed = anchored.times_of(df.withColumn("w", F.lit(4000).cast("long")), "t", "id", 300)
+    sizes = [r["count"] for r in placed.groupBy("part").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 900 and sum(sizes) == 6000
+    for width in (4000, 5):
+        out = anchored.anchored_windows(df, ["k"], "t", width, "id", 300)
+        want = greedy([(i * 3 + i % 2, i) for i in range(6000)], width)
+        assert {r["id"]: (r["anchor"], r["opens"]) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("rows", [400, 10_000])
+def test_as_of(spark, data, rows):
+    """Against a walk; one key holds half of both sides, some keys and times are null."""
+    right = [(k, t, 10_000 + i) for k, t, i in skewed(1500, seed=4)] + [("hot", None, 1), (None, 5, 2)]
+    left = [*data, ("nowhere", 5, -1), (None, 5, -2), ("hot", None, -3), ("hot", -1, -4)]
+    schema = "k string, t long, id long"
+    r = spark.createDataFrame(right, schema).withColumnRenamed("id", "version")
+    got = ordered.as_of(spark.createDataFrame(left, schema), r, ["k"], "t", ["version"], "version", rows)
+    known = by_key([x for x in right if None not in x])
+    want = {}
+    for k, t, i in left:
+        past = [v for s, v in known.get(k, []) if t is not None and s <= t]
+        want[i] = past[-1] if past else None
+    assert got.columns == ["k", "t", "id", "version"] and {x["id"]: x["version"] for x in got.collect()} == want
+    assert sum(v is not None for v in want.values()) > 1000
+
+
+def test_slices_and_carried(spark, data):
+    df = spark.createDataFrame(data, "k string, t long, id long").withColumn("v", F.when(F.col("id") % 50 == 0, F.col("id")))
+    placed = ordered.sliced(df, ["k", "t", "id"], rows=500)
+    assert max(r["count"] for r in placed.groupBy("slice").count().collect()) <= 1500
+    pos = {r["id"]: r["pos"] for r in ordered.positions(placed, ["k"], "slice", ["t", "id"]).collect()}
+    assert pos == {i: p for v in by_key(data).values() for p, (_, i) in enumerate(v)}
+    got = {r["id"]: r["v"] for r in ordered.carried(df, ["k"], ["t", "id"], "v", 500).collect()}
+    want = {}
+    for v in by_key(data).values():
+        now = None
+        for _, i in v:
+            now = i if i % 50 == 0 else now
+            want[i] = now
+    assert got == want
+
+
 def test_fold_over_many_blocks(spark, table, data, monkeypatch):
     monkeypatch.setattr(fold, "BLOCK", 5)
     step = F.when(F.col("id") % 3 == 0, F.array(F.lit(1), F.lit(2), F.lit(0))).otherwise(

@@ -123,7 +123,7 @@ def test_rate_on_a_flooding_source(spark, table):
     data = [pkt(i, bits=2, t=t, src="9.9.9.9") for i, t in enumerate(times)]
     data += [pkt(1000 + i, bits=2, t=i * 30_000_000, src="8.8.8.8") for i in range(4)]
     df = spark.createDataFrame(data, PACKETS)
-    out = rules.rate_alerts(rules.all_matches(df, table), table, chunk_us=1_000_000)
+    out = rules.rate_alerts(rules.all_matches(df, table), table, slice_rows=100)
     want, anchor = [], None
     for i, t in enumerate(times):
         n = sum(1 for x in times if t - 10_000_000 <= x <= t)

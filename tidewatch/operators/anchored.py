@@ -5,17 +5,17 @@ The first row of a key opens a window of width W; rows up to and including
 ``window`` nor ``session_window`` expresses this, and a plain fold per key would pull
 a hot key into one task.
 
-Inside one chunk of ``factor`` widths the effect of everything before is a single
-number, the time until which rows are still covered. A chunk is therefore a step
-function "covered until on entry -> covered until on exit". It is monotone, and only
-rows in the first width of the chunk can be its first anchor, so a run-length list of
-a few rows holds it exactly. Three steps:
+The distinct times are put in order by (key, time) and cut into slices of about ``slice_rows``
+rows, wherever keys begin or end. No step sees more than a slice at once:
 
-1. per (key, chunk): build that list from the distinct times;
-2. per key: walk the lists in order (a stream with one number of state);
-3. per (key, chunk): replay the anchors with the entry value now known.
+1. per slice: how far a chain of anchors that begins at a row reaches within the slice;
+2. for keys that cross a slice's border: the row at which such a chain enters a later slice,
+   found by an as-of join, so that each row points to its entry;
+3. pointer jumping: pointers over 1, 2, 4, ... entries are joined row by row; from the key's
+   first row they give all entries of its chain, in as many rounds as the chain has binary digits;
+4. per slice: replay from the entry now known.
 
-Steps 1 and 3 see one chunk at a time, step 2 only the lists.
+All joins are on rows of distinct times, so a flooding key is spread like any other rows.
 """
 
 from __future__ import annotations
@@ -24,171 +24,104 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import ordered
+from tidewatch.session import cut_lineage
+
+SLICE_ROWS = 20_000
 NEVER = -(2**62)
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Regroup sorted Arrow batches so that no (key, chunk) is split."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        k, c = pdf["k"].to_numpy(), pdf["c"].to_numpy()
-        last = (k == k[-1]) & (c == c[-1])
-        cut = int(np.argmax(last))
-        if cut == 0 and held and held[-1]["k"].iloc[-1] == k[0] and held[-1]["c"].iloc[-1] == c[0]:
-            held.append(pdf)
-            continue
-        if cut or held:
-            ready = pd.concat([*held, pdf.iloc[:cut]], ignore_index=True) if held else pdf.iloc[:cut]
-            if len(ready):
-                yield ready.reset_index(drop=True)
-        held = [pdf.iloc[cut:]]
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _layout(pdf: pd.DataFrame, factor: int):
-    """Put the groups of a batch side by side on one axis, too far apart to touch."""
-    k, c = pdf["k"].to_numpy(), pdf["c"].to_numpy()
-    t, w = pdf["t"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64)
-    new = np.ones(len(t), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    gid = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(t))
-    span = np.maximum(w, 1) * factor
-    rel = t - c.astype(np.int64) * span
-    stride = int((span + 2 * w).max()) + 2
-    axis = rel + gid * stride
-    nxt = np.searchsorted(axis, axis + w, side="right")
-    return t, w, new, gid, starts, ends, rel, span, stride, axis, nxt
-
-
-def _step_functions(factor: int):
-    rounds = max(1, int(np.ceil(np.log2(factor + 1))) + 1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches):
-            t, w, new, gid, starts, ends, rel, _, _, _, nxt = _layout(pdf, factor)
-            here = np.arange(len(t))
-            hop = np.where(nxt < ends[gid], nxt, here)
-            for _ in range(rounds):
-                hop = hop[hop]
-            leave = t[hop] + w
-            entry = new.copy()
-            entry[1:] |= rel[:-1] < w[:-1]
-            entry[1:] &= new[1:] | (gid[1:] == gid[:-1])
-            rows = np.flatnonzero(entry)
-            last = np.ones(len(rows), bool)
-            last[:-1] = (leave[rows[1:]] != leave[rows[:-1]]) | (gid[rows[1:]] != gid[rows[:-1]])
-            rows = rows[last]
-            yield pd.DataFrame(
-                {
-                    "k": pdf["k"].to_numpy()[rows],
-                    "c": pdf["c"].to_numpy()[rows],
-                    "upto": t[rows],
-                    "leave": leave[rows],
-                }
-            )
-
-    return run
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, chunk, covered, settled = None, None, NEVER, True
-    for pdf in batches:
-        ks, cs, entering = [], [], []
-        for k, c, upto, leave in zip(
-            pdf["k"].tolist(), pdf["c"].tolist(), pdf["upto"].tolist(), pdf["leave"].tolist()
-        ):
-            if k != key or c != chunk:
-                if k != key:
-                    covered = NEVER
-                key, chunk, settled = k, c, False
-                ks.append(k)
-                cs.append(c)
-                entering.append(covered)
-            if not settled and upto > covered:
-                covered, settled = leave, True
-        yield pd.DataFrame(
-            {"k": pd.Series(ks, dtype=object), "c": pd.Series(cs, dtype="int64"),
-             "covered": pd.Series(entering, dtype="int64")}
-        )
-
-
-def _replay(factor: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches):
-            t, w, _, gid, starts, ends, _, span, stride, axis, nxt = _layout(pdf, factor)
-            covered = pdf["covered"].to_numpy(np.int64)
-            c0 = pdf["c"].to_numpy(np.int64)[starts] * span[starts]
-            edge = np.clip(covered[starts], c0 - 1, c0 + span[starts]) - c0
-            cur = np.searchsorted(axis, edge + np.arange(len(starts)) * stride, side="right")
-            cur = cur[cur < ends]
-            mark = np.zeros(len(t), bool)
-            while len(cur):
-                mark[cur] = True
-                step = nxt[cur]
-                cur = step[step < ends[gid[cur]]]
-            seen = np.maximum.accumulate(np.where(mark, np.arange(len(t)), -1))
-            inside = seen >= starts[gid]
-            anchor = np.where(inside, t[np.maximum(seen, 0)], covered - w)
-            yield pdf.drop(columns=["covered"]).assign(anchor=anchor)
-
-    return run
-
-
-def anchored_times(
-    df: DataFrame,
-    keys: Sequence[str],
-    t: str,
-    width_us: int | Column,
-    row_id: str,
-    factor: int = 64,
-) -> DataFrame:
-    """Distinct (key, time) rows with their window.
+def _segments(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the key of each row; rows come by key."""
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    last = np.r_[first[1:], len(k)]
+    return np.repeat(first, last - first), np.repeat(last, last - first)
 
-    Columns: k (key text), c (chunk), t, w, n (rows at that time), first_id
-    (smallest row id at that time) and anchor (time that opened the window).
-    """
-    return _anchored(_keyed(df, keys, t, width_us, factor), t, row_id, factor)
 
-
-def _keyed(df, keys, t, width_us, factor):
-    w = F.lit(width_us) if isinstance(width_us, int) else width_us
-    df = df.withColumn("k", F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in keys]))
-    df = df.withColumn("w", w.cast("long"))
-    return df.withColumn("c", F.floor(F.col(t) / (F.greatest("w", F.lit(1)) * F.lit(factor))).cast("long"))
+def _next(t: np.ndarray, w: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each row the first one of its key beyond its window, or the key's end: a binary search of all rows at once."""
+    low, high = np.arange(len(t)) + 1, end.copy()
+    while (low < high).any():
+        middle = (low + high) // 2
+        beyond = t[np.minimum(middle, len(t) - 1)] > t + w
+        open_ = low < high
+        high = np.where(open_ & beyond, middle, high)
+        low = np.where(open_ & ~beyond, middle + 1, low)
+    return low
 
 
-def _anchored(keyed: DataFrame, t: str, row_id: str, factor: int) -> DataFrame:
-    times = (
-        keyed.select("k", "c", F.col(t).alias("t"), "w", F.col(row_id).alias("__id"))
-        .repartition("k", "c")
-        .groupBy("k", "c", "t", "w")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first_id"))
-    )
-    order = ["k", "c", "t"]
-    # all columns go in, so that this and the replay below share one exchange
-    lists = times.sortWithinPartitions(*order).mapInPandas(
-        _step_functions(factor), "k string, c long, upto long, leave long"
-    )
-    entries = (
-        lists.repartition("k")
-        .sortWithinPartitions("k", "c", "upto")
-        .mapInPandas(_walk, "k string, c long, covered long")
-    )
-    schema = f"k string, c long, t long, w long, n long, first_id {times.schema['first_id'].dataType.simpleString()}, anchor long"
-    return (
-        times.join(entries, ["k", "c"])
-        .select("k", "c", "t", "w", "n", "first_id", "covered")
-        .sortWithinPartitions(*order)
-        .mapInPandas(_replay(factor), schema)
-    )
+def _place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One slice: the place of each row and the time up to which a chain from it covers."""
+    held = [pdf for pdf in batches if len(pdf)]
+    if not held:
+        return
+    pdf = pd.concat(held, ignore_index=True)
+    t, w = pdf["t"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64)
+    _, end = _segments(pdf["k"].to_numpy())
+    step = _next(t, w, end)
+    hop = np.where(step < end, step, np.arange(len(t)))
+    while not np.array_equal(hop[hop], hop):
+        hop = hop[hop]
+    part = TaskContext.get().partitionId()
+    yield pdf.assign(part=part, place=(part << 32) + np.arange(len(t)), reach=t[hop] + w[hop])
+
+
+def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The anchors of one slice; ``covered`` and ``entry`` tell what comes from the slices before."""
+    pdf = pdf.sort_values("place", ignore_index=True)
+    t, w = pdf["t"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64)
+    covered, entry = pdf["covered"].to_numpy(np.int64), pdf["entry"].to_numpy(np.int64)
+    begin, end = _segments(pdf["k"].to_numpy())
+    step = _next(t, w, end)
+    starts = np.unique(begin)
+    cur = np.where(covered[starts] == NEVER, starts, np.where(entry[starts] < 0, -1, entry[starts] - pdf["place"].iloc[0]))
+    cur = cur[cur >= 0]
+    mark = np.zeros(len(t), bool)
+    while len(cur):
+        mark[cur] = True
+        cur = step[cur][step[cur] < end[cur]]
+    seen = np.maximum.accumulate(np.where(mark, np.arange(len(t)), -1))
+    anchor = np.where(seen >= begin, t[np.maximum(seen, 0)], covered - w)
+    return pdf[["k", "t", "first_id"]].assign(anchor=anchor)
+
+
+def times_of(df: DataFrame, t: str, row_id: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Distinct (k, t, w) in slices: part, place (part and number in it), first_id and reach."""
+    times = cut_lineage(df.groupBy("k", F.col(t).alias("t"), "w").agg(F.min(row_id).alias("first_id")), "anchored-times")
+    parts = max(1, -(-times.count() // slice_rows))
+    kind = times.schema["first_id"].dataType.simpleString()
+    schema = f"k string, t long, w long, first_id {kind}, part int, place long, reach long"
+    placed = times.repartitionByRange(parts, "k", "t").sortWithinPartitions("k", "t").mapInPandas(_place, schema)
+    return cut_lineage(placed, "anchored-placed")
+
+
+def _entries(placed: DataFrame, slice_rows: int) -> DataFrame:
+    """k, part, entry (place of the first anchor in the slice, or null) and covered, for keys in more than one slice."""
+    # one row for each slice's border at most
+    spans = cut_lineage(placed.groupBy("k").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b"), "anchored-spans")
+    if spans.isEmpty():
+        return spans.selectExpr("k", "a AS part", "CAST(NULL AS BIGINT) AS entry", "CAST(NULL AS BIGINT) AS covered")
+    rows = placed.join(spans, "k")
+    leaving = rows.filter("part < b")
+    asked = leaving.select("k", "reach").distinct().withColumn("at", -F.col("reach") - 1)
+    ahead = rows.select("k", (-F.col("t")).alias("at"), F.col("place").alias("to"))
+    found = ordered.as_of(asked, ahead, ["k"], "at", ["to"], "to", slice_rows).filter("to IS NOT NULL").select("k", "reach", "to")
+    jumps = [cut_lineage(leaving.join(found, ["k", "reach"]).select("place", "to"), "anchored-jumps")]
+    while not jumps[-1].isEmpty():
+        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
+        twice = a.join(b, F.col("a.to") == F.col("b.place")).select("a.place", "b.to")
+        jumps.append(cut_lineage(twice, "anchored-jumps"))
+    chain = rows.filter("part = a").groupBy("k").agg(F.min("place").alias("place")).select("place")
+    for jump in reversed(jumps[:-1]):
+        chain = cut_lineage(chain.union(chain.join(jump, "place").select(F.col("to").alias("place"))), "anchored-chain")
+    entered = rows.join(chain, "place").select("k", "part", F.col("place").alias("entry"), "reach")
+    upto = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
+    slices = rows.select("k", "part").distinct().join(entered, ["k", "part"], "left")
+    return slices.select("k", "part", "entry", F.last("reach", ignorenulls=True).over(upto).alias("covered"))
 
 
 def anchored_windows(
@@ -197,16 +130,25 @@ def anchored_windows(
     t: str,
     width_us: int | Column,
     row_id: str,
-    factor: int = 64,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Every input row with ``anchor`` (window start time) and ``opens`` (it is the
-    row that opened the window; ties at one time go to the smallest row id)."""
-    keyed = _keyed(df, keys, t, width_us, factor)
-    times = _anchored(keyed, t, row_id, factor).select(
-        "k", "c", F.col("t").alias(t), "first_id", "anchor"
+    row that opened the window; ties at one time go to the smallest row id).
+
+    A width that is a column must be the same for all rows of a key.
+    """
+    w = F.lit(width_us) if isinstance(width_us, int) else width_us
+    k = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in keys])
+    keyed = df.withColumn("k", k).withColumn("w", w.cast("long"))
+    placed = times_of(keyed, t, row_id, slice_rows)
+    known = cut_lineage(_entries(placed, slice_rows), "anchored-entries")
+    given = placed.join(known, ["k", "part"], "left").select(
+        "k", "t", "w", "first_id", "part", "place", F.coalesce("entry", F.lit(-1)).alias("entry"), F.coalesce("covered", F.lit(NEVER)).alias("covered")
     )
+    schema = f"k string, t long, first_id {placed.schema['first_id'].dataType.simpleString()}, anchor long"
+    times = given.groupBy("part").applyInPandas(_replay, schema).select("k", F.col("t").alias(t), "first_id", "anchor")
     return (
-        keyed.join(times, ["k", "c", t])
+        keyed.join(times, ["k", t])
         .withColumn("opens", (F.col(t) == F.col("anchor")) & (F.col(row_id) == F.col("first_id")))
         .select(*df.columns, "anchor", "opens")
     )

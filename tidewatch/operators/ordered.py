@@ -11,6 +11,7 @@ scanned per key, and its length is bounded by the number of chunks, not by rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,59 @@ def slice_hot_keys(
     )
 
 
+#: Rows that one task puts in order; a range of them, so about this many.
+SLICE_ROWS = 50_000
+
+
+def sliced(df: DataFrame, by: Sequence[str | Column], name: str = "slice", rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows with the number of their slice: slices follow each other in the order of ``by`` and hold about ``rows`` rows each.
+
+    A key in front of ``by`` spans as many slices as its rows need. The result is written, so that a slice stays
+    the same when a task is repeated; ``df`` is read twice and best a stored table. Rows that are equal in
+    all of ``by`` share a slice.
+    """
+    parts = max(1, -(-df.count() // rows))
+    return cut_lineage(df.repartitionByRange(parts, *by).withColumn(name, F.spark_partition_id()), name)
+
+
+def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """``value`` replaced by the last one that is not null at or before the row, per key.
+
+    Inside a slice by a window; what a slice needs from those before it is one value per key that crosses its border.
+    """
+    placed = sliced(df, [*keys, *order], "__slice", rows)
+    upto = Window.partitionBy("__slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("__in", F.last(value, ignorenulls=True).over(upto))
+    tails = placed.groupBy("__slice", *keys).agg(F.max_by("__in", F.struct(*order)).alias("__tail"))
+    into = F.last("__tail", ignorenulls=True).over(before(keys, "__slice"))
+    carry = tails.select("__slice", *[F.col(k).alias(f"__{k}") for k in keys], into.alias("__carry")).filter("__carry IS NOT NULL")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    out = placed.join(carry.withColumnRenamed("__slice", "__at"), [F.col("__slice") == F.col("__at"), *same], "left")
+    return out.withColumn(value, F.coalesce("__in", "__carry")).select(df.columns)
+
+
+def as_of(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], tie: str, rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Each row of ``left`` with ``values`` of the last row of ``right`` of its key at or before its time, else nulls.
+
+    ``tie`` orders rows of ``right`` at one time; the greatest counts. Both sides are put in one order and cut into
+    slices of rows, so a key that owns a third of either side is spread over many tasks, and no
+    pairs are formed. A null key or time matches nothing.
+    """
+    own = F.struct(*left.columns)
+    have = F.struct(*values)
+    kind, what = left.select(own.alias("r")).schema[0].dataType, right.select(have.alias("v")).schema[0].dataType
+    tied = right.schema[tie].dataType
+    a = left.select(*keys, t, F.lit(1).alias("__side"), F.lit(None).cast(tied).alias("__tie"), own.alias("__row"), F.lit(None).cast(what).alias("__v"))
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*keys, t)])
+    b = right.filter(known).select(*keys, t, F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(kind).alias("__row"), have.alias("__v"))
+    both = cut_lineage(a.filter(known).unionByName(b), "as-of")
+    found = carried(both, keys, [t, "__side", "__tie"], "__v", rows).filter("__side = 1").select("__row", "__v")
+    alone = a.filter(~known).select("__row", "__v")
+    return found.unionByName(alone).select("__row.*", *[F.col("__v")[v].alias(v) for v in values])
+
+
 def value_chunk(value: Column) -> Column:
     """Order-preserving slices of a number on a log scale: at most some 10^5 of them
     for any range of values, 256 per doubling."""

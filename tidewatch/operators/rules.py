@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions import network
 from tidewatch.operators import anchored, ordered, skew
@@ -204,8 +208,9 @@ def rule_records(lines: DataFrame, category: str | None = None) -> DataFrame:
 
 def numbered(rules: DataFrame) -> DataFrame:
     """Rules with ``rule_order`` 0, 1, 2 ... in their order; rules without an order come last."""
-    place = F.row_number().over(Window.orderBy(F.col("rule_order").asc_nulls_last(), "rule_id"))
-    return rules.withColumn("rule_order", (place - 1).cast("long"))
+    order = [F.col("rule_order").asc_nulls_last(), F.col("rule_id")]
+    placed = ordered.positions(ordered.sliced(cut_lineage(rules, "rules"), order), [], "slice", order, "__place")
+    return placed.withColumn("rule_order", F.col("__place").cast("long")).select(rules.columns)
 
 
 # --- matching --------------------------------------------------------------
@@ -370,6 +375,114 @@ def all_matches(packets: DataFrame, rules: DataFrame, headers: bool = False) ->
     )
 
 
+def content_matches(packets: DataFrame, rules: DataFrame, headers: bool = False, shard_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``all_matches``, found by reading each payload once, whatever the number of rules.
+
+    All content patterns stand in one automaton, those of ``nocase`` rules in one over the payload in lower
+    case. A rule is a candidate where all its patterns occur; candidates meet the rest of
+    their conditions as an equi-join on the rule. Rules without patterns go the way of ``all_matches``.
+    Automata go to every task in shards of at most ``shard_bytes`` of patterns, one pass each: more rules take more
+    passes, not more memory.
+    """
+    binary = dict(packets.dtypes).get("payload") == "binary"
+    with_text = rules.filter(F.size("content_patterns") > 0)
+    ready = cut_lineage(prepare(with_text, binary).withColumn("__rule", F.monotonically_increasing_id()), "content-rules")
+    plain = all_matches(packets, rules.filter(F.coalesce(F.size("content_patterns") <= 0, F.lit(True))), headers)
+    lower = F.lower(F.col("payload").cast("string"))
+    row = F.struct(*packets.columns).alias("row")
+    given = packets.select(row, "payload", (lower.cast("binary") if binary else lower).alias("__lower"))
+    needles = ready.select("__rule", F.col("rule.nocase").alias("nocase"), F.col("rule.patterns").alias("patterns"))
+    size = F.aggregate("patterns", F.lit(0), lambda n, x: n + F.octet_length(x) + 64)
+    # the shards' numbers come from sums of sizes over rules in order; a shard is what a task can hold
+    upto = F.sum(size).over(Window.partitionBy("slice").orderBy("__rule"))
+    cut = ordered.sliced(needles, ["__rule"], rows=max(1, shard_bytes // 256)).withColumn("shard", F.floor(upto / shard_bytes))
+    cut = cut_lineage(cut, "content-shards")
+    shards = [tuple(r) for r in cut.select("slice", "shard").distinct().orderBy("slice", "shard").collect()]
+    found = [given.mapInArrow(_content_search(packets, cut.filter((F.col("slice") == a) & (F.col("shard") == b)).collect()), _content_schema(given)) for a, b in shards]
+    if not found:
+        return plain
+    hits = reduce(DataFrame.unionByName, found).join(ready, "__rule")
+    up = F.upper("protocol")
+    p = hits.select("row.*", "rule", "__proto", "__port", "__two", "__lower")
+    if headers:
+        p = p.withColumn("__src", network.ip_number(F.col("src_ip"))).withColumn("__dst", network.ip_number(F.col("dst_ip")))
+    here = F.coalesce((F.col("__proto") == "ANY") | (up == F.col("__proto")), F.lit(False))
+    there = F.col("__port").isNull() | (F.col("__two") if headers else F.lit(False)) | (F.col("dst_port") == F.col("__port"))
+    rest = _matches(F.col("rule"), "icmp_type" in packets.columns, headers)
+    good = p.filter(here & F.coalesce(there, F.lit(False)) & rest)
+    return plain.unionByName(good.select(*packets.columns, F.col("rule.rule_order").alias("rule_order"), F.col("rule.rule_id").alias("rule_id")))
+
+
+def _content_schema(given: DataFrame) -> T.StructType:
+    return T.StructType([given.schema["row"], given.schema["payload"], given.schema["__lower"], T.StructField("__rule", T.LongType())])
+
+
+def _content_search(packets: DataFrame, shard: list):
+    """A task's function: the given rows, once for each rule of the shard all of whose patterns occur."""
+    rules = [(r["__rule"], bool(r["nocase"]), [bytes(x).decode("latin-1") if isinstance(x, bytes | bytearray) else x for x in r["patterns"]]) for r in shard]
+    sent = packets.sparkSession.sparkContext.broadcast(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {nocase: PatternIndex([(i, p) for i, n, p in sent.value if n == nocase]) for nocase in (False, True)}
+        for batch in batches:
+            at, rule = [], []
+            for column, nocase in (("payload", False), ("__lower", True)):
+                if index[nocase].size:
+                    for k, text in enumerate(batch.column(column).to_pylist()):
+                        found = index[nocase].rules_in(text.decode("latin-1") if isinstance(text, bytes) else text) if text is not None else ()
+                        at += [k] * len(found)
+                        rule += found
+            if at:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(rule, pa.int64())], [*batch.schema.names, "__rule"])
+
+    return run
+
+
+class PatternIndex:
+    """Many patterns in one automaton; a rule hangs on its longest pattern and is looked at only where that occurs."""
+
+    def __init__(self, rules: list[tuple[int, list[str]]]):
+        self.automaton = ahocorasick.Automaton()
+        numbers: dict[str, int] = {}
+        self.needs = [{numbers.setdefault(p, len(numbers)) for p in patterns if p} for _, patterns in rules]
+        self.ids = [i for i, _ in rules]
+        self.by_pattern: dict[int, list[int]] = {}
+        self.always = []
+        names = list(numbers)
+        for k, need in enumerate(self.needs):
+            if need:
+                self.by_pattern.setdefault(max(need, key=lambda x: len(names[x])), []).append(k)
+            else:
+                self.always.append(k)  # only empty patterns, which any payload holds
+        for name, number in numbers.items():
+            self.automaton.add_word(name, number)
+        if numbers:
+            self.automaton.make_automaton()
+        self.size = len(rules)
+
+    def rules_in(self, text: str) -> list[int]:
+        seen = {n for _, n in self.automaton.iter(text)} if len(self.automaton) else set()
+        hit = [k for n in seen for k in self.by_pattern.get(n, ()) if self.needs[k] <= seen]
+        return [self.ids[k] for k in self.always + hit]
+
+
+def rule_versions(changes: DataFrame) -> DataFrame:
+    """Each change with the version it makes: the number of changes since the rule's latest create, null where there
+    was none yet, and ``live``: false from a delete on until the next create."""
+    keys, order = ["rule_id"], ["t_us", "change_id"]
+    placed = ordered.positions(ordered.sliced(cut_lineage(changes, "changes"), [*keys, *order]), keys, "slice", order).drop("slice")
+    begun = F.when(F.col("op") == "create", F.struct(F.col("pos").alias("born"), F.lit(True).alias("live")))
+    ended = F.when(F.col("op") == "delete", F.struct(F.lit(None).cast("long").alias("born"), F.lit(False).alias("live")))
+    known = ordered.carried(placed.withColumn("state", F.coalesce(begun, ended)), keys, order, "state")
+    version = F.when(F.col("state.live"), F.col("pos") - F.col("state.born") + 1)
+    return known.select(*changes.columns, version.alias("version"), F.coalesce("state.live", F.lit(False)).alias("live"))
+
+
+def rules_as_of(alerts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Each alert (rule_id, t_us, ...) with the change that was in force when it was raised: change_id, op, version, live."""
+    return ordered.as_of(alerts, rule_versions(changes), ["rule_id"], "t_us", ["change_id", "op", "version", "live"], "change_id")
+
+
 def first_match(rows: DataFrame, rules: DataFrame, headers: bool = False) -> DataFrame:
     """The first matching rule of every row in rule order; rows without one stay."""
     rules = numbered(rules)
@@ -427,14 +540,14 @@ def thresholds(rules: DataFrame) -> DataFrame:
 
 
 def rate_alerts(
-    matches: DataFrame, rules: DataFrame, t: str = "t_us", row_id: str = "packet_id", chunk_us: int = 300_000_000
+    matches: DataFrame, rules: DataFrame, t: str = "t_us", row_id: str = "packet_id", slice_rows: int = ordered.SLICE_ROWS
 ) -> DataFrame:
     """Enforce ``threshold: type, track, count N, seconds S`` on packet matches.
 
     A time is reached when the row N-1 places before it (per rule and tracked
     address) is at most S seconds old. ``threshold`` keeps all reached rows, ``both``
     one per S window, ``limit`` the first N rows of each S window. Places come from
-    chunked positions, the look-back is an equi-join on the place, so a flooding
+    positions in slices of rows, the look-back is an equi-join on the place, so a flooding
     address is spread over many tasks.
     """
     spec = thresholds(rules)
@@ -443,11 +556,11 @@ def rate_alerts(
     m = (
         seen.join(spec, "rule_id")
         .withColumn("tracked", F.when(F.col("threshold_track") == "by_dst", F.col("dst_ip")).otherwise(F.col("src_ip")))
-        .withColumn("chunk", ordered.time_chunk("t", chunk_us))
         .drop("src_ip", "dst_ip", "threshold_track")
     )
     # matches are far fewer than packets and are read five times below
-    placed = cut_lineage(ordered.positions(cut_lineage(m, "matches"), keys, "chunk", ["t", "id"]), "places")
+    m = ordered.sliced(cut_lineage(m, "matches"), [*keys, "t", "id"], rows=slice_rows)
+    placed = cut_lineage(ordered.positions(m, keys, "slice", ["t", "id"]), "places")
     times = placed.groupBy(*keys, "t", "threshold_type", "need", "span").agg(
         F.max("pos").alias("last"), F.min("id").alias("id")
     )

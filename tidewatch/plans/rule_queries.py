@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import rules
 from tidewatch.plans import adapters as ad
-from tidewatch.plans.catalog import register
-from tidewatch.plans.flow_queries import IDLE, packets
+from tidewatch.plans.catalog import ORACLES, register
+from tidewatch.plans.flow_queries import packets
 
 RULE_LINES = [
     ("dos", 'alert tcp any any -> any 80 (msg:"DoS error flood"; content:"error"; sid:9001; rev:1;)'),
@@ -144,7 +144,7 @@ UNION ALL SELECT rule_id, tracked, 'limit', t_us, packet_id FROM lr WHERE k <= n
 )
 def rate_threshold(spark, sf):
     t = rule_table(spark)
-    return rules.rate_alerts(rules.all_matches(packets(spark, sf), t), t, chunk_us=IDLE)
+    return rules.rate_alerts(rules.all_matches(packets(spark, sf), t), t)
 
 
 PART_RULE = (
@@ -208,6 +208,17 @@ UNION ALL SELECT packet_id, rule_order, (1000000 + p_partkey)::VARCHAR FROM p JO
 )
 def match_part_rules(spark, sf):
     """Two rules per part, with sparse and missing orders, over six protocols."""
+    return rules.all_matches(*part_rules(spark, sf)).select("packet_id", "rule_order", "rule_id")
+
+
+@register("sig_pattern_index", ORACLES["sig_match_part_rules"])
+def pattern_index(spark, sf):
+    """The same rules, found by one automaton over all their patterns."""
+    return rules.content_matches(*part_rules(spark, sf)).select("packet_id", "rule_order", "rule_id")
+
+
+def part_rules(spark, sf):
+    """Packets over six protocols, and the rules made of parts."""
     key = F.col("p_partkey")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
     head = F.concat(F.lit("alert "), pick(PROTOS), F.lit(" any any -> any "))
@@ -218,7 +229,7 @@ def match_part_rules(spark, sf):
         F.when(key % 10 != 0, key * 1_000_003).alias("rule_order"), F.explode(F.array(first, second)).alias("raw")
     )
     seen = packets(spark, sf).withColumn("protocol", F.when(F.col("packet_id") % 17 == 0, "SCTP").otherwise(F.col("protocol")))
-    return rules.all_matches(seen, rules.parse_rules(lines)).select("packet_id", "rule_order", "rule_id")
+    return seen, rules.parse_rules(lines)
 
 
 _TYPES = [*rules.CLASSTYPE_SEVERITY, "unlisted"]
@@ -286,6 +297,26 @@ def current(spark, sf):
     return registry(spark, sf)
 
 
+FIRED = "concat('S', CAST((event_id * 31) % 101 AS STRING))"
+
+
+@register(
+    "sig_rule_as_of",
+    f"""WITH {ad.cte("alerts")}, {ad.cte("rule_changes")}, c AS (SELECT c.*, epoch_us(ts) AS t_us FROM rule_changes c JOIN events ON event_id = change_id),
+n AS (SELECT *, row_number() OVER w AS pos, max(CASE WHEN op IN ('create', 'delete') THEN struct_pack(t := t_us, i := change_id) END) OVER w AS mark FROM c WINDOW w AS (PARTITION BY rule_id ORDER BY t_us, change_id)),
+v AS (SELECT n.*, m.op = 'create' AS live, CASE WHEN m.op = 'create' THEN n.pos - m.pos + 1 END AS version FROM n LEFT JOIN n m ON m.rule_id = n.rule_id AND m.change_id = n.mark.i),
+last AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY rule_id, t_us ORDER BY change_id DESC) = 1),
+a AS (SELECT alert_id, t_us, {FIRED} AS rule_id FROM alerts)
+SELECT a.alert_id, a.rule_id, change_id, op, version, CASE WHEN change_id IS NOT NULL THEN coalesce(live, false) END AS live
+FROM a ASOF LEFT JOIN last ON a.rule_id = last.rule_id AND a.t_us >= last.t_us""",
+)
+def rule_as_of(spark, sf):
+    alerts = ad.load(spark, sf, "alerts").select("alert_id", "t_us", F.expr(FIRED).alias("rule_id"))
+    times = ad.table(spark, sf, "events").selectExpr("event_id AS change_id", "unix_micros(CAST(ts AS TIMESTAMP)) AS t_us")
+    changes = ad.load(spark, sf, "rule_changes").join(times, "change_id")
+    return rules.rules_as_of(alerts, changes).select("alert_id", "rule_id", "change_id", "op", "version", "live")
+
+
 @register(
     "sig_registry_list",
     f"""WITH {REGISTRY_SQL} SELECT rule_id, attack_category, count(*) OVER () AS total FROM registry WHERE enabled""",
