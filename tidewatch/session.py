@@ -49,10 +49,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df, name: str):
+def cut_lineage(df, name: str, codec: str | None = None):
     """Write a bounded intermediate result to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
