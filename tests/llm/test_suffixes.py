@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import op13_suffixes as m
-from tidewatch.session import cut_lineage
 
 
 def plain(rows, width):
@@ -85,29 +84,24 @@ def test_ranks_are_the_order_of_suffixes(spark):
         rows.append((base, [rng.randint(1, 2) for _ in range(n)]))
         base += n
     rows.append((base, [1] * 90))
-    chains, syms, suffixes = [], [], {}
+    syms, suffixes = [], {}
     for base, word in rows:
-        steps, go = m.jumps(np.array([*range(1, len(word)), -1]), shape.levels)
         for k, x in enumerate(word):
-            columns = []
-            for one, two in zip(go[::2], go[1::2]):
-                columns += [int(one[k] - k) if one[k] >= 0 else 0, int(two[k] - k) if two[k] >= 0 else 0, int(one[k] - k) if one[k] >= 0 else 0]
-            chains.append((base + k, int(steps[k]), *columns))
             syms.append((base + k, x))
             suffixes[base + k] = tuple(word[k:])
     letters = sorted(x for _, x in syms)
     syms = [(i, 1 + letters.index(x)) for i, x in syms]
-    names = ", ".join(f"{c} int" for c in m.chain_columns(shape))
-    chains = cut_lineage(spark.createDataFrame(chains, f"id long, steps long, {names}"), "test-chains")
+    marked = [(b, [*range(len(w))], [*range(1, len(w)), -1]) for b, w in rows]
+    chains = m.chains_of(spark.createDataFrame(marked, "base long, at array<int>, follow array<int>"))
     got = {r["id"]: r["rank"] for r in m.suffix_ranks(chains, spark.createDataFrame(syms, "id long, sym long"), 0, shape).collect()}
     order = sorted(suffixes.values())
     assert got == {i: 1 + order.index(s) for i, s in suffixes.items()}
 
 
 def test_jumps():
-    steps, go = m.jumps(np.array([1, 3, 3, 4, -1]), 1)
-    assert steps.tolist() == [3, 2, 2, 1, 0]
-    assert [x.tolist() for x in go] == [[1, 3, 3, 4, -1], [3, 4, 4, -1, -1], [4, -1, -1, -1, -1], [-1, -1, -1, -1, -1]]
+    follow = np.array([1, 3, 3, 4, -1])
+    assert [x.tolist() for x in m.jumps(follow, 0)] == [[3, 2, 2, 1, 0], [1, 3, 3, 4, -1], [3, 4, 4, -1, -1], [4, -1, -1, -1, -1]]
+    assert [x.tolist() for x in m.jumps(follow, 1)] == [[3, 2, 2, 1, 0], [4, -1, -1, -1, -1], [-1] * 5, [-1] * 5]
 
 
 def test_offsets_of_one_class():

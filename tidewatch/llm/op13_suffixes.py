@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.op3_substrings import Repeated, cell_count, sketch
+from tidewatch.llm.op3_substrings import Repeated, block_keys, cell_count, sketch
 from tidewatch.llm.registry import register
 from tidewatch.llm.textblocks import BASES, BYTE_CODES, U64, Block, batches_of, mix, ragged, slices, span_hashes
 from tidewatch.session import cut_lineage, discard
@@ -207,7 +207,7 @@ def marked(docs: DataFrame, shape: Shape, texts: bool) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = cell_count(size, CELLS_PER_BYTE)
-    known = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells, core_keys(shape)))
+    known = docs.sparkSession.sparkContext.broadcast(sketch(docs.select("text"), cells, block_keys(core_keys(shape))))
     schema = docs.select("id").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,63 +241,77 @@ def marked(docs: DataFrame, shape: Shape, texts: bool) -> DataFrame:
                 row += n
 
     kind = schema[0].dataType.simpleString()
-    return cut_lineage(docs.select("id", "text").mapInArrow(run, f"id {kind}, {MARKED}"), "suffixes-marked")
+    # Texts are most of it; a stronger codec than the session's halves them.
+    return cut_lineage(docs.select("id", "text").mapInArrow(run, f"id {kind}, {MARKED}"), "suffixes-marked", "zstd")
 
 
-def jumps(follow: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(steps to the chain's end; for each level the anchors 3 ** level and twice as many steps on), -1: none."""
+def jumps(follow: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Steps to the chain's end, and the anchors 3 ** level, twice and three times as many steps on (-1: none)."""
     n = len(follow)
     go = np.append(np.where(follow < 0, n, follow), n)  # the end follows itself
-    steps, jump = (go[:n] < n).astype(np.int64), go
-    steps = np.append(steps, 0)
+    steps, jump = (go < n).astype(np.int64), go
     while (jump < n).any():
         steps = steps + steps[jump]
         jump = jump[jump]
-    out = []
-    for _ in range(levels + 1):
-        out += [go, go[go]]
+    for _ in range(level):
         go = go[go[go]]
-    return steps[:n], [np.where(x[:n] == n, -1, x[:n]) for x in out]
+    return steps[:n], *(np.where(x[:n] == n, -1, x[:n]) for x in (go, go[go], go[go[go]]))
 
 
-def chain_columns(shape: Shape) -> list[str]:
-    return [f"{name}{level}" for level in range(shape.levels + 1) for name in ("one", "two", "reach")]
+Chains = Callable[[int], DataFrame]
 
 
-def symbols(rows: DataFrame, shape: Shape) -> DataFrame:
-    """A row for each anchor: id, symbol (its bytes), steps to the chain's end and for each level how many ids and
-    bytes 3 ** level symbols go (oneL and reachL), and how many ids twice as many (twoL); 0 where the chain ends before.
+def chains_of(rows: DataFrame) -> Chains:
+    """For a level, a row for each anchor: id, steps to the chain's end, ids 3 ** level (one) and twice as many steps on
+    (two) as distances, and the bytes that a triple of such steps goes (reach); 0 where the chain ends before.
     """
-    names = ["id", "symbol", "steps", *chain_columns(shape)]
+
+    def at_level(level: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (part for whole in batches for part in slices(whole)):
+                a = Anchors(batch)
+                steps, one, two, three = jumps(np.where(a.column("follow") < 0, -1, a.column("follow") + a.place - a.index), level)
+                at = a.column("at")
+                far = (np.where(one < 0, 0, one - a.place), np.where(two < 0, 0, two - a.place), np.where(three < 0, 0, at[three] - at))
+                yield pa.RecordBatch.from_arrays([pa.array(a.ids), *map(pa.array, (steps, *far))], ["id", "steps", "one", "two", "reach"])
+
+        return rows.select("base", "at", "follow").mapInArrow(run, "id long, steps long, one long, two long, reach long")
+
+    return at_level
+
+
+def symbols(rows: DataFrame, shape: Shape, whole: bool) -> DataFrame:
+    """(symbol) of each anchor, its bytes if `whole`, else (id, digest) of them. A symbol is shorter at its text's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             a = Anchors(batch)
-            follow = a.column("follow")
-            steps, go = jumps(np.where(follow < 0, -1, follow + a.place - a.index), shape.levels)
-            columns = [pa.array(a.ids), binaries(a.data, a.at, np.minimum(shape.look, a.end - a.at)), pa.array(steps)]  # shorter at a text's end
-            for one, two in zip(go[::2], go[1::2]):
-                for there in (np.where(one < 0, 0, one - a.place), np.where(two < 0, 0, two - a.place), np.where(one < 0, 0, a.at[one] - a.at)):
-                    columns.append(pa.array(there.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            begin, end = a.starts + a.column("at"), np.minimum(a.starts + a.column("at") + shape.look, a.ends)
+            if whole:
+                yield pa.RecordBatch.from_arrays([binaries(a.data, begin, end - begin)], ["symbol"])
+            else:
+                text = a.data.tobytes()
+                digest = [hashlib.md5(text[x:y]).digest() for x, y in zip(begin.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(a.ids), pa.array(digest, pa.binary())], ["id", "digest"])
 
-    return rows.mapInArrow(run, "id long, symbol binary, steps long, " + ", ".join(f"{c} int" for c in chain_columns(shape)))
+    return rows.select("base", "text", "at").mapInArrow(run, "symbol binary" if whole else "id long, digest binary")
 
 
 class Anchors:
-    """The anchors of some rows of `marked` one after another, and the rows' texts as one array."""
+    """The anchors of some rows of `marked` one after another, and the rows' texts, if there, as one array."""
 
     def __init__(self, batch: pa.RecordBatch):
-        texts = batch.column("text").cast(pa.large_binary())
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         self.batch = batch
-        self.data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
         n = batch.column("at").value_lengths().to_numpy(zero_copy_only=False)
         self.row = np.repeat(np.arange(len(n)), n)
         self.place = np.arange(len(self.row))
         self.index = self.place - np.repeat(np.cumsum(n) - n, n)  # in its row
         self.ids = batch.column("base").to_numpy(zero_copy_only=False)[self.row] + self.index
-        self.at, self.end = self.column("at") + offsets[:-1][self.row], offsets[1:][self.row]
+        if "text" in batch.schema.names:
+            texts = batch.column("text").cast(pa.large_binary())
+            offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            self.data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+            self.starts, self.ends = offsets[:-1][self.row], offsets[1:][self.row]
 
     def column(self, name: str) -> np.ndarray:
         return self.batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -340,10 +354,10 @@ def ranked(rows: DataFrame, keys: list[str], counts: dict[str, Column], kept: Ca
     return placed.join(offset, "part").select(*keep, *counts, *before)
 
 
-def suffix_ranks(chains: DataFrame, syms: DataFrame, level: int, shape: Shape, open_: DataFrame | None = None) -> DataFrame:
+def suffix_ranks(chains: Chains, syms: DataFrame, level: int, shape: Shape, open_: DataFrame | None = None) -> DataFrame:
     """(id, rank) of the open suffixes (id; None: all): 1 + how many open ones are less, right for all that differ within a window's bytes.
 
-    `chains` has the columns of `symbols`, `syms` (id, sym) the symbols of all places of this level: what
+    `chains` gives the steps of a level (see `chains_of`), `syms` (id, sym) has the symbols of all places of this level: what
     lies behind an open suffix may have been settled by an earlier level. A symbol is a rank, 1 + how many
     places have a lesser one, so that finer ones fit in between.
     """
@@ -353,11 +367,10 @@ def suffix_ranks(chains: DataFrame, syms: DataFrame, level: int, shape: Shape, o
         trash.append(cut_lineage(df, f"suffixes-{name}-{level}"))
         return trash[-1]
 
-    step = lambda name: F.col(f"{name}{level}")
-    to = lambda name: F.when(step(name) > 0, F.col("id") + step(name)).otherwise(-1 - F.col("id")).alias(name)
+    to = lambda name: F.when(F.col(name) > 0, F.col("id") + F.col(name)).otherwise(-1 - F.col("id")).alias(name)
     kind = (F.floor(F.col("steps") / 3**level) % 3).cast("int").alias("kind")
     e = syms if open_ is None else syms.join(open_, "id", "left_semi")
-    e = e.join(chains.select("id", kind, to("one"), to("two"), F.col(f"reach{level + 1}").alias("reach")), "id")
+    e = e.join(chains(level).select("id", kind, to("one"), to("two"), "reach"), "id")
     for there, s in (("one", "s1"), ("two", "s2")):
         e = e.join(syms.select(F.col("id").alias(there), F.col("sym").alias(s)), there, "left")
     e = kept(e.select("id", "kind", "one", "two", "reach", "sym", F.coalesce("s1", F.lit(0)).alias("s1"), F.coalesce("s2", F.lit(0)).alias("s2")), "open")
@@ -367,7 +380,9 @@ def suffix_ranks(chains: DataFrame, syms: DataFrame, level: int, shape: Shape, o
     # A chain that ends behind the triple comes first.
     sampled = sampled.select("id", "reach", *triple, (F.col("reach") > 0).cast("int").alias("goes"))
     names = ranked(sampled, [*triple, "goes"], {"n": F.lit(1)}, kept, "names")
+    placed = trash.pop()
     named = kept(sampled.join(names, [*triple, "goes"]).select("id", "sym", (F.col("before_n") + 1).alias("name"), "n", "reach"), "named")
+    discard(placed)
     # A name that one suffix has, or that reaches over a window, settles its order; rows of one name are alike in this.
     alike = named.where((F.col("n") > 1) & (F.col("reach") > 0) & (F.col("reach") < shape.width))
     up = named.select("id", F.col("name").alias("rank"))
@@ -375,19 +390,28 @@ def suffix_ranks(chains: DataFrame, syms: DataFrame, level: int, shape: Shape, o
         # The next symbols: settled places keep theirs, the others' names come in between.
         least = named.groupBy("sym").agg(F.min("name").alias("least"))
         finer = named.join(least, "sym").select("id", (F.col("sym") + F.col("name") - F.col("least")).alias("finer"))
-        after = syms.join(chains.select("id", kind).where("kind > 0"), "id").join(finer, "id", "left")
+        after = syms.join(chains(level).select("id", kind).where("kind > 0").select("id"), "id").join(finer, "id", "left")
         inner = suffix_ranks(chains, kept(after.select("id", F.coalesce("finer", "sym").alias("sym")), "symbols"), level + 1, shape, alike.select("id"))
         trash.append(inner)
         inside = alike.select("id", "name").join(inner, "id")
         first = inside.groupBy("name").agg(F.min("rank").alias("first"))
         more = inside.join(first, "name").select("id", (F.col("rank") - F.col("first")).alias("more"))
         up = kept(up.join(more, "id", "left").select("id", (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank")), "up")
-
-    # Ranks of settled places are not known here; their symbols tell them apart from open ones.
-    for there, r in (("one", "r1"), ("two", "r2"), ("id", "rank")):
-        e = e.join(up.select(F.col("id").alias(there), F.col("rank").alias(r)), there, "left")
-    behind = (F.coalesce(r, F.lit(0)).alias(r) for r in ("r1", "r2"))
-    merged = kept(e.select("id", "kind", *triple, *behind, "rank"), "merged")
+        discard(*trash[1:-1])
+        del trash[1:-1]
+
+    # Ranks of settled places are not known here; their symbols tell them apart from open ones. Each kind asks for those it needs.
+    def behind(kind: int, **asked: str) -> DataFrame:
+        out = e.where(F.col("kind") == kind)
+        for r, there in asked.items():
+            out = out.join(up.select(F.col("id").alias(there), F.col("rank").alias(r)), there, "left")
+        known = (F.coalesce(r, F.lit(0)).alias(r) if r in asked else F.lit(0).cast("long").alias(r) for r in ("r1", "r2", "rank"))
+        return out.select("id", "kind", *triple, *known)
+
+    parts = behind(0, r1="one", r2="two").union(behind(1, r2="two", rank="id")).union(behind(2, r1="one", rank="id"))
+    merged = kept(parts, "merged")
+    discard(*trash[:-1])
+    del trash[:-1]
     near, far = ["sym", "s1", "r1"], ["sym", "s1", "s2", "r2"]
     count = lambda k: F.when(F.col("kind") == k, 1).otherwise(0)
     with_two = ranked(merged.where("kind != 1"), near, {"zero": count(0), "two": count(2)}, kept, "two")
@@ -413,7 +437,7 @@ def members(rows: DataFrame, shape: Shape, context: bool) -> DataFrame:
             a = Anchors(batch)
             low, high, core = (a.column(c) for c in ("low", "high", "core"))
             own = np.flatnonzero(high >= 0)
-            low, high, core, at, text = low[own], high[own], core[own], a.at[own], a.data.tobytes()
+            low, high, core, at, text = low[own], high[own], core[own], (a.starts + a.column("at"))[own], a.data.tobytes()
             cover = zip((at - high).tolist(), (at + shape.width - low).tolist(), high.tolist())
             digest = pa.array([hashlib.md5(b"%d " % h + text[x:y]).digest() for x, y, h in cover], pa.binary())
             row = batch.column("row").to_numpy(zero_copy_only=False)[a.row[own]]
@@ -516,15 +540,18 @@ def spans(found: DataFrame, span: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, shape: Shape) -> DataFrame | None:
     """(row, first, count) of all runs of repeated windows that `rows` (what `marked` gives) has not settled, or None if no row has an anchor."""
     held = rows.where("at IS NOT NULL")
-    anchors = cut_lineage(symbols(held.select("base", "text", "at", "follow"), shape), "suffixes-anchors")
-    if anchors.isEmpty():
+    if held.isEmpty():
         return None
-    digest = F.unhex(F.md5("symbol"))
-    names = ranked(anchors, ["symbol"], {"n": F.lit(1)}, cut_lineage, "suffixes-alphabet", {"digest": digest})
-    start = anchors.select("id", digest.alias("digest")).join(names.selectExpr("digest", "before_n + 1 AS sym"), "digest").select("id", "sym")
-    start = cut_lineage(start, "suffixes-start")
-    ranks = suffix_ranks(anchors.drop("symbol"), start, 0, shape)
-    discard(anchors, start)
+    trash: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        trash.append(cut_lineage(df, f"suffixes-{name}"))
+        return trash[-1]
+
+    names = ranked(symbols(held, shape, True), ["symbol"], {"n": F.lit(1)}, kept, "alphabet", {"digest": F.unhex(F.md5("symbol"))})
+    start = symbols(held, shape, False).join(names.selectExpr("digest", "before_n + 1 AS sym"), "digest").select("id", "sym")
+    ranks = suffix_ranks(chains_of(held), kept(start, "start"), 0, shape)
+    discard(*trash)
 
     first = (F.first(c).alias(c) for c in ("low", "high", "core", "left", "rest"))
     parts = held.select("row", "base", "text", "at", "low", "high", "core")
