@@ -6,16 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, discard
 
 U64 = np.uint64
 #: Keys that are compared at once; rows of a batch, or of a key, that count as few.
 GROUP_KEYS, SMALL = 500_000, 64
-#: Rows of a key of which all pairs are told apart by sketches of numbers.
-WHOLE = 4096
 #: Links, keys and labels are a few numbers a row; so many of them are written by one task.
 TASK_ROWS, LEAST_TASKS = 200_000, 8
 
@@ -50,14 +49,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = written(large, rows, f"{name}-large")
         below = written(large.groupBy("u").agg(F.min("v").alias("m")), rows, f"{name}-below")
         small = large.join(below, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(below.select("u", F.col("m").alias("v"))).distinct(), rows, f"{name}-edges")
+        before, e = e, written(small.union(below.select("u", F.col("m").alias("v"))).distinct(), rows, f"{name}-edges")
+        discard(before, least, large, below)
     # Now every id points at the least one of its group.
-    return written(e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v")).distinct(), rows, f"{name}-labels")
+    out = written(e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v")).distinct(), rows, f"{name}-labels")
+    discard(e)
+    return out
 
 
-def shared_members(
-    rows: DataFrame, keys_per_row: int, name: str, distance: int | None = None, alike: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
-) -> DataFrame:
+def shared_members(rows: DataFrame, keys_per_row: int, name: str, distance: int | None = None) -> DataFrame:
     """(key, id) of the keys that two ids or more hold; `rows` has id (distinct) and keys (array of 64-bit numbers).
 
     Keys travel packed, by hash range, and meet in groups of bounded size: a key that more than
@@ -65,12 +65,8 @@ def shared_members(
     settled in their own task, so a key that a third of all rows hold meets in small numbers.
     With `distance`, `rows` has a 64-bit sketch too, and of the up to SMALL ids that meet under a
     key those stay that differ in at most so many bits from another; larger groups stay whole.
-
-    With `alike`, `rows` has two such sketches, sketch and more. Of the up to WHOLE ids that meet,
-    sorted by the first sketch, `alike` tells of two arrays of sketches (in that order) which pairs
-    are alike, and whether later ones can be; ids that are like another stay.
     """
-    sketches = ["sketch", "more"] if alike else ["sketch"] if distance is not None else ["id"]
+    sketch = "id" if distance is None else "sketch"
     groups = U64(max(16, 1 << (rows.count() * keys_per_row // GROUP_KEYS).bit_length()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,20 +76,20 @@ def shared_members(
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             order = np.argsort(key)
             key, row = key[order], row[order]
-            id_ = batch.column("id").to_numpy(zero_copy_only=False)[row]
-            sketch = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in sketches], axis=1)[row]
+            id_, near = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", sketch))
             first, size = runs_of(key)
             common = np.repeat(size > SMALL, size)
-            yield packed(np.array([-1]), [(key[common], id_[common], sketch[common], common[common])])
+            # These need no comparison; each task has a bucket of its own for them, so that no reducer gets them all.
+            yield packed(np.array([-1 - TaskContext.get().partitionId()]), [(key[common], id_[common], near[common], common[common])])
             lead = np.zeros(len(key), dtype=bool)
             lead[first] = True
             sent = lead | ~common
-            key, id_, sketch, common = key[sent], id_[sent], sketch[sent], common[sent]
+            key, id_, near, common = key[sent], id_[sent], near[sent], common[sent]
             group = (key % groups).astype(np.int64)
             order = np.argsort(group, kind="stable")
             cut, _ = runs_of(group[order])
             if len(cut):
-                yield packed(group[order][cut], [(key[g], id_[g], sketch[g], common[g]) for g in np.split(order, cut[1:])])
+                yield packed(group[order][cut], [(key[g], id_[g], near[g], common[g]) for g in np.split(order, cut[1:])])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
@@ -102,21 +98,11 @@ def shared_members(
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_)], ["key", "id"])
 
         def settled() -> pa.RecordBatch:
-            key, id_, sketch, common = map(np.concatenate, zip(*held))
-            sketch = sketch.view(U64).reshape(-1, len(sketches))
-            order = np.lexsort((sketch[:, 0], key)) if alike else np.argsort(key)
-            key, id_, sketch, common = key[order], id_[order], sketch[order], common[order]
+            key, id_, near, common = map(np.concatenate, zip(*held))
+            order = np.argsort(key)
+            key, id_, near, common = key[order], id_[order], near.view(U64)[order], common[order]
             first, size = runs_of(key)
-            if alike:
-                stay = np.repeat((size > WHOLE) | (len(key) > 0 and np.logical_or.reduceat(common, first)), size)
-                left = np.repeat(first + size, size) - np.arange(len(key))
-                at, step = np.flatnonzero((left > 1) & ~stay), 1
-                while len(at):
-                    near, later = alike(sketch[at], sketch[at + step])
-                    stay[at[near]] = stay[at[near] + step] = True
-                    step += 1
-                    at = at[later & (left[at] > step)]
-            elif distance is None:
+            if distance is None:
                 stay = np.repeat(size > 1, size)
             else:
                 stay = np.repeat((size > SMALL) | (len(key) > 0 and np.logical_or.reduceat(common, first)), size)
@@ -125,8 +111,8 @@ def shared_members(
                     at = np.flatnonzero(left > step)
                     if not len(at):
                         break
-                    near = at[np.bitwise_count(sketch[at, 0] ^ sketch[at + step, 0]) <= distance]
-                    stay[near] = stay[near + step] = True
+                    alike = at[np.bitwise_count(near[at] ^ near[at + step]) <= distance]
+                    stay[alike] = stay[alike + step] = True
             return out(key[stay], id_[stay])
 
         for batch in batches:
@@ -180,15 +166,21 @@ def linked(members: DataFrame, verify: Pairs, across: Pairs, name: str) -> DataF
     def links(pairs: DataFrame, step: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = cut_lineage(pairs, f"{name}-pairs-{step}")
-        return cut_lineage(verify(pairs).select("a", "b"), f"{name}-links-{step}")
+        out = cut_lineage(verify(pairs).select("a", "b"), f"{name}-links-{step}")
+        discard(pairs)
+        return out
 
     found = links(inside.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")), "led")
     labels = components(found, f"{name}-led")
     now = inside.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     now = written(now, rows, f"{name}-labelled")
+    discard(shared, inside, found)
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    mixed = written(now.join(written(mixed, rows, f"{name}-mixed"), "key"), rows, f"{name}-open")
-    found = links(across(mixed), "across")
+    mixed = written(mixed, rows, f"{name}-mixed")
+    open_ = written(now.join(mixed, "key"), rows, f"{name}-open")
+    discard(now, mixed)
+    found = links(across(open_), "across")
+    discard(open_)
     if found.isEmpty():
         return labels
     return components(found.union(labels.select("id", "label")), f"{name}-across")

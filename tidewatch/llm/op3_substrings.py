@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,11 @@ def per_document(block: Block, at: np.ndarray, least: np.ndarray) -> np.ndarray:
     return m[np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])])]
 
 
+def block_keys(keys: Callable[[Block], np.ndarray]) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """The keys of all blocks of a batch of texts."""
+    return lambda batch: np.concatenate([np.empty(0, dtype=U64), *map(keys, blocks(batch))])
+
+
 def cells_of(least: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(least + U64(0x5851F42D4C957F2D) * U64(row + 1)) & U64(cells - 1)).astype(np.int64)
 
@@ -96,16 +102,13 @@ def cell_count(size: int, per_byte: float) -> int:
     return min(CELL_LIMIT, max(CELL_LEAST, 1 << int(size * per_byte).bit_length()))
 
 
-def sketch(docs: DataFrame, cells: int, keys: Callable[[Block], np.ndarray]) -> Repeated:
-    """Count-min sketch of the keys of all blocks of `docs`, merged from the tasks' sketches."""
+def sketch(rows: DataFrame, cells: int, keys: Callable[[pa.RecordBatch], np.ndarray]) -> Repeated:
+    """Count-min sketch of the keys of all batches of `rows`, merged from the tasks' sketches."""
     shards = cells // SHARD_CELLS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.empty(0, dtype=U64)]
-            for block in blocks(batch):
-                found.append(keys(block))
-            least = np.concatenate(found)
+            least = keys(batch)
             for row in range(ROWS):
                 cell, times = np.unique(cells_of(least, row, cells), return_counts=True)
                 cut = np.searchsorted(cell, np.arange(shards + 1) * SHARD_CELLS)
@@ -137,7 +140,7 @@ def sketch(docs: DataFrame, cells: int, keys: Callable[[Block], np.ndarray]) ->
             yield done()
 
     merged = (
-        docs.select("text").mapInArrow(partial, "shard long, cells binary, times binary")
+        rows.mapInArrow(partial, "shard long, cells binary, times binary")
         .repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard long, bits binary")
     )
     out = Repeated(cells)
@@ -172,6 +175,11 @@ def runs(mark: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return kept[begin], np.diff(np.append(begin, len(kept)))
 
 
+def settled_bucket() -> int:
+    """Where a task's rows go that need no comparison: a bucket below 0, another one for each task, so that no reducer gets them all."""
+    return -1 - TaskContext.get().partitionId()
+
+
 ENTRY = "bucket long, least binary, doc binary, text binary, first binary, count binary, windows binary"
 SPAN = "doc long, text_hash long, first long, count long"
 
@@ -184,7 +192,7 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = cell_count(size, CELLS_PER_BYTE)
     buckets = U64(max(16, 1 << (size // BUCKET_BYTES).bit_length()))
-    repeated = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells, lambda block: per_document(block, *minimisers(block, block.word_hashes(), width))))
+    repeated = docs.sparkSession.sparkContext.broadcast(sketch(docs.select("text"), cells, block_keys(lambda block: per_document(block, *minimisers(block, block.word_hashes(), width)))))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = repeated.value
@@ -209,7 +217,7 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
             # What a smaller document of this batch holds is settled here.
             own = mix(doc.view(U64)) ^ text.view(U64)
             entry, count = runs(later, own, at)
-            yield packed(np.array([-1]), [(np.zeros(len(entry), dtype=U64), doc[entry], text[entry], at[entry], count, np.empty(0, dtype=U64))])
+            yield packed(np.array([settled_bucket()]), [(np.zeros(len(entry), dtype=U64), doc[entry], text[entry], at[entry], count, np.empty(0, dtype=U64))])
             send = np.flatnonzero(~later)
             # Repeated rows give equal entries.
             send = send[np.lexsort((at[send], own[send]))]
