@@ -19,6 +19,7 @@ Columns other than the id and the text are ignored. A task holds one group of do
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections import defaultdict
@@ -46,9 +47,9 @@ BLOCK_IDS = 1024
 #: Ids that a reader unpacks at a time, unless one document has more.
 READ_IDS = 1 << 20
 #: Characters of text that are encoded at a time; distinct words that a task keeps with their ids.
-BLOCK_CHARS, MAX_WORDS = 2_000_000, 500_000
-#: Words that the library encodes as one text, and what stands between them.
-TOGETHER, MARK = 256, "\x01"
+BLOCK_CHARS, MAX_WORDS = 250_000, 125_000
+#: Words that the library encodes as one text, and what stands between them; words that it gets in one call.
+TOGETHER, MARK, CALL = 256, "\x01", 8192
 
 #: Kinds of bytes: 0 beyond ASCII, 1 white space, then letters, digits and all others.
 LETTER, DIGIT, OTHER = 2, 3, 4
@@ -83,6 +84,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread: each core has a task of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -144,7 +146,7 @@ class WordEncoder:
             sizes[k] = len(words)
         new = [w.decode() for w in islice(self.word_no, before, None)]
         if new:
-            flat, length = self.library(new)
+            flat, length = map(np.concatenate, zip(*(self.library(new[k : k + CALL]) for k in range(0, len(new), CALL))))
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
             self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
         numbers = np.array(numbers, dtype=np.int64)
