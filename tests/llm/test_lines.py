@@ -2,9 +2,9 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.test_linking import union
@@ -15,12 +15,6 @@ def normal(line):
     return " ".join(w for w in re.split(r"[\x09-\x0d\x20-/:-@\[-`{-~]+", re.sub("[0-9]", "0", line.lower())) if w)
 
 
-def simhash(line):
-    batch = pa.RecordBatch.from_arrays([pa.array([line])], ["text"])
-    (block,) = m.normal_blocks(batch)
-    return int(m.simhash(block.word_hashes(), np.array([0]), np.array([len(block.starts)]))[0])
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -31,7 +25,16 @@ def distance(a, b):
     return row[-1]
 
 
+def alike(a, b):
+    """Edit similarity alone; lengths and letters too far apart need no table."""
+    most = int((1 - m.EDIT_SIMILARITY) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most or sum((Counter(a) - Counter(b)).values()) > most:
+        return False
+    return distance(a, b) <= most
+
+
 def plain(rows):
+    """Kept lines by edit similarity alone, whatever the operator meets by."""
     first = {}
     last = 1 << 63
     for i, text, *_ in sorted(rows, key=lambda r: last if r[0] is None else r[0]):
@@ -39,11 +42,7 @@ def plain(rows):
             if normal(line):
                 first.setdefault(normal(line), (last if i is None else i, k))
     forms = sorted(first, key=first.get)
-    hashes = [simhash(x) for x in forms]
-    edges = [
-        (a, b) for b in range(len(forms)) for a in range(b)
-        if (hashes[a] ^ hashes[b]).bit_count() <= m.DISTANCE and distance(forms[a], forms[b]) <= int((1 - m.EDIT_SIMILARITY) * max(len(forms[a]), len(forms[b])) + 1e-9)
-    ]
+    edges = [(a, b) for b in range(len(forms)) for a in range(b) if alike(forms[a], forms[b])]
     group = {k: k for k in range(len(forms))} | union(edges)
     keep = {x: first[forms[group[k]]] for k, x in enumerate(forms)}
     out = []
@@ -76,14 +75,21 @@ def test_against_plain(spark):
     assert len(edges) >= 5
 
 
-def test_keys_meet_within_distance():
+def test_blocks_agree_by_pigeonhole():
+    """Lines whose words differ in up to four classes share a key."""
     rng = random.Random(1)
-    a = np.array([rng.getrandbits(64) for _ in range(200)], dtype=np.uint64)
-    for flips in range(m.DISTANCE + 1):
-        b = a.copy()
-        for bit in rng.sample(range(64), flips):
-            b ^= np.uint64(1 << bit)
-        assert (m.line_keys(a) == m.line_keys(b)).any(axis=1).all()
+    near = np.zeros(2, dtype=m.NEAR)
+    for _ in range(300):
+        near["letters"] = 10
+        near["blocks"][0] = [rng.getrandbits(32) for _ in range(m.CLASSES)]
+        near["blocks"][1] = near["blocks"][0]
+        for k in rng.sample(range(m.CLASSES), rng.randint(0, 4)):
+            near["blocks"][1][k] = rng.getrandbits(32)
+        key, counts = m.block_keys(near)
+        assert counts.all() and set(key[0].tolist()) & set(key[1].tolist())
+    near["letters"][:, 1:] = 0  # one class alone: one key
+    _, counts = m.block_keys(near)
+    assert counts.sum(axis=1).tolist() == [1, 1]
 
 
 def test_repeated_rows_and_empty(spark):
@@ -92,6 +98,23 @@ def test_repeated_rows_and_empty(spark):
     assert m.without_double_lines(docs.where(F.lit(False))).collect() == []
 
 
+def test_very_long_text(spark):
+    """A text larger than a block, with lines of its own, and lines that it shares with another but for a word."""
+    rng = random.Random(2)
+    lines = [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(12)) for _ in range(12_000)]
+    other = [x.replace(x.split()[2], "changed", 1) if len(x.split()[2]) <= 6 else x for x in lines[50:150]]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(other) + "\nof its own")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in m.without_double_lines(docs).collect()}
+    assert got[1]["text"] == "\n".join(lines) and (got[1]["n_lines"], got[1]["n_removed"]) == (12_000, 0)
+    assert got[2]["text"].endswith("of its own") and got[2]["n_removed"] >= 95
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b\na b", 9, 8, "x", 7, "y")], "doc_id long, text string, n_lines int, n_removed int, line string, size int, near string")
+    (row,) = m.without_double_lines(docs).collect()
+    assert row.asDict() == {"doc_id": 1, "text": "a b", "line": "x", "size": 7, "near": "y", "n_lines": 2, "n_removed": 1}
+
+
 def test_edit_distance():
     rng = random.Random(3)
     for _ in range(2000):

@@ -30,35 +30,45 @@ def spoiled(rng, text, edits):
 
 
 def keys_of(lines):
-    keys, sketches = [], []
-    for block in m.normal_blocks(pa.RecordBatch.from_arrays([pa.array(lines)], ["text"])):
-        _, _, first, end = m.worded_lines(block)
-        low, text, start, stop = m.minima(block, first, end)
-        forms = [text[a:b].tobytes() for a, b in zip(start, stop)]
-        size = np.array([len(x.decode()) for x in forms])
-        for form, n, k in zip(forms, size, m.minima_keys(low)):
-            keys.append({*(k.tolist() if n >= m.SHORT - 2 else []), *(m.short_keys(form).tolist() if m.LEAST <= n < m.SHORT else [])})
-        sketches.append(np.stack(m.sketches(low, size), axis=1))
-    assert len(keys) == len(lines)
-    return keys, np.concatenate(sketches)
+    parts = m.lines_of_batch([pa.RecordBatch.from_arrays([pa.array([0] * len(lines)), pa.array([0] * len(lines)), pa.array(lines)], ["doc", "text_hash", "text"])])
+    (batch,) = pa.Table.from_batches(parts).combine_chunks().to_batches()
+    keys, counts, whole = m.line_keys(batch)
+    assert len(counts) == len(lines)
+    return [set(x.tolist()) for x in np.split(keys, np.cumsum(counts)[:-1])], whole, batch.column("size").to_numpy()
 
 
 def found(pairs):
-    (x, a), (y, b) = keys_of([p for p, _ in pairs]), keys_of([q for _, q in pairs])
-    first = np.array([len(p) <= len(q) for p, q in pairs])[:, None]
-    near, _ = m.sketch_test(m.EDIT_SIMILARITY)(np.where(first, a, b), np.where(first, b, a))
-    return float(np.mean([bool(p & q) and bool(n) for p, q, n in zip(x, y, near)]))
+    (x, a, n), (y, b, k) = keys_of([p for p, _ in pairs]), keys_of([q for _, q in pairs])
+    near = (np.bitwise_count(a ^ b) <= m.DISTANCE) | (np.maximum(n, k) < m.SHORT)
+    return float(np.mean([bool(p & q) and bool(ok) for p, q, ok in zip(x, y, near)]))
+
+
+@pytest.mark.parametrize("n,words_changed,least", [(10, 1, 0.97), (20, 1, 0.99), (60, 1, 0.99), (20, 2, 0.9), (60, 2, 0.99), (60, 3, 0.7)])
+def test_changed_words_meet(n, words_changed, least):
+    rng, pairs = random.Random(n), []
+    while len(pairs) < 400:
+        line = words(rng, n)
+        other = line
+        for _ in range(words_changed):
+            other = reworded(rng, other)
+        if distance(" ".join(line), " ".join(other)) <= int((1 - m.EDIT_SIMILARITY) * len(" ".join(line)) + 1e-9):
+            pairs.append((" ".join(line), " ".join(other)))
+    assert found(pairs) >= least
 
 
 @pytest.mark.parametrize("n", [10, 20, 60])
-def test_changed_word_meets(n):
-    rng = random.Random(n)
-    lines = [words(rng, n) for _ in range(400)]
-    assert found([(" ".join(x), " ".join(reworded(rng, x))) for x in lines]) >= 0.99
+def test_dropped_word_meets(n):
+    rng, pairs = random.Random(n + 1), []
+    for _ in range(400):
+        line = words(rng, n)
+        k = min(range(n), key=lambda k: (len(line[k]), rng.random()))
+        pairs.append((" ".join(line), " ".join(line[:k] + line[k + 1 :])))
+    assert found(pairs) >= 0.97
 
 
-@pytest.mark.parametrize("share,least", [(0.05, 0.97), (0.1, 0.8)])
+@pytest.mark.parametrize("share,least", [(0.02, 0.45), (0.05, 0.12)])
 def test_scattered_edits_meet(share, least):
+    """Letters changed in many words: the block method's weak side, as the operator's docstring says."""
     rng, pairs = random.Random(2), []
     while len(pairs) < 600:
         text = " ".join(words(rng, rng.randint(5, 60)))

@@ -1,23 +1,31 @@
-"""Fuzzy line dedup: MinHash of normalised lines, edit similarity, connected groups.
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
 A line's normal form is its words in lower case, digits as 0, ASCII punctuation taken for blanks.
 Equal normal forms are one line. Two lines are linked if their edit similarity reaches the limit,
 and each connected group keeps its first occurrence, by document id and line number.
 
-Each distinct line has MINIMA min-hashes of its runs of GRAM bytes; three of them make a key to meet
-by, MINIMA keys in all. Of the pairs that meet, those with allowed lengths and AGREE equal min-hashes
-are compared by edit distance. Lines of less than SHORT letters meet by themselves and by what is
-left without one letter, so none of their links is lost. The shares of longer ones that are found
-are in tests/llm/test_lines_recall.py: of pairs with a changed word practically all.
-
-Lines without a word are kept. Null texts have no lines and stay null. Ids order documents, a
-null id is larger than any other; rows equal in id and text are one occurrence. An empty table
-gives no rows. Other columns are kept as they are. Lines are told apart by 64 bits of their hash:
+Words are dealt to CLASSES classes by their hash, and a line's SimHash has a block of 32 bits for each
+class, made of that class's words alone. Replacing a word touches two blocks at most, inserting
+or dropping one touches one. So, by the pigeonhole principle, lines that differ in up to
+CLASSES - 2 blocks still agree in two, and lines meet by pairs of blocks that hold a fair
+part of their letters (PART). Lines of less than SHORT letters meet by themselves and by what is
+left without one letter, so none of their links is lost. Of those that meet, lines with allowed
+lengths and SimHashes of all words at most DISTANCE of 64 bits apart, which sets hardly any pair at
+the limit aside, are compared by edit distance, which alone decides. Keys that one line alone holds
+stay where they are: a merged sketch of all keys tells which are estimated to be shared, and never
+misses one. Shares of links found are in tests/llm/test_lines_recall.py: of pairs with one or two
+changed words practically all; edits scattered over more words than that are found less often.
+
+Lines without a word are kept. Null texts have no lines and stay null; texts and lines of any length are
+read whole. Ids order documents, a null id is larger than any other; rows equal in id and text are
+one occurrence. An empty table gives no rows. Other columns are kept as they are, but for those
+named n_lines and n_removed, which the result replaces. Lines are told apart by 64 bits of their hash:
 two of N distinct lines are taken for one with probability N * N / 2 ** 65.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
@@ -29,20 +37,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.linking import linked, shared_members
+from tidewatch.llm.op3_substrings import cell_count, sketch
 from tidewatch.llm.registry import register
-from tidewatch.llm.textblocks import SPACE, U64, Block, batches_of, mix, ragged, slices, span_hashes
-from tidewatch.session import cut_lineage
+from tidewatch.llm.textblocks import SPACE, U64, Block, batches_of, mix, slices, span_hashes
+from tidewatch.session import cut_lineage, discard
 
-#: Of simhash and line_keys, which no query uses; tests/llm/test_lines.py compares lines by them.
-DISTANCE = 3
-BLOCKS = 6
 EDIT_SIMILARITY = 0.9
-#: Cells of the filter that picks the lines whose text is compared: a bound on what tasks get.
-FILTER_CELLS = 1 << 22
+#: Classes of words; the share of a line's letters, and the letters, that two blocks must hold to make a key.
+CLASSES, PART, LETTERS = 6, 0.2, 8
+PAIRS = [*combinations(range(CLASSES), 2)]
+#: Bits of 64 in which the SimHashes of linked lines differ at most.
+DISTANCE = 24
+#: Cells of the sketch of keys for each key; bytes of text for each cell of the filter of lines whose text is compared.
+CELLS_PER_KEY, CELLS_PER_LINE = 2, 16
 LAST = np.iinfo(np.int64).max
-#: Min-hashes of a line, bytes of a run, and how many of the COMPARED ones that a sketch holds must agree.
-MINIMA, GRAM, COMPARED, AGREE = 32, 5, 30, 9
-FACTORS = (mix(np.arange(1, MINIMA + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 #: Lines of less letters differ by one edit at most; shorter ones than LEAST have no edit to spare.
 SHORT, LEAST = 20, 9
 
@@ -72,46 +80,50 @@ def worded_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return doc[some], number[some], first[some], end[some]
 
 
-def simhash(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Each bit is the majority of that bit over a line's words (ties: 0). Lines don't overlap and leave no word out."""
-    bits = np.unpackbits(mix(words + U64(1)).view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > (end - first)[:, None], axis=1).reshape(-1).view(U64)
-
-
-def line_keys(hashes: np.ndarray, distance: int = DISTANCE, blocks: int = BLOCKS) -> np.ndarray:
-    """One key per choice of blocks - distance blocks, different for different choices."""
-    edge = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edge, edge[1:])]
-    chosen = [sum(x) for x in combinations(masks, blocks - distance)]
-    return np.stack([mix((hashes & U64(m)) ^ mix(U64(k + 1))) for k, m in enumerate(chosen)], axis=1)
-
-
-def minima(block: Block, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Low 16 bits of the min-hashes of each line, and the normal forms: bytes, begins, ends. Lines leave no word out."""
-    length = block.ends - block.starts
-    place = np.cumsum(length + 1) - length - 1
-    text = np.full(int((length + 1).sum()), ord(" "), dtype=np.uint8)
-    text[ragged(place, length)] = block.data[ragged(block.starts, length)]
-    start, stop = place[first], place[end - 1] + length[end - 1]
-    run = np.zeros(len(text), dtype=U64)
-    for k in range(GRAM):
-        run[: len(text) - k] = (run[: len(text) - k] << U64(8)) | text[k:]
-    run = (mix(run + U64(1)) >> U64(32)).astype(np.uint32)
-    over = np.arange(len(text)) + GRAM > np.repeat(stop, np.diff(np.append(start, len(text))))
-    out = np.empty((len(start), MINIMA), dtype=np.uint16)
-    for k, factor in enumerate(FACTORS):
-        h = run * factor
-        h[over] = 0xFFFFFFFF
-        out[:, k] = np.minimum.reduceat(h, start) & np.uint32(0xFFFF)
-    return out, text, start, stop
-
-
-def minima_keys(low: np.ndarray) -> np.ndarray:
-    """A key of each min-hash with the next and the next but two; two keys have one min-hash in common at most."""
-    x = low.astype(U64)
-    three = (x << U64(32)) | (np.roll(x, -1, axis=1) << U64(16)) | np.roll(x, -3, axis=1)
-    return mix(three ^ mix(np.arange(1, MINIMA + 1, dtype=U64)))
+#: What stands for a line where lines meet: the SimHash of all words, a block per class and the letters of each.
+NEAR = np.dtype([("whole", "<u8"), ("blocks", "<u4", CLASSES), ("letters", "<u4", CLASSES)])
+
+
+def majority(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of rows of bits in runs that begin at `first`: each bit's majority in a run (ties: 0)."""
+    size = np.diff(np.append(first, len(bits)))
+    return np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > size[:, None], axis=1)
+
+
+def simhashes(words: np.ndarray, letters: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """NEAR of each line. Lines don't overlap and leave no word out; `letters` are those of each word."""
+    out = np.zeros(len(first), dtype=NEAR)
+    if not len(first):
+        return out
+    spread = mix(words + U64(1))
+    bits = np.unpackbits(spread.view(np.uint8).reshape(-1, 8), axis=1)
+    out["whole"] = majority(bits, first).reshape(-1).view(U64)
+    line = np.repeat(np.arange(len(first)), end - first)
+    group = line * CLASSES + (mix(spread) % U64(CLASSES)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
+    held = group[order][begin]
+    blocks, share = (np.zeros(len(first) * CLASSES, dtype=np.uint32) for _ in range(2))
+    blocks[held] = majority(bits[order, :32], begin).reshape(-1).view(np.uint32)
+    share[held] = np.add.reduceat(letters[order], begin)
+    out["blocks"], out["letters"] = blocks.reshape(-1, CLASSES), share.reshape(-1, CLASSES)
+    return out
+
+
+def block_keys(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, whether it counts) of each pair of blocks of each line."""
+    share = near["letters"].astype(np.int64)
+    own = mix(near["blocks"].astype(U64).reshape(-1) | (U64(1) << U64(32))).reshape(-1, CLASSES)
+    salt = mix(np.arange(1, CLASSES + 1, dtype=U64))
+    own = np.where(share > 0, mix((own ^ salt).reshape(-1)).reshape(-1, CLASSES), U64(0))
+    i, j = (np.array(x) for x in zip(*PAIRS))
+    held = share[:, i] + share[:, j]
+    fair = held >= np.maximum(LETTERS, PART * share.sum(axis=1))[:, None]
+    # A block next to an empty one is the same key whichever is empty; once is enough.
+    empty = share == 0
+    first_empty = empty.argmax(axis=1)[:, None]
+    again = (empty[:, i] & (i != first_empty)) | (empty[:, j] & (j != first_empty))
+    return mix((own[:, i] + own[:, j]).reshape(-1)).reshape(-1, len(PAIRS)), fair & ~again
 
 
 def short_keys(form: bytes) -> np.ndarray:
@@ -121,36 +133,6 @@ def short_keys(form: bytes) -> np.ndarray:
     return np.frombuffer(b"".join(blake2b(x.encode(), digest_size=8).digest() for x in sorted(forms)), dtype=U64)
 
 
-def sketches(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers of a line: sixteenths of an octave of its size with 14 min-hashes, and 16 more, four bits each."""
-    octave = np.minimum(np.floor(16 * np.log2(np.maximum(size, 1))), 255).astype(U64)
-    four = low.astype(U64) & U64(15)
-    shift = U64(4) * np.arange(16, dtype=U64)
-    return (octave << U64(56)) | (four[:, :14] << shift[:14]).sum(axis=1, dtype=U64), (four[:, 14:COMPARED] << shift).sum(axis=1, dtype=U64)
-
-
-#: The largest step of sizes that the edit similarity allows is rounded up; octaves of short lines are below this one.
-SHORT_OCTAVE = int(16 * np.log2(SHORT))
-FOURTHS = 0x1111111111111111
-
-
-def sketch_test(similarity: float):
-    """(alike, later) of two arrays of sketches: enough equal min-hashes and sizes near enough; for the latter alone."""
-    reach = int(np.ceil(-16 * np.log2(similarity)))
-
-    def equal(x: np.ndarray, ones: int) -> np.ndarray:
-        x = x | (x >> U64(1))
-        return np.bitwise_count(~(x | (x >> U64(2))) & U64(ones))
-
-    def test(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        octave = b[:, 0] >> U64(56)
-        later = octave - (a[:, 0] >> U64(56)) <= reach
-        same = equal(a[:, 0] ^ b[:, 0], FOURTHS >> 8) + equal(a[:, 1] ^ b[:, 1], FOURTHS)
-        return later & ((same >= AGREE) | (octave < SHORT_OCTAVE)), later
-
-    return test
-
-
 def common_start(a: str, b: str) -> int:
     """Length of the longest common prefix, by halving."""
     low, high = 0, min(len(a), len(b))
@@ -194,99 +176,111 @@ def edit_distance(a: str, b: str, limit: int | None = None) -> int:
     return distance
 
 
+def normal_forms(block: Block, first: np.ndarray, end: np.ndarray, which: np.ndarray) -> list[bytes]:
+    """The normal forms of some lines: their words, one space apart."""
+    text = block.data.tobytes()
+    words = lambda k: zip(block.starts[first[k] : end[k]].tolist(), block.ends[first[k] : end[k]].tolist())
+    return [b" ".join(text[a:b] for a, b in words(k)) for k in which.tolist()]
+
+
+def lines_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "text_hash"))
+        for block in normal_blocks(batch):
+            doc, number, first, end = worded_lines(block)
+            if not len(doc):
+                continue
+            words = block.word_hashes()
+            line = span_hashes(words, first, end)
+            points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
+            per_word = points[block.ends] - points[block.starts]
+            letters = np.concatenate([[0], np.cumsum(per_word)])
+            size = letters[end] - letters[first] + (end - first) - 1
+            near = [x.tobytes() for x in simhashes(words, per_word, first, end)]
+            short = np.flatnonzero(size < SHORT)
+            for k, form in zip(short.tolist(), normal_forms(block, first, end, short)):
+                near[k] += form
+            columns = (ids[block.first + doc], hashes[block.first + doc], number, line.view(np.int64), pa.array(near, pa.binary()), size)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc", "text_hash", "number", "line", "near", "size"])
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, number, line, minima, size) of every line with a word; size is the normal form's length, which short lines have after their min-hashes."""
+    """(doc, text_hash, number, line, near, size) of every line with a word; size is the normal form's length, which short lines have after their NEAR."""
+    return docs.mapInArrow(lines_of_batch, "doc long, text_hash long, number long, line long, near binary, size long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "text_hash"))
-            for block in normal_blocks(batch):
-                doc, number, first, end = worded_lines(block)
-                if not len(doc):
-                    continue
-                words = block.word_hashes()
-                line = span_hashes(words, first, end)
-                low, text, start, stop = minima(block, first, end)
-                points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
-                letters = np.concatenate([[0], np.cumsum(points[block.ends] - points[block.starts])])
-                size = letters[end] - letters[first] + (end - first) - 1
-                near = [low[k].tobytes() + (text[start[k] : stop[k]].tobytes() if size[k] < SHORT else b"") for k in range(len(size))]
-                columns = (ids[block.first + doc], hashes[block.first + doc], number, line.view(np.int64), pa.array(near, pa.binary()), size)
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc", "text_hash", "number", "line", "minima", "size"])
-
-    return docs.mapInArrow(run, "doc long, text_hash long, number long, line long, minima binary, size long")
+
+def line_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys one after another, how many each line has, SimHash of all its words)."""
+    rows, size = batch.column("near").to_pylist(), batch.column("size").to_numpy(zero_copy_only=False)
+    near = np.frombuffer(b"".join(x[: NEAR.itemsize] for x in rows), dtype=NEAR)
+    key, counts = block_keys(near)
+    counts &= (size >= SHORT - 2)[:, None]
+    own = np.repeat(np.arange(len(rows)), counts.sum(axis=1))
+    keys = key[counts]
+    short = np.flatnonzero((size >= LEAST) & (size < SHORT)).tolist()
+    parts = [short_keys(rows[k][NEAR.itemsize :]) for k in short]
+    keys, own = np.concatenate([keys, *parts]), np.concatenate([own, np.repeat(short, [len(x) for x in parts]).astype(np.int64)])
+    order = np.argsort(own, kind="stable")
+    return keys[order], np.bincount(own, minlength=len(rows)), near["whole"].copy()
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, normal) of the lines in `wanted`. A bitmap of fixed size keeps most other lines inside their task."""
+    """(line, normal) of the lines in `wanted`. A filter made of shards keeps most other lines inside their task."""
     wanted = cut_lineage(wanted.distinct(), "lines-wanted")
-    cells = wanted.select(F.col("line").bitwiseAND(F.lit(FILTER_CELLS - 1)).alias("cell")).distinct()
-    bitmap = np.zeros(FILTER_CELLS, dtype=bool)
-    for row in cells.toLocalIterator():  # FILTER_CELLS of them at most
-        bitmap[row["cell"]] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    twice = lambda batch: np.repeat(batch.column("line").to_numpy(zero_copy_only=False).view(U64), 2)
+    known = docs.sparkSession.sparkContext.broadcast(sketch(wanted, cell_count(wanted.count(), CELLS_PER_LINE), twice))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed.value).astype(bool)
         for batch in batches:
             for block in normal_blocks(batch):
                 _, _, first, end = worded_lines(block)
-                line = span_hashes(block.word_hashes(), first, end).view(np.int64)
+                line = span_hashes(block.word_hashes(), first, end)
                 _, once = np.unique(line, return_index=True)
-                once = once[known[line[once] & (FILTER_CELLS - 1)]]
-                text = block.data.tobytes()
-                words = lambda k: zip(block.starts[first[k] : end[k]].tolist(), block.ends[first[k] : end[k]].tolist())
-                normal = [b" ".join(text[a:b] for a, b in words(k)).decode() for k in once.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(line[once]), pa.array(normal, pa.string())], ["line", "normal"])
+                once = once[known.value(line[once])]
+                normal = [x.decode() for x in normal_forms(block, first, end, once)]
+                yield pa.RecordBatch.from_arrays([pa.array(line[once].view(np.int64)), pa.array(normal, pa.string())], ["line", "normal"])
 
     found = docs.select("text").mapInArrow(run, "line long, normal string")
-    return cut_lineage(found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("normal").alias("normal")), "lines-texts")
+    out = cut_lineage(found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("normal").alias("normal")), "lines-texts")
+    discard(wanted)
+    return out
 
 
 def removed_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY) -> DataFrame:
     """(doc, text_hash, number) of every line that is not its group's first; `docs` has doc, text and text_hash."""
     lines = cut_lineage(lines_of(docs), "lines-all")
-    once = lines.groupBy("line").agg(F.min(F.struct("doc", "text_hash", "number")).alias("first"), F.min("minima").alias("minima"), F.min("size").alias("size"), F.count(F.lit(1)).alias("times"))
-    once = cut_lineage(once, "lines-distinct")
-
-    def low_of(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        near = batch.column("minima").to_pylist()
-        low = np.frombuffer(b"".join(x[: 2 * MINIMA] for x in near), dtype=np.uint16).reshape(-1, MINIMA)
-        return near, low, batch.column("size").to_numpy(zero_copy_only=False)
+    first = F.min(F.struct("doc", "text_hash", "number")).alias("first")
+    once = cut_lineage(lines.groupBy("line").agg(first, F.min("near").alias("near"), F.min("size").alias("size"), F.count(F.lit(1)).alias("times")), "lines-distinct")
+    rows = once.select("line", "near", "size")
+    cells = cell_count(once.count() * len(PAIRS), CELLS_PER_KEY)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(rows, cells, lambda batch: line_keys(batch)[0]))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, low, size = low_of(batch)
-            keys = [k if n >= SHORT - 2 else k[:0] for k, n in zip(minima_keys(low), size.tolist())]
-            for at in np.flatnonzero((size >= LEAST) & (size < SHORT)).tolist():
-                keys[at] = np.concatenate([keys[at], short_keys(near[at][2 * MINIMA :])])
-            offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.empty(0, dtype=U64)]).view(np.int64)))
-            sketch = [pa.array(x.view(np.int64)) for x in sketches(low, size)]
-            yield pa.RecordBatch.from_arrays([batch.column("line"), *sketch, lists], ["id", "sketch", "more", "keys"])
+            keys, counts, whole = line_keys(batch)
+            stays = shared.value(keys)
+            own = np.repeat(np.arange(len(counts)), counts)[stays]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(counts)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[stays].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("line"), pa.array(whole.view(np.int64)), lists], ["id", "sketch", "keys"]).filter(pa.array(np.diff(offsets) > 0))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, low, size = low_of(batch)
-            sketch = [pa.array(x.view(np.int64)) for x in sketches(low, size)]
-            yield pa.RecordBatch.from_arrays([batch.column("line"), *sketch, batch.column("size")], ["id", "sketch", "more", "size"])
-
-    rows = once.select("line", "minima", "size")
-    # Most keys are shared by chance; nearness is told by the sketches before any text is fetched.
-    members = shared_members(rows.mapInArrow(keyed, "id long, sketch long, more long, keys array<long>"), MINIMA, "lines", alike=sketch_test(similarity))
-    hashes = cut_lineage(rows.mapInArrow(sketched, "id long, sketch long, more long, size long"), "lines-sketches")
-    texts = texts_of(docs, members.select(F.col("id").alias("line")))
+            whole = np.frombuffer(b"".join(x[:8] for x in batch.column("near").to_pylist()), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("line"), pa.array(whole), batch.column("size")], ["id", "sketch", "size"])
 
-    def equal(x: str, y: str, name: str, ones: int) -> Column:
-        bits = F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}"))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        return F.bit_count(F.bitwise_not(bits.bitwiseOR(F.shiftrightunsigned(bits, 2))).bitwiseAND(F.lit(ones)))
+    held = cut_lineage(rows.mapInArrow(keyed, "id long, sketch long, keys array<long>"), "lines-keys")
+    members = shared_members(held, len(PAIRS), "lines", DISTANCE)
+    ids = members.select(F.col("id").alias("line")).distinct()
+    hashes = cut_lineage(rows.join(ids, "line", "left_semi").mapInArrow(sketched, "id long, sketch long, size long"), "lines-sketches")
+    texts = texts_of(docs, ids)
+    discard(held)
 
     def near(x: str, y: str) -> Column:
-        """Enough equal min-hashes, unless short, and lengths that the edit similarity allows."""
+        """SimHashes near enough, unless short, and lengths that the edit similarity allows."""
         longer = F.greatest(f"{x}.size", f"{y}.size")
         fits = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= F.floor((1 - similarity) * longer + 1e-9)
-        return fits & ((longer < SHORT) | (equal(x, y, "sketch", FOURTHS >> 8) + equal(x, y, "more", FOURTHS) >= AGREE))
+        return fits & ((longer < SHORT) | (F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))) <= DISTANCE))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,19 +298,24 @@ def removed_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY) -> DataF
         return both.join(texts.select(F.col("line").alias("b"), F.col("normal").alias("q")), "b").mapInArrow(alike, "a long, b long")
 
     def across(open_: DataFrame) -> DataFrame:
-        known = cut_lineage(open_.join(hashes, "id"), "lines-open-hashes")
-        x, y = known.alias("x"), known.alias("y")
-        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))
+        # Lengths that may be linked are at most one step of this scale apart.
+        step = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1 / similarity)).cast("int")
+        known = cut_lineage(open_.join(hashes, "id").withColumn("step", step), "lines-open-hashes")
+        x, y = known.alias("x"), known.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).alias("y")
+        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.label") < F.col("y.label"))
         return x.join(y, same & near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
     labels = linked(members, verify, across, "lines")
     grouped = once.join(labels.withColumnRenamed("id", "line"), "line", "left").select("line", "first", "times", F.coalesce("label", "line").alias("label"))
     grouped = cut_lineage(grouped, "lines-grouped")
+    discard(members, hashes, texts, labels, once)
     # Lines of their own that occur once stay; only the others are looked up in the texts.
     firsts = grouped.groupBy("label").agg(F.min("first").alias("keep"), F.sum("times").alias("all")).where(F.col("all") > 1)
     doubled = cut_lineage(grouped.join(cut_lineage(firsts, "lines-firsts"), "label").select("line", "keep"), "lines-doubled")
     gone = lines.join(doubled, "line").where(F.struct("doc", "text_hash", "number") != F.col("keep"))
-    return gone.select("doc", "text_hash", "number")
+    out = cut_lineage(gone.select("doc", "text_hash", "number"), "lines-gone")
+    discard(lines, grouped, doubled)
+    return out
 
 
 def without_double_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = EDIT_SIMILARITY) -> DataFrame:
@@ -324,7 +323,7 @@ def without_double_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(LAST)))
     text = F.col(f"`{text_col}`").cast("string")
     lines = docs.select(key.alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"), text.alias("text"))
-    gone = cut_lineage(removed_lines(lines, similarity), "lines-gone").groupBy("doc", "text_hash").agg(F.collect_list("number").alias("gone"))
+    gone = removed_lines(lines, similarity).groupBy("doc", "text_hash").agg(F.collect_list("number").alias("gone"))
     own = [c for c in docs.columns if c.lower() not in {"n_lines", "n_removed"}]
     row = F.struct(*(F.col(f"`{c}`") for c in own if c != text_col), F.lit(0).alias("_"))
     given = docs.select(row.alias("row"), text.alias("text"), key.alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("hash"))
