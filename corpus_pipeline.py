@@ -39,11 +39,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id. Documents without an id stay."""
-    classes = op6_minhash.near_duplicates(docs)
-    least = cut_lineage(classes.where("doc_id = class_id").select("doc_id").distinct(), "pipeline-least")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text")))
-    kept = docs.select("doc_id", whole(docs)).join(least, "doc_id", "left_semi").withColumn("place", place).where("place = 1")
+    """One document of each group stays, the one with the least id. Documents without an id stay.
+
+    Rows that share an id but hold different texts are documents of their own (told apart by 64 bits of id and text).
+    """
+    own = F.xxhash64("doc_id", "text")
+    named = docs.where("doc_id IS NOT NULL")
+    classes = op6_minhash.near_duplicates(named.select(own.alias("doc_id"), "text"))
+    ids = named.select(own.alias("own"), "doc_id").distinct()
+    first = ids.join(classes.withColumnRenamed("doc_id", "own"), "own").groupBy("class_id").agg(F.min(F.struct("doc_id", "own")).alias("first"))
+    least = cut_lineage(first.select(F.col("first.own").alias("own")), "pipeline-least")
+    kept = named.select(own.alias("own"), whole(docs)).join(least, "own", "left_semi").dropDuplicates(["own"])
     return kept.select("row.*").union(docs.where("doc_id IS NULL"))
 
 
@@ -66,7 +72,7 @@ STAGES = [
     ("pieces", pieces),
 ]
 
-#: SQL has no counterpart of rank-order profiles, SimHash groups or piece encoding; see tests/llm/test_pipeline.py.
+#: SQL has no counterpart of rank-order profiles, groups of similar lines or piece encoding; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
