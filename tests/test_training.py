@@ -2,10 +2,13 @@
 
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from tidewatch.operators import models
+from tidewatch.plans import reports
+from tools.check import close, rows
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -44,3 +47,24 @@ def test_sequence_rounds(spark, monkeypatch):
     with pytest.raises(Asked) as asked:
         entry.queries()["ml_sequence_classifier"](spark, SF)
     assert asked.value.args == (50,)
+
+
+@pytest.mark.parametrize("name", ["detect_trained_scores", "detect_trained_alerts"])
+def test_trained_flow_by_properties(spark, name):
+    """The whole way with small models: what the SQL says must hold whatever they have learned."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for p in Path(SF).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = entry.queries()[name](spark, SF, trees=8, rounds=3, tree_count=10)
+    res = con.execute(entry.oracle_sql()[name])
+    want = rows([d[0] for d in res.description], res.fetchall())
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert len(got) == len(want) and all(close(a, b) for a, b in zip(got, want))
+
+
+def test_severity_without_rows(spark):
+    """A severity that no alert has is there with 0."""
+    df = spark.createDataFrame([("a", "LOW"), ("b", "LOW")], "alert_id string, severity string")
+    got = {r["severity"]: r["n"] for r in reports.analytics_by_severity(df).collect()}
+    assert got == {"CRITICAL": 0, "HIGH": 0, "MEDIUM": 0, "LOW": 2}

@@ -72,8 +72,8 @@ one(
     f"WITH {A} SELECT count(*) AS total_alerts, {r('''count(*) FILTER (status = 'false_positive') / count(*)''', 'false_positive_rate')}, {r('avg(confidence)', 'avg_confidence')} FROM a",
 )
 one(
-    "rpt_analytics_severity", lambda a: rp.analytics_by_severity(a.filter("severity <> 'HIGH'")),
-    f"WITH {A} SELECT s AS severity, count(alert_id) AS n FROM (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) AS s) LEFT JOIN a ON severity = s AND s <> 'HIGH' GROUP BY s",
+    "rpt_analytics_severity", rp.analytics_by_severity,
+    f"WITH {A} SELECT s AS severity, count(alert_id) AS n FROM (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) AS s) LEFT JOIN a ON severity = s GROUP BY s",
 )
 one(
     "rpt_analytics_sources", rp.analytics_sources,
