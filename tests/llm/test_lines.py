@@ -25,12 +25,21 @@ def distance(a, b):
     return row[-1]
 
 
-def alike(a, b):
-    """Edit similarity alone; lengths and letters too far apart need no table."""
-    most = int((1 - m.EDIT_SIMILARITY) * max(len(a), len(b)) + 1e-9)
-    if abs(len(a) - len(b)) > most or sum((Counter(a) - Counter(b)).values()) > most:
-        return False
-    return distance(a, b) <= most
+def links(forms):
+    """Pairs by edit similarity alone. Their sizes and counts of letters spare most pairs the table."""
+    size = np.array([len(x) for x in forms])
+    letters = {c: k for k, c in enumerate(sorted({c for x in forms for c in x}))}
+    counts = np.zeros((len(forms), len(letters)), dtype=np.int32)
+    for k, x in enumerate(forms):
+        for c, n in Counter(x).items():
+            counts[k, letters[c]] = n
+    out = []
+    for b in range(len(forms)):
+        most = ((1 - m.EDIT_SIMILARITY) * np.maximum(size[:b], size[b]) + 1e-9).astype(int)
+        gap = counts[:b] - counts[b]
+        maybe = (np.maximum(gap, 0).sum(axis=1) <= most) & (np.maximum(-gap, 0).sum(axis=1) <= most)
+        out += [(a, b) for a in np.flatnonzero(maybe).tolist() if m.edit_distance(forms[a], forms[b]) <= most[a]]
+    return out
 
 
 def plain(rows):
@@ -42,7 +51,7 @@ def plain(rows):
             if normal(line):
                 first.setdefault(normal(line), (last if i is None else i, k))
     forms = sorted(first, key=first.get)
-    edges = [(a, b) for b in range(len(forms)) for a in range(b) if alike(forms[a], forms[b])]
+    edges = links(forms)
     group = {k: k for k in range(len(forms))} | union(edges)
     keep = {x: first[forms[group[k]]] for k, x in enumerate(forms)}
     out = []

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.linking import linked, shared_members
 from tidewatch.llm.op3_substrings import cell_count, sketch
 from tidewatch.llm.registry import register
-from tidewatch.llm.textblocks import SPACE, U64, Block, batches_of, mix, slices, span_hashes
+from tidewatch.llm.textblocks import SPACE, U64, Block, batches_of, mix, ragged, slices, span_hashes
 from tidewatch.session import cut_lineage, discard
 
 EDIT_SIMILARITY = 0.9
@@ -47,7 +47,7 @@ EDIT_SIMILARITY = 0.9
 CLASSES, PART, LETTERS = 6, 0.2, 8
 PAIRS = [*combinations(range(CLASSES), 2)]
 #: Bits of 64 in which the SimHashes of linked lines differ at most.
-DISTANCE = 24
+DISTANCE = 18
 #: Cells of the sketch of keys for each key; bytes of text for each cell of the filter of lines whose text is compared.
 CELLS_PER_KEY, CELLS_PER_LINE = 2, 16
 LAST = np.iinfo(np.int64).max
@@ -84,27 +84,36 @@ def worded_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 NEAR = np.dtype([("whole", "<u8"), ("blocks", "<u4", CLASSES), ("letters", "<u4", CLASSES)])
 
 
-def majority(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of rows of bits in runs that begin at `first`: each bit's majority in a run (ties: 0)."""
-    size = np.diff(np.append(first, len(bits)))
-    return np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > size[:, None], axis=1)
+def ones(spread: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of 64-bit numbers in runs that begin at `first`: how many of a run have each bit.
+
+    Eight bits are counted in the bytes of one number, over at most 255 numbers at a time.
+    """
+    size = np.diff(np.append(first, len(spread)))
+    pieces = -(-size // 255)
+    cut = ragged(np.zeros(len(first), dtype=np.int64), pieces) * 255 + np.repeat(first, pieces)
+    bytes_ = np.unpackbits(spread.view(np.uint8).reshape(-1, 8), axis=1).view(U64)
+    counts = np.add.reduceat(bytes_, cut, axis=0).view(np.uint8).reshape(len(cut), 64).astype(np.int32)
+    return counts if len(cut) == len(first) else np.add.reduceat(counts, np.cumsum(pieces) - pieces, axis=0)
 
 
 def simhashes(words: np.ndarray, letters: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """NEAR of each line. Lines don't overlap and leave no word out; `letters` are those of each word."""
+    """NEAR of each line: each bit is the majority of that bit over the words (ties: 0). Lines don't overlap and leave no word out; `letters` are those of each word."""
     out = np.zeros(len(first), dtype=NEAR)
     if not len(first):
         return out
     spread = mix(words + U64(1))
-    bits = np.unpackbits(spread.view(np.uint8).reshape(-1, 8), axis=1)
-    out["whole"] = majority(bits, first).reshape(-1).view(U64)
     line = np.repeat(np.arange(len(first)), end - first)
     group = line * CLASSES + (mix(spread) % U64(CLASSES)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     begin = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
-    held = group[order][begin]
+    held, size = group[order][begin], np.diff(np.append(begin, len(words)))
+    bits = ones(spread[order], begin)
+    own = np.searchsorted(held, np.arange(len(first)) * CLASSES)
+    whole = 2 * np.add.reduceat(bits, own, axis=0) > (end - first)[:, None]
+    out["whole"] = np.packbits(whole, axis=1).reshape(-1).view(U64)
     blocks, share = (np.zeros(len(first) * CLASSES, dtype=np.uint32) for _ in range(2))
-    blocks[held] = majority(bits[order, :32], begin).reshape(-1).view(np.uint32)
+    blocks[held] = np.packbits(2 * bits[:, :32] > size[:, None], axis=1).reshape(-1).view(np.uint32)
     share[held] = np.add.reduceat(letters[order], begin)
     out["blocks"], out["letters"] = blocks.reshape(-1, CLASSES), share.reshape(-1, CLASSES)
     return out
