@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import metrics, ordered, prep
 from tidewatch.plans import adapters as ad
 from tidewatch.plans.catalog import r, register, rounded
+from tidewatch.session import cut_lineage
 
 X = ["x0", "x1", "x2"]
 L = ad.cte("labelled")
@@ -45,7 +46,7 @@ def split(spark, sf):
 
 
 def scaled(spark, sf):
-    s = split(spark, sf)
+    s = cut_lineage(split(spark, sf), "split")  # read for the bounds and for the rows
     return prep.scale(s, prep.minmax(s.filter("NOT is_test"), X), X)
 
 

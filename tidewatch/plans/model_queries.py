@@ -20,7 +20,7 @@ def labelled_flows(spark, sf):
     the rows many times."""
     f = flow_table(spark, sf).withColumn("label", F.expr(LABEL))
     cols = ["flow_id", "src_ip", "start_us", "label", *FEATURES]
-    s = prep.stratified_split(f.select(*cols), "flow_id")
+    s = cut_lineage(prep.stratified_split(f.select(*cols), "flow_id"), "split")  # read for the bounds and for the rows
     s = prep.scale(s, prep.minmax(s.filter("NOT is_test"), FEATURES), FEATURES)
     return cut_lineage(s, "flows")
 
