@@ -8,7 +8,8 @@ and two figures are limited: the share of words inside long repeats, and the lon
 
 Documents are independent, so this is one narrow pass; no row leaves its partition.
 Nulls and empty texts have no words and fail the base rule. Repeated rows and null ids give
-one result row each. Columns other than the id and the text are ignored.
+one result row each. Texts of any length are read whole, one longer than a block as a block of its
+own. An empty table gives no rows. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ MAX_WORDS of them are kept. One narrow pass: no row leaves its partition.
 
 Nulls count as empty texts, which give the begin and end ids only. Repeated rows and null ids
 give one result row each. Columns other than the id and the text are ignored.
+Texts of any length are encoded whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

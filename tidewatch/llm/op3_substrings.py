@@ -17,7 +17,7 @@ minimiser is never below the number that hold the window.
 3. The removed runs, a few numbers per document, meet their text again by document.
 
 Ids order documents; a null id counts as larger than any. Rows with one id are told apart by
-their text and don't remove each other's words. Null texts have no words. An empty table gives no
+their text and don't remove each other's words. Null texts have no words; texts of any length are read whole. An empty table gives no
 rows. Columns other than the id and the text are ignored.
 """
 

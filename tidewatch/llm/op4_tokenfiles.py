@@ -14,7 +14,7 @@ whole bytes, so any run of ids is unpacked by numpy from the few blocks that hol
 
 Null texts count as empty and have the end id only. Null ids come first; rows with one id are
 ordered by a hash of their text, and equal rows are all written. An empty table has no files.
-Columns other than the id and the text are ignored. A task holds one group of documents.
+Texts of any length are encoded whole. Columns other than the id and the text are ignored. A task holds one group of documents.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ Texts with the same words are one before anything is compared. At similarity 0.8
 by all 32 bands of 4 rows with probability 5e-8.
 
 Null texts count as empty; texts without words are copies of each other. A null id takes no part
-and gets a null class; rows with one id share a class. An empty table gives no rows. Columns
-other than the id and the text are ignored.
+and gets a null class; rows with one id share a class. Texts of any length are read whole. An
+empty table gives no rows. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ and a source that holds most rows is only ever summed with map-side combine.
 
 Null texts have size 0, a null source is a source of its own and comes last, null ids hash as
 the word null. Rows with one id in one source share their hash and are taken together. Sources
-without words get target 0. An empty table gives no rows. Input columns are kept by the
+without words get target 0. Texts of any length are counted whole. An empty table gives no rows. Input columns are kept by the
 general form; a clash with its result columns is resolved in favour of the result.
 """
 

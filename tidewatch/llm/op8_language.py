@@ -11,7 +11,7 @@ one row per language and n-gram, of which PROFILE a language stay. A language's
 a small table, whatever the corpus; languages are as many as the label column names.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if nothing is
-labelled. Repeated rows and null ids give one result row each. Columns other than those named
+labelled. Texts of any length are read whole; an empty table gives no rows. Repeated rows and null ids give one result row each. Columns other than those named
 are ignored.
 """
 
