@@ -47,7 +47,7 @@ BLOCK_IDS = 1024
 #: Ids that a reader unpacks at a time, unless one document has more.
 READ_IDS = 1 << 20
 #: Characters of text that are encoded at a time; distinct words that a task keeps with their ids.
-BLOCK_CHARS, MAX_WORDS = 250_000, 125_000
+BLOCK_CHARS, MAX_WORDS = 500_000, 300_000
 #: Words that the library encodes as one text, and what stands between them; words that it gets in one call.
 TOGETHER, MARK, CALL = 256, "\x01", 8192
 
