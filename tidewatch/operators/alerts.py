@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import fold, ordered, skew
 from tidewatch.operators.ensemble import severity
 from tidewatch.operators.rules import literal_map
+from tidewatch.session import cut_lineage
 
 # Text shown for each attack type.
 DESCRIPTIONS = {
@@ -312,7 +313,8 @@ def workflow_state(applied: DataFrame) -> DataFrame:
 def status_events(applied: DataFrame, alerts: DataFrame) -> DataFrame:
     """Status-change payload for every accepted action."""
     sev = alerts.select("alert_id", "severity")
-    rows = skew.salted_join(applied.filter("accepted"), sev, ["alert_id"], "left")
+    accepted = applied.filter("accepted").select("action_id", "alert_id", "new_status", "performed_by", "t_us")
+    rows = skew.salted_join(cut_lineage(accepted, "accepted"), sev, ["alert_id"], "left")
     return rows.select(
         "action_id",
         F.to_json(
