@@ -51,3 +51,12 @@ def test_no_rules_with_text_and_none_at_all(spark):
     plain = rules.parse_rules(spark.createDataFrame([(0, 'alert any any any -> any any (msg:"m"; sid:1;)')], "rule_order long, raw string"))
     for matches in (rules.all_matches, rules.content_matches):
         assert matches(df, none).count() == 0 and matches(df, plain).count() == 2
+
+
+def test_a_line_is_read_once(spark):
+    """The options of a line stand in the plan once, not once for each column and condition that names them."""
+    lines = spark.createDataFrame([(0, 'alert tcp any any -> any 80 (msg:"m"; sid:1;)'), (1, None), (2, "  ")], "rule_order long, raw string")
+    for read in (rules.parse_rules, rules.rule_records):
+        out = read(lines)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and [r["rule_id"] for r in out.collect()] == ["1"]
