@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.alerts import RESOLUTION_TYPES, STATES, TRANSITIONS
@@ -37,6 +38,36 @@ def _widened(pdf: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
     return out.where(out.notna(), None)
 
 
+#: rows that ``advance`` takes at a time; rows of one time stay together
+PIECE_ROWS = 50_000
+
+
+def _packed(pdf: pd.DataFrame) -> bytes:
+    """Rows as one value for the state: a message of the Arrow stream format."""
+    table = pa.Table.from_pandas(pdf, preserve_index=False).replace_schema_metadata(None)
+    return _ipc(table)
+
+
+def _ipc(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _pieces(t: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts times in order into pieces of about PIECE_ROWS, nowhere between equal times; at least one, which may be empty."""
+    a = 0
+    while True:
+        b = min(a + PIECE_ROWS, len(t))
+        if b < len(t):
+            b = int(np.searchsorted(t, t[b - 1], side="right"))
+        yield a, b
+        a = b
+        if a >= len(t):
+            return
+
+
 class InOrder(StatefulProcessor):
     """Gives ``advance`` the rows of a key in event-time order, each once, when the watermark has passed them."""
 
@@ -48,7 +79,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
+        # rows in blocks, not one by one: a value of the state costs the same whatever it holds
+        self.waiting = handle.getListState("waiting", "block binary")
         self.begin(handle)
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
@@ -68,8 +100,7 @@ class InOrder(StatefulProcessor):
                 late.append(pdf.loc[behind, names[:2]])
                 pdf = pdf.loc[~behind]
             if len(pdf):
-                plain = pdf.astype(object).itertuples(index=False, name=None)
-                self.waiting.appendList([tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in plain])
+                self.waiting.appendValue((_packed(pdf),))
                 first = int(pdf["t_us"].min())
                 least = first if least is None else min(least, first)
         if least is not None:
@@ -83,19 +114,27 @@ class InOrder(StatefulProcessor):
         self.watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
         now = self.watermark_us - 1001
         names = _names(self.row)
-        ready, later = [], []
+        table, order, t = None, np.empty(0, np.int64), np.empty(0, np.int64)
         if self.waiting.exists():
-            for r in self.waiting.get():
-                (ready if r[0] <= now else later).append(tuple(r))
-            if ready:
-                self.waiting.put(later) if later else self.waiting.clear()
-            if later:
-                self.due(min(r[0] for r in later))
-        pdf = pd.DataFrame(ready, columns=names).sort_values(names[:2], ignore_index=True)
-        out = self.advance(key, pdf, now)
-        if out:
-            out = pd.DataFrame(out, columns=_names(self.schema))
-            yield _widened(out, [*out.columns, *_names(LATE)]) if self.gives_late else out
+            blocks = [pa.ipc.open_stream(r[0]).read_all() for r in self.waiting.get()]
+            table = pa.concat_tables(blocks, promote_options="permissive")
+            at, ids = (table.column(c).to_numpy().astype(np.int64) for c in names[:2])
+            order = np.lexsort((ids, at))
+            t = at[order]
+            passed = int(np.searchsorted(t, now, side="right"))
+            if passed:
+                later = np.sort(order[passed:])
+                self.waiting.put([(_ipc(table.take(pa.array(later))),)]) if len(later) else self.waiting.clear()
+            if passed < len(t):
+                self.due(int(t[passed]))
+            order, t = order[:passed], t[:passed]
+        for a, b in _pieces(t):
+            rows = table.take(pa.array(order[a:b])).to_pandas() if b > a else pd.DataFrame(columns=names)
+            # between pieces only what is before the next row is due
+            out = self.advance(key, rows, now if b == len(t) else int(t[b - 1]) - 1)
+            if out:
+                out = pd.DataFrame(out, columns=_names(self.schema))
+                yield _widened(out, [*out.columns, *_names(LATE)]) if self.gives_late else out
 
     def due(self, at_us: int) -> None:
         """Call ``advance`` again when the watermark passes a time."""
@@ -425,7 +464,7 @@ class RecentVectors(InOrder):
 
     def advance(self, key, rows, now_us):
         held, until = ([list(v) for v in self.last.get()[0]], self.last.get()[1]) if self.last.exists() else ([], 0)
-        every = held + [list(v) for v in rows["vector"]]
+        every = held + [np.asarray(v).tolist() for v in rows["vector"]]
         base = len(held)
         recent = [every[max(0, base + i + 1 - self.size) : base + i + 1] for i in range(len(rows))]
         if len(rows):
