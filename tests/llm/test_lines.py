@@ -132,3 +132,38 @@ def test_edit_distance():
         assert m.edit_distance(a, b) == distance(a, b)
     long = "".join(rng.choices("abcdef ", k=30000))
     assert m.edit_distance(long, long[:100] + "zz" + long[101:20000] + long[20003:]) == 5
+
+
+def test_bitmaps_lose_no_link():
+    rng = random.Random(8)
+    for _ in range(1000):
+        a = "".join(rng.choices("abcé日 ", k=rng.randint(0, 90)))
+        b = a
+        for _ in range(rng.randint(0, 6)):
+            k, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+            b = b[:k] + ("" if kind == 1 else rng.choice("abcx")) + b[k + (kind != 2) :]
+        for x, y in zip(m.gram_bits(a, [1, 60, 400]), m.gram_bits(b, [1, 60, 400])):
+            assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= 2 * m.GRAM * m.edit_distance(a, b)
+    assert [x.nbytes * 8 for x in m.gram_bits("日本" * 20_000, [0, 60, 40_000])] == [256, 512, m.MOST_BITS]
+
+
+def test_frequent_words_in_common_make_few_pairs(spark, monkeypatch):
+    """Lines that hold the same frequent words, and others besides, are not compared by the square of their number."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12))
+    lines = [f"there were many other things about which {word()} {word()}" for _ in range(400)]
+    pairs, linked = [], m.linked
+
+    def counted(members, verify, across, name):
+        def count(open_):
+            out = across(open_)
+            pairs.append((open_.count(), out.count()))
+            return out
+
+        return linked(members, verify, count, name)
+
+    monkeypatch.setattr(m, "linked", counted)
+    out = m.without_double_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert out.where("n_removed > 0").count() == 0
+    ((rows, found),) = pairs
+    assert rows >= 400 and found <= 400

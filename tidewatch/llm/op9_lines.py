@@ -11,7 +11,9 @@ CLASSES - 2 blocks still agree in two, and lines meet by pairs of blocks that ho
 part of their letters (PART). Lines of less than SHORT letters meet by themselves and by what is
 left without one letter, so none of their links is lost. Of those that meet, lines with allowed
 lengths and SimHashes of all words at most DISTANCE of 64 bits apart, which sets hardly any pair at
-the limit aside, are compared by edit distance, which alone decides. Keys that one line alone holds
+the limit aside, are compared by edit distance, which alone decides. Before that, a bitmap of each line's runs of
+GRAM letters sets aside pairs that differ in more bits than the allowed edits can turn; it loses no link.
+Keys that one line alone holds
 stay where they are: a merged sketch of all keys tells which are estimated to be shared, and never
 misses one. Shares of links found are in tests/llm/test_lines_recall.py: of pairs with one or two
 changed words practically all; edits scattered over more words than that are found less often.
@@ -48,6 +50,8 @@ CLASSES, PART, LETTERS = 6, 0.2, 8
 PAIRS = [*combinations(range(CLASSES), 2)]
 #: Bits of 64 in which the SimHashes of linked lines differ at most.
 DISTANCE = 18
+#: An edit changes at most GRAM runs of GRAM letters on either side. A line's bitmap has GRAM_BITS bits or more a letter, in all a power of two between these.
+GRAM, GRAM_BITS, LEAST_BITS, MOST_BITS = 3, 6, 256, 1 << 16
 #: Cells of the sketch of keys for each key; bytes of text for each cell of the filter of lines whose text is compared.
 CELLS_PER_KEY, CELLS_PER_LINE = 2, 16
 LAST = np.iinfo(np.int64).max
@@ -185,6 +189,21 @@ def edit_distance(a: str, b: str, limit: int | None = None) -> int:
     return distance
 
 
+def gram_bits(text: str, sizes: list[int]) -> list[np.ndarray]:
+    """Bitmaps of a text for lines of some sizes: whether an odd number of its runs of GRAM letters fall on a bit.
+
+    The second occurrence of a run, the third and so on are runs of their own. Texts that are `k` edits apart differ in at most 2 * GRAM * k bits of those for one size.
+    """
+    edge = "\0" * (GRAM - 1)
+    letter = np.frombuffer(f"{edge}{text}{edge}".encode("utf-32-le"), dtype="<u4").astype(U64)
+    runs = np.sort(sum(letter[k : len(letter) - GRAM + 1 + k] << U64(21 * k) for k in range(GRAM)))
+    first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+    again = np.arange(len(runs)) - np.repeat(first, np.diff(np.append(first, len(runs))))
+    runs = mix(mix(runs) + again.astype(U64))
+    bits = [min(MOST_BITS, max(LEAST_BITS, 1 << (GRAM_BITS * n - 1).bit_length())) for n in sizes]
+    return [np.packbits((np.bincount((runs & U64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8)).view(np.int64) for n in bits]
+
+
 def normal_forms(block: Block, first: np.ndarray, end: np.ndarray, which: np.ndarray) -> list[bytes]:
     """The normal forms of some lines: their words, one space apart."""
     text = block.data.tobytes()
@@ -285,10 +304,14 @@ def removed_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY) -> DataF
     texts = texts_of(docs, ids)
     discard(held)
 
+    def edits(x: str, y: str) -> Column:
+        """Edits that the similarity allows."""
+        return F.floor((1 - similarity) * F.greatest(f"{x}.size", f"{y}.size") + 1e-9)
+
     def near(x: str, y: str) -> Column:
         """SimHashes near enough, unless short, and lengths that the edit similarity allows."""
         longer = F.greatest(f"{x}.size", f"{y}.size")
-        fits = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= F.floor((1 - similarity) * longer + 1e-9)
+        fits = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= edits(x, y)
         return fits & ((longer < SHORT) | (F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))) <= DISTANCE))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,13 +329,30 @@ def removed_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY) -> DataF
         both = both.join(texts.select(F.col("line").alias("a"), F.col("normal").alias("p")), "a")
         return both.join(texts.select(F.col("line").alias("b"), F.col("normal").alias("q")), "b").mapInArrow(alike, "a long, b long")
 
+    def with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A line at each step it may be linked at, its own and those next to it, with its bitmap for that."""
+        for batch in batches:
+            rows = ((*x, near) for x in zip(*(batch.column(c).to_pylist() for c in ("id", "size", "step", "normal"))) for near in [[x[2] - 1, x[2], x[2] + 1]])
+            out = [
+                (id_, size, at, at == step, bits)
+                for id_, size, step, normal, near in rows
+                for at, bits in zip(near, gram_bits(normal, [math.ceil(similarity ** -(at + 1)) for at in near]))
+            ]
+            columns = zip(*out) if out else [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["id", "size", "at", "own", "grams"])
+
     def across(open_: DataFrame) -> DataFrame:
         # Lengths that may be linked are at most one step of this scale apart.
         step = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1 / similarity)).cast("int")
-        known = cut_lineage(open_.join(hashes, "id").withColumn("step", step), "lines-open-hashes")
-        x, y = known.alias("x"), known.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).alias("y")
-        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.label") < F.col("y.label"))
-        return x.join(y, same & near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        wanted = open_.select("id").distinct().join(hashes.select("id", "size", step.alias("step")), "id")
+        grams = cut_lineage(wanted.join(texts, F.col("id") == F.col("line")).mapInArrow(with_grams, "id long, size long, at int, own boolean, grams array<long>"), "lines-grams")
+        known = open_.join(hashes.select("id", "sketch"), "id").join(grams, "id")
+        x, y = known.where("own").alias("x"), known.alias("y")
+        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.label") < F.col("y.label"))
+        # Lines that have but frequent words in common meet in numbers that grow with their square; the bitmaps set them aside.
+        turned = F.aggregate(F.zip_with("x.grams", "y.grams", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+        return x.join(y, same & near("x", "y") & (turned <= 2 * GRAM * edits("x", "y"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
     labels = linked(members, verify, across, "lines")
     grouped = once.join(labels.withColumnRenamed("id", "line"), "line", "left").select("line", "first", "times", F.coalesce("label", "line").alias("label"))
