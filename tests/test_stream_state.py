@@ -97,3 +97,35 @@ def test_windows_and_rates_do_not_depend_on_pieces(monkeypatch, piece):
     rate = rows.rename(columns={"event_id": "packet_id"}).assign(threshold_type="threshold", need=4, span=3_000_000)
     got, _, _ = driven(pr.RateThresholds(), [rate, rate[:0]], [30_000, 10**7], ("9", "a"))
     assert [r[3] for r in got] == [at for at in sorted(set(t.tolist())) if ((t <= at) & (t >= at - 3_000_000)).sum() >= 4]
+
+
+def packets(n, seed):
+    rng = np.random.default_rng(seed)
+    flags = {f: rng.random(n) < 0.15 for f in pr.Flows.flags}
+    fields = {"length": rng.integers(60, 1500, n), "header_length": 20, "protocol": np.where(rng.random(n) < 0.8, "TCP", "UDP")}
+    return pd.DataFrame({"t_us": np.sort(rng.integers(0, 40 * n, n)) * 100_000, "packet_id": np.arange(n), "is_forward": rng.random(n) < 0.6, **fields, **flags})
+
+
+@pytest.mark.parametrize("piece", [1, 7, 50_000])
+def test_flows_of_a_key_are_taken_together(monkeypatch, piece):
+    """Each flow against its own packets, whatever the pieces; figures of many flows are made at once."""
+    monkeypatch.setattr(pr, "PIECE_ROWS", piece)
+    calls, features, idle = [], pr._features, 10_000_000
+    monkeypatch.setattr(pr, "_features", lambda *a: calls.append(1) or features(*a))
+    rows = packets(600, 3)
+    got, _, _ = driven(pr.Flows(idle), [rows[:250], rows[250:], rows[:0]], [rows["t_us"][249] // 1000, 10**6, 10**9])
+    ends = (rows["flag_fin"] | rows["flag_rst"]) & (rows["protocol"] == "TCP")
+    number = (ends.shift(fill_value=False) | (rows["t_us"].diff() >= idle)).cumsum()
+    names = pr._names(pr.Flows.schema)
+    table = {r[0]: dict(zip(names, r)) for r in got}
+    assert len(got) == len(table) == number.nunique() > 100 and (piece < 50_000 or len(calls) <= 6)
+    for _, flow in rows.groupby(number):
+        row = table[f"k@{flow['packet_id'].iloc[0]}"]
+        assert (row["start_us"], row["end_us"], row["pkt_count"]) == (flow["t_us"].iloc[0], flow["t_us"].iloc[-1], len(flow))
+        for p, side in (("fwd", flow[flow["is_forward"]]), ("bwd", flow[~flow["is_forward"]])):
+            gaps = np.diff(side["t_us"]) / 1e6
+            want = {"packet_length_mean": side["length"].mean(), "packet_length_std": side["length"].std(ddof=0), "packet_length_min": side["length"].min()}
+            want |= {"iat_mean": gaps.mean(), "iat_std": gaps.std(), "iat_max": gaps.max(), "iat_total": gaps.sum()} if len(gaps) else {"iat_std": 0, "iat_min": 0}
+            for c, v in want.items():
+                assert row[f"{p}_{c}"] == pytest.approx(v if len(side) else 0, abs=1e-9), c
+        assert row["syn_flag_count"] == flow["flag_syn"].sum() and row["max_packet_length"] == flow["length"].max()

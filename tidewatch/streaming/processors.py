@@ -86,7 +86,7 @@ class InOrder(StatefulProcessor):
     def begin(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
-    def advance(self, key, rows: pd.DataFrame, now_us: int) -> list[tuple]:
+    def advance(self, key, rows: pd.DataFrame, now_us: int) -> list[tuple] | pd.DataFrame:
         """Take rows in order; then do what is due by ``now_us``. Rows of the result."""
         raise NotImplementedError
 
@@ -132,8 +132,8 @@ class InOrder(StatefulProcessor):
             rows = table.take(pa.array(order[a:b])).to_pandas() if b > a else pd.DataFrame(columns=names)
             # between pieces only what is before the next row is due
             out = self.advance(key, rows, now if b == len(t) else int(t[b - 1]) - 1)
-            if out:
-                out = pd.DataFrame(out, columns=_names(self.schema))
+            if len(out):
+                out = out if isinstance(out, pd.DataFrame) else pd.DataFrame(out, columns=_names(self.schema))
                 yield _widened(out, [*out.columns, *_names(LATE)]) if self.gives_late else out
 
     def due(self, at_us: int) -> None:
@@ -322,12 +322,21 @@ Stats = tuple[float, float, float, float, float]
 NOTHING: Stats = (0.0, 0.0, 0.0, np.inf, -np.inf)
 
 
+def stats_of(x: np.ndarray, piece: np.ndarray, pieces: int) -> np.ndarray:
+    """Stats of the values of each piece, one piece a row; `piece` is in order."""
+    out = np.tile(NOTHING, (pieces, 1))
+    if len(x):
+        x = x.astype(float)
+        first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+        size = np.diff(np.r_[first, len(x)])
+        mean = np.add.reduceat(x, first) / size
+        apart = np.add.reduceat((x - np.repeat(mean, size)) ** 2, first)
+        out[piece[first]] = np.column_stack([size, mean, apart, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)])
+    return out
+
+
 def stats(x: np.ndarray) -> Stats:
-    if not len(x):
-        return NOTHING
-    x = x.astype(float)
-    mean = float(x.mean())
-    return (float(len(x)), mean, float(((x - mean) ** 2).sum()), float(x.min()), float(x.max()))
+    return tuple(stats_of(x, np.zeros(len(x), np.int64), 1)[0].tolist())
 
 
 def joined(a: Stats, b: Stats) -> Stats:
@@ -338,15 +347,21 @@ def joined(a: Stats, b: Stats) -> Stats:
     return (n, a[1] + apart * b[0] / n, a[2] + b[2] + apart * apart * a[0] * b[0] / n, min(a[3], b[3]), max(a[4], b[4]))
 
 
-def _spread(s: Stats) -> float:
-    return float(np.sqrt(s[2] / s[0])) if s[0] > 1 else 0.0
+def _spread(n: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    return np.where(n > 1, np.sqrt(apart / np.maximum(n, 1.0)), 0.0)
 
 
-# One direction of a flow: length statistics, gap statistics, bytes, header bytes, first and last time.
-def _side(length: np.ndarray, header: np.ndarray, t: np.ndarray) -> list[float]:
-    if not len(t):
-        return [*NOTHING, *NOTHING, 0.0, 0.0, np.nan, np.nan]
-    return [*stats(length), *stats(np.diff(t)), float(length.sum()), float(header.sum()), float(t[0]), float(t[-1])]
+def _sides(length: np.ndarray, header: np.ndarray, t: np.ndarray, piece: np.ndarray, pieces: int) -> np.ndarray:
+    """One direction of each piece, one piece a row: length statistics, gap statistics, bytes, header bytes, first and last time."""
+    out = np.tile([*NOTHING, *NOTHING, 0.0, 0.0, np.nan, np.nan], (pieces, 1))
+    if len(t):
+        same = piece[1:] == piece[:-1]
+        out[:, :5] = stats_of(length, piece, pieces)
+        out[:, 5:10] = stats_of(np.diff(t)[same], piece[1:][same], pieces)
+        first = np.flatnonzero(np.r_[True, ~same])
+        last = np.r_[first[1:], len(t)] - 1
+        out[piece[first], 10:] = np.column_stack([np.add.reduceat(length, first), np.add.reduceat(header, first), t[first], t[last]])
+    return out
 
 
 def _join_sides(a: list[float], b: list[float]) -> list[float]:
@@ -359,34 +374,36 @@ def _join_sides(a: list[float], b: list[float]) -> list[float]:
     return [*joined(tuple(a[:5]), tuple(b[:5])), *gaps, a[10] + b[10], a[11] + b[11], a[12], b[13]]
 
 
-def _features(fwd: list[float], bwd: list[float], flags: list[float], start: float, end: float) -> list[float]:
-    out = dict.fromkeys(FEATURES, 0.0)
+def _features(fwd: np.ndarray, bwd: np.ndarray, flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """The features of flows, one flow a row of the arrays."""
+
+    def share(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+        return np.where(bottom > 0, top / np.where(bottom > 0, bottom, 1.0), 0.0)
+
+    out = dict.fromkeys(FEATURES, np.zeros(len(start)))
     dur = (end - start) / 1e6
-    pkts, size = fwd[0] + bwd[0], fwd[10] + bwd[10]
+    pkts, size = fwd[:, 0] + bwd[:, 0], fwd[:, 10] + bwd[:, 10]
     out["flow_duration"] = dur
     for p, s in (("fwd", fwd), ("bwd", bwd)):
-        n, gaps = s[0], tuple(s[5:10])
-        out[f"total_{p}_packets"], out[f"total_length_{p}_packets"] = n, s[10]
-        out[f"{p}_header_length"] = s[11]
-        if n:
-            out[f"{p}_packet_length_max"], out[f"{p}_packet_length_min"] = s[4], s[3]
-            out[f"{p}_packet_length_mean"] = out[f"avg_{p}_segment_size"] = s[10] / n
-            out[f"{p}_packet_length_std"] = _spread(tuple(s[:5]))
-        if n > 1:
-            span = s[13] - s[12]
-            out[f"{p}_iat_total"], out[f"{p}_iat_mean"] = span / 1e6, span / (n - 1) / 1e6
-            out[f"{p}_iat_std"] = _spread(gaps) / 1e6
-            out[f"{p}_iat_max"], out[f"{p}_iat_min"] = gaps[4] / 1e6, gaps[3] / 1e6
-        if dur > 0:
-            out[f"{p}_packets_per_sec"] = n / dur
-    if dur > 0:
-        out["flow_bytes_per_sec"], out["flow_packets_per_sec"] = size / dur, pkts / dur
-    out["down_up_ratio"] = bwd[10] / fwd[10] if fwd[10] > 0 else 0.0
-    out["average_packet_size"] = size / pkts if pkts else 0.0
-    out["min_packet_length"], out["max_packet_length"] = min(fwd[3], bwd[3]), max(fwd[4], bwd[4])
-    for name, v in zip(("fin", "syn", "rst", "psh", "ack", "urg"), flags):
-        out[f"{name}_flag_count"] = v
-    return [out[f] for f in FEATURES]
+        n = s[:, 0]
+        some, more = n > 0, n > 1
+        out[f"total_{p}_packets"], out[f"total_length_{p}_packets"] = n, s[:, 10]
+        out[f"{p}_header_length"] = s[:, 11]
+        out[f"{p}_packet_length_max"], out[f"{p}_packet_length_min"] = (np.where(some, s[:, k], 0.0) for k in (4, 3))
+        out[f"{p}_packet_length_mean"] = out[f"avg_{p}_segment_size"] = share(s[:, 10], n)
+        out[f"{p}_packet_length_std"] = _spread(n, s[:, 2])
+        span = np.where(more, s[:, 13] - s[:, 12], 0.0)
+        out[f"{p}_iat_total"], out[f"{p}_iat_mean"] = span / 1e6, share(span, n - 1) / 1e6
+        out[f"{p}_iat_std"] = np.where(more, _spread(s[:, 5], s[:, 7]), 0.0) / 1e6
+        out[f"{p}_iat_max"], out[f"{p}_iat_min"] = (np.where(more, s[:, k], 0.0) / 1e6 for k in (9, 8))
+        out[f"{p}_packets_per_sec"] = share(n, dur)
+    out["flow_bytes_per_sec"], out["flow_packets_per_sec"] = share(size, dur), share(pkts, dur)
+    out["down_up_ratio"] = share(bwd[:, 10], fwd[:, 10])
+    out["average_packet_size"] = share(size, pkts)
+    out["min_packet_length"], out["max_packet_length"] = np.minimum(fwd[:, 3], bwd[:, 3]), np.maximum(fwd[:, 4], bwd[:, 4])
+    for k, name in enumerate(("fin", "syn", "rst", "psh", "ack", "urg")):
+        out[f"{name}_flag_count"] = flags[:, k]
+    return {f: out[f] for f in FEATURES}
 
 
 class Flows(InOrder):
@@ -404,50 +421,51 @@ class Flows(InOrder):
     def begin(self, handle):
         self.flow = handle.getValueState("flow", "start long, first long, last long, fwd array<double>, bwd array<double>, flags array<double>")
 
-    def _emit(self, key, s):
-        start, first, last, fwd, bwd, flags = s
-        n = int(fwd[0] + bwd[0])
-        return (f"{key[0]}@{first}", key[0], start, last, n, *_features(fwd, bwd, flags, start, last))
+    def _emit(self, key, start, first, last, fwd, bwd, flags) -> pd.DataFrame:
+        """Finished flows, one a row of the arrays."""
+        columns = {
+            "flow_id": [f"{key[0]}@{k}" for k in first.tolist()], "flow_key": key[0], "start_us": start, "end_us": last,
+            "pkt_count": (fwd[:, 0] + bwd[:, 0]).astype(np.int64),
+        }
+        return pd.DataFrame(columns | _features(fwd, bwd, flags, start, last))
 
     def advance(self, key, rows, now_us):
         t, ids = rows["t_us"].to_numpy(np.int64), rows["packet_id"].to_numpy(np.int64)
-        fwd = rows["is_forward"].to_numpy(bool)
-        length, header = rows["length"].to_numpy(np.int64), rows["header_length"].to_numpy(np.int64)
-        marks = rows[self.flags].to_numpy(bool).astype(float)
-        ends = ((marks[:, 0] + marks[:, 2]) > 0) & (rows["protocol"].to_numpy() == "TCP")
-        cut = np.zeros(len(t), bool)
-        cut[1:] = ends[:-1] | (np.diff(t) >= self.idle)
         state = self.flow.get() if self.flow.exists() else None
-        out = []
-        if state is not None and len(t) and t[0] - state[2] >= self.idle:
-            out.append(self._emit(key, state))
-            state = None
-        begins = np.flatnonzero(np.r_[True, cut[1:]]) if len(t) else []
-        for a, b in zip(begins, np.r_[np.flatnonzero(cut), len(t)]):
-            s, f = slice(a, b), fwd[a:b]
-            piece = (
-                int(t[a]), int(ids[a]), int(t[b - 1]),
-                _side(length[s][f], header[s][f], t[s][f]), _side(length[s][~f], header[s][~f], t[s][~f]),
-                marks[s].sum(0).tolist(),
-            )
+        held, out = None, []
+        if state is not None:
+            held = [np.array([x]) for x in state[:3]] + [np.array([x], dtype=float) for x in state[3:]]
+            if len(t) and t[0] - state[2] >= self.idle:
+                out.append(self._emit(key, *held))
+                state = held = None
+        if len(t):
+            fwd = rows["is_forward"].to_numpy(bool)
+            length, header = rows["length"].to_numpy(np.int64), rows["header_length"].to_numpy(np.int64)
+            marks = rows[self.flags].to_numpy(bool).astype(float)
+            ends = ((marks[:, 0] + marks[:, 2]) > 0) & (rows["protocol"].to_numpy() == "TCP")
+            cut = np.r_[True, ends[:-1] | (np.diff(t) >= self.idle)]
+            begins, piece = np.flatnonzero(cut), np.cumsum(cut) - 1
+            n, last = len(begins), np.r_[begins[1:], len(t)] - 1
+            sides = [_sides(length[f], header[f], t[f], piece[f], n) for f in (fwd, ~fwd)]
+            found = [t[begins], ids[begins], t[last], *sides, np.add.reduceat(marks, begins, axis=0)]
             if state is not None:
-                piece = (
-                    state[0], state[1], piece[2], _join_sides(list(state[3]), piece[3]),
-                    _join_sides(list(state[4]), piece[4]), [x + y for x, y in zip(state[5], piece[5])],
-                )
-            state = piece
-            if ends[b - 1] or b < len(t):
-                out.append(self._emit(key, state))
-                state = None
-        if state is not None and now_us - state[2] >= self.idle:
-            out.append(self._emit(key, state))
-            state = None
-        if state is None:
+                found[0][0], found[1][0] = state[:2]
+                for k in (3, 4):
+                    found[k][0] = _join_sides(list(state[k]), found[k][0].tolist())
+                found[5][0] += np.array(state[5], dtype=float)
+            done = n if ends[-1] else n - 1
+            if done:
+                out.append(self._emit(key, *(x[:done] for x in found)))
+            held = None if ends[-1] else [x[done:] for x in found]
+        if held is not None and now_us - held[2][0] >= self.idle:
+            out.append(self._emit(key, *held))
+            held = None
+        if held is None:
             self.flow.clear()
         else:
-            self.flow.update(state)
-            self.due(state[2] + self.idle)
-        return out
+            self.flow.update((*(int(x[0]) for x in held[:3]), *(x[0].tolist() for x in held[3:])))
+            self.due(int(held[2][0]) + self.idle)
+        return pd.concat(out, ignore_index=True) if out else []
 
 
 class RecentVectors(InOrder):

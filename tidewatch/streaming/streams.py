@@ -168,10 +168,14 @@ def drained(df: DataFrame, name: str, start=to_table) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+#: rows of a replayed file; a batch of a large table has as many files as that takes, each read by a task of its own
+FILE_ROWS = 250_000
+
+
 def replay(df: DataFrame, slices: int = 4, files: int = 4, end: bool = True, held: DataFrame | None = None) -> tuple[DataFrame, str]:
     """Store a table as files in about event-time order and open it as a stream.
 
-    Each slice of time is dealt to several files, and a row may come up to one slice late, so
+    Each slice of time is dealt to `files` files, or more if the table is large, and a row may come up to one slice late, so
     rows come out of order within and across micro-batches. Returns the stream and the delay
     that its watermark needs. ``end`` adds a last row of nulls, but for a time a year later:
     the end of the input, which lets everything that is open be finished. ``held`` are rows that
@@ -179,7 +183,8 @@ def replay(df: DataFrame, slices: int = 4, files: int = 4, end: bool = True, hel
     """
     spark = df.sparkSession
     path = scratch_path(spark, "slices")
-    lo, hi = df.agg(F.min("t_us"), F.max("t_us")).first()
+    lo, hi, rows = df.agg(F.min("t_us"), F.max("t_us"), F.count(F.lit(1))).first()
+    files = max(files, rows // (slices + 1) // FILE_ROWS)
     width = (hi - lo) // slices + 1
     plain = [c for c, t in df.dtypes if "<" not in t]
     late = F.pmod(F.xxhash64(*plain), F.lit(width))
