@@ -129,3 +129,25 @@ def test_flows_of_a_key_are_taken_together(monkeypatch, piece):
             for c, v in want.items():
                 assert row[f"{p}_{c}"] == pytest.approx(v if len(side) else 0, abs=1e-9), c
         assert row["syn_flag_count"] == flow["flag_syn"].sum() and row["max_packet_length"] == flow["length"].max()
+
+
+@pytest.mark.parametrize("piece", [1, 7, 50_000])
+def test_actions_of_an_alert_are_taken_together(monkeypatch, piece):
+    monkeypatch.setattr(pr, "PIECE_ROWS", piece)
+    rng, n = np.random.default_rng(4), 500
+    pick = lambda x: [x[k] for k in rng.integers(0, len(x), n)]
+    rows = pd.DataFrame({
+        "t_us": np.arange(n) * 1000, "action_id": np.arange(n), "action": pick([*pr.TRANSITIONS, "unheard of", None]),
+        "note": pick(["text", " \t", "", None]), "resolution_type": pick([*pr.RESOLUTION_TYPES, "wrong", None]),
+    })
+    handle, processor = Handle(), pr.Workflow()
+    processor.init(handle)
+    assert isinstance(processor.advance(("a1",), rows, 0), pd.DataFrame)  # a table, not a row at a time
+    got, _, _ = driven(pr.Workflow(), [rows[:200], rows[200:]], [200, 10**6], ("a1",))
+    now, want = "open", []
+    for _, i, action, note, kind in rows.itertuples(index=False, name=None):
+        sources, target, _ = pr.TRANSITIONS.get(action, ([], None, None))
+        ok = (action != "resolve" or (kind in pr.RESOLUTION_TYPES and bool((note or "").strip()))) and now in sources
+        want.append((i, "a1", now, ok, target if ok else now))
+        now = want[-1][-1]
+    assert got == want and 0 < sum(r[3] for r in want) < n

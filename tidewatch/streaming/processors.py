@@ -501,6 +501,11 @@ class Workflow(InOrder):
     row = "t_us long, action_id long, action string, note string, resolution_type string"
     schema = "action_id long, alert_id string, previous_status string, accepted boolean, new_status string"
 
+    #: numbers of the actions; the state each leads to from each, and whether it is taken. The last row is of what is not legal.
+    CODES = {action: k for k, action in enumerate(TRANSITIONS)}
+    TAKEN = [[s in sources for s in STATES] for sources, _, _ in TRANSITIONS.values()] + [[False] * len(STATES)]
+    TURNS = [[STATES.index(target) if s in sources else k for k, s in enumerate(STATES)] for sources, target, _ in TRANSITIONS.values()] + [[*range(len(STATES))]]
+
     def __init__(self, keep_ms: int = 365 * 86_400_000):
         self.keep = keep_ms * 1000
 
@@ -510,14 +515,22 @@ class Workflow(InOrder):
     def advance(self, key, rows, now_us):
         now, until = self.status.get() if self.status.exists() else (STATES[0], 0)
         out = []
-        for i, action, note, kind in zip(rows["action_id"], rows["action"], rows["note"], rows["resolution_type"]):
-            sources, target, _ = TRANSITIONS.get(action, ([], None, None))
-            legal = action != "resolve" or (kind in RESOLUTION_TYPES and bool((note or "").strip()))
-            ok = legal and now in sources
-            out.append((int(i), key[0], now, ok, target if ok else now))
-            now = out[-1][-1]
         if len(rows):
-            until = int(rows["t_us"].iloc[-1]) + self.keep
+            code = rows["action"].map(self.CODES).fillna(len(self.CODES)).to_numpy(np.int64)
+            noted = (rows["note"].fillna("").str.strip() != "").to_numpy(bool)
+            illegal = (rows["action"] == "resolve").to_numpy(bool) & ~(rows["resolution_type"].isin(list(RESOLUTION_TYPES)).to_numpy(bool) & noted)
+            code[illegal] = len(self.CODES)
+            state, before = STATES.index(now), []
+            for turn in map(self.TURNS.__getitem__, code.tolist()):
+                before.append(state)
+                state = turn[state]
+            after = np.array(self.TURNS)[code, before]
+            names = np.array(STATES, dtype=object)
+            out = pd.DataFrame({
+                "action_id": rows["action_id"].to_numpy(np.int64), "alert_id": key[0], "previous_status": names[before],
+                "accepted": np.array(self.TAKEN)[code, before], "new_status": names[after],
+            })
+            now, until = STATES[state], int(rows["t_us"].iloc[-1]) + self.keep
             self.due(until)
         self.status.update((now, until)) if now_us < until else self.status.clear()
         return out
