@@ -36,6 +36,23 @@ def test_training_sizes(spark, monkeypatch):
     assert final[4] == rows  # all training rows, not the candidates' fifth
 
 
+@pytest.mark.parametrize("name", ["ml_random_forest_tuned", "ml_grid_search"])
+def test_candidates_read_rows_that_are_split_once(spark, monkeypatch, name):
+    """What a candidate reads again and again is a stored table, not a split of all training rows."""
+
+    class Asked(Exception):
+        pass
+
+    def noted(train, valid, features, **sizes):
+        raise Asked(train._jdf.queryExecution().executedPlan().toString(), train.count())
+
+    monkeypatch.setattr(models, "grid_search", noted)
+    with pytest.raises(Asked) as asked:
+        entry.queries()[name](spark, SF)
+    plan, rows = asked.value.args
+    assert rows and "FileScan parquet" in plan and "Window" not in plan and "Exchange" not in plan
+
+
 def test_sequence_rounds(spark, monkeypatch):
     class Asked(Exception):
         pass
