@@ -28,6 +28,9 @@ class Rows(Value):
     def appendList(self, rows):
         self.v = (self.v or []) + rows
 
+    def appendValue(self, row):
+        self.appendList([row])
+
     def put(self, rows):
         self.v = list(rows)
 
