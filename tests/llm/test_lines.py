@@ -167,3 +167,23 @@ def test_frequent_words_in_common_make_few_pairs(spark, monkeypatch):
     assert out.where("n_removed > 0").count() == 0
     ((rows, found),) = pairs
     assert rows >= 400 and found <= 400
+
+
+def test_many_tables_at_a_time(monkeypatch):
+    """The same verdict as one by one, with bands of one number and of several, for whatever similarity."""
+    rng = random.Random(10)
+    left, right = ["", "", "a", "x" * 900], ["", "b", "a", "y" * 900]
+    for _ in range(400):
+        a = "".join(rng.choices("abcdé日 ", k=rng.choice([5, 40, 200, 700])))
+        b = a
+        for _ in range(rng.choice([0, 1, 4, 20, 60, 90])):
+            k, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+            b = b[:k] + ("" if kind == 1 else rng.choice("abcx")) + b[k + (kind != 2) :]
+        left.append(a)
+        right.append(b)
+    monkeypatch.setattr(m, "BAND_CELLS", 1 << 14)
+    for similarity in (0.9, 0.97, 0.6):
+        most = [int((1 - similarity) * max(len(p), len(q)) + 1e-9) for p, q in zip(left, right)]
+        want = [m.edit_distance(p, q) <= k for p, q, k in zip(left, right, most)]
+        assert m.near_pairs(left, right, similarity).tolist() == want and 40 < sum(want) < len(want)
+    assert m.near_pairs([], [], 0.9).tolist() == []

@@ -83,3 +83,28 @@ def test_linked_is_all_pairs(spark):
     got = {r.id: r.label for r in linking.linked(df, verify, across, "t").collect()}
     edges = [(a, b) for k, a in members for k2, b in members if k == k2 and a < b and b - a <= 2]
     assert got == union(edges)
+
+
+def test_large_groups_of_one_key_meet_before_all_pairs(spark):
+    """Two groups, tied within and between, whose keys also hold others: they are one group before pairs are made of all that is left."""
+    rng = random.Random(4)
+    n = 300
+    # The least id of key 1 has no links; those of keys 2 and 3 tie their groups together, so key 1 is left with two large groups.
+    members = [(1, 0)] + [(1, i) for i in range(1, 2 * n + 1)] + [(2, i) for i in range(1, n + 1)] + [(3, i) for i in range(n + 1, 2 * n + 1)]
+    rng.shuffle(members)
+    made = []
+
+    def verify(pairs):
+        return pairs.where("a > 0 AND b > 0")
+
+    def across(open_):
+        x, y = open_.alias("x"), open_.alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")))
+        pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        made.append(pairs.count())
+        return pairs
+
+    df = spark.createDataFrame(members, "key long, id long")
+    got = {r.id: r.label for r in linking.linked(df, verify, across, "t").collect()}
+    assert {got[i] for i in range(1, 2 * n + 1)} == {1} and got.get(0, 0) == 0
+    assert made[0] <= 4 * n  # all pairs of the two groups are n * n

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,9 @@ GROUP_KEYS, SMALL = 500_000, 64
 #: Links, keys and labels are a few numbers a row; so many of them are written by one task.
 TASK_ROWS, LEAST_TASKS = 200_000, 8
 
+#: Ids that lead a large key in a turn; share of the open rows that must change their group for another turn.
+LEADS, LEAST_MOVED = 4, 0.05
+
 Pairs = Callable[[DataFrame], DataFrame]
 
 
@@ -155,7 +159,8 @@ def linked(members: DataFrame, verify: Pairs, across: Pairs, name: str) -> DataF
     Two ids are linked if they share a key and `verify` keeps their pair (a, b); connected ids get
     one label, the least of them. In each bucket the least id is compared with the others, and what
     then hangs together needs no more comparisons: copies and near copies fall into one group,
-    whatever their number. What buckets of more than one group hold goes on: `across` turns (key,
+    whatever their number. Large buckets of more than one group are led anew, by ids drawn by their
+    hash, as long as that joins groups of many ids. What buckets of more than one group still hold goes on: `across` turns (key,
     id, label) into pairs of different labels and must give all that `verify` would keep.
     """
     shared = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
@@ -175,12 +180,46 @@ def linked(members: DataFrame, verify: Pairs, across: Pairs, name: str) -> DataF
     now = inside.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     now = written(now, rows, f"{name}-labelled")
     discard(shared, inside, found)
-    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    mixed = written(mixed, rows, f"{name}-mixed")
-    open_ = written(now.join(mixed, "key"), rows, f"{name}-open")
-    discard(now, mixed)
+    open_ = still_open(now, rows, name)
+    discard(now)
+    more = []
+    for turn in count():
+        sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        held, alike = sizes.agg(F.sum("n"), F.sum(F.when(F.col("n") > SMALL, F.col("n") * F.col("n")))).first()
+        if (alike or 0) < SMALL * (held or 0) or not held:
+            break
+        drawn = [F.max_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn * LEADS + k))) for k in range(LEADS)]
+        leads = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*drawn)).alias("leads")).where(F.col("n") > SMALL)
+        leads = written(leads.select("key", F.explode("leads").alias("lead")), held, f"{name}-leads")
+        pairs = open_.join(leads, "key").where("label != lead.label").select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
+        found = links(pairs, f"led-{turn}")
+        more.append(found)
+        own = open_.select("id", "label").distinct()
+        a, b = (own.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
+        # Groups are joined as groups; their ids follow at the end.
+        joined = components(found.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), f"{name}-led-{turn}")
+        joined = joined.where("id != label").select(F.col("id").alias("label"), F.col("label").alias("first"))
+        now = open_.join(joined, "label", "left").select("key", "id", F.coalesce("first", "label").alias("label"), F.col("first").isNotNull().alias("moved"))
+        now = written(now, held, f"{name}-labelled")
+        moved = now.where("moved").count()
+        discard(open_, leads)
+        open_ = still_open(now.drop("moved"), held, name)
+        discard(now)
+        if moved < LEAST_MOVED * held:
+            break
     found = links(across(open_), "across")
     discard(open_)
+    for part in more:
+        found = found.union(part)
     if found.isEmpty():
         return labels
     return components(found.union(labels.select("id", "label")), f"{name}-across")
+
+
+def still_open(members: DataFrame, rows: int, name: str) -> DataFrame:
+    """(key, id, label) of the keys that more than one label holds."""
+    mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    mixed = written(mixed, rows, f"{name}-mixed")
+    out = written(members.join(mixed, "key"), rows, f"{name}-open")
+    discard(mixed)
+    return out

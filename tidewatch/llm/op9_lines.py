@@ -54,6 +54,8 @@ DISTANCE = 18
 GRAM, GRAM_BITS, LEAST_BITS, MOST_BITS = 3, 6, 256, 1 << 16
 #: Cells of the sketch of keys for each key; bytes of text for each cell of the filter of lines whose text is compared.
 CELLS_PER_KEY, CELLS_PER_LINE = 2, 16
+#: Numbers of 64 bits that a column of edit distances may take, and letters that texts must have, to be taken with others; letters of the pairs taken at once.
+BAND_WORDS, BAND_LEAST, BAND_CELLS = 16, 32, 1 << 20
 LAST = np.iinfo(np.int64).max
 #: Lines of less letters differ by one edit at most; shorter ones than LEAST have no edit to spare.
 SHORT, LEAST = 20, 9
@@ -158,12 +160,17 @@ def common_start(a: str, b: str) -> int:
     return low
 
 
-def edit_distance(a: str, b: str, limit: int | None = None) -> int:
-    """Levenshtein distance, or some number above `limit` if it is; a column of the table at a time, its steps up and down as bits of two integers."""
+def apart(a: str, b: str) -> tuple[str, str]:
+    """Two texts without their common prefix and suffix."""
     same = common_start(a, b)
     a, b = a[same:], b[same:]
     same = common_start(a[::-1], b[::-1])
-    a, b = a[: len(a) - same], b[: len(b) - same]
+    return a[: len(a) - same], b[: len(b) - same]
+
+
+def edit_distance(a: str, b: str, limit: int | None = None) -> int:
+    """Levenshtein distance, or some number above `limit` if it is; a column of the table at a time, its steps up and down as bits of two integers."""
+    a, b = apart(a, b)
     if not a or not b:
         return len(a) + len(b)
     places: dict[str, list[int]] = {}
@@ -189,6 +196,83 @@ def edit_distance(a: str, b: str, limit: int | None = None) -> int:
     return distance
 
 
+def near_pairs(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """Whether the edit distance of each pair is within what the similarity allows.
+
+    Tables of edit distances are taken for many pairs at a time, those that need as many cells beside the diagonal together.
+    Pairs that need more than BAND_WORDS numbers of 64, and those of short rests, are compared one by one.
+    """
+    most = ((1 - similarity) * np.array([max(len(p), len(q)) for p, q in zip(left, right)]) + 1e-9).astype(np.int64)
+    left, right = zip(*map(apart, left, right)) if left else ((), ())
+    sizes = np.array([[len(x) for x in left], [len(x) for x in right]], dtype=np.int64).reshape(2, -1)
+    words = most // 32 + 1
+    banded = (words <= BAND_WORDS) & (np.maximum(most, BAND_LEAST) <= sizes.min(axis=0)) & (np.abs(sizes[0] - sizes[1]) <= most)
+    out = np.zeros(len(left), dtype=bool)
+    for k in np.flatnonzero(~banded).tolist():
+        out[k] = edit_distance(left[k], right[k], int(most[k])) <= most[k]
+    order = np.flatnonzero(banded)
+    longer = sizes.max(axis=0)
+    order = order[np.lexsort((longer[order], words[order]))]
+    piece = np.cumsum(longer[order] + 64 * words[order]) // BAND_CELLS
+    cut = np.flatnonzero((np.diff(piece) > 0) | (np.diff(words[order]) > 0)) + 1
+    for part in np.split(order, cut) if len(order) else ():
+        near = band_distances([left[k] for k in part.tolist()], [right[k] for k in part.tolist()], most[part], int(words[part[0]]))
+        out[part] = near <= most[part]
+    return out
+
+
+def letters_at(texts: list[str], size: np.ndarray, start: np.ndarray, width: int, fill: int) -> np.ndarray:
+    """A row for each text, its letters as numbers from place `start` on, `fill` elsewhere."""
+    out = np.full((len(texts), width), fill, dtype=np.uint32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+    out[np.repeat(np.arange(len(texts)), size), ragged(start, size)] = flat
+    return out
+
+
+def band_distances(left: list[str], right: list[str], most: np.ndarray, words: int) -> np.ndarray:
+    """Levenshtein distance of each pair, or some number above `most` if it is; a column of all tables at a time, as steps up and down.
+
+    Of a column the cells about the diagonal are the bits of `words` numbers, which hold 2 * most + 1 of them; no text is shorter than `most`.
+    The distance is followed down the lower edge of that band to the last row, and then along the row (Hyyrö).
+    """
+    m, n = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
+    one, cells = U64(1), 64 * words
+    a = letters_at(left, m, cells - 1 - most, int(max(n.max(), (m + cells - most).max())) + cells, 0xFFFFFFFF)
+    b = letters_at(right, n, np.zeros_like(n), int(n.max()), 0xFFFFFFFE)
+    packed = lambda cell: np.ascontiguousarray(np.packbits(cell, axis=1, bitorder="little").view(U64).T)
+    up = packed(np.arange(cells) >= (cells - 1 - most)[:, None])
+    down = np.zeros_like(up)
+    distance, out, row = most.copy(), np.where(n > 0, 4 * most + cells, m), np.arange(len(m))
+    turn, limit = m - most, 2 * most + n - m
+    for k in range(int(n.max())):
+        match = packed(a[:, k : k + cells] == b[:, k, None])
+        total = (match & up) + up
+        for w in range(1, words):
+            over = total[w - 1] < up[w - 1] if w == 1 else (plain < up[w - 1]) | (total[w - 1] < plain)
+            plain = total[w].copy()
+            total[w] += over
+        diagonal = (total ^ up) | match | down
+        right_, left_ = down | ~(diagonal | up), diagonal & up
+        along = k - turn
+        at = np.clip(cells - 2 - along, 0, cells - 1)
+        place, bit = (at >> 6, np.arange(len(at))), (at & 63).astype(U64)
+        step = ((right_[place] >> bit) & one).astype(np.int64) - ((left_[place] >> bit) & one).astype(np.int64)
+        distance += np.where(along < 0, 1 - (diagonal[-1] >> U64(63)).astype(np.int64), step)
+        lower = diagonal >> one
+        lower[:-1] |= diagonal[1:] << U64(63)
+        up, down = left_ | ~(lower | right_), lower & right_
+        done = n == k + 1
+        out[row[done]] = distance[done]
+        if k % 8 == 7:
+            goes = (n > k + 1) & (distance <= limit)
+            if not goes.any():
+                break
+            if goes.sum() < 0.8 * len(goes):
+                a, b, n, distance, row, turn, limit = (x[goes] for x in (a, b, n, distance, row, turn, limit))
+                up, down = up[:, goes], down[:, goes]
+    return out
+
+
 def gram_bits(text: str, sizes: list[int]) -> list[np.ndarray]:
     """Bitmaps of a text for lines of some sizes: whether an odd number of its runs of GRAM letters fall on a bit.
 
@@ -316,10 +400,7 @@ def removed_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY) -> DataF
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [
-                edit_distance(p, q, most := int((1 - similarity) * max(len(p), len(q)) + 1e-9)) <= most
-                for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())
-            ]
+            near = near_pairs(batch.column("p").to_pylist(), batch.column("q").to_pylist(), similarity)
             yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
